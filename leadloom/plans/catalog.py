@@ -71,3 +71,116 @@ def q_merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     "- count(*) FILTER (WHERE phone_type = 'landline') AS no_phone FROM merged", _MERGED))
 def q_merge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_summary(q_merge_listings(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- columns
+
+from ..functions import (classify_phone, clean_phone, is_valid_phone,  # noqa: E402
+                         name_key, normalize_phone, TEXT_PHONE_RE)
+from pyspark.sql import functions as F  # noqa: E402
+
+
+@register("phone_columns", O.with_fixtures(
+    ["listings"],
+    "SELECT ord, phone, " + O.phone_type("phone") + " AS phone_type, "
+    + O.clean_phone("phone") + " AS clean_phone, " + O.normalize_phone("phone")
+    + " AS normalized_phone, " + O.valid_phone(O.normalize_phone("phone")) + " AS valid FROM listings"))
+def q_phone_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = fixture(spark, sf_dir, "listings")
+    return l.select("ord", "phone", classify_phone("phone").alias("phone_type"),
+                    clean_phone("phone").alias("clean_phone"),
+                    normalize_phone("phone").alias("normalized_phone"),
+                    is_valid_phone(normalize_phone("phone")).alias("valid"))
+
+
+@register("name_key", O.with_fixtures(
+    ["listings"], "SELECT ord, name, " + O.name_key("name") + " AS name_key FROM listings"))
+def q_name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = fixture(spark, sf_dir, "listings")
+    return l.select("ord", "name", name_key("name").alias("name_key"))
+
+
+@register("phone_valid", (
+    "WITH m AS (SELECT doc_id, regexp_extract_all(text, " + O.q(TEXT_PHONE_RE) + ", 1) AS ms "
+    "FROM documents), h AS (SELECT doc_id, ms, unnest(range(len(ms))) AS pos FROM m) "
+    "SELECT doc_id, CAST(pos AS INTEGER) AS pos, ms[pos + 1] AS raw, "
+    + O.normalize_phone("ms[pos + 1]") + " AS normalized, "
+    + O.valid_phone(O.normalize_phone("ms[pos + 1]")) + " AS valid FROM h"))
+def q_phone_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phone-shaped text in every document, normalised and validated."""
+    from ..sources.tables import read_table
+    d = read_table(spark, sf_dir, "documents")
+    hits = d.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(TEXT_PHONE_RE), 1))
+                    .alias("pos", "raw"))
+    return hits.select("doc_id", "pos", "raw", normalize_phone("raw").alias("normalized"),
+                       is_valid_phone(normalize_phone("raw")).alias("valid"))
+
+
+# ---------------------------------------------------------------- dedupe
+
+from ..operators.dedupe import dedupe_leads, dedupe_removed, completeness  # noqa: E402
+from ..sources.leads import fixture_leads  # noqa: E402
+
+_DEDUPE = [O.LEADS_VIEW,
+           ("dk", "SELECT *, " + O.name_key("name") + " AS name_key, "
+                  "(CASE WHEN coalesce(phone, '') <> '' THEN 2 ELSE 0 END "
+                  "+ CASE WHEN coalesce(website, '') <> '' THEN 1 ELSE 0 END "
+                  "+ CASE WHEN coalesce(address, '') <> '' THEN 1 ELSE 0 END "
+                  "+ CASE WHEN coalesce(category, '') <> '' THEN 1 ELSE 0 END "
+                  "+ CASE WHEN coalesce(tags, '') <> '' THEN 1 ELSE 0 END) AS score FROM leads"),
+           ("dr", "SELECT *, row_number() OVER (PARTITION BY name_key ORDER BY score DESC, id) AS rn "
+                  "FROM dk WHERE name_key <> ''")]
+_LEAD_OUT = ("id, name, phone, phone_type, website, address, category, company_size, rating, "
+             "sources, tags, notes, session_id, website_phone")
+
+
+@register("dedupe_leads", O.with_fixtures(
+    ["leads_raw"],
+    f"SELECT {_LEAD_OUT} FROM dk WHERE name_key = '' UNION ALL SELECT {_LEAD_OUT} FROM dr WHERE rn = 1",
+    _DEDUPE))
+def q_dedupe_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe_leads(fixture_leads(spark, sf_dir)).select(*[c.strip() for c in _LEAD_OUT.split(",")])
+
+
+@register("dedupe_removed", O.with_fixtures(
+    ["leads_raw"], "SELECT id, name_key FROM dr WHERE rn > 1", _DEDUPE))
+def q_dedupe_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedupe_removed(fixture_leads(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- import (M1)
+
+from ..operators.importer import import_counts, import_leads  # noqa: E402
+from ..functions.patterns import MAX_IMPORT_ROWS  # noqa: E402
+
+
+def _strip_nan(x: str) -> str:
+    s = O.py_strip(f"coalesce(CAST({x} AS VARCHAR), 'nan')")
+    return f"(CASE WHEN {s} = 'nan' THEN '' ELSE {s} END)"
+
+
+_IMPORT = [
+    O.LEADS_VIEW,
+    ("f0", f"SELECT * FROM import_file ORDER BY ord LIMIT {MAX_IMPORT_ROWS}"),
+    ("c", "SELECT ord, " + O.py_strip("coalesce(Company, 'nan')") + " AS name, "
+          + _strip_nan("Phone") + " AS phone, " + _strip_nan("Website") + " AS website, "
+          + _strip_nan("Address") + " AS address, " + _strip_nan("Industry") + " AS category FROM f0"),
+    ("ck", "SELECT *, " + O.name_key("name") + " AS name_key FROM c WHERE name <> '' AND name <> 'nan'"),
+    ("ex", "SELECT DISTINCT " + O.name_key("name") + " AS name_key FROM leads"),
+    ("imp", "SELECT ord, name, phone, " + O.phone_type("phone") + " AS phone_type, website, address, "
+            "category, 'imported' AS sources FROM ck WHERE ord IN (SELECT min(ord) FROM ck GROUP BY name_key) "
+            "AND name_key NOT IN (SELECT name_key FROM ex)"),
+]
+
+
+@register("import_leads", O.with_fixtures(["leads_raw", "import_file"], "SELECT * FROM imp", _IMPORT))
+def q_import_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return import_leads(fixture(spark, sf_dir, "import_file"), fixture_leads(spark, sf_dir))
+
+
+@register("import_counts", O.with_fixtures(
+    ["leads_raw", "import_file"],
+    "SELECT (SELECT count(*) FROM imp) AS imported, "
+    "(SELECT count(*) FROM f0) - (SELECT count(*) FROM imp) AS skipped", _IMPORT))
+def q_import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return import_counts(fixture(spark, sf_dir, "import_file"), fixture_leads(spark, sf_dir))

@@ -106,3 +106,24 @@ def fixture_cte(name: str, _seen: set | None = None) -> list[tuple[str, str]]:
         _seen.add(name)
         out.append((name, sql.format(**{t: t for t in inputs})))
     return out
+
+
+# A lead file to import, derived from orders: new names, names already stored,
+# in-file duplicates, empty and 'nan' names, names with an empty key, padded
+# values, 'nan' cells and phones with a leading zero.
+IMPORT_FILE_SQL = """
+WITH o AS (SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(o_custkey AS BIGINT) AS c FROM {orders})
+SELECT k AS ord,
+  CASE WHEN k % 101 = 1 THEN '' WHEN k % 103 = 2 THEN 'nan' WHEN k % 107 = 3 THEN '!!!'
+       WHEN k % 109 = 4 THEN '   ' WHEN k % 3 = 0 THEN 'Firm ' || CAST(c % 1500 AS STRING)
+       WHEN k % 3 = 1 THEN ' Acme ' || CAST(c % 2000 AS STRING) || ' Sdn. Bhd. '
+       ELSE 'Shop-' || CAST(k % 4000 AS STRING) END AS Company,
+  CASE WHEN k % 4 = 0 THEN '0' || CAST(123000000 + k % 1000000 AS STRING)
+       WHEN k % 4 = 1 THEN '+60 3-' || lpad(CAST(k % 10000000 AS STRING), 8, '0')
+       WHEN k % 4 = 2 THEN '' ELSE 'nan' END AS Phone,
+  CASE WHEN k % 2 = 0 THEN 'http://shop' || CAST(k % 4000 AS STRING) || '.example.com' ELSE '' END AS Website,
+  CASE WHEN k % 3 = 0 THEN ' Jalan ' || CAST(k % 90 AS STRING) || ' ' ELSE '' END AS Address,
+  CASE WHEN k % 5 = 0 THEN 'retail' WHEN k % 5 = 1 THEN 'nan' ELSE '' END AS Industry
+FROM o
+"""
+register("import_file", IMPORT_FILE_SQL, ["orders"])
