@@ -184,3 +184,87 @@ def q_import_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     "(SELECT count(*) FROM f0) - (SELECT count(*) FROM imp) AS skipped", _IMPORT))
 def q_import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_counts(fixture(spark, sf_dir, "import_file"), fixture_leads(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- blocklist, filters, views
+
+from ..operators import filters as FL  # noqa: E402
+from ..sources.blocklist import blocklist_pattern, entries_frame  # noqa: E402
+from ..functions.patterns import VIEW_DEFAULT  # noqa: E402
+
+# Example blocklist setting used by the registered query (user configuration;
+# blank entries, entries with regex characters and a trailing blank).
+EXAMPLE_BLOCKLIST = '["tesla", "  ", "a&w ", "b.i.g.", "% arabica", "dôme", "ey ", "firm 99 sdn bhd"]'
+_BL = blocklist_pattern(EXAMPLE_BLOCKLIST)
+_BL_DUCK = "(?i)" + _BL[len("(?iu)"):]
+
+
+@register("blocklist_filter", O.with_fixtures(
+    ["listings"],
+    "SELECT ord, source, name FROM listings WHERE NOT (source = 'google_maps' AND "
+    "regexp_matches(coalesce(name, ''), " + O.q(_BL_DUCK) + "))"))
+def q_blocklist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = fixture(spark, sf_dir, "listings")
+    return FL.not_blocked(l, _BL).select("ord", "source", "name")
+
+
+SEARCH_EXAMPLE = "Firm 12|No 4, Bangsar"
+_SEARCH_DUCK = "(" + " OR ".join(
+    f"coalesce(regexp_matches(lower({c}), {O.q(SEARCH_EXAMPLE.lower())}), false)"
+    for c in ["name", "phone", "address", "category", "website", "tags", "notes"]) + ")"
+_VIEW_COLS = "id, " + ", ".join(VIEW_DEFAULT)
+
+
+@register("search_leads", O.with_fixtures(
+    ["leads_raw"], f"SELECT {_VIEW_COLS} FROM leads WHERE {_SEARCH_DUCK}", [O.LEADS_VIEW]))
+def q_search_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FL.project(FL.search(fixture_leads(spark, sf_dir), SEARCH_EXAMPLE))
+
+
+_NO_PHONE_DUCK = "(phone IS NULL OR " + O.py_strip("phone") + " = '')"
+
+
+@register("phone_filter", O.with_fixtures(
+    ["leads_raw"],
+    "SELECT 'mobile' AS mode, id FROM leads WHERE phone_type = 'mobile' UNION ALL "
+    "SELECT 'landline', id FROM leads WHERE phone_type = 'landline' UNION ALL "
+    f"SELECT 'has_phone', id FROM leads WHERE NOT {_NO_PHONE_DUCK} UNION ALL "
+    f"SELECT 'no_phone', id FROM leads WHERE {_NO_PHONE_DUCK}", [O.LEADS_VIEW]))
+def q_phone_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FL.phone_modes(fixture_leads(spark, sf_dir))
+
+
+@register("source_filter", O.with_fixtures(
+    ["listings"], "SELECT name_key, sources FROM merged WHERE contains(sources, 'jobstreet')", _MERGED))
+def q_source_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FL.source_filter(q_merge_listings(spark, sf_dir), "jobstreet").select("name_key", "sources")
+
+
+@register("tag_filter", O.with_fixtures(
+    ["leads_raw"], "SELECT id, tags FROM leads WHERE contains(tags, 'called')", [O.LEADS_VIEW]))
+def q_tag_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FL.tag_filter(fixture_leads(spark, sf_dir), "called").select("id", "tags")
+
+
+@register("view_stats", O.with_fixtures(
+    ["leads_raw"],
+    "SELECT count(*) AS showing, count(*) FILTER (WHERE phone_type = 'mobile') AS mobile, "
+    "count(*) FILTER (WHERE phone_type = 'landline') AS landline, "
+    f"count(*) FILTER (WHERE {_NO_PHONE_DUCK}) AS no_phone FROM leads WHERE {_SEARCH_DUCK} "
+    "AND contains(sources, 'google_maps') AND contains(tags, 'called')", [O.LEADS_VIEW]))
+def q_view_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = FL.view(fixture_leads(spark, sf_dir), SEARCH_EXAMPLE, "all", "google_maps", "called")
+    return FL.view_stats(v)
+
+
+@register("source_facets", O.with_fixtures(
+    ["listings"],
+    "SELECT DISTINCT " + O.py_strip("s") + " AS source FROM (SELECT unnest(string_split(sources, ',')) AS s "
+    "FROM merged) WHERE " + O.py_strip("s") + " <> ''", _MERGED))
+def q_source_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FL.source_facets(q_merge_listings(spark, sf_dir))
+
+
+@register("lead_count", O.with_fixtures(["leads_raw"], "SELECT count(*) AS leads FROM leads_raw"))
+def q_lead_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FL.lead_count(fixture_leads(spark, sf_dir))
