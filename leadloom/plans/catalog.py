@@ -268,3 +268,126 @@ def q_source_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("lead_count", O.with_fixtures(["leads_raw"], "SELECT count(*) AS leads FROM leads_raw"))
 def q_lead_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FL.lead_count(fixture_leads(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- sessions, edits, tags, save, export
+
+from ..operators import mutations as MU  # noqa: E402
+from ..functions.patterns import (DEFAULT_TAGS, EXPORT_COLUMNS, EXPORT_DEFAULT_COUNT,  # noqa: E402
+                                  SESSION_DETAIL_COLUMNS)
+from ..sources.leads import FIXTURE_AS_OF  # noqa: E402
+
+EDIT_AS_OF = "2026-02-01 00:00:00"
+
+
+@register("session_leads", O.with_fixtures(
+    ["leads_raw"], "SELECT id, " + ", ".join(SESSION_DETAIL_COLUMNS) + " FROM leads WHERE session_id = 3",
+    [O.LEADS_VIEW]))
+def q_session_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MU.session_detail(fixture_leads(spark, sf_dir), 3)
+
+
+@register("session_list", O.with_fixtures(
+    ["leads_raw", "sessions_raw"],
+    "SELECT s.id, s.sources, s.query_info, s.result_count, coalesce(c.n, 0) AS current_count "
+    "FROM sessions_raw s LEFT JOIN (SELECT session_id, count(*) AS n FROM "
+    f"(SELECT {_LEAD_OUT} FROM dk WHERE name_key = '' UNION ALL SELECT {_LEAD_OUT} FROM dr WHERE rn = 1) "
+    "WHERE session_id IS NOT NULL GROUP BY session_id) c ON c.session_id = s.id", _DEDUPE))
+def q_session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions, newest first, with the stored count next to the count left
+    after de-duplication."""
+    leads = fixture_leads(spark, sf_dir)
+    sessions = fixture(spark, sf_dir, "sessions_raw")
+    return MU.current_counts(sessions, dedupe_leads(leads)).select(
+        "id", "sources", "query_info", "result_count", "current_count")
+
+
+@register("delete_session", O.with_fixtures(
+    ["leads_raw"], "SELECT id, session_id FROM leads_raw WHERE session_id IS DISTINCT FROM 2"))
+def q_delete_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads = fixture_leads(spark, sf_dir)
+    sessions = fixture(spark, sf_dir, "sessions_raw")
+    kept, _, _ = MU.delete_session(leads, sessions, 2)
+    return kept.select("id", "session_id")
+
+
+_TAG_VIEW = "(" + " OR ".join(f"coalesce(regexp_matches(lower({c}), 'bangsar'), false)"
+                              for c in ["name", "phone", "address", "category", "website", "tags",
+                                        "notes"]) + ")"
+
+
+@register("bulk_tag", O.with_fixtures(
+    ["leads_raw"],
+    f"SELECT id, CASE WHEN {_TAG_VIEW} AND NOT contains(tags, 'call') THEN trim(tags || ', call', ', ') "
+    f"ELSE tags END AS tags, ({_TAG_VIEW} AND NOT contains(tags, 'call')) AS changed FROM leads",
+    [O.LEADS_VIEW]))
+def q_bulk_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag every lead of the 'bangsar' view with 'call' ('called' counts as
+    present: substring test)."""
+    leads = fixture_leads(spark, sf_dir)
+    out = MU.bulk_tag(leads, "call", EDIT_AS_OF, mask=FL.search_mask("bangsar", present=leads.columns))
+    return out.select("id", "tags", F.col("_changed").alias("changed"))
+
+
+_EDITS = [O.LEADS_VIEW,
+          ("e", "SELECT * FROM edits WHERE id IS NOT NULL"),
+          ("le", "SELECT e.id, coalesce(e.phone, '') AS phone, coalesce(e.notes, '') AS notes FROM e "
+                 "JOIN (SELECT id, max(ord) AS ord FROM e GROUP BY id) m ON m.id = e.id AND m.ord = e.ord")]
+
+
+@register("apply_edits", O.with_fixtures(
+    ["leads_raw", "edits"],
+    "SELECT l.id, CASE WHEN le.id IS NULL THEN l.phone ELSE le.phone END AS phone, l.phone_type, "
+    "CASE WHEN le.id IS NULL THEN l.notes ELSE le.notes END AS notes, l.website_phone2, "
+    "le.id IS NOT NULL AS updated FROM leads l LEFT JOIN le ON le.id = l.id", _EDITS))
+def q_apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads = fixture_leads(spark, sf_dir)
+    out = MU.apply_edits(leads, fixture(spark, sf_dir, "edits"), EDIT_AS_OF)
+    return out.select("id", "phone", "phone_type", "notes", "website_phone2",
+                      (F.col("updated_at") != F.col("created_at")).alias("updated"))
+
+
+@register("edit_count", O.with_fixtures(
+    ["edits"], "SELECT count(*) FILTER (WHERE id IS NOT NULL) AS edited FROM edits"))
+def q_edit_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MU.edit_count(fixture(spark, sf_dir, "edits"))
+
+
+_DEFAULT_TAGS_SQL = " UNION ALL ".join(
+    f"SELECT {i + 1} AS id, {O.q(n)} AS name, {O.q(c)} AS color" for i, (n, c) in enumerate(DEFAULT_TAGS))
+
+
+@register("add_tags", O.with_fixtures(
+    ["leads_raw"],
+    "SELECT CAST(id AS BIGINT) AS id, name, color FROM d UNION ALL "
+    f"SELECT CAST({len(DEFAULT_TAGS)} + row_number() OVER (ORDER BY name) AS BIGINT), name, '#6B7280' FROM n",
+    [("d", _DEFAULT_TAGS_SQL),
+     ("n", "SELECT DISTINCT trim(t) AS name FROM (SELECT unnest(string_split(tags, ',')) AS t FROM leads_raw) "
+           "WHERE trim(t) <> '' AND trim(t) NOT IN (SELECT name FROM d)")]))
+def q_add_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seed the default tags, then add every tag name used on a lead."""
+    leads = fixture_leads(spark, sf_dir)
+    tags = MU.seed_tags(spark, None, FIXTURE_AS_OF)
+    used = leads.select(F.explode(F.split("tags", ",")).alias("name"))
+    return MU.add_tags(tags, used, EDIT_AS_OF).select("id", "name", "color")
+
+
+@register("save_listings", O.with_fixtures(
+    ["listings", "leads_raw"],
+    "SELECT CAST((SELECT max(id) FROM leads_raw) + row_number() OVER (ORDER BY type_rank, first_ord) AS BIGINT) "
+    "AS id, name, phone, phone_type, sources, CAST(5 AS BIGINT) AS session_id FROM merged", _MERGED))
+def q_save_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged listings appended to the leads table as session 5 (new rows)."""
+    leads = fixture_leads(spark, sf_dir)
+    merged = merge_listings(fixture(spark, sf_dir, "listings"))
+    new = MU.listings_as_leads(merged, 5, MU.next_id(leads), EDIT_AS_OF)
+    return new.select("id", "name", "phone", "phone_type", "sources", "session_id")
+
+
+_EXPORT = EXPORT_COLUMNS[:EXPORT_DEFAULT_COUNT]
+
+
+@register("export_leads", O.with_fixtures(
+    ["leads_raw"], "SELECT " + ", ".join(_EXPORT) + f" FROM leads WHERE NOT {_NO_PHONE_DUCK}", [O.LEADS_VIEW]))
+def q_export_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return MU.export_view(fixture_leads(spark, sf_dir), "has_phone")

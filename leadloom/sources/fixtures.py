@@ -127,3 +127,27 @@ SELECT k AS ord,
 FROM o
 """
 register("import_file", IMPORT_FILE_SQL, ["orders"])
+
+
+# Sessions behind the fixture leads (one per non-NULL session_id).
+SESSIONS_SQL = """
+SELECT CAST(session_id AS BIGINT) AS id, min(sources) AS sources,
+  'Queries: ' || CAST(count(*) AS STRING) || ' | Concurrency: 3' AS query_info,
+  CAST(count(*) AS BIGINT) AS result_count
+FROM {leads_raw} WHERE session_id IS NOT NULL GROUP BY session_id
+"""
+register("sessions_raw", SESSIONS_SQL, ["leads_raw"])
+
+# An edit batch derived from orders: many rows per id (the later wins), ids
+# that do not exist, rows without an id, NULL values and a column outside the
+# write whitelist.
+EDITS_SQL = """
+SELECT CAST(o_orderkey AS BIGINT) AS ord,
+  CASE WHEN o_orderkey % 50 = 7 THEN CAST(NULL AS BIGINT)
+       ELSE 1000000000 + CAST(o_custkey AS BIGINT) % 1700 END AS id,
+  '01' || CAST(o_orderkey % 10 AS STRING) || '-' || lpad(CAST(o_orderkey % 10000000 AS STRING), 7, '0') AS phone,
+  CASE WHEN o_orderkey % 3 = 0 THEN CAST(NULL AS STRING) ELSE 'note ' || CAST(o_orderkey AS STRING) END AS notes,
+  '0399999999' AS website_phone2
+FROM {orders}
+"""
+register("edits", EDITS_SQL, ["orders"])
