@@ -391,3 +391,101 @@ _EXPORT = EXPORT_COLUMNS[:EXPORT_DEFAULT_COUNT]
     ["leads_raw"], "SELECT " + ", ".join(_EXPORT) + f" FROM leads WHERE NOT {_NO_PHONE_DUCK}", [O.LEADS_VIEW]))
 def q_export_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MU.export_view(fixture_leads(spark, sf_dir), "has_phone")
+
+
+# ---------------------------------------------------------------- links (L1-L4)
+
+from ..operators import links as LK  # noqa: E402
+from ..functions import html as H  # noqa: E402
+from ..functions.patterns import (CONTACT_HREF_ACCEPT, CONTACT_HREF_HINTS, CONTACT_SKIP,  # noqa: E402
+                                  CONTACT_TEXT_ACCEPT, CONTACT_TEXT_HINTS, DIR_A_BASE,
+                                  DIR_A_SKIP_NAMES, DIR_B_BASE)
+
+
+def _anchor_rows(src: str, keep: str) -> list[tuple[str, str]]:
+    """Oracle CTEs ea_<src>: one row per anchor with pos, attrs, inner, href."""
+    return [
+        (f"a_{src}", f"SELECT {keep}, " + O.extract_all("html", H.ANCHOR_RE, 1) + " AS atts, "
+                     + O.extract_all("html", H.ANCHOR_RE, 2) + f" AS inn FROM {src}"),
+        (f"i_{src}", f"SELECT *, unnest(range(len(atts))) AS i FROM a_{src}"),
+        (f"ea_{src}", f"SELECT {keep}, CAST(i AS INTEGER) AS pos, atts[i + 1] AS attrs, inn[i + 1] AS inr, "
+                      + O.attr("atts[i + 1]", "href") + f" AS href FROM i_{src}"),
+    ]
+
+
+def _contains_any(x: str, words) -> str:
+    return "(" + " OR ".join(f"contains({x}, {O.q(w)})" for w in words) + ")"
+
+
+_RP = _anchor_rows("result_pages", "kind, source, seed_no, page_no")
+
+
+@register("place_links", O.with_fixtures(
+    ["result_pages"],
+    "SELECT href, seed_no, page_no, pos FROM (SELECT *, row_number() OVER (PARTITION BY href "
+    "ORDER BY seed_no, page_no, pos) AS rn FROM ea_result_pages WHERE kind = 'maps_results' "
+    "AND contains(href, '/maps/place/')) WHERE rn = 1 ORDER BY seed_no, page_no, pos LIMIT 500", _RP))
+def q_place_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = fixture(spark, sf_dir, "result_pages").where(F.col("kind") == "maps_results")
+    return LK.place_links(pages, 500).select("href", "seed_no", "page_no", "pos")
+
+
+_DIR_A_NAME = O.clean_line(O.inner_text("inr"))
+
+
+@register("directory_links", O.with_fixtures(
+    ["result_pages"],
+    "SELECT name, url, seed_no, page_no, pos FROM (SELECT *, row_number() OVER (PARTITION BY url "
+    "ORDER BY seed_no, page_no, pos) AS rn FROM (SELECT *, split_part(CASE WHEN starts_with(href, 'http') "
+    f"THEN href ELSE {O.q(DIR_A_BASE)} || href END, '?', 1) AS url, {_DIR_A_NAME} AS name "
+    "FROM ea_result_pages WHERE source = 'jobstreet' AND contains(href, '/companies/')) "
+    "WHERE lower(name) NOT IN (" + ", ".join(O.q(s) for s in DIR_A_SKIP_NAMES) + ") "
+    "AND length(name) >= 2 AND NOT contains(href, '/companies?')) WHERE rn = 1", _RP))
+def q_directory_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = fixture(spark, sf_dir, "result_pages").where(F.col("source") == "jobstreet")
+    return LK.directory_a_links(pages)
+
+
+@register("directory_b_links", O.with_fixtures(
+    ["result_pages"],
+    "SELECT url, seed_no, page_no, pos FROM (SELECT *, row_number() OVER (PARTITION BY url "
+    "ORDER BY seed_no, page_no, pos) AS rn FROM (SELECT *, CASE WHEN starts_with(href, 'http') THEN href "
+    f"ELSE {O.q(DIR_B_BASE)} || href END AS url FROM ea_result_pages WHERE source = 'hiredly' "
+    "AND contains(href, '/companies/') AND NOT contains(href, '/companies?'))) WHERE rn = 1 "
+    "ORDER BY seed_no, page_no, pos LIMIT 50", _RP))
+def q_directory_b_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = fixture(spark, sf_dir, "result_pages").where(F.col("source") == "hiredly")
+    return LK.directory_b_links(pages, 50)
+
+
+_HOME = [("home", "SELECT * FROM site_pages WHERE kind = 'site_home'")] + _anchor_rows("home", "company_id, url")
+_CT = "lower(" + O.inner_text("inr") + ")"
+
+
+def _resolve_sql(base: str, h: str) -> str:
+    scheme = f"regexp_extract({base}, '^([a-zA-Z][a-zA-Z0-9+.\\-]*):', 1)"
+    org = f"regexp_extract({base}, '^([a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*)', 1)"
+    no_frag = f"regexp_replace({base}, '#.*$', '')"
+    no_query = f"regexp_replace({no_frag}, '\\?.*$', '')"
+    pdir = f"regexp_extract({no_query}, '^([a-zA-Z][a-zA-Z0-9+.\\-]*://[^/?#]*(?:/[^?#]*/)?)', 1)"
+    d = f"(CASE WHEN ends_with({pdir}, '/') THEN {pdir} ELSE {pdir} || '/' END)"
+    return (f"(CASE WHEN regexp_matches({h}, '^[a-zA-Z][a-zA-Z0-9+.\\-]*:') THEN {h} WHEN {h} = '' THEN {base} "
+            f"WHEN starts_with({h}, '//') THEN {scheme} || ':' || {h} WHEN starts_with({h}, '/') THEN {org} || {h} "
+            f"WHEN starts_with({h}, '?') THEN {no_query} || {h} WHEN starts_with({h}, '#') THEN {no_frag} || {h} "
+            f"ELSE {d} || {h} END)")
+
+
+_CONTACT_OK = ("(" + _contains_any("href", CONTACT_HREF_HINTS) + " OR "
+               + _contains_any(_CT, [t.lower() for t in CONTACT_TEXT_HINTS]) + ") AND NOT "
+               + _contains_any("lower(href)", CONTACT_SKIP) + " AND (" + _contains_any(_CT, CONTACT_TEXT_ACCEPT)
+               + " OR " + _contains_any("lower(href)", CONTACT_HREF_ACCEPT) + ")")
+
+
+@register("contact_links", O.with_fixtures(
+    ["site_pages"],
+    "SELECT company_id, pos, href, CASE WHEN href = '' THEN NULL WHEN starts_with(href, 'http') THEN href "
+    "ELSE " + _resolve_sql("url", "href") + " END AS contact_url FROM (SELECT *, row_number() OVER "
+    f"(PARTITION BY company_id ORDER BY pos) AS rn FROM ea_home WHERE {_CONTACT_OK}) WHERE rn = 1", _HOME))
+def q_contact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    home = fixture(spark, sf_dir, "site_pages").where(F.col("kind") == "site_home")
+    return LK.contact_links(home)

@@ -77,3 +77,33 @@ def with_fixtures(fixtures: list[str], body: str, extra: list[tuple[str, str]] =
     if not ctes:
         return body
     return "WITH " + ",\n".join(f"{n} AS (\n{s}\n)" for n, s in ctes) + "\n" + body
+
+
+# ---- HTML pieces (same patterns as functions/html.py)
+
+from ..functions import html as H  # noqa: E402
+
+
+def strip_tags(x: str) -> str:
+    s = blank(x)
+    for pat in (H.SCRIPT_RE, H.STYLE_RE, H.COMMENT_RE, H.TAG_RE):
+        s = f"regexp_replace({s}, {q(pat)}, '', 'g')"
+    for ent, ch in H.ENTITIES:
+        s = f"replace({s}, {q(ent)}, {q(ch)})"
+    return s
+
+
+def inner_text(x: str) -> str:
+    return py_strip(strip_tags(x))
+
+
+def attr(attrs: str, name: str) -> str:
+    return f"regexp_extract({blank(attrs)}, {q(H.attr_re(name))}, 1)"
+
+
+def extract_all(x: str, pattern: str, group: int) -> str:
+    return f"list_transform(regexp_extract_all({blank(x)}, {q(pattern)}, {group}), lambda v: coalesce(v, ''))"
+
+
+def first_h1(x: str) -> str:
+    return inner_text(f"regexp_extract({blank(x)}, {q(H.H1_RE)}, 1)")

@@ -151,3 +151,101 @@ SELECT CAST(o_orderkey AS BIGINT) AS ord,
 FROM {orders}
 """
 register("edits", EDITS_SQL, ["orders"])
+
+
+# Result pages of the three directories, one page per customer / part /
+# supplier row: place links (absolute and relative, repeated across pages),
+# directory links with skip-worthy texts, query links, non-ASCII names and
+# links that become equal once made absolute.
+RESULT_PAGES_SQL = """
+WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS k, CAST(c_nationkey AS BIGINT) AS seed,
+    CAST((CAST(c_custkey AS BIGINT) * 7919) % 997 AS STRING) AS f,
+    CAST(((CAST(c_custkey AS BIGINT) + 1) * 7919) % 997 AS STRING) AS f2 FROM {customer}),
+p AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST(p_size AS BIGINT) % 5 AS seed,
+    CAST((CAST(p_partkey AS BIGINT) * 7919) % 997 AS STRING) AS f FROM {part}),
+s AS (SELECT CAST(s_suppkey AS BIGINT) AS k, CAST(s_nationkey AS BIGINT) AS seed,
+    CAST((CAST(s_suppkey AS BIGINT) * 31) % 97 AS STRING) AS f FROM {supplier})
+SELECT 1000000000 + k AS page_id, 'maps_results' AS kind, 'google_maps' AS source, seed AS seed_no, k AS page_no,
+  '<div role="feed"><div><div><a href="https://www.google.com/maps/place/Firm+' || f || '/@' || CAST(k AS STRING)
+  || '">Firm ' || f || '</a></div></div><div><div><a class="x" href="/maps/place/Firm+' || f2 || '/@' || CAST(k + 1 AS STRING)
+  || '">Firm ' || f2 || '</a></div></div><a href="https://www.google.com/search?q=' || CAST(k AS STRING)
+  || '">More</a></div>' AS html
+FROM c
+UNION ALL
+SELECT 2000000000 + k, 'dir_results', 'jobstreet', seed, k,
+  '<ul><li><a href="/companies/firm-' || f || '?ref=list">  Firm ' || f || ' Sdn Bhd </a></li>'
+  || '<li><a href="/companies/firm-' || f || '-reviews">Write a Review</a></li>'
+  || '<li><a href="/companies?page=' || CAST(k % 7 AS STRING) || '">Next</a></li>'
+  || CASE WHEN k % 5 = 0 THEN '<li><a href="https://my.jobstreet.com/companies/caf-' || f || '">Caf' || chr(233) || ' ' || f || '</a></li>'
+          WHEN k % 5 = 1 THEN '<li><a href="/companies/x-' || f || '">X</a></li>'
+          ELSE '<li><a href="/jobs/' || f || '">Jobs</a></li>' END
+  || '</ul>'
+FROM p
+UNION ALL
+SELECT 3000000000 + k, 'dir_results', 'hiredly', seed, k,
+  '<div><a href="/companies/co-' || f || '">Co ' || f || '</a><a href="https://my.hiredly.com/companies/co-' || f
+  || '">Co</a><a href="/companies?industry=' || f || '">All</a><a href="/jobs">Jobs</a></div>'
+FROM s
+"""
+register("result_pages", RESULT_PAGES_SQL, ["customer", "part", "supplier"])
+
+# Map-place detail pages (one per customer): tel link, phone buttons with an
+# aria-label or only text, authority link, address button, category button,
+# rating block; some pages have no h1 (dropped).
+PLACE_PAGES_SQL = """
+WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS k, CAST((CAST(c_custkey AS BIGINT) * 7919) % 997 AS STRING) AS f,
+  lpad(CAST((CAST(c_custkey AS BIGINT) * 31 + 17) % 10000000 AS STRING), 7, '0') AS d7 FROM {customer})
+SELECT k AS page_id, 'https://www.google.com/maps/place/Firm+' || f AS url,
+  '<html><body>' || CASE WHEN k % 17 = 0 THEN '' ELSE '<h1 class="DUwDvf"> Firm ' || f || ' &amp; Co </h1>' END
+  || CASE WHEN k % 4 = 0 THEN '<a href="tel:+60 12-' || d7 || '">Call</a>'
+          WHEN k % 4 = 1 THEN '<button data-item-id="phone:tel:03' || d7 || '" aria-label="Phone: 03-' || d7 || ' "><div>x</div></button>'
+          WHEN k % 4 = 2 THEN '<button data-item-id="phone:tel:x" aria-label=""><div>012 ' || d7 || '</div></button>'
+          ELSE '<button data-item-id="oh" aria-label="Phone: 03-' || d7 || '">hours</button>' END
+  || CASE WHEN k % 3 = 0 THEN '<a data-item-id="authority" href="http://firm' || f || '.example.com">site</a>' ELSE '' END
+  || '<button data-item-id="address" aria-label="Address: No ' || CAST(k % 50 AS STRING) || ', Bangsar">a</button>'
+  || '<button jsaction="pane.rating.category">' || CASE WHEN k % 2 = 0 THEN ' Restaurant ' ELSE 'IT company' END || '</button>'
+  || CASE WHEN k % 5 = 0 THEN '' ELSE '<div class="F7nice "><span><span aria-hidden="true">4.' || CAST(k % 10 AS STRING) || '</span></span></div>' END
+  || '</body></html>' AS html
+FROM c
+"""
+register("place_pages", PLACE_PAGES_SQL, ["customer"])
+
+# Directory-A company pages (one per part): label lines followed by values,
+# an empty value, a repeated label (the last wins), a too-long value and
+# non-ASCII characters that the line cleaner drops.
+DIR_A_PAGES_SQL = """
+WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST((CAST(p_partkey AS BIGINT) * 7919) % 997 AS STRING) AS f,
+  p_type AS t FROM {part})
+SELECT k AS page_id,
+  'Firm ' || f || chr(10) || 'Website' || chr(10)
+  || CASE WHEN k % 4 = 0 THEN '' ELSE ' http://firm' || f || '.example.com ' END || chr(10)
+  || 'Industry' || chr(10) || t || chr(10)
+  || 'Company size' || chr(10) || CASE WHEN k % 3 = 0 THEN repeat('x', 120) ELSE '11-50 employees' END || chr(10)
+  || 'Primary location' || chr(10) || 'Kuala Lumpur ' || chr(183) || ' ' || CAST(k % 9 AS STRING) || chr(10)
+  || CASE WHEN k % 5 = 0 THEN 'Industry' || chr(10) || 'Retail ' || CAST(k % 4 AS STRING) || chr(10) ELSE '' END
+  || 'Website' AS body_text
+FROM p
+"""
+register("dir_a_pages", DIR_A_PAGES_SQL, ["part"])
+
+# Directory-B profile pages (one per part): navigation lines, the name, a
+# 'jobs' line, category, 'Our Address' with short and long lines, and links
+# to blocked hosts before the company website.
+DIR_B_PAGES_SQL = """
+WITH p AS (SELECT CAST(p_partkey AS BIGINT) AS k, CAST((CAST(p_partkey AS BIGINT) * 7919) % 997 AS STRING) AS f,
+  p_brand AS b FROM {part})
+SELECT k AS page_id,
+  'Companies' || chr(10) || 'Log In' || chr(10) || 'x' || chr(10) || 'Ab' || chr(10)
+  || CASE WHEN k % 13 = 0 THEN '' ELSE 'Co ' || f || ' Sdn Bhd' || chr(10) END
+  || CASE WHEN k % 2 = 0 THEN '12 jobs' || chr(10) ELSE '' END
+  || b || ' ' || CAST(k % 3 AS STRING) || chr(10)
+  || 'Co ' || f || ' Sdn Bhd' || chr(10)
+  || CASE WHEN k % 3 = 0 THEN '' ELSE 'Our Address' || chr(10) || 'KL' || chr(10) || '  ' || chr(10)
+     || 'Lot ' || CAST(k % 40 AS STRING) || ', Jalan Ampang, KL' || chr(10) END
+  || 'English' AS body_text,
+  '<div><a href="https://www.facebook.com/co' || f || '">fb</a><a href="/about">About</a>'
+  || CASE WHEN k % 4 = 0 THEN '' ELSE '<a href="https://co' || f || '.example.com">Visit</a>' END
+  || '<a href="https://my.hiredly.com/jobs">Jobs</a></div>' AS html
+FROM p
+"""
+register("dir_b_pages", DIR_B_PAGES_SQL, ["part"])
