@@ -18,6 +18,8 @@ from ..functions.phones import BUTTON_PHONE_RE
 from ..functions.text import blank, clean_line
 
 BUTTON_RE = r"(?is)<button(\s[^>]*)?>(.*?)</button>"
+RATING_RE = (r'(?is)<div\s[^>]*class="(?:[^"]*\s)?F7nice(?:\s[^"]*)?"[^>]*>.*?'
+             r'<span\s[^>]*aria-hidden="true"[^>]*>(.*?)</span>')
 
 
 def body_lines(text) -> Column:
@@ -59,9 +61,7 @@ def place_details(place_pages: DataFrame) -> DataFrame:
     auth = F.filter(a, lambda x: attr(x.attrs, "data-item-id") == "authority")
     addr = F.filter(b, lambda x: attr(x.attrs, "data-item-id") == "address")
     cat = F.filter(b, lambda x: attr(x.attrs, "jsaction").contains("category"))
-    rating = F.regexp_extract(
-        blank(F.col("html")),
-        r'(?is)<div\s[^>]*class="(?:[^"]*\s)?F7nice(?:\s[^"]*)?"[^>]*>.*?<span\s[^>]*aria-hidden="true"[^>]*>(.*?)</span>', 1)
+    rating = F.regexp_extract(blank(F.col("html")), RATING_RE, 1)
     out = place_pages.select(
         "page_id", "url",
         first_h1("html").alias("name"),

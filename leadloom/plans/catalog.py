@@ -489,3 +489,101 @@ _CONTACT_OK = ("(" + _contains_any("href", CONTACT_HREF_HINTS) + " OR "
 def q_contact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     home = fixture(spark, sf_dir, "site_pages").where(F.col("kind") == "site_home")
     return LK.contact_links(home)
+
+
+# ---------------------------------------------------------------- detail pages
+
+from ..operators import extract as EX  # noqa: E402
+from ..functions.patterns import DIR_A_LABELS, DIR_B_BLOCKED_HOSTS, DIR_B_SKIP_LINES  # noqa: E402
+from ..functions.phones import BUTTON_PHONE_RE  # noqa: E402
+from ..sources.tables import read_table  # noqa: E402
+
+
+def _lines_sql(x: str) -> str:
+    return f"list_transform(string_split({O.blank(x)}, chr(10)), lambda x: {O.clean_line('x')})"
+
+
+@register("body_lines", (
+    "SELECT doc_id, CAST(i AS INTEGER) AS line_no, ls[i + 1] AS line FROM (SELECT doc_id, ls, "
+    f"unnest(range(len(ls))) AS i FROM (SELECT doc_id, {_lines_sql('text')} AS ls FROM documents))"))
+def q_body_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cleaned line of every document."""
+    return EX.lines_table(read_table(spark, sf_dir, "documents"))
+
+
+@register("page_titles_as_names", (
+    f"SELECT page_id, {O.first_h1('html')} AS name FROM pages WHERE {O.first_h1('html')} <> ''"))
+def q_page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EX.page_titles(read_table(spark, sf_dir, "pages"))
+
+
+def _label_sql(a: str, b: str) -> str:
+    aria = O.attr(a, "aria-label")
+    return f"(CASE WHEN {aria} <> '' THEN {aria} ELSE {O.inner_text(b)} END)"
+
+
+_PLACE = [
+    ("pa", "SELECT page_id, url, html, " + O.extract_all("html", H.ANCHOR_RE, 1) + " AS aat, "
+           + O.extract_all("html", H.ANCHOR_RE, 2) + " AS ain, " + O.extract_all("html", EX.BUTTON_RE, 1)
+           + " AS bat, " + O.extract_all("html", EX.BUTTON_RE, 2) + " AS bin FROM place_pages"),
+    ("pb", "SELECT *, list_filter(aat, lambda x: starts_with(" + O.attr("x", "href") + ", 'tel:')) AS tel, "
+           "list_filter(list_transform(list_filter(range(1, len(bat) + 1), lambda i: contains("
+           + O.attr("bat[i]", "data-item-id") + ", 'phone')), lambda i: regexp_extract("
+           + _label_sql("bat[i]", "bin[i]") + ", " + O.q(BUTTON_PHONE_RE) + ", 1)), lambda m: m <> '') AS hits, "
+           "list_filter(aat, lambda x: " + O.attr("x", "data-item-id") + " = 'authority') AS auth, "
+           "list_filter(bat, lambda x: " + O.attr("x", "data-item-id") + " = 'address') AS addr, "
+           "list_filter(range(1, len(bat) + 1), lambda i: contains(" + O.attr("bat[i]", "jsaction")
+           + ", 'category')) AS cat FROM pa"),
+    ("pc", "SELECT page_id, url, " + O.first_h1("html") + " AS name, CASE WHEN len(tel) > 0 THEN "
+           + O.clean_phone("replace(" + O.attr("tel[1]", "href") + ", 'tel:', '')") + " ELSE "
+           + O.clean_phone("hits[1]") + " END AS phone, "
+           "CASE WHEN len(auth) > 0 THEN " + O.attr("auth[1]", "href") + " ELSE '' END AS website, "
+           "CASE WHEN len(addr) > 0 THEN replace(" + O.attr("addr[1]", "aria-label") + ", 'Address: ', '') "
+           "ELSE '' END AS address, CASE WHEN len(cat) > 0 THEN " + O.inner_text("bin[cat[1]]")
+           + " ELSE '' END AS category, " + O.inner_text(f"regexp_extract(html, {O.q(EX.RATING_RE)}, 1)")
+           + " AS rating FROM pb"),
+]
+
+
+@register("place_details", O.with_fixtures(
+    ["place_pages"],
+    "SELECT *, CASE WHEN phone <> '' THEN " + O.phone_type("phone") + " ELSE '' END AS phone_type "
+    "FROM pc WHERE name <> ''", _PLACE))
+def q_place_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EX.place_details(fixture(spark, sf_dir, "place_pages"))
+
+
+def _label_field(label: str, limit: int) -> str:
+    idx = (f"list_filter(range(1, len(ls)), lambda i: ls[i] = {O.q(label)} AND ls[i + 1] <> '' "
+           f"AND length(ls[i + 1]) < {limit})[-1]")
+    return f"coalesce(ls[{idx} + 1], '')"
+
+
+@register("label_fields", O.with_fixtures(
+    ["dir_a_pages"],
+    "SELECT page_id, " + ", ".join(f"{_label_field(lbl, lim)} AS {fld}" for lbl, fld, lim in DIR_A_LABELS)
+    + f" FROM (SELECT page_id, {_lines_sql('body_text')} AS ls FROM dir_a_pages)"))
+def q_label_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EX.label_fields(fixture(spark, sf_dir, "dir_a_pages"))
+
+
+_SKIP_LIST = "[" + ", ".join(O.q(s) for s in DIR_B_SKIP_LINES) + "]"
+_SITE_OK = " AND ".join(["starts_with(h, 'http')"] + [f"NOT contains(h, {O.q(b)})" for b in DIR_B_BLOCKED_HOSTS])
+_PROFILE = [
+    ("d", f"SELECT page_id, html, list_filter({_lines_sql('body_text')}, lambda x: length(x) > 1) AS ls "
+          "FROM dir_b_pages"),
+    ("n", f"SELECT *, coalesce(list_filter(ls, lambda x: NOT list_contains({_SKIP_LIST}, x) AND length(x) > 2 "
+          "AND length(x) < 100)[1], '') AS name, list_position(ls, 'Our Address') AS ap FROM d"),
+    ("pr", "SELECT page_id, name, coalesce(CASE WHEN list_position(ls, name) > 0 THEN list_filter("
+           "ls[list_position(ls, name) + 1:], lambda x: x <> name AND length(x) < 80 AND NOT ends_with(x, 'jobs'))[1] "
+           "END, '') AS category, coalesce(CASE WHEN ap > 0 AND ap < len(ls) THEN list_filter(ls[ap + 1:ap + 4], "
+           "lambda x: length(x) > 10)[1] END, '') AS address, coalesce(list_filter(list_transform(list_filter("
+           + O.extract_all("html", H.ANCHOR_RE, 1) + ", lambda a: " + O.attr("a", "href") + " <> ''), lambda a: "
+           + O.attr("a", "href") + f"), lambda h: {_SITE_OK})[1], '') AS website FROM n"),
+]
+
+
+@register("company_profile", O.with_fixtures(
+    ["dir_b_pages"], "SELECT * FROM pr WHERE name <> ''", _PROFILE))
+def q_company_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return EX.company_profile(fixture(spark, sf_dir, "dir_b_pages"))
