@@ -20,7 +20,11 @@ from ..functions.html import anchors, attr, blocks, strip_tags
 from ..functions.patterns import CHAT_HINTS, CONTEXT_AFTER, CONTEXT_BEFORE
 from ..functions.text import blank
 
-CONF_RANK = F.create_map(F.lit("high"), F.lit(0), F.lit("medium"), F.lit(1), F.lit("low"), F.lit(2))
+
+
+def conf_rank(c) -> Column:
+    """high 0, medium 1, low 2."""
+    return F.when(c == "high", 0).when(c == "medium", 1).otherwise(2)
 
 # Text phones with their context windows in one pass: the lookbehind captures
 # up to 60 characters before the match (all of them from the text start when
@@ -166,7 +170,7 @@ def best_two(company_phones_df: DataFrame, key: str = "company_id") -> DataFrame
     """Rank a company's numbers: confidence (high, medium, low), then mobile
     first, then discovery order; keep the top two and the full list."""
     ranked = company_phones_df.select(
-        key, F.struct(CONF_RANK[F.col("confidence")].alias("c"),
+        key, F.struct(conf_rank(F.col("confidence")).alias("c"),
                       F.when(classify_phone("phone") == "mobile", 0).otherwise(1).alias("m"),
                       "page_ord", "strategy", "pos", "phone", "confidence").alias("r"))
     g = ranked.groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("rs"))

@@ -587,3 +587,159 @@ _PROFILE = [
     ["dir_b_pages"], "SELECT * FROM pr WHERE name <> ''", _PROFILE))
 def q_company_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EX.company_profile(fixture(spark, sf_dir, "dir_b_pages"))
+
+
+# ---------------------------------------------------------------- website phones
+
+from ..operators import verify as VF  # noqa: E402
+from ..functions.phones import CHAT_PHONE_RE, CONTEXT_RE, FAX_RE  # noqa: E402
+from ..functions.patterns import CHAT_HINTS, CONTEXT_AFTER, CONTEXT_BEFORE  # noqa: E402
+
+_FAX_DUCK = "(?i)" + FAX_RE[len("(?iu)"):]
+_CTX_DUCK = "(?i)" + CONTEXT_RE[len("(?iu)"):]
+_P = O.q(TEXT_PHONE_RE)
+
+
+@register("website_candidates", O.with_fixtures(
+    ["leads_raw"],
+    "SELECT id, name, phone, website, website_phone FROM leads_raw WHERE lower(website) LIKE 'http%' "
+    "AND coalesce(website_phone, '') = ''"))
+def q_website_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return VF.website_candidates(fixture_leads(spark, sf_dir), "unverified")
+
+
+def _offset_hits(src: str, key: str, text: str) -> list[tuple[str, str]]:
+    """Oracle text-phone hits with context windows, from split offsets."""
+    return [
+        (f"m_{src}", f"SELECT {key}, {text} AS t, regexp_extract_all({text}, {_P}) AS m, "
+                     f"regexp_split_to_array({text}, {_P}) AS sp FROM {src}"),
+        (f"u_{src}", f"SELECT *, unnest(range(len(m))) AS i FROM m_{src}"),
+        (f"o_{src}", f"SELECT *, list_sum(list_transform(sp[1:i + 1], lambda x: length(x))) "
+                     f"+ coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS st FROM u_{src}"),
+        (f"w_{src}", f"SELECT {key}, CAST(i AS INTEGER) AS pos, m[i + 1] AS raw, substring(t, "
+                     f"CAST(greatest(st - {CONTEXT_BEFORE}, 0) + 1 AS INTEGER), CAST(least(st + length(m[i + 1]) "
+                     f"+ {CONTEXT_AFTER}, length(t)) - greatest(st - {CONTEXT_BEFORE}, 0) AS INTEGER)) AS context "
+                     f"FROM o_{src}"),
+    ]
+
+
+@register("text_phones", (
+    "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in _offset_hits("documents", "doc_id", "coalesce(text, '')"))
+    + "\nSELECT doc_id, pos, raw, context FROM w_documents"))
+def q_text_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text phones of every document with their 60-before / 20-after windows."""
+    return VF.text_phones(read_table(spark, sf_dir, "documents"))
+
+
+def _site_phone_ctes(pages: str) -> list[tuple[str, str]]:
+    """Oracle CTEs: hits (V3-V5) -> per page (V6) -> per company (V7) as cp."""
+    chat_hint = " OR ".join(f"contains(href, {O.q(h)})" for h in CHAT_HINTS)
+    body = f"coalesce(body_text, {O.strip_tags('html')})"
+    return [
+        ("sb", f"SELECT company_id, page_ord, sp, unnest(range(len(sp))) AS bi FROM (SELECT company_id, page_ord, "
+               f"regexp_split_to_array(coalesce(html, ''), {O.q(H.BLOCK_SPLIT_RE)}) AS sp FROM {pages})"),
+        ("sbt", "SELECT company_id, page_ord, bi, " + O.strip_tags("sp[bi + 1]") + " AS ptext, "
+                + O.extract_all("sp[bi + 1]", H.ANCHOR_RE, 1) + " AS atts FROM sb"),
+        ("sta", "SELECT *, unnest(range(len(atts))) AS ai FROM sbt"),
+        ("tel", "SELECT company_id, page_ord, 1 AS strategy, CAST(bi * 100000 + ai AS BIGINT) AS pos, "
+                "replace(replace(" + O.attr("atts[ai + 1]", "href") + ", 'tel:', ''), '%20', '') AS raw, "
+                "'high' AS confidence FROM sta WHERE starts_with(" + O.attr("atts[ai + 1]", "href") + ", 'tel:') "
+                f"AND NOT regexp_matches(ptext, {O.q(_FAX_DUCK)})"),
+        ("sca", "SELECT company_id, page_ord, ai, " + O.attr("atts[ai + 1]", "href") + " AS href FROM (SELECT *, "
+                "unnest(range(len(atts))) AS ai FROM (SELECT company_id, page_ord, "
+                + O.extract_all("html", H.ANCHOR_RE, 1) + f" AS atts FROM {pages}))"),
+        ("chat", "SELECT * FROM (SELECT company_id, page_ord, 2 AS strategy, CAST(ai AS BIGINT) AS pos, "
+                 f"regexp_extract(href, {O.q(CHAT_PHONE_RE)}, 1) AS raw, 'high' AS confidence FROM sca "
+                 f"WHERE {chat_hint}) WHERE raw <> ''"),
+        ("sbody", f"SELECT company_id, page_ord, {body} AS body FROM {pages}"),
+        *_offset_hits("sbody", "company_id, page_ord", "body"),
+        ("txt", "SELECT company_id, page_ord, 3 AS strategy, CAST(pos AS BIGINT) AS pos, raw, "
+                f"CASE WHEN regexp_matches(context, {O.q(_CTX_DUCK)}) THEN 'medium' ELSE 'low' END AS confidence "
+                f"FROM w_sbody WHERE NOT regexp_matches(context, {O.q(_FAX_DUCK)})"),
+        ("hits", "SELECT company_id, page_ord, strategy, pos, " + O.normalize_phone("raw") + " AS phone, confidence "
+                 "FROM (SELECT * FROM tel UNION ALL SELECT * FROM chat UNION ALL SELECT * FROM txt) WHERE "
+                 + O.valid_phone(O.normalize_phone("raw"))),
+        ("pp", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_id, page_ord, phone "
+               "ORDER BY strategy, pos) AS rn FROM hits) WHERE rn = 1"),
+        ("cp", "SELECT f.company_id, f.phone, CASE WHEN h.later_high THEN 'high' ELSE f.confidence END AS confidence, "
+               "f.page_ord, f.strategy, f.pos FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "
+               "company_id, phone ORDER BY page_ord, strategy, pos) AS r2 FROM pp) WHERE r2 = 1) f JOIN "
+               "(SELECT company_id, phone, bool_or(page_ord > 1 AND confidence = 'high') AS later_high FROM pp "
+               "GROUP BY company_id, phone) h ON h.company_id = f.company_id AND h.phone = f.phone"),
+        ("rk", "SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY CASE confidence WHEN 'high' THEN 0 "
+               "WHEN 'medium' THEN 1 ELSE 2 END, CASE " + O.phone_type("phone") + " WHEN 'mobile' THEN 0 ELSE 1 END, "
+               "page_ord, strategy, pos) AS rk FROM cp"),
+        ("b2", "SELECT company_id AS id, coalesce(max(phone) FILTER (WHERE rk = 1), '') AS website_phone, "
+               "coalesce(max(" + O.phone_type("phone") + ") FILTER (WHERE rk = 1), '') AS website_phone_type, "
+               "coalesce(max(phone) FILTER (WHERE rk = 2), '') AS website_phone2, "
+               "coalesce(max(" + O.phone_type("phone") + ") FILTER (WHERE rk = 2), '') AS website_phone2_type, "
+               "coalesce(max(confidence) FILTER (WHERE rk = 1), '') AS website_phone_source, "
+               "string_agg(phone || ' (' || confidence || ')', ', ' ORDER BY rk) AS all_phones "
+               "FROM rk GROUP BY company_id"),
+    ]
+
+
+@register("site_phones", O.with_fixtures(
+    ["site_pages"], "SELECT company_id, phone, confidence, page_ord, strategy, pos FROM cp",
+    _site_phone_ctes("site_pages")))
+def q_site_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per company and number: confidence after the page and home/contact
+    rules, and where it was first seen."""
+    return VF.company_phones(fixture(spark, sf_dir, "site_pages"))
+
+
+@register("best_two_phones", O.with_fixtures(["site_pages"], "SELECT * FROM b2", _site_phone_ctes("site_pages")))
+def q_best_two_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = VF.best_two(VF.company_phones(fixture(spark, sf_dir, "site_pages")))
+    return b.withColumn("all_phones", F.array_join("all_phones", ", "))
+
+
+# Captured site pages of the customer-derived leads: lead id = 1e9 + customer key.
+_LEAD_PAGES = ("lead_pages", "SELECT 1000000000 + company_id AS company_id, page_ord, kind, url, html, body_text "
+                             "FROM site_pages")
+_RESULTS = [O.LEADS_VIEW, _LEAD_PAGES,
+            ("cand", "SELECT id FROM leads WHERE lower(website) LIKE 'http%' AND coalesce(website_phone, '') = '' "
+                     "AND starts_with(website, 'http')"),
+            ("cpages", "SELECT * FROM lead_pages WHERE company_id IN (SELECT id FROM cand)")]
+_RESULTS += _site_phone_ctes("cpages")
+_RESULTS += [("res", "SELECT c.id, coalesce(b2.website_phone, '') AS website_phone, "
+                     "coalesce(b2.website_phone_type, '') AS website_phone_type, "
+                     "coalesce(b2.website_phone2, '') AS website_phone2, "
+                     "coalesce(b2.website_phone2_type, '') AS website_phone2_type FROM cand c "
+                     "LEFT JOIN b2 ON b2.id = c.id")]
+
+
+def _lead_results(spark: SparkSession, sf_dir: str):
+    leads = fixture_leads(spark, sf_dir)
+    pages = fixture(spark, sf_dir, "site_pages").withColumn(
+        "company_id", F.col("company_id") + F.lit(1000000000))
+    results = VF.verify_websites(VF.website_candidates(leads, "unverified"), pages)
+    return leads, results
+
+
+@register("apply_site_phones", O.with_fixtures(
+    ["leads_raw", "site_pages"],
+    "SELECT l.id, CASE WHEN r.website_phone <> '' THEN r.website_phone ELSE l.website_phone END AS website_phone, "
+    "CASE WHEN r.website_phone <> '' THEN r.website_phone_type ELSE l.website_phone_type END AS website_phone_type, "
+    "CASE WHEN r.website_phone <> '' THEN r.website_phone2 ELSE l.website_phone2 END AS website_phone2, "
+    "CASE WHEN r.website_phone <> '' THEN r.website_phone2_type ELSE l.website_phone2_type END "
+    "AS website_phone2_type FROM leads l LEFT JOIN res r ON r.id = l.id", _RESULTS))
+def q_apply_site_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verify the unverified leads' websites from their captured pages and
+    write the found phones back."""
+    leads, results = _lead_results(spark, sf_dir)
+    out = VF.apply_site_phones(leads, results, EDIT_AS_OF)
+    return out.select("id", "website_phone", "website_phone_type", "website_phone2", "website_phone2_type")
+
+
+@register("verify_metrics", O.with_fixtures(
+    ["leads_raw", "site_pages"],
+    "SELECT (SELECT count(*) FROM leads WHERE lower(website) LIKE 'http%') AS has_website, "
+    "(SELECT count(*) FROM leads WHERE lower(website) LIKE 'http%' AND coalesce(website_phone, '') <> '') AS verified, "
+    "(SELECT count(*) FROM leads WHERE lower(website) LIKE 'http%' AND coalesce(website_phone, '') = '') "
+    "AS not_verified, (SELECT count(*) FROM res) AS checked, "
+    "(SELECT count(*) FROM res WHERE website_phone <> '') AS found, "
+    "(SELECT count(*) FROM res WHERE website_phone <> '') AS saved", _RESULTS))
+def q_verify_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leads, results = _lead_results(spark, sf_dir)
+    return VF.verify_metrics(leads, results)
