@@ -77,68 +77,109 @@ def verify_metrics(leads: DataFrame, results: DataFrame | None = None) -> DataFr
 
 # ------------------------------------------------------------------ V3-V5 per page
 
+HIT = "struct<strategy:int,pos:bigint,raw:string,confidence:string>"
 
-def tel_hits(pages: DataFrame, key: str = "company_id") -> DataFrame:
-    """tel: links in document order; a link whose block text mentions fax is
-    skipped; 'tel:' and '%20' removed."""
-    b = pages.select(key, "page_ord", F.posexplode(blocks("html")).alias("bpos", "block"))
-    a = b.select(key, "page_ord", "bpos", strip_tags("block").alias("ptext"),
-                 F.posexplode(anchors("block")).alias("apos", "a"))
-    a = a.select(key, "page_ord", "bpos", "apos", "ptext", attr(F.col("a.attrs"), "href").alias("href"))
-    a = a.where(F.col("href").startswith("tel:") & ~is_fax_context("ptext"))
-    raw = F.replace(F.replace("href", F.lit("tel:"), F.lit("")), F.lit("%20"), F.lit(""))
-    return a.select(key, "page_ord", F.lit(1).alias("strategy"),
-                    (F.col("bpos") * 100000 + F.col("apos")).cast("bigint").alias("pos"),
-                    raw.alias("raw"), F.lit("high").alias("confidence"))
 
+def _hit(strategy: int, pos: Column, raw: Column, confidence: Column) -> Column:
+    return F.struct(F.lit(strategy).alias("strategy"), pos.cast("bigint").alias("pos"),
+                    raw.alias("raw"), confidence.alias("confidence"))
 
-def chat_hits(pages: DataFrame, key: str = "company_id") -> DataFrame:
-    """Chat links (wa.me / whatsapp / wasap in the href): the first mobile
-    number in the href."""
-    a = pages.select(key, "page_ord", F.posexplode(anchors("html")).alias("apos", "a"))
-    href = attr(F.col("a.attrs"), "href")
-    hint = F.lit(False)
-    for h in CHAT_HINTS:
-        hint = hint | href.contains(h)
-    m = F.regexp_extract(href, CHAT_PHONE_RE, 1)
-    return (a.where(hint).select(key, "page_ord", F.lit(2).alias("strategy"),
-                                 F.col("apos").cast("bigint").alias("pos"), m.alias("raw"),
-                                 F.lit("high").alias("confidence"))
-            .where(F.col("raw") != ""))
 
+def _none() -> Column:
+    return F.array().cast(f"array<{HIT}>")
 
-def text_hits(pages: DataFrame, key: str = "company_id", text: str = "body_text") -> DataFrame:
-    """Every non-overlapping text phone with its context (60 before .. 20
-    after); fax in the context -> skipped; a context word -> medium, else low."""
-    t = F.coalesce(F.col(text), strip_tags("html"))
+
+def tel_array(html) -> Column:
+    """tel: links in document order; a link whose block text mentions fax is
+    skipped; 'tel:' and '%20' removed; confidence high."""
+    def per_block(b, bi):
+        hrefs = F.transform(anchors(b), lambda a, ai: F.struct(ai.alias("ai"),
+                                                               attr(a.attrs, "href").alias("href")))
+        tels = F.filter(hrefs, lambda t: t.href.startswith("tel:"))
+        raw = lambda t: F.replace(F.replace(t.href, F.lit("tel:"), F.lit("")), F.lit("%20"), F.lit(""))
+        hits = F.transform(tels, lambda t: _hit(1, bi.cast("bigint") * 100000 + t.ai, raw(t), F.lit("high")))
+        return F.when(b.contains("tel:") & ~is_fax_context(strip_tags(b)), hits).otherwise(_none())
+    return F.flatten(F.transform(blocks(html), per_block))
+
+
+def chat_array(html) -> Column:
+    """Chat links (wa.me / whatsapp / wasap in the href): the first mobile
+    number in the href; confidence high."""
+    def hinted(t):
+        out = F.lit(False)
+        for h in CHAT_HINTS:
+            out = out | t.href.contains(h)
+        return out
+    hrefs = F.transform(anchors(html), lambda a, ai: F.struct(ai.alias("ai"),
+                                                              attr(a.attrs, "href").alias("href")))
+    hits = F.transform(F.filter(hrefs, hinted),
+                       lambda t: _hit(2, t.ai, F.regexp_extract(t.href, CHAT_PHONE_RE, 1), F.lit("high")))
+    return F.filter(hits, lambda h: h.raw != "")
+
+
+def window_matches(text) -> Column:
+    """array<struct<pre, raw, post>> of every non-overlapping text phone with
+    up to 60 characters before and 20 after. The window regex only runs on
+    texts that hold a phone at all (a cheap first-match test)."""
+    t = blank(text)
     z = F.arrays_zip(F.regexp_extract_all(t, F.lit(WINDOW_RE), 1).alias("pre"),
                      F.regexp_extract_all(t, F.lit(WINDOW_RE), 2).alias("raw"),
                      F.regexp_extract_all(t, F.lit(WINDOW_RE), 3).alias("post"))
-    h = pages.select(key, "page_ord", F.posexplode(z).alias("pos", "m"))
-    ctx = F.concat(F.col("m.pre"), F.col("m.raw"), F.col("m.post"))
-    return (h.where(~is_fax_context(ctx))
-            .select(key, "page_ord", F.lit(3).alias("strategy"), F.col("pos").cast("bigint").alias("pos"),
-                    F.col("m.raw").alias("raw"), text_phone_confidence(ctx).alias("confidence")))
+    return F.when(t.rlike(TEXT_PHONE_RE), z).otherwise(
+        F.array().cast("array<struct<pre:string,raw:string,post:string>>"))
+
+
+def text_array(text) -> Column:
+    """Text phones: fax in the window -> skipped; a context word -> medium,
+    else low."""
+    def ctx(m):
+        return F.concat(m.pre, m.raw, m.post)
+    hits = F.transform(window_matches(text),
+                       lambda m, i: F.struct(ctx(m).alias("ctx"), _hit(3, i, m.raw, text_phone_confidence(ctx(m))).alias("h")))
+    return F.transform(F.filter(hits, lambda x: ~is_fax_context(x.ctx)), lambda x: x.h)
+
+
+def page_hit_array(html="html", body="body_text") -> Column:
+    """All three strategies of one page, in strategy order, one pass."""
+    text = F.coalesce(F.col(body), strip_tags(html)) if isinstance(body, str) else body
+    return F.concat(tel_array(html), chat_array(html), text_array(text))
+
+
+def _explode_hits(pages: DataFrame, arr: Column, key: str) -> DataFrame:
+    return (pages.select(key, "page_ord", F.explode(arr).alias("h"))
+            .select(key, "page_ord", "h.strategy", "h.pos", "h.raw", "h.confidence"))
+
+
+def tel_hits(pages: DataFrame, key: str = "company_id") -> DataFrame:
+    return _explode_hits(pages, tel_array("html"), key)
+
+
+def chat_hits(pages: DataFrame, key: str = "company_id") -> DataFrame:
+    return _explode_hits(pages, chat_array("html"), key)
+
+
+def text_hits(pages: DataFrame, key: str = "company_id", text: str = "body_text") -> DataFrame:
+    return _explode_hits(pages, text_array(F.coalesce(F.col(text), strip_tags("html"))), key)
 
 
 def text_phones(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Text phones with their context windows (no fax filtering): key, pos,
     raw match and the context text."""
-    t = blank(F.col(text))
-    z = F.arrays_zip(F.regexp_extract_all(t, F.lit(WINDOW_RE), 1).alias("pre"),
-                     F.regexp_extract_all(t, F.lit(WINDOW_RE), 2).alias("raw"),
-                     F.regexp_extract_all(t, F.lit(WINDOW_RE), 3).alias("post"))
-    h = docs.select(key, F.posexplode(z).alias("pos", "m"))
+    h = docs.select(key, F.posexplode(window_matches(F.col(text))).alias("pos", "m"))
     return h.select(key, "pos", F.col("m.raw").alias("raw"),
                     F.concat("m.pre", "m.raw", "m.post").alias("context"))
 
 
 def page_hits(pages: DataFrame, key: str = "company_id") -> DataFrame:
-    """All strategies, normalised and validated (V3-V6 input)."""
-    hits = tel_hits(pages, key).unionByName(chat_hits(pages, key)).unionByName(text_hits(pages, key))
+    """All strategies of every page in one scan, normalised and validated,
+    then hash-partitioned by company: the per-page, per-number and
+    per-company aggregations that follow all reuse this partitioning, so the
+    small hit rows are shuffled once and the pages never."""
+    hits = _explode_hits(pages, page_hit_array(), key)
     n = normalize_phone("raw")
     return (hits.withColumn("phone", n).where(is_valid_phone(F.col("phone")))
-            .select(key, "page_ord", "strategy", "pos", "phone", "confidence"))
+            .select(key, "page_ord", "strategy", "pos", "phone", "confidence")
+            .repartition(key))
 
 
 # ------------------------------------------------------------------ V6-V8
