@@ -43,7 +43,7 @@ def write_snapshot(leads: DataFrame, root: str, mode: str = "errorifexists") ->
     The folder name is unique, so the snapshot a job reads from is never the
     one it writes to. Readers switch by path once the write has committed.
     """
-    path = f"{root.rstrip('/')}/snapshot-{_dt.datetime.utcnow():%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+    path = f"{root.rstrip('/')}/snapshot-{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
     leads.write.mode(mode).parquet(path)
     return path
 
