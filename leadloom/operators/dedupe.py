@@ -40,8 +40,10 @@ def _winners(keyed: DataFrame) -> DataFrame:
     aggregates over longs keep the whole aggregation on the hash fast path."""
     lowest = [F.min(F.when(F.col("_score") == s, F.col("id"))).alias(f"s{s}")
               for s in range(MAX_SCORE, -1, -1)]
-    return (keyed.where(F.col("_key") != "")
-            .groupBy("_key").agg(*lowest)
+    # the empty key is dropped through an aggregate flag (a filter on the key
+    # itself would be pushed below the projection and evaluate it twice)
+    return (keyed.groupBy("_key").agg(*lowest, F.max(F.col("_key") != "").alias("_keyed"))
+            .where(F.col("_keyed"))
             .select(F.coalesce(*[F.col(f"s{s}") for s in range(MAX_SCORE, -1, -1)]).alias("id"),
                     F.lit(True).alias("_keep")))
 
@@ -58,6 +60,8 @@ def dedupe_removed(leads: DataFrame) -> DataFrame:
     """Leads the de-duplication deletes (id and key); ``count()`` is the
     deleted count the reference returns."""
     keyed = _keyed(leads).select("id", "_key", "_score")
-    return (keyed.where(F.col("_key") != "")
-            .join(_winners(keyed), "id", "left_anti")
+    # one CASE over both join sides: not split into a key-only filter that the
+    # optimizer would push below the projection (evaluating the key twice)
+    removed = F.when(F.col("_keep").isNull(), F.col("_key") != "").otherwise(F.lit(False))
+    return (keyed.join(_winners(keyed), "id", "left").where(removed)
             .select("id", F.col("_key").alias("name_key")))

@@ -53,11 +53,15 @@ def _rules() -> dict[str, tuple[str, Column | None]]:
 
 
 def keyed_listings(listings: DataFrame) -> DataFrame:
-    """Listings with a non-empty name and a non-empty name key.
+    """Listings with a non-empty name, with their name key (possibly empty).
 
-    Empty keys are dropped before any shuffle so they cannot form a hot group."""
+    Rows whose key is empty are removed after aggregation by a flag computed
+    in the aggregate. Filtering on the key before the aggregation would let
+    the optimizer push the filter below the projection and evaluate the
+    regex-heavy key twice per row; the empty-key group costs one partial row
+    per task instead, so it cannot become a hot group either."""
     l = conform_listings(listings).where(F.col("name") != "")
-    return l.withColumn("name_key", name_key("name")).where(F.col("name_key") != "")
+    return l.withColumn("name_key", name_key("name"))
 
 
 def fold_sources(first_seen: Column) -> Column:
@@ -75,17 +79,17 @@ def merge_listings(listings: DataFrame) -> DataFrame:
     rules = _rules()
     keyed = keyed_listings(listings)
 
-    stage1 = [F.min("ord").alias("o")]
+    stage1 = [F.min("ord").alias("o"), F.max(F.col("name_key") != "").alias("_keyed")]
     for r, (v, cond) in rules.items():
         o = F.col("ord") if cond is None else F.when(cond, F.col("ord"))
         stage1 += [F.min(o).alias(f"{r}__o"), F.min_by(v, o).alias(r)]
     per_source = keyed.groupBy("name_key", "source").agg(*stage1)
 
-    stage2 = [F.min("o").alias("first_ord"),
+    stage2 = [F.min("o").alias("first_ord"), F.max("_keyed").alias("_keyed"),
               F.array_sort(F.collect_list(F.struct("o", "source"))).alias("_srcs")]
     for r in rules:
         stage2.append(F.min_by(r, F.col(f"{r}__o")).alias(r))
-    g = per_source.groupBy("name_key").agg(*stage2)
+    g = per_source.groupBy("name_key").agg(*stage2).where(F.col("_keyed"))
 
     phone = F.coalesce(F.col("phone_mobile"), F.col("phone_any"), F.lit(""))
     out = g.select(
