@@ -16,6 +16,7 @@ from ..functions.patterns import (DIR_A_LABELS, DIR_B_ADDRESS_LABEL, DIR_B_BLOCK
                                   DIR_B_SKIP_LINES)
 from ..functions.phones import BUTTON_PHONE_RE
 from ..functions.text import blank, clean_line
+from ..sources.tables import balanced
 
 BUTTON_RE = r"(?is)<button(\s[^>]*)?>(.*?)</button>"
 RATING_RE = (r'(?is)<div\s[^>]*class="(?:[^"]*\s)?F7nice(?:\s[^"]*)?"[^>]*>.*?'
@@ -62,7 +63,7 @@ def place_details(place_pages: DataFrame) -> DataFrame:
     addr = F.filter(b, lambda x: attr(x.attrs, "data-item-id") == "address")
     cat = F.filter(b, lambda x: attr(x.attrs, "jsaction").contains("category"))
     rating = F.regexp_extract(blank(F.col("html")), RATING_RE, 1)
-    out = place_pages.select(
+    out = balanced(place_pages).select(
         "page_id", "url",
         first_h1("html").alias("name"),
         phone.alias("phone"),
@@ -89,7 +90,7 @@ def label_fields(detail_pages: DataFrame) -> DataFrame:
     for label, field, limit in DIR_A_LABELS:
         hits = F.filter(pairs, matches(label, limit))
         cols.append(F.coalesce(F.get(hits, F.size(hits) - 1).getField("n"), F.lit("")).alias(field))
-    return detail_pages.select("page_id", *cols)
+    return balanced(detail_pages).select("page_id", *cols)
 
 
 def company_profile(profile_pages: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def company_profile(profile_pages: DataFrame) -> DataFrame:
     skip = F.array(*[F.lit(s) for s in DIR_B_SKIP_LINES])
     names = F.filter(lines, lambda x: ~F.array_contains(skip, x) & (F.length(x) > 2) & (F.length(x) < 100))
     name = F.coalesce(_first(names), F.lit(""))
-    df = profile_pages.select("page_id", "html", lines.alias("_lines"), name.alias("name"))
+    df = balanced(profile_pages).select("page_id", "html", lines.alias("_lines"), name.alias("name"))
     lines_c, name_c = F.col("_lines"), F.col("name")
     npos = F.array_position(lines_c, name_c)
     after = F.when(npos > 0, F.slice(lines_c, F.least(npos + 1, F.size(lines_c) + 1),
@@ -130,10 +131,10 @@ def company_profile(profile_pages: DataFrame) -> DataFrame:
 
 def page_titles(pages: DataFrame) -> DataFrame:
     """h1 text of each page as a company-name candidate (empty dropped)."""
-    return (pages.select("page_id", first_h1("html").alias("name"))
+    return (balanced(pages).select("page_id", first_h1("html").alias("name"))
             .where(F.col("name") != ""))
 
 
 def lines_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, line) for every cleaned line of every text."""
-    return docs.select(key, F.posexplode(body_lines(text)).alias("line_no", "line"))
+    return balanced(docs).select(key, F.posexplode(body_lines(text)).alias("line_no", "line"))

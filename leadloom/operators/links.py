@@ -16,11 +16,12 @@ from ..functions.patterns import (CONTACT_HREF_ACCEPT, CONTACT_HREF_HINTS, CONTA
                                   CONTACT_TEXT_ACCEPT, CONTACT_TEXT_HINTS, DIR_A_BASE,
                                   DIR_A_SKIP_NAMES, DIR_B_BASE)
 from ..functions.text import clean_line
+from ..sources.tables import balanced
 
 
 def exploded_anchors(pages: DataFrame, keep=("seed_no", "page_no")) -> DataFrame:
     """(keep..., pos, attrs, inner, href, has_href) per anchor."""
-    a = pages.select(*keep, F.posexplode(anchors("html")).alias("pos", "a"))
+    a = balanced(pages).select(*keep, F.posexplode(anchors("html")).alias("pos", "a"))
     return a.select(*keep, "pos", F.col("a.attrs").alias("attrs"), F.col("a.inner").alias("inner"),
                     attr(F.col("a.attrs"), "href").alias("href"),
                     has_attr(F.col("a.attrs"), "href").alias("has_href"))

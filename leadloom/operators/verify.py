@@ -19,6 +19,7 @@ from ..functions import (CHAT_PHONE_RE, TEXT_PHONE_RE, classify_phone, is_fax_co
 from ..functions.html import anchors, attr, blocks, strip_tags
 from ..functions.patterns import CHAT_HINTS, CONTEXT_AFTER, CONTEXT_BEFORE
 from ..functions.text import blank
+from ..sources.tables import balanced
 
 
 
@@ -165,7 +166,7 @@ def text_hits(pages: DataFrame, key: str = "company_id", text: str = "body_text"
 def text_phones(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Text phones with their context windows (no fax filtering): key, pos,
     raw match and the context text."""
-    h = docs.select(key, F.posexplode(window_matches(F.col(text))).alias("pos", "m"))
+    h = balanced(docs).select(key, F.posexplode(window_matches(F.col(text))).alias("pos", "m"))
     return h.select(key, "pos", F.col("m.raw").alias("raw"),
                     F.concat("m.pre", "m.raw", "m.post").alias("context"))
 
@@ -175,7 +176,7 @@ def page_hits(pages: DataFrame, key: str = "company_id") -> DataFrame:
     then hash-partitioned by company: the per-page, per-number and
     per-company aggregations that follow all reuse this partitioning, so the
     small hit rows are shuffled once and the pages never."""
-    hits = _explode_hits(pages, page_hit_array(), key)
+    hits = _explode_hits(balanced(pages), page_hit_array(), key)
     n = normalize_phone("raw")
     return (hits.withColumn("phone", n).where(is_valid_phone(F.col("phone")))
             .select(key, "page_ord", "strategy", "pos", "phone", "confidence")

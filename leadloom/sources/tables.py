@@ -6,9 +6,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
+# Fixed dimension tables (a handful of rows at any scale): never rebalanced.
+SMALL = {"region", "nation"}
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread an under-split input over the available cores.
+
+    Called by the operators whose per-row work is heavy (HTML parsing, window
+    regexes over whole texts), not by light ones where a shuffle would cost
+    more than it saves.
+
+    A file written as one row group is read by one task, so that work would
+    run on one core. Only when the input has fewer partitions than the
+    session's default parallelism is it round-robin repartitioned; a large
+    input already has more splits than cores and is left as it is (no extra
+    shuffle)."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
     if name not in TABLES:
         raise KeyError(name)
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balanced(df) if balance and name not in SMALL else df
