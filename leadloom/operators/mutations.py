@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import (DEFAULT_TAG_COLOR, DEFAULT_TAGS, EDITABLE_COLUMNS,
                                   EXPORT_COLUMNS, EXPORT_DEFAULT_COUNT, SESSION_DETAIL_COLUMNS)
 from ..schemas import SESSIONS, TAGS, conform, conform_leads
+from ..session import reliable_checkpoint
 from .filters import phone_filter
 
 # ------------------------------------------------------------------ ids (M8)
@@ -30,7 +31,7 @@ def assign_ids(df: DataFrame, order_cols: list, start: int | Column, id_col: str
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    ordered = ordered.checkpoint(eager=True)
+    ordered = reliable_checkpoint(ordered)
     tagged = (ordered.withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

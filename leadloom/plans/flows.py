@@ -24,6 +24,7 @@ from ..operators.importer import import_counts, import_leads
 from ..operators.merge import merge_listings, merge_summary
 from ..schemas import conform_listings
 from ..sources.blocklist import blocklist_pattern
+from ..session import reliable_checkpoint
 from ..sources.leads import write_snapshot
 
 SOURCE_ORDER = ["google_maps", "jobstreet", "hiredly"]
@@ -86,10 +87,10 @@ def collect_merge_save(spark: SparkSession, pages: DataFrame, leads: DataFrame,
                        requested: list[str], query_info: str, as_of, blocklist: str | None = None,
                        **caps) -> RunResult | None:
     """Flow A. Returns None when the run found no listing (no session)."""
-    listings = listings_from_captured(pages, blocklist, **caps).checkpoint(eager=True)
+    listings = reliable_checkpoint(listings_from_captured(pages, blocklist, **caps))
     if listings.limit(1).count() == 0:
         return None
-    merged = merge_listings(listings).checkpoint(eager=True)
+    merged = reliable_checkpoint(merge_listings(listings))
     n = merged.count()
     sessions2 = MU.create_session(spark, sessions, requested, query_info, n, as_of)
     sid = sessions2.agg(F.max("id")).first()[0]
@@ -99,13 +100,13 @@ def collect_merge_save(spark: SparkSession, pages: DataFrame, leads: DataFrame,
 
 def verify_flow(leads: DataFrame, site_pages: DataFrame, as_of, scope: str = "unverified"):
     """Flow C: (leads', results, metrics)."""
-    results = VF.verify_websites(VF.website_candidates(leads, scope), site_pages).checkpoint(eager=True)
+    results = reliable_checkpoint(VF.verify_websites(VF.website_candidates(leads, scope), site_pages))
     return VF.apply_site_phones(leads, results, as_of), results, VF.verify_metrics(leads, results)
 
 
 def import_flow(file_df: DataFrame, leads: DataFrame, as_of, high_water: int | None = None):
     """Flow D (import): (leads', counts). New rows get ids in file order."""
-    new = import_leads(file_df, leads).checkpoint(eager=True)
+    new = reliable_checkpoint(import_leads(file_df, leads))
     rows = MU.assign_ids(new, ["ord"], MU.next_id(leads, high_water)).drop("ord")
     rows = rows.withColumn("session_id", F.lit(None).cast("bigint"))
     from ..schemas import conform_leads

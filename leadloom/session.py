@@ -52,7 +52,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    if sc.getCheckpointDir() is not None:
+        return sc.getCheckpointDir()
     d = tempfile.mkdtemp(prefix="leadloom-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", d)
     sc.setCheckpointDir(d)
     return d
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint(eager=True)`` in the shared folder named by
+    ``spark.checkpoint.dir`` (never a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

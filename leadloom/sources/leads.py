@@ -50,4 +50,5 @@ def write_snapshot(leads: DataFrame, root: str, mode: str = "errorifexists") ->
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut a long lineage with a reliable checkpoint in ``spark.checkpoint.dir``."""
-    return df.checkpoint(eager=True)
+    from ..session import reliable_checkpoint
+    return reliable_checkpoint(df)

@@ -22,10 +22,12 @@ def balanced(df: DataFrame) -> DataFrame:
     session's default parallelism is it round-robin repartitioned; a large
     input already has more splits than cores and is left as it is (no extra
     shuffle)."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:          # sessions without RDD access: leave the plan as it is
+        return df
+    return df.repartition(target) if parts < target else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
