@@ -176,6 +176,20 @@ def create_session(spark: SparkSession, sessions: DataFrame, sources: list[str],
     return conform(sessions, SESSIONS).unionByName(row)
 
 
+def session_for_run(merged: DataFrame, sessions: DataFrame, sources: list[str], query_info: str,
+                    as_of) -> DataFrame:
+    """The session row of a collection run, built lazily: id = highest stored
+    id + 1, result_count = companies saved by the run (stored, not
+    recomputed later). Call only when the run found any raw result."""
+    stats = (merged.select(F.lit(1).alias("n"), F.lit(None).cast("bigint").alias("m"))
+             .unionByName(sessions.select(F.lit(0).alias("n"), F.col("id").cast("bigint").alias("m")))
+             .agg(F.sum("n").cast("bigint").alias("result_count"), F.max("m").alias("mx")))
+    return stats.select((F.coalesce(F.col("mx"), F.lit(0)) + 1).alias("id"),
+                        F.lit(", ".join(sources)).alias("sources"), F.lit(query_info).alias("query_info"),
+                        F.coalesce(F.col("result_count"), F.lit(0)).cast("bigint").alias("result_count"),
+                        F.lit(as_of).cast("timestamp").alias("created_at"))
+
+
 def list_sessions(sessions: DataFrame) -> DataFrame:
     """Newest first (ties by id, newest first)."""
     return sessions.orderBy(F.col("created_at").desc(), F.col("id").desc())

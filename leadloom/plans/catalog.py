@@ -743,3 +743,31 @@ def q_apply_site_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_verify_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     leads, results = _lead_results(spark, sf_dir)
     return VF.verify_metrics(leads, results)
+
+
+# ---------------------------------------------------------------- session creation, newest-first scan (M5, S3)
+
+from ..sources.leads import newest_first  # noqa: E402
+
+RUN_SOURCES = ["google_maps", "jobstreet", "hiredly"]
+RUN_INFO = "Queries: 3 | Concurrency: 3"
+
+
+@register("create_session", O.with_fixtures(
+    ["listings", "leads_raw", "sessions_raw"],
+    "SELECT CAST(id AS BIGINT) AS id, sources, query_info, result_count FROM sessions_raw UNION ALL "
+    "SELECT CAST((SELECT coalesce(max(id), 0) + 1 FROM sessions_raw) AS BIGINT), "
+    f"{O.q(', '.join(RUN_SOURCES))}, {O.q(RUN_INFO)}, (SELECT count(*) FROM merged)", _MERGED))
+def q_create_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions after a collection run over the fixture listings."""
+    sessions = fixture(spark, sf_dir, "sessions_raw")
+    merged = merge_listings(fixture(spark, sf_dir, "listings"))
+    new = MU.session_for_run(merged, sessions, RUN_SOURCES, RUN_INFO, EDIT_AS_OF)
+    return (sessions.select("id", "sources", "query_info", "result_count")
+            .unionByName(new.select("id", "sources", "query_info", "result_count")))
+
+
+@register("leads_newest_first", O.with_fixtures(
+    ["leads_raw"], "SELECT id, name, sources FROM leads_raw ORDER BY id DESC"))
+def q_leads_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return newest_first(fixture_leads(spark, sf_dir)).select("id", "name", "sources")
