@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify_phone, name_key, py_strip
 from ..functions.patterns import IMPORT_RENAMES, MAX_IMPORT_ROWS
+from ..session import reliable_checkpoint
 
 IMPORTED_COLUMNS = ["ord", "name", "phone", "phone_type", "website", "address", "category",
                     "sources"]
@@ -47,10 +48,15 @@ def _clean(c: str, df: DataFrame):
     return F.when(s == "nan", F.lit("")).otherwise(s)
 
 
-def considered_rows(file_df: DataFrame, max_rows: int = MAX_IMPORT_ROWS) -> DataFrame:
+def considered_rows(file_df: DataFrame, max_rows: int = MAX_IMPORT_ROWS,
+                    materialize: bool = False) -> DataFrame:
+    """The first ``max_rows`` rows by ``ord`` (a bounded top-k). With
+    ``materialize`` they are checkpointed once, so the whole file is read once
+    even though several plan branches use them."""
     if "ord" not in file_df.columns:
         raise ValueError("import rows need an explicit 'ord' column (file order decides)")
-    return rename_import_columns(file_df).orderBy("ord").limit(max_rows)
+    rows = rename_import_columns(file_df).orderBy("ord").limit(max_rows)
+    return reliable_checkpoint(rows) if materialize else rows
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -66,9 +72,9 @@ def _candidates(rows: DataFrame) -> DataFrame:
 
 
 def import_leads(file_df: DataFrame, leads: DataFrame,
-                 max_rows: int = MAX_IMPORT_ROWS) -> DataFrame:
+                 max_rows: int = MAX_IMPORT_ROWS, materialize: bool = False) -> DataFrame:
     """Rows to append to the leads table (ids are assigned by the caller)."""
-    cand = _candidates(considered_rows(file_df, max_rows))
+    cand = _candidates(considered_rows(file_df, max_rows, materialize))
     file_keys = cand.select("name_key").distinct()
     # bounded by max_rows keys -> safe to broadcast
     stored = (leads.select(name_key("name").alias("name_key"))
@@ -85,7 +91,7 @@ def import_counts(file_df: DataFrame, leads: DataFrame,
     """(imported, skipped) over the considered rows."""
     considered = considered_rows(file_df, max_rows).select(
         F.lit(1).alias("c"), F.lit(0).alias("i"))
-    imported = import_leads(file_df, leads, max_rows).select(
+    imported = import_leads(file_df, leads, max_rows, materialize=False).select(
         F.lit(0).alias("c"), F.lit(1).alias("i"))
     return (considered.unionByName(imported)
             .agg(F.sum("i").cast("bigint").alias("imported"),
