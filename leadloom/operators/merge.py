@@ -79,11 +79,16 @@ def merge_listings(listings: DataFrame) -> DataFrame:
     rules = _rules()
     keyed = keyed_listings(listings)
 
+    # every rule's candidate ord is computed once per row in a projection, so
+    # the aggregation only compares ready columns
+    values = sorted({v for v, _ in rules.values()})
+    pre = keyed.select("name_key", "source", "ord", *values,
+                       *[(F.col("ord") if cond is None else F.when(cond, F.col("ord"))).alias(f"{r}__o")
+                         for r, (v, cond) in rules.items()])
     stage1 = [F.min("ord").alias("o"), F.max(F.col("name_key") != "").alias("_keyed")]
     for r, (v, cond) in rules.items():
-        o = F.col("ord") if cond is None else F.when(cond, F.col("ord"))
-        stage1 += [F.min(o).alias(f"{r}__o"), F.min_by(v, o).alias(r)]
-    per_source = keyed.groupBy("name_key", "source").agg(*stage1)
+        stage1 += [F.min(f"{r}__o").alias(f"{r}__o"), F.min_by(v, F.col(f"{r}__o")).alias(r)]
+    per_source = pre.groupBy("name_key", "source").agg(*stage1)
 
     stage2 = [F.min("o").alias("first_ord"), F.max("_keyed").alias("_keyed"),
               F.array_sort(F.collect_list(F.struct("o", "source"))).alias("_srcs")]
