@@ -37,14 +37,17 @@ def get_spark(app: str = "leadloom", cpus: int | None = None,
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared file system folder and is never
     overridden here. Only when it is unset and the master is local (tests) a
     scratch folder is created.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:          # remote sessions: the server's configuration decides
+        return spark.conf.get("spark.checkpoint.dir", None)
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
         if sc.getCheckpointDir() is None:
