@@ -48,15 +48,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         sc = spark.sparkContext
     except Exception:          # remote sessions: the server's configuration decides
         return spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is not None:        # already chosen for this context
+        return sc.getCheckpointDir()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if conf_dir:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(conf_dir)
+        sc.setCheckpointDir(conf_dir)
         return conf_dir
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-    if sc.getCheckpointDir() is not None:
-        return sc.getCheckpointDir()
     d = tempfile.mkdtemp(prefix="leadloom-ckpt-")
     sc.setCheckpointDir(d)
     return d
