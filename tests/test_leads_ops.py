@@ -194,3 +194,13 @@ def test_save_and_export(spark, tmp_path):
     assert back.columns == ["name", "phone", "phone_type", "website_phone", "website", "address",
                             "category", "company_size", "tags"]
     assert back.count() == l.where("phone_type = 'mobile'").count()
+
+
+def test_order_invariance_dedupe_and_import(spark):
+    from leadloom.sources.fixtures import fixture
+    l = fixture_leads(spark, SF)
+    shuffled = l.repartition(5).orderBy(F.rand(7))
+    assert rows(dedupe_leads(l), "id") == rows(dedupe_leads(shuffled), "id")
+    f = fixture(spark, SF, "import_file")
+    f2 = f.repartition(3).orderBy(F.rand(11))
+    assert rows(import_leads(f, l)) == rows(import_leads(f2, shuffled))
