@@ -193,7 +193,11 @@ def company_phones(pages: DataFrame, key: str = "company_id") -> DataFrame:
     Per page a number keeps the confidence of its first hit (strategy order,
     then position). Across pages the home page's confidence stays unless the
     contact page says high; a number seen on both keeps its home position."""
-    h = page_hits(pages, key)
+    return phones_from_hits(page_hits(pages, key), key)
+
+
+def phones_from_hits(h: DataFrame, key: str = "company_id") -> DataFrame:
+    """``company_phones`` from hits that are already partitioned by company."""
     per_page = (h.groupBy(key, "page_ord", "phone")
                 .agg(F.min(F.struct("strategy", "pos", "confidence")).alias("f")))
     per_page = per_page.select(key, "page_ord", "phone", F.col("f.strategy").alias("strategy"),
@@ -228,19 +232,24 @@ def best_two(company_phones_df: DataFrame, key: str = "company_id") -> DataFrame
         .alias("all_phones"))
 
 
-def site_pages_for(candidates: DataFrame, pages: DataFrame, page_key: str = "company_id") -> DataFrame:
-    """Captured home (page_ord 1) and contact (page_ord 2) pages of the
-    checkable candidates (semi-join on the company id)."""
-    ids = checkable(candidates).select(F.col("id").alias(page_key))
-    return pages.join(ids, page_key, "left_semi")
+# Candidate ids broadcast to the page scan only up to this many (8 bytes each).
+BROADCAST_IDS_MAX = 5_000_000
 
 
-def verify_websites(candidates: DataFrame, pages: DataFrame, page_key: str = "company_id") -> DataFrame:
+def verify_websites(candidates: DataFrame, pages: DataFrame, page_key: str = "company_id",
+                    broadcast_max: int = BROADCAST_IDS_MAX) -> DataFrame:
     """One result row per checkable candidate (empty fields when nothing was
-    found), like the website_phones schema."""
-    p = site_pages_for(candidates, pages, page_key)
-    found = best_two(company_phones(p, page_key), page_key)
+    found), like the website_phones schema.
+
+    The pages are never shuffled. When the candidate ids are few enough
+    (counted first) they are broadcast to drop other companies' pages before
+    any extraction; beyond that bound hits are extracted from every page and
+    the final left join from the ids keeps the candidates (that join moves
+    only hit-sized rows)."""
     ids = checkable(candidates).select("id")
+    if ids.count() <= broadcast_max:
+        pages = pages.join(F.broadcast(ids.select(F.col("id").alias(page_key))), page_key, "left_semi")
+    found = best_two(company_phones(pages, page_key), page_key)
     empty = F.lit("")
     return (ids.join(found, "id", "left")
             .select("id", *[F.coalesce(F.col(c), empty).alias(c) for c in

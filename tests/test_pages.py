@@ -144,3 +144,19 @@ def test_text_phones_windows(spark):
     first = out[0]
     assert first[1] == "012-345 6789 " and first[2] == text[s - 60:s + len(first[1]) + 20]
     assert out[1][1] == "+6012 3456789" and len(out) == 2
+
+
+def test_verify_large_candidate_path(spark):
+    """Beyond the broadcast bound the result is the same (hits from all pages,
+    candidates kept by the final join)."""
+    from leadloom.schemas import conform_leads
+    import datetime as dt
+    leads = conform_leads(spark.createDataFrame(
+        [(1, "A", "http://a", ""), (2, "B", "http://b", ""), (3, "C", "", "")],
+        "id long, name string, website string, website_phone string"), dt.datetime(2026, 1, 1))
+    p = site(spark, [(1, 1, "http://a", '<a href="tel:0123456789">t</a>', ""),
+                     (3, 1, "http://c", '<a href="tel:0133456789">t</a>', "")])
+    cand = VF.website_candidates(leads, "all")
+    small = sorted((r["id"], r["website_phone"]) for r in VF.verify_websites(cand, p).collect())
+    large = sorted((r["id"], r["website_phone"]) for r in VF.verify_websites(cand, p, broadcast_max=0).collect())
+    assert small == large == [(1, "0123456789"), (2, "")]
