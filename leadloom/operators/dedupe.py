@@ -48,20 +48,30 @@ def _winners(keyed: DataFrame) -> DataFrame:
                     F.lit(True).alias("_keep")))
 
 
-def dedupe_leads(leads: DataFrame) -> DataFrame:
-    """Leads after de-duplication (same columns)."""
-    keyed = _keyed(leads)
-    return (keyed.join(_winners(keyed), "id", "left")
-            .where((F.col("_key") == "") | F.col("_keep").isNotNull())
-            .select(*leads.columns))
+# Removed ids are broadcast to the full-row scan only up to this many.
+BROADCAST_REMOVED_MAX = 10_000_000
 
 
 def dedupe_removed(leads: DataFrame) -> DataFrame:
     """Leads the de-duplication deletes (id and key); ``count()`` is the
-    deleted count the reference returns."""
+    deleted count the reference returns. Works on (id, key, score) only."""
     keyed = _keyed(leads).select("id", "_key", "_score")
     # one CASE over both join sides: not split into a key-only filter that the
     # optimizer would push below the projection (evaluating the key twice)
     removed = F.when(F.col("_keep").isNull(), F.col("_key") != "").otherwise(F.lit(False))
     return (keyed.join(_winners(keyed), "id", "left").where(removed)
             .select("id", F.col("_key").alias("name_key")))
+
+
+def dedupe_leads(leads: DataFrame, broadcast_max: int = BROADCAST_REMOVED_MAX) -> DataFrame:
+    """Leads after de-duplication (same columns).
+
+    The removed ids are computed from the narrow (id, key, score) projection
+    and materialized once (reliable checkpoint). When there are at most
+    ``broadcast_max`` of them they are broadcast to an anti-join, so the full
+    lead rows are read once and never shuffled; beyond that bound a shuffle
+    join on ``id`` is used."""
+    from ..session import reliable_checkpoint
+    gone = reliable_checkpoint(dedupe_removed(leads).select("id"))
+    side = F.broadcast(gone) if gone.count() <= broadcast_max else gone
+    return leads.join(side, "id", "left_anti")

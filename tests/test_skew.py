@@ -88,5 +88,8 @@ def test_dedupe_hot_key(spark):
     keep = sorted(i for _, i in best.values())
     assert sorted(r["id"] for r in dedupe_leads(leads).collect()) == keep
     assert dedupe_removed(leads).count() == N - len(keep)
+    agg_plan = dedupe_removed(leads)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in agg_plan and "partial_min" in agg_plan
     plan = dedupe_leads(leads)._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan and "partial_min" in plan
+    # the full rows meet the (materialised) removed ids in a broadcast anti-join
+    assert "Window" not in plan and "BroadcastHashJoin" in plan and "LeftAnti" in plan
