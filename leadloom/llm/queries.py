@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing
+from . import decontam, langid, packing
 from .common import table
 
 
@@ -17,8 +17,13 @@ def op7_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_best_two_fit": op7_best_two_fit,
+    "op9_language_id": op9_language_id,
 }
 ORACLES: dict[str, str] = {}
