@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, packing
+from . import bagminhash, decontam, langid, packing
 from .common import table
 
 
@@ -21,9 +21,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_best_two_fit": op7_best_two_fit,
     "op9_language_id": op9_language_id,
+    "op10_bagminhash": op10_bagminhash,
 }
 ORACLES: dict[str, str] = {}
