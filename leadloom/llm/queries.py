@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontam, langid, packing
+from . import bagminhash, decontam, langid, packing, superkmer
 from .common import table
 
 
@@ -25,7 +25,12 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.classes(table(spark, sf_dir, "documents"))
 
 
+def op5_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_super_kmers": op5_super_kmers,
     "op6_decontamination": op6_decontamination,
     "op7_best_two_fit": op7_best_two_fit,
     "op9_language_id": op9_language_id,
