@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontam, langid, packing, superkmer
+from . import bagminhash, decontam, langid, packing, sharding, superkmer
 from .common import table
 
 
@@ -29,7 +29,12 @@ def op5_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superkmer.report(table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_best_fit_shards": op2_best_fit_shards,
     "op5_super_kmers": op5_super_kmers,
     "op6_decontamination": op6_decontamination,
     "op7_best_two_fit": op7_best_two_fit,
