@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontam, langid, packing, sharding, superkmer
+from . import bagminhash, decontam, langid, packing, sharding, superkmer, warc
 from .common import table
 
 
@@ -33,8 +33,13 @@ def op2_best_fit_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op4_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op2_best_fit_shards": op2_best_fit_shards,
+    "op4_capture_index": op4_capture_index,
     "op5_super_kmers": op5_super_kmers,
     "op6_decontamination": op6_decontamination,
     "op7_best_two_fit": op7_best_two_fit,
