@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontam, langid, packing, sharding, superkmer, warc
+from . import bagminhash, decontam, fracsketch, langid, packing, sharding, superkmer, warc
 from .common import table
 
 
@@ -37,8 +37,13 @@ def op4_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op3_fracminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fracsketch.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_best_fit_shards": op2_best_fit_shards,
+    "op3_fracminhash": op3_fracminhash,
     "op4_capture_index": op4_capture_index,
     "op5_super_kmers": op5_super_kmers,
     "op6_decontamination": op6_decontamination,
