@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontam, fracsketch, langid, packing, sharding, superkmer, warc
+from . import bagminhash, decontam, fracsketch, langid, packing, sharding, suffixtree, superkmer, warc
 from .common import table
 
 
@@ -41,7 +41,13 @@ def op3_fracminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fracsketch.report(table(spark, sf_dir, "documents"))
 
 
+def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return suffixtree.score(docs, ~suffixtree.held_out())
+
+
 QUERIES = {
+    "op1_suffix_tree": op1_suffix_tree,
     "op2_best_fit_shards": op2_best_fit_shards,
     "op3_fracminhash": op3_fracminhash,
     "op4_capture_index": op4_capture_index,
