@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontam, fracsketch, langid, packing, sharding, suffixtree, superkmer, warc
+from . import bagminhash, decontam, fracsketch, langid, packing, sharding, sitequality, suffixtree, superkmer, warc
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op1_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixtree.score(docs, ~suffixtree.held_out())
 
 
+def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sitequality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_best_fit_shards": op2_best_fit_shards,
@@ -54,6 +58,7 @@ QUERIES = {
     "op5_super_kmers": op5_super_kmers,
     "op6_decontamination": op6_decontamination,
     "op7_best_two_fit": op7_best_two_fit,
+    "op8_site_quality": op8_site_quality,
     "op9_language_id": op9_language_id,
     "op10_bagminhash": op10_bagminhash,
 }
