@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, WordHashes, binary_column, mix64, rolling, stage, text_or_empty, unstage
+from .common import U64, WordHashes, binary_column, mix64, private, rolling, stage, text_or_empty, unstage
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -309,7 +309,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     doc_id (of repeated rows, one)."""
     _, of = _classes(docs, threshold)
     head = of.groupBy("root").agg(F.min_by(F.struct("rep", "key"), F.struct(F.col("rep").isNull(), "rep", "key")).alias("s"))
-    kept = head.select(F.col("s.rep").alias("_id"), F.col("s.key").alias("_head"))
-    rows = docs.withColumn("_key", text_key())
-    same = rows["doc_id"].eqNullSafe(kept["_id"]) & (rows["_key"] == kept["_head"])
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_key"]).drop("_key")
+    own = private(docs)
+    kept = head.select(F.col("s.rep").alias(f"{own}id"), F.col("s.key").alias(f"{own}head"))
+    rows = docs.withColumn(f"{own}key", text_key())
+    same = rows["doc_id"].eqNullSafe(kept[f"{own}id"]) & (rows[f"{own}key"] == kept[f"{own}head"])
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", f"{own}key"]).drop(f"{own}key")

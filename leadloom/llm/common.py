@@ -57,6 +57,19 @@ def reclaim(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def private(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` has, for columns added on the way."""
+    p = "_own"
+    while any(c.lower().startswith(p) for c in df.columns):
+        p += "_"
+    return p
+
+
+def schema_ddl(df: DataFrame) -> str:
+    """The columns of ``df`` as a schema string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column
+from .common import binary_column, private, schema_ddl
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -197,9 +197,6 @@ def _matcher(broadcast) -> Matcher:
     return _MATCHERS[broadcast.value[0]]
 
 
-MARK_FIELDS = "n_words long, n_hit long, items array<string>, hits array<struct<s:int,e:int>>"
-
-
 def _spans(hit: np.ndarray) -> list[dict]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
     return [{"s": int(a), "e": int(b)} for a, b in zip(edge[::2], edge[1::2])]
@@ -207,17 +204,18 @@ def _spans(hit: np.ndarray) -> list[dict]:
 
 def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
          block_words: int = BLOCK_WORDS) -> DataFrame:
-    """All columns of ``docs`` plus n_words, n_hit, items (names of items with
-    occurring windows, sorted as strings) and hits (word spans [s, e)). Later
-    blocks of items add to the marks of earlier ones in the same row."""
+    """All columns of ``docs`` plus, under its private prefix, n_words, n_hit,
+    items (names of items with occurring windows, sorted as strings) and hits
+    (word spans [s, e)). Later blocks of items add to the marks of earlier ones
+    in the same row."""
     import uuid
-    names = docs.columns
-    mine = ["_n_words", "_n_hit", "_items", "_hits"]
+    names, own = docs.columns, private(docs)
+    mine = [f"{own}{c}" for c in ("n_words", "n_hit", "items", "hits")]
     sc = docs.sparkSession.sparkContext
     span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
     out = docs
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema += ", _n_words long, _n_hit long, _items array<string>, _hits array<struct<s:int,e:int>>"
+    types = ("long", "long", "array<string>", "array<struct<s:int,e:int>>")
+    schema = schema_ddl(docs) + "".join(f", {c} {t}" for c, t in zip(mine, types))
     blocks = list(item_blocks(benchmark, block_words)) or [[]]
     for k, block in enumerate(blocks):
         shared = sc.broadcast((uuid.uuid4().hex, block, window))
@@ -226,7 +224,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             m = _matcher(shared)
             for b in batches:
                 n_words, n_hit, items, hits = [], [], [], []
-                had = None if first else (b.column("_items").to_pylist(), b.column("_hits").to_pylist())
+                had = None if first else (b.column(mine[2]).to_pylist(), b.column(mine[3]).to_pylist())
                 for i, t in enumerate(binary_column(b, "text")):
                     words = words_of(t)
                     hit, found = m.of(words)
@@ -249,11 +247,13 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    m = mark(docs.select("doc_id", "text"), benchmark, window)
-    return m.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"),
-                    F.size("_items").cast("long").alias("n_items"),
-                    F.sha2(F.array_join("_items", ",").cast("binary"), 256).alias("items_sha256"),
-                    (F.col("_n_hit") > 0).alias("contaminated"))
+    texts = docs.select("doc_id", "text")
+    own = private(texts)
+    m = mark(texts, benchmark, window)
+    return m.select("doc_id", F.col(f"{own}n_words").alias("n_words"), F.col(f"{own}n_hit").alias("n_hit"),
+                    F.size(f"{own}items").cast("long").alias("n_items"),
+                    F.sha2(F.array_join(f"{own}items", ",").cast("binary"), 256).alias("items_sha256"),
+                    (F.col(f"{own}n_hit") > 0).alias("contaminated"))
 
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -280,18 +280,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """Same columns as ``docs``: hit spans are cut out of the text; documents
     whose hit words make up more than ``max_coverage`` of all go. Column
     ``n_chars``, where there is one, follows the new text."""
-    names = docs.columns
-    m = mark(docs, benchmark, window).where(F.col("_n_hit") <= max_coverage * F.col("_n_words"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    names, own = docs.columns, private(docs)
+    m = mark(docs, benchmark, window).where(F.col(f"{own}n_hit") <= max_coverage * F.col(f"{own}n_words"))
 
     def run(batches):
         for b in batches:
-            hits, texts = b.column("_hits").to_pylist(), b.column("text").to_pylist()
+            hits, texts = b.column(f"{own}hits").to_pylist(), b.column("text").to_pylist()
             new = [remove_spans(t, [(x["s"], x["e"]) for x in h]) if h else t for t, h in zip(texts, hits)]
             cols = {c: b.column(c) for c in names} | {"text": pa.array(new, pa.string())}
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
-    out = m.mapInArrow(run, schema)
+    out = m.mapInArrow(run, schema_ddl(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import private, schema_ddl
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
@@ -225,15 +227,14 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
 def identify(docs: DataFrame, net: ByteCNN, text: str = "text", pred: str = "lang_pred",
              score: str = "score") -> DataFrame:
     """All columns of ``docs`` plus the predicted language and its probability."""
-    names = docs.columns
-    flagged = docs.withColumn("_letter", has_letter(text))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema += f", `{pred}` string, `{score}` double"
+    names, flag = docs.columns, f"{private(docs)}letter"
+    flagged = docs.withColumn(flag, has_letter(text))
+    schema = f"{schema_ddl(docs)}, `{pred}` string, `{score}` double"
     few = 256                                        # texts whose windows are held at once
 
     def run(batches):
         for b in batches:
-            texts, letter = b.column(text).to_pylist(), b.column("_letter").to_pylist()
+            texts, letter = b.column(text).to_pylist(), b.column(flag).to_pylist()
             use = [i for i, x in enumerate(letter) if x and net.langs]
             lang, p = [UNKNOWN] * len(texts), [0.0] * len(texts)
             for lo in range(0, len(use), few):
@@ -263,6 +264,6 @@ def keep_identified(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Same columns as ``docs``: texts whose language is recognised. Rejected:
     null texts, texts without a letter, and texts scored below ``min_score``."""
     names = docs.columns
-    pred, score = "_lang_pred", "_lang_score"
+    pred, score = f"{private(docs)}pred", f"{private(docs)}score"
     out = identify(docs, fit(train_rows(docs)), pred=pred, score=score)
     return out.where((F.col(pred) != UNKNOWN) & (F.col(score) >= min_score)).select(*[f"`{c}`" for c in names])

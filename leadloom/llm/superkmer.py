@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_column, blocks_for, mix64, reclaim, rolling, stage, text_or_empty
+from .common import WordHashes, binary_column, blocks_for, mix64, private, reclaim, rolling, schema_ddl, stage, text_or_empty
 
 WINDOW = 35
 MMER = 16
@@ -215,9 +215,9 @@ def repeated(strings: DataFrame, window: int = WINDOW) -> DataFrame:
     return dealt.mapInArrow(run, "ph binary, spans array<struct<a:int,b:int>>")
 
 
-def mark(docs: DataFrame, window: int = WINDOW, mmer: int = MMER) -> DataFrame:
-    """All columns of ``docs`` plus ``_spans``: word spans [a, b) that repeated
-    windows cover (overlapping, any order; null where there are none)."""
+def mark(docs: DataFrame, spans: str, window: int = WINDOW, mmer: int = MMER) -> DataFrame:
+    """All columns of ``docs`` plus column ``spans``: word spans [a, b) that
+    repeated windows cover (overlapping, any order; null where there are none)."""
     spark = docs.sparkSession
     found = stage(runs(docs, window, mmer), "runs")
     often = found.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m")
@@ -232,12 +232,14 @@ def mark(docs: DataFrame, window: int = WINDOW, mmer: int = MMER) -> DataFrame:
         F.col("_id").alias("_rid"), F.col("_t").alias("_rt"),
         F.transform("spans", lambda x: F.struct((x.a + F.col("s")).alias("a"),
                                                 (x.b + F.col("s") + (window - 1)).alias("b"))).alias("spans"))
-    per_row = stage(covered.groupBy("_rid", "_rt").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("_spans")),
+    per_row = stage(covered.groupBy("_rid", "_rt").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")),
                     "spans")
     reclaim(spark)
-    rows = docs.withColumn("_rt0", F.xxhash64(text_or_empty()))
-    both = rows.join(per_row, rows["doc_id"].eqNullSafe(per_row["_rid"]) & (rows["_rt0"] == per_row["_rt"]), "left")
-    return both.drop("_rid", "_rt", "_rt0")
+    own = private(docs)
+    rows = docs.withColumn(f"{own}t", F.xxhash64(text_or_empty()))
+    side = per_row.select(F.col("_rid").alias(f"{own}rid"), F.col("_rt").alias(f"{own}rt"), F.col("spans").alias(spans))
+    both = rows.join(side, rows["doc_id"].eqNullSafe(side[f"{own}rid"]) & (rows[f"{own}t"] == side[f"{own}rt"]), "left")
+    return both.drop(f"{own}t", f"{own}rid", f"{own}rt")
 
 
 def gone(n_words: int, spans: list[dict] | None) -> np.ndarray:
@@ -250,12 +252,12 @@ def gone(n_words: int, spans: list[dict] | None) -> np.ndarray:
 
 def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256."""
-    marked = mark(docs.select("doc_id", "text"), window)
+    marked = mark(docs.select("doc_id", "text"), "spans", window)
 
     def run(batches):
         for b in batches:
             n, r, sha = [], [], []
-            for t, spans in zip(binary_column(b, "text"), b.column("_spans").to_pylist()):
+            for t, spans in zip(binary_column(b, "text"), b.column("spans").to_pylist()):
                 words = t.split() if t else []
                 if spans:
                     off = gone(len(words), spans)
@@ -291,17 +293,16 @@ def without(text: bytes, off: np.ndarray) -> bytes:
 def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Same rows and columns as ``docs`` with the repeated words cut out of the
     text; ``n_chars``, where there is one, follows."""
-    names = docs.columns
-    marked = mark(docs, window)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    names, covered = docs.columns, f"{private(docs)}spans"
+    marked = mark(docs, covered, window)
 
     def run(batches):
         for b in batches:
             new = []
-            for t, spans in zip(binary_column(b, "text"), b.column("_spans").to_pylist()):
+            for t, spans in zip(binary_column(b, "text"), b.column(covered).to_pylist()):
                 new.append(without(t, gone(len(t.split()), spans)).decode() if spans else None if t is None else t.decode())
             cols = {c: b.column(c) for c in names} | {"text": pa.array(new, pa.string())}
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
-    out = marked.mapInArrow(run, schema)
+    out = marked.mapInArrow(run, schema_ddl(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
