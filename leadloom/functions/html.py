@@ -1,13 +1,12 @@
 """HTML column builders over captured pages (regex-based; no DOM).
 
 A captured page is one row; these builders turn its HTML into arrays of
-anchors, headings and text blocks with built-in regex functions, so the work
-stays inside Spark's generated code and scales with the number of pages.
+anchors, headings and text blocks with built-in functions, so the work stays
+in the JVM and scales with the number of pages. Operators first make the
+``markup`` column (scripts, styles and comments gone) and use it for all else.
 
-Differences from a rendered DOM (documented): text is tag-stripped HTML with
-the basic entities decoded, so hidden elements count; attribute values must
-use double quotes; the "parent element" of a link is the enclosing block
-(p, li, td, div, ...).
+Differences from a rendered DOM (documented): hidden elements count; the
+"parent element" of a link is the text between the block boundaries around it.
 """
 
 from __future__ import annotations
@@ -15,35 +14,63 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import blank, py_strip
+from .text import blank, let, py_strip
 
-ANCHOR_RE = r"(?is)<a(\s[^>]*)?>(.*?)</a>"
-HREF_RE = r'(?is)\shref\s*=\s*"([^"]*)"'
-H1_RE = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>"
-SCRIPT_RE = r"(?is)<script(?:\s[^>]*)?>.*?</script>"
-STYLE_RE = r"(?is)<style(?:\s[^>]*)?>.*?</style>"
-COMMENT_RE = r"(?s)<!--.*?-->"
-TAG_RE = r"(?s)<[^>]*>"
-# Boundaries of block elements: a link's "parent text" is its block's text.
-BLOCK_SPLIT_RE = (r"(?i)</?(?:p|div|li|td|th|tr|ul|ol|table|section|article|header|footer|nav|"
-                  r"main|aside|form|h[1-6]|body|html|br)(?:\s[^>]*)?/?>")
+# Attribute text of a tag; quoted values may hold '>'.
+ATTRS = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
+ANCHOR_RE = rf"(?is)<a(?:\s{ATTRS})?>.*?</a\s*>"
+BUTTON_RE = rf"(?is)<button(?:\s{ATTRS})?>.*?</button\s*>"
+H1_RE = rf"(?is)<h1(?:\s{ATTRS})?>(.*?)</h1\s*>"
+UNSEEN_RE = r"(?is)<!--.*?-->|<script[\s>].*?</script\s*>|<style[\s>].*?</style\s*>"
+TAG_RE = rf"(?s)</?[a-zA-Z!]{ATTRS}>"
+# Boundaries of block elements and line breaks: they separate text.
+BLOCK_NAMES = ("p|div|li|td|th|tr|ul|ol|dl|dt|dd|table|section|article|header|footer|nav|main|aside|form|"
+               "blockquote|pre|address|figure|hr|h[1-6]|body|html|br")
+BLOCK_RE = rf"(?i:</?(?:{BLOCK_NAMES})(?:\s[^>]*)?/?>)"
+NUMERIC_RE = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
-# FIXED VALUES: the five basic entities, decoded in this order (&amp; last).
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+# FIXED VALUES: named entities, decoded in this order (&amp; last).
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+
+
+def markup(html) -> Column:
+    """The page without scripts, styles and comments."""
+    return F.regexp_replace(blank(html), UNSEEN_RE, "")
+
+
+def _character(entity: Column) -> Column:
+    """The character of one numeric entity (U+FFFD where there is none)."""
+    digits = F.regexp_extract(entity, "&#[xX]?([0-9a-fA-F]+);", 1)
+    code = F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    point = F.when(valid, code).otherwise(0xFFFD)
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+
+def _numeric(s: Column) -> Column:
+    """Numeric entities but those of '&', which come last: an escaped entity
+    stays text."""
+    found = F.array_distinct(F.regexp_extract_all(s, F.lit(NUMERIC_RE), 0))
+    chars = F.filter(F.transform(found, lambda e: F.struct(e.alias("e"), _character(e).alias("c"))), lambda x: x.c != "&")
+    return F.aggregate(chars, s, lambda acc, x: F.replace(acc, x.e, x.c))
+
+
+def _decoded(s: Column) -> Column:
+    s = F.when(s.contains("&#"), _numeric(s)).otherwise(s)
+    for ent, ch in ENTITIES[:-1]:
+        s = F.replace(s, F.lit(ent), F.lit(ch))
+    return F.regexp_replace(s, r"&(?:amp|#0*38|#[xX]0*26);", "&")
 
 
 def decode_entities(c) -> Column:
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    """Numeric and the basic named entities as characters."""
+    return let(c, lambda s: F.when(s.contains("&"), _decoded(s)).otherwise(s))
 
 
 def strip_tags(c) -> Column:
-    """Visible text of an HTML fragment: drop scripts, styles, comments and
-    tags, decode the basic entities."""
-    s = blank(c)
-    for pat in (SCRIPT_RE, STYLE_RE, COMMENT_RE):
-        s = F.regexp_replace(s, pat, "")
+    """Text of a piece of ``markup``: neighbouring block boundaries become one
+    line break, other tags go, entities are decoded."""
+    s = F.regexp_replace(blank(c), rf"(?:{BLOCK_RE}\s*)+", "\n")
     return decode_entities(F.regexp_replace(s, TAG_RE, ""))
 
 
@@ -52,33 +79,63 @@ def inner_text(c) -> Column:
     return py_strip(strip_tags(c))
 
 
-def anchors(html) -> Column:
-    """array<struct<attrs, inner>> of every <a> element in document order."""
-    h = blank(html)
-    return F.arrays_zip(F.regexp_extract_all(h, F.lit(ANCHOR_RE), 1).alias("attrs"),
-                        F.regexp_extract_all(h, F.lit(ANCHOR_RE), 2).alias("inner"))
+def elements(c, name: str, pattern: str) -> Column:
+    """array<struct<attrs, inner>> of the matches of an element pattern: whole
+    matches are found once, then each small match is taken apart."""
+    open_re = rf"(?is)^<{name}(\s{ATTRS})?>"
+    return F.transform(F.regexp_extract_all(blank(c), F.lit(pattern), 0), lambda m: F.struct(
+        F.regexp_extract(m, open_re, 1).alias("attrs"),
+        F.regexp_replace(F.regexp_replace(m, open_re, ""), rf"(?i)</{name}\s*>$", "").alias("inner")))
 
 
-def attr_re(name: str) -> str:
-    return rf'(?is)\s{name}\s*=\s*"([^"]*)"'
+def anchors(c) -> Column:
+    """Every <a> element in document order."""
+    return elements(c, "a", ANCHOR_RE)
 
 
-def attr(attrs, name: str) -> Column:
-    """Value of a double-quoted attribute ('' if absent)."""
-    return F.regexp_extract(blank(attrs), attr_re(name), 1)
-
-
-def has_attr(attrs, name: str) -> Column:
-    return blank(attrs).rlike(rf'(?is)\s{name}\s*=\s*"')
-
+def buttons(c) -> Column:
+    return elements(c, "button", BUTTON_RE)
 
-def first_h1(html) -> Column:
-    return inner_text(F.regexp_extract(blank(html), H1_RE, 1))
 
-
-def blocks(html) -> Column:
-    """HTML split at block-element boundaries (document order)."""
-    return F.split(blank(html), BLOCK_SPLIT_RE)
+def attr(attrs, name: str) -> Column:
+    """Value of an attribute as a browser gives it: double-quoted, single-quoted
+    or bare, entities decoded; '' if absent."""
+    value = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+    other = r"""\s*+[^\s="'>/]++(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?/?"""
+    raw = F.regexp_extract(blank(attrs), rf"(?is)^(?:{other})*?\s*{name}\s*=\s*{value}", 1)
+    return decode_entities(let(raw, lambda v: F.when(
+        v.startswith('"') | v.startswith("'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)))
+
+
+def first_h1(c) -> Column:
+    return inner_text(F.regexp_extract(blank(c), H1_RE, 1))
+
+
+def blocks(c) -> Column:
+    """Markup split at block boundaries (document order). Boundaries inside a
+    link become blanks first, so a link that wraps blocks stays whole."""
+    opened = rf"(?is)^(.*<a(?:\s{ATTRS})?>)(.*)$"
+    parts = F.split(blank(c), r"(?i)</a\s*>")
+    whole = F.transform(parts, lambda p, i: F.when(
+        (i < F.size(parts) - 1) & p.rlike(opened),
+        F.concat(F.regexp_extract(p, opened, 1), F.regexp_replace(F.regexp_extract(p, opened, 2), BLOCK_RE, " "))).otherwise(p))
+    return F.split(F.array_join(whole, "</a>"), BLOCK_RE)
+
+
+def feed_anchors(c) -> Column:
+    """The links that are children of children of divs of the feed: anchors two
+    divs deep in the first div of role feed, while it is open."""
+    feed = F.regexp_extract(blank(c), r"""(?is)<div\s[^>]*\brole\s*=\s*["']?feed\b[^>]*>(.*)$""", 1)
+    parts = F.split(feed, r"(?i)(?=<a[\s>])")
+    count = lambda p, pattern: F.size(F.regexp_extract_all(p, F.lit(pattern), 0))
+    moved = F.transform(parts, lambda p: count(p, r"(?i)<div[\s>]") - count(p, r"(?i)</div\s*>"))
+    start = F.struct(F.lit(0).alias("d"), F.lit(False).alias("shut"), F.array().cast("array<int>").alias("at"))
+    # depth before every part, -1 once the feed has ended
+    walked = F.aggregate(moved, start, lambda a, m: F.struct(
+        (a.d + m).alias("d"), (a.shut | (a.d + m < 0)).alias("shut"),
+        F.concat(a["at"], F.array(F.when(a.shut, -1).otherwise(a.d))).alias("at")))
+    inside = F.filter(F.arrays_zip(parts.alias("p"), walked["at"].alias("d")), lambda x: (x.d == 2) & x.p.rlike(r"(?i)^<a[\s>]"))
+    return F.filter(F.transform(inside, lambda x: F.get(anchors(x.p), 0)), lambda a: a.isNotNull())
 
 
 def origin(url) -> Column:
@@ -86,10 +143,25 @@ def origin(url) -> Column:
     return F.regexp_extract(blank(url), r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
 
 
+def _without_dots(url: Column) -> Column:
+    """Dot segments of the path resolved ('.' dropped, '..' takes the segment
+    before it)."""
+    org = origin(url)
+    rest = F.substring(url, F.length(org) + 1, F.length(url))
+    path = F.regexp_extract(rest, r"^([^?#]*)", 1)
+    tail = F.substring(rest, F.length(path) + 1, F.length(rest))
+    empty = F.array().cast("array<string>")
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, empty, lambda acc, s: F.when(s == ".", acc)
+                       .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
+                       .otherwise(F.concat(acc, F.array(s))))
+    end = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+    return F.when(path.rlike(r"/\.{1,2}(?:/|$)"), F.concat(org, F.array_join(kept, "/"), end, tail)).otherwise(url)
+
+
 def resolve_url(base, href) -> Column:
     """Resolve ``href`` against ``base`` (absolute, scheme-relative,
-    root-relative, query, fragment and path-relative forms; dot segments are
-    kept as written)."""
+    root-relative, query, fragment and path-relative forms)."""
     b, h = blank(base), blank(href)
     scheme = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)
     org = origin(b)
@@ -100,7 +172,6 @@ def resolve_url(base, href) -> Column:
     return (F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h)
             .when(h == "", b)
             .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(org, h))
             .when(h.startswith("?"), F.concat(no_query, h))
             .when(h.startswith("#"), F.concat(no_frag, h))
-            .otherwise(F.concat(dir_, h)))
+            .otherwise(_without_dots(F.when(h.startswith("/"), F.concat(org, h)).otherwise(F.concat(dir_, h)))))

@@ -12,7 +12,6 @@ order, and used by the column builders in this package.
 # Button labels on map pages:       (\+?6?0\d[\d\s\-]{7,12})
 # Phone numbers in website text:    (\+?6?0[1-9][\d\s\-\.]{7,13})
 # Chat links:                       (\+?6?01\d{8,9})
-MOBILE_PREFIX_RANGE = ("010", "019")          # 010 .. 019 are mobile
 
 # Words near a number that raise confidence (case-insensitive)
 CONTEXT_WORDS = ["phone", "tel", "call", "contact", "mobile", "fax", "whatsapp",
@@ -57,9 +56,6 @@ CONTACT_HREF_ACCEPT = ["contact", "hubungi"]
 # Chat-link hosts
 CHAT_HINTS = ["wa.me", "whatsapp", "wasap"]
 
-# Confidence ranks (best first)
-CONFIDENCE_ORDER = ["high", "medium", "low"]
-
 # Lead columns that a batch edit may write
 EDITABLE_COLUMNS = ["name", "phone", "phone_type", "website", "website_phone",
                     "website_phone_type", "address", "category", "tags", "notes"]
@@ -69,7 +65,11 @@ IMPORT_RENAMES = [("company", "name"), ("company_name", "name"), ("company name"
                   ("Company", "name"), ("Company Name", "name"), ("Phone", "phone"),
                   ("Website", "website"), ("Address", "address"),
                   ("Industry", "category"), ("Category", "category")]
-MAX_IMPORT_ROWS = 50_000
+# Rows an import considers when the caller asks for the usual limit
+USUAL_IMPORT_ROWS = 50_000
+# Cell texts that a spreadsheet reader takes as missing
+MISSING_CELLS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
+                 "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 # Free-text search columns
 SEARCH_COLUMNS = ["name", "phone", "address", "category", "website", "tags", "notes"]

@@ -62,8 +62,3 @@ def text_phone_confidence(ctx) -> Column:
     """'medium' when a context word is near, else 'low' (fax is filtered first)."""
     return F.when(has_context_word(ctx), F.lit("medium")).otherwise(F.lit("low"))
 
-
-def has_phone(c) -> Column:
-    """Phone present: not NULL and not blank after trimming."""
-    return F.col(c).isNotNull() & (F.trim(F.col(c)) != "") if isinstance(c, str) else \
-        c.isNotNull() & (F.trim(c) != "")

@@ -29,16 +29,17 @@ def blank(c) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row, also inside
+    array functions (which don't share equal subexpressions)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def py_strip(c) -> Column:
     """Python ``str.strip()``: drop leading/trailing Unicode whitespace."""
     return F.regexp_replace(col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
-def strip_chars(c, chars: str) -> Column:
-    """Python ``str.strip(chars)`` for a set of literal characters."""
-    return F.btrim(col(c), F.lit(chars))
-
-
 def words_regex(words: list[str], flags: str = "(?iu)") -> str:
     """Case-insensitive alternation of literal words (regex-escaped)."""
     return flags + "(" + "|".join(quote_regex(w) for w in words) + ")"
@@ -52,15 +53,6 @@ def quote_regex(s: str) -> str:
     return "".join("\\" + ch if ch in _REGEX_META else ch for ch in s)
 
 
-def _sql_str(s: str) -> str:
-    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def sql_str(s: str) -> str:
-    """Spark SQL string literal."""
-    return _sql_str(s)
-
-
 def clean_line(c) -> Column:
     """Body-line cleaner: strip first, then drop characters outside 0x20-0x7E."""
     return F.regexp_replace(py_strip(c), f"[^{PRINTABLE_ASCII}]", "")

@@ -4,9 +4,10 @@ Per non-empty key keep the lead with the highest completeness score (phone 2;
 website, address, category, tags 1 each), ties to the lowest id; delete the
 rest without merging fields. Leads with an empty key are kept untouched.
 
-Plan: one hash aggregation per key with map-side partial aggregation picks
-the winner id; a join on the unique ``id`` keeps the winners. A key holding a third of all rows is reduced map-side to one
-candidate per task, so no task ever sorts or holds a whole group.
+Plan: one hash aggregation with map-side partial aggregation picks the winner
+id per key, and one semi-join on the unique ``id`` keeps the winners. A key
+holding a third of all rows is reduced map-side to one candidate per task, so
+no task ever sorts or holds a whole group. Nothing runs while the plan is built.
 """
 
 from __future__ import annotations
@@ -30,48 +31,26 @@ def completeness(df: DataFrame) -> Column:
 MAX_SCORE = 6
 
 
-def _keyed(leads: DataFrame) -> DataFrame:
-    return leads.withColumn("_key", name_key("name")).withColumn("_score", completeness(leads))
-
-
-def _winners(keyed: DataFrame) -> DataFrame:
-    """Winner id per non-empty key. The score has seven values, so the
-    winner is the lowest id of the highest score present: seven ``min``
-    aggregates over longs keep the whole aggregation on the hash fast path."""
+def _winners(leads: DataFrame) -> DataFrame:
+    """Winner ids. The score has seven values, so the winner of a key is the
+    lowest id of the highest score present: seven ``min`` aggregates over longs
+    keep the aggregation on the hash fast path. A lead with an empty key is a
+    group of its own."""
+    keyed = leads.select("id", name_key("name").alias("_key"), completeness(leads).alias("_score"))
     lowest = [F.min(F.when(F.col("_score") == s, F.col("id"))).alias(f"s{s}")
               for s in range(MAX_SCORE, -1, -1)]
-    # the empty key is dropped through an aggregate flag (a filter on the key
-    # itself would be pushed below the projection and evaluate it twice)
-    return (keyed.groupBy("_key").agg(*lowest, F.max(F.col("_key") != "").alias("_keyed"))
-            .where(F.col("_keyed"))
-            .select(F.coalesce(*[F.col(f"s{s}") for s in range(MAX_SCORE, -1, -1)]).alias("id"),
-                    F.lit(True).alias("_keep")))
-
-
-# Removed ids are broadcast to the full-row scan only up to this many.
-BROADCAST_REMOVED_MAX = 10_000_000
+    alone = F.when(F.col("_key") == "", F.col("id"))
+    return (keyed.groupBy("_key", alone.alias("_alone")).agg(*lowest)
+            .select(F.coalesce(*[F.col(f"s{s}") for s in range(MAX_SCORE, -1, -1)]).alias("id")))
 
 
 def dedupe_removed(leads: DataFrame) -> DataFrame:
     """Leads the de-duplication deletes (id and key); ``count()`` is the
-    deleted count the reference returns. Works on (id, key, score) only."""
-    keyed = _keyed(leads).select("id", "_key", "_score")
-    # one CASE over both join sides: not split into a key-only filter that the
-    # optimizer would push below the projection (evaluating the key twice)
-    removed = F.when(F.col("_keep").isNull(), F.col("_key") != "").otherwise(F.lit(False))
-    return (keyed.join(_winners(keyed), "id", "left").where(removed)
-            .select("id", F.col("_key").alias("name_key")))
-
-
-def dedupe_leads(leads: DataFrame, broadcast_max: int = BROADCAST_REMOVED_MAX) -> DataFrame:
-    """Leads after de-duplication (same columns).
-
-    The removed ids are computed from the narrow (id, key, score) projection
-    and materialized once (reliable checkpoint). When there are at most
-    ``broadcast_max`` of them they are broadcast to an anti-join, so the full
-    lead rows are read once and never shuffled; beyond that bound a shuffle
-    join on ``id`` is used."""
-    from ..session import reliable_checkpoint
-    gone = reliable_checkpoint(dedupe_removed(leads).select("id"))
-    side = F.broadcast(gone) if gone.count() <= broadcast_max else gone
-    return leads.join(side, "id", "left_anti")
+    number deleted."""
+    gone = leads.select("id", "name").join(_winners(leads), "id", "left_anti")
+    return gone.select("id", name_key("name").alias("name_key"))
+
+
+def dedupe_leads(leads: DataFrame) -> DataFrame:
+    """Leads after de-duplication (same columns)."""
+    return leads.join(_winners(leads), "id", "left_semi")

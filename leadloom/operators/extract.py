@@ -11,16 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify_phone, clean_phone
-from ..functions.html import anchors, attr, first_h1, inner_text
+from ..functions.html import anchors, attr, buttons, first_h1, inner_text, markup
 from ..functions.patterns import (DIR_A_LABELS, DIR_B_ADDRESS_LABEL, DIR_B_BLOCKED_HOSTS,
                                   DIR_B_SKIP_LINES)
 from ..functions.phones import BUTTON_PHONE_RE
 from ..functions.text import blank, clean_line
-from ..sources.tables import balanced
 
-BUTTON_RE = r"(?is)<button(\s[^>]*)?>(.*?)</button>"
-RATING_RE = (r'(?is)<div\s[^>]*class="(?:[^"]*\s)?F7nice(?:\s[^"]*)?"[^>]*>.*?'
-             r'<span\s[^>]*aria-hidden="true"[^>]*>(.*?)</span>')
+RATING_RE = (r"""(?is)<div\s[^>]*class\s*=\s*(?:"(?:[^"]*\s)?F7nice(?:\s[^"]*)?"|'(?:[^']*\s)?F7nice(?:\s[^']*)?'|F7nice[\s>])"""
+             r"""[^>]*>?.*?<span\s[^>]*aria-hidden\s*=\s*["']?true["']?[^>]*>(.*?)</span>""")
 
 
 def body_lines(text) -> Column:
@@ -29,12 +27,6 @@ def body_lines(text) -> Column:
     return F.transform(F.split(blank(text), "\n"), lambda ln: clean_line(ln))
 
 
-def _buttons(html) -> Column:
-    h = blank(html)
-    return F.arrays_zip(F.regexp_extract_all(h, F.lit(BUTTON_RE), 1).alias("attrs"),
-                        F.regexp_extract_all(h, F.lit(BUTTON_RE), 2).alias("inner"))
-
-
 def _first(arr: Column) -> Column:
     return F.get(arr, 0)
 
@@ -45,30 +37,33 @@ def place_details(place_pages: DataFrame) -> DataFrame:
     label (aria-label, else text) holds a phone; website = authority link;
     address = address button label minus every 'Address: '; category and
     rating texts. Pages without a name are dropped."""
-    a = anchors("html")
-    tel = F.filter(a, lambda x: attr(x.attrs, "href").startswith("tel:"))
-    tel_phone = clean_phone(F.replace(attr(_first(tel).attrs, "href"), F.lit("tel:"), F.lit("")))
-    b = _buttons("html")
-    phone_btns = F.filter(b, lambda x: attr(x.attrs, "data-item-id").contains("phone"))
+    a, b = F.col("_a"), F.col("_b")
+    tel = F.filter(a, lambda x: x.href.startswith("tel:"))
+    tel_phone = clean_phone(F.replace(_first(tel).href, F.lit("tel:"), F.lit("")))
+    phone_btns = F.filter(b, lambda x: x["item"].contains("phone"))
 
     def label(x):
-        aria = attr(x.attrs, "aria-label")
-        return F.when(aria != "", aria).otherwise(inner_text(x.inner))
+        return F.when(x.label != "", x.label).otherwise(inner_text(x.inner))
     btn_hits = F.filter(F.transform(phone_btns, lambda x: F.regexp_extract(label(x), BUTTON_PHONE_RE, 1)),
                         lambda m: m != "")
     btn_phone = clean_phone(F.coalesce(_first(btn_hits), F.lit("")))
     phone = F.when(F.size(tel) > 0, tel_phone).otherwise(btn_phone)
 
-    auth = F.filter(a, lambda x: attr(x.attrs, "data-item-id") == "authority")
-    addr = F.filter(b, lambda x: attr(x.attrs, "data-item-id") == "address")
-    cat = F.filter(b, lambda x: attr(x.attrs, "jsaction").contains("category"))
-    rating = F.regexp_extract(blank(F.col("html")), RATING_RE, 1)
-    out = balanced(place_pages).select(
+    auth = F.filter(a, lambda x: x["item"] == "authority")
+    addr = F.filter(b, lambda x: x["item"] == "address")
+    cat = F.filter(b, lambda x: x.action.contains("category"))
+    rating = F.regexp_extract("_h", RATING_RE, 1)
+    pages = place_pages.select("page_id", "url", markup("html").alias("_h"))
+    link = lambda x: F.struct(attr(x.attrs, "href").alias("href"), attr(x.attrs, "data-item-id").alias("item"))
+    button = lambda x: F.struct(attr(x.attrs, "data-item-id").alias("item"), attr(x.attrs, "aria-label").alias("label"),
+                                attr(x.attrs, "jsaction").alias("action"), x.inner.alias("inner"))
+    pages = pages.select("*", F.transform(anchors("_h"), link).alias("_a"), F.transform(buttons("_h"), button).alias("_b"))
+    out = pages.select(
         "page_id", "url",
-        first_h1("html").alias("name"),
+        first_h1("_h").alias("name"),
         phone.alias("phone"),
-        F.coalesce(attr(_first(auth).attrs, "href"), F.lit("")).alias("website"),
-        F.coalesce(F.replace(attr(_first(addr).attrs, "aria-label"), F.lit("Address: "), F.lit("")),
+        F.coalesce(_first(auth).href, F.lit("")).alias("website"),
+        F.coalesce(F.replace(_first(addr).label, F.lit("Address: "), F.lit("")),
                    F.lit("")).alias("address"),
         F.coalesce(inner_text(_first(cat).inner), F.lit("")).alias("category"),
         inner_text(rating).alias("rating"))
@@ -81,16 +76,20 @@ def label_fields(detail_pages: DataFrame) -> DataFrame:
     """Directory-A detail: for each fixed label line, the next line when it
     is non-empty and short enough; the last such pair wins. Rows are kept
     even when nothing is found."""
-    lines = body_lines("body_text")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(lines) - 1, F.lit(1))),
-                        lambda i: F.struct(F.get(lines, i - 1).alias("l"), F.get(lines, i).alias("n")))
+    # the lines are a column of their own, so every page is cleaned once
+    df = detail_pages.select("page_id", *[c for c in ["url"] if c in detail_pages.columns],
+                             body_lines("body_text").alias("_lines"))
+    lines = F.col("_lines")
+    pairs = F.arrays_zip(lines.alias("l"), F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))).alias("n"))
+    df = df.withColumn("_pairs", pairs)
+
     def matches(label, limit):
         return lambda p: (p.l == label) & p.n.isNotNull() & (p.n != "") & (F.length(p.n) < limit)
     cols = []
     for label, field, limit in DIR_A_LABELS:
-        hits = F.filter(pairs, matches(label, limit))
+        hits = F.filter("_pairs", matches(label, limit))
         cols.append(F.coalesce(F.get(hits, F.size(hits) - 1).getField("n"), F.lit("")).alias(field))
-    return balanced(detail_pages).select("page_id", *cols)
+    return df.select(*[c for c in ["page_id", "url"] if c in df.columns], *cols)
 
 
 def company_profile(profile_pages: DataFrame) -> DataFrame:
@@ -104,7 +103,8 @@ def company_profile(profile_pages: DataFrame) -> DataFrame:
     skip = F.array(*[F.lit(s) for s in DIR_B_SKIP_LINES])
     names = F.filter(lines, lambda x: ~F.array_contains(skip, x) & (F.length(x) > 2) & (F.length(x) < 100))
     name = F.coalesce(_first(names), F.lit(""))
-    df = balanced(profile_pages).select("page_id", "html", lines.alias("_lines"), name.alias("name"))
+    keep = [c for c in ["page_id", "url"] if c in profile_pages.columns]
+    df = profile_pages.select(*keep, "html", lines.alias("_lines"), name.alias("name"))
     lines_c, name_c = F.col("_lines"), F.col("name")
     npos = F.array_position(lines_c, name_c)
     after = F.when(npos > 0, F.slice(lines_c, F.least(npos + 1, F.size(lines_c) + 1),
@@ -113,8 +113,7 @@ def company_profile(profile_pages: DataFrame) -> DataFrame:
     apos = F.array_position(lines_c, F.lit(DIR_B_ADDRESS_LABEL))
     near = F.when((apos > 0) & (apos < F.size(lines_c)), F.slice(lines_c, apos + 1, 4))
     addrs = F.filter(near, lambda x: F.length(x) > 10)
-    hrefs = F.transform(F.filter(anchors("html"), lambda x: attr(x.attrs, "href") != ""),
-                        lambda x: attr(x.attrs, "href"))
+    hrefs = F.filter(F.transform(anchors(markup("html")), lambda x: attr(x.attrs, "href")), lambda h: h != "")
 
     def site_ok(h):
         ok = h.startswith("http")
@@ -122,7 +121,7 @@ def company_profile(profile_pages: DataFrame) -> DataFrame:
             ok = ok & ~h.contains(b)
         return ok
     sites = F.filter(hrefs, site_ok)
-    out = df.select("page_id", "name",
+    out = df.select(*keep, "name",
                     F.coalesce(_first(cats), F.lit("")).alias("category"),
                     F.coalesce(_first(addrs), F.lit("")).alias("address"),
                     F.coalesce(_first(sites), F.lit("")).alias("website"))
@@ -131,10 +130,10 @@ def company_profile(profile_pages: DataFrame) -> DataFrame:
 
 def page_titles(pages: DataFrame) -> DataFrame:
     """h1 text of each page as a company-name candidate (empty dropped)."""
-    return (balanced(pages).select("page_id", first_h1("html").alias("name"))
+    return (pages.select("page_id", first_h1(markup("html")).alias("name"))
             .where(F.col("name") != ""))
 
 
 def lines_table(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, line_no, line) for every cleaned line of every text."""
-    return balanced(docs).select(key, F.posexplode(body_lines(text)).alias("line_no", "line"))
+    return docs.select(key, F.posexplode(body_lines(text)).alias("line_no", "line"))

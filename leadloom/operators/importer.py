@@ -1,32 +1,30 @@
 """Import a lead file with duplicate skipping.
 
-* only the first ``max_rows`` rows (by ``ord``) are considered;
+* every row is considered, or the first ``max_rows`` (by ``ord``) where the
+  caller asks for a limit;
 * file columns are renamed by the fixed spelling map (a column already named
   like the target wins, else the first spelling in map order);
-* rows whose stripped name is empty or the text 'nan' are skipped;
+* cells with a missing-value spelling count as missing;
+* rows whose stripped name is missing or the text 'nan' are skipped;
 * a row is skipped when its name key exists among the stored leads or was
   imported from an earlier row of the same file (the empty key is an ordinary
   key here);
-* other values are stripped, 'nan' becomes ''; the raw phone is kept and
+* other values are stripped, missing becomes ''; the raw phone is kept and
   classified; sources = 'imported'.
 
-Plan: the considered rows are capped at ``max_rows`` (50,000), which bounds the
-set of file keys; that set is broadcast to a semi-join over the stored leads'
-keys, so the large leads table is scanned once without a shuffle. First
-occurrences within the file come from a ``min(ord)`` aggregation.
+Plan: the file is read once and reduced to one row per key (the first by
+``ord``, map-side partial aggregation); the stored leads' keys anti-join it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify_phone, name_key, py_strip
-from ..functions.patterns import IMPORT_RENAMES, MAX_IMPORT_ROWS
-from ..session import reliable_checkpoint
+from ..functions.patterns import IMPORT_RENAMES, MISSING_CELLS
 
-IMPORTED_COLUMNS = ["ord", "name", "phone", "phone_type", "website", "address", "category",
-                    "sources"]
+FIELDS = ["name", "phone", "website", "address", "category"]
 
 
 def rename_import_columns(df: DataFrame) -> DataFrame:
@@ -41,58 +39,51 @@ def rename_import_columns(df: DataFrame) -> DataFrame:
     return out
 
 
-def _clean(c: str, df: DataFrame):
+def _clean(c: str, df: DataFrame) -> Column:
+    """The stripped cell; '' when missing."""
     if c not in df.columns:
         return F.lit("")
-    s = py_strip(F.coalesce(F.col(c).cast("string"), F.lit("nan")))
-    return F.when(s == "nan", F.lit("")).otherwise(s)
+    raw = F.col(c).cast("string")
+    s = py_strip(raw)
+    return F.when(raw.isNull() | raw.isin(MISSING_CELLS) | (s == "nan"), F.lit("")).otherwise(s)
 
 
-def considered_rows(file_df: DataFrame, max_rows: int = MAX_IMPORT_ROWS,
-                    materialize: bool = False) -> DataFrame:
-    """The first ``max_rows`` rows by ``ord`` (a bounded top-k). With
-    ``materialize`` they are checkpointed once, so the whole file is read once
-    even though several plan branches use them."""
+def considered_rows(file_df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """The cleaned rows an import looks at: ord, name_key (NULL: no name) and
+    the fields; with ``max_rows`` only the first by ``ord``."""
     if "ord" not in file_df.columns:
         raise ValueError("import rows need an explicit 'ord' column (file order decides)")
-    rows = rename_import_columns(file_df).orderBy("ord").limit(max_rows)
-    return reliable_checkpoint(rows) if materialize else rows
+    rows = rename_import_columns(file_df)
+    if max_rows is not None:
+        rows = rows.orderBy("ord").limit(max_rows)
+    rows = rows.select("ord", *[_clean(c, rows).alias(c) for c in FIELDS])
+    return rows.withColumn("name_key", F.when(F.col("name") != "", name_key("name")))
 
 
-def _candidates(rows: DataFrame) -> DataFrame:
-    name = (py_strip(F.coalesce(F.col("name").cast("string"), F.lit("nan")))
-            if "name" in rows.columns else F.lit(""))
-    phone = _clean("phone", rows)
-    return (rows.select(
-        "ord", name.alias("name"), phone.alias("phone"),
-        _clean("website", rows).alias("website"), _clean("address", rows).alias("address"),
-        _clean("category", rows).alias("category"))
-        .where((F.col("name") != "") & (F.col("name") != "nan"))
-        .withColumn("name_key", name_key("name")))
+def _first_per_key(rows: DataFrame) -> DataFrame:
+    """One row per key: the first by ``ord`` and the number of rows. Rows
+    without a name are counted under the NULL key."""
+    first = F.min(F.struct("ord", *FIELDS)).alias("f")
+    return rows.groupBy("name_key").agg(first, F.count(F.lit(1)).alias("rows"))
 
 
-def import_leads(file_df: DataFrame, leads: DataFrame,
-                 max_rows: int = MAX_IMPORT_ROWS, materialize: bool = False) -> DataFrame:
+def _stored_keys(leads: DataFrame) -> DataFrame:
+    return leads.select(name_key("name").alias("name_key")).distinct()
+
+
+def import_leads(file_df: DataFrame, leads: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Rows to append to the leads table (ids are assigned by the caller)."""
-    cand = _candidates(considered_rows(file_df, max_rows, materialize))
-    file_keys = cand.select("name_key").distinct()
-    # bounded by max_rows keys -> safe to broadcast
-    stored = (leads.select(name_key("name").alias("name_key"))
-              .join(F.broadcast(file_keys), "name_key", "left_semi").distinct())
-    first = cand.groupBy("name_key").agg(F.min("ord").alias("ord"))
-    return (cand.join(first, ["name_key", "ord"], "left_semi")
-            .join(stored, "name_key", "left_anti")
+    keyed = _first_per_key(considered_rows(file_df, max_rows)).where(F.col("name_key").isNotNull())
+    return (keyed.join(_stored_keys(leads), "name_key", "left_anti").select("f.*")
             .select("ord", "name", "phone", classify_phone("phone").alias("phone_type"),
                     "website", "address", "category", F.lit("imported").alias("sources")))
 
 
-def import_counts(file_df: DataFrame, leads: DataFrame,
-                  max_rows: int = MAX_IMPORT_ROWS) -> DataFrame:
-    """(imported, skipped) over the considered rows."""
-    considered = considered_rows(file_df, max_rows).select(
-        F.lit(1).alias("c"), F.lit(0).alias("i"))
-    imported = import_leads(file_df, leads, max_rows, materialize=False).select(
-        F.lit(0).alias("c"), F.lit(1).alias("i"))
-    return (considered.unionByName(imported)
-            .agg(F.sum("i").cast("bigint").alias("imported"),
-                 (F.sum("c") - F.sum("i")).cast("bigint").alias("skipped")))
+def import_counts(file_df: DataFrame, leads: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """(imported, skipped) over the considered rows; an empty file gives 0, 0."""
+    rows = considered_rows(file_df, max_rows).groupBy("name_key").agg(F.count(F.lit(1)).alias("rows"))
+    known = _stored_keys(leads).withColumn("known", F.lit(True))
+    flagged = rows.join(known, "name_key", "left")
+    fresh = F.col("name_key").isNotNull() & F.col("known").isNull()
+    total, new = F.coalesce(F.sum("rows"), F.lit(0)), F.count_if(fresh)
+    return flagged.agg(new.cast("bigint").alias("imported"), (total - new).cast("bigint").alias("skipped"))

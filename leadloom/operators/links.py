@@ -1,9 +1,8 @@
 """Link extraction from captured result pages (L1-L4).
 
 Anchors are exploded per page (narrow), then one hash aggregation per URL
-keeps the first occurrence in (seed, page, position) order. Caps on the number
-of links are the feature being reproduced (a results limit), applied as one
-ordered limit at the end.
+keeps the first occurrence in (seed, page, position) order. All links are
+returned; a results limit applies only where the caller passes one.
 """
 
 from __future__ import annotations
@@ -11,20 +10,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.html import anchors, attr, has_attr, inner_text, resolve_url
+from ..functions.html import anchors, attr, feed_anchors, inner_text, markup, resolve_url
 from ..functions.patterns import (CONTACT_HREF_ACCEPT, CONTACT_HREF_HINTS, CONTACT_SKIP,
                                   CONTACT_TEXT_ACCEPT, CONTACT_TEXT_HINTS, DIR_A_BASE,
                                   DIR_A_SKIP_NAMES, DIR_B_BASE)
 from ..functions.text import clean_line
-from ..sources.tables import balanced
 
 
-def exploded_anchors(pages: DataFrame, keep=("seed_no", "page_no")) -> DataFrame:
-    """(keep..., pos, attrs, inner, href, has_href) per anchor."""
-    a = balanced(pages).select(*keep, F.posexplode(anchors("html")).alias("pos", "a"))
-    return a.select(*keep, "pos", F.col("a.attrs").alias("attrs"), F.col("a.inner").alias("inner"),
-                    attr(F.col("a.attrs"), "href").alias("href"),
-                    has_attr(F.col("a.attrs"), "href").alias("has_href"))
+def exploded_anchors(pages: DataFrame, keep=("seed_no", "page_no"), of=anchors) -> DataFrame:
+    """(keep..., pos, inner, href) per anchor."""
+    a = pages.select(*keep, F.posexplode(of(markup("html"))).alias("pos", "a"))
+    return a.select(*keep, "pos", F.col("a.inner").alias("inner"), attr(F.col("a.attrs"), "href").alias("href"))
 
 
 def _first_seen(df: DataFrame, key: str, order=("seed_no", "page_no", "pos"), carry=()) -> DataFrame:
@@ -33,11 +29,16 @@ def _first_seen(df: DataFrame, key: str, order=("seed_no", "page_no", "pos"), ca
     return g.select(key, *[F.col(f"_first.{c}").alias(c) for c in (*order, *carry)])
 
 
-def place_links(result_pages: DataFrame, max_results: int = 500) -> DataFrame:
-    """Map-place links: hrefs containing '/maps/place/', first-seen distinct
-    across seeds in order, the first ``max_results``."""
-    a = exploded_anchors(result_pages).where(F.col("href").contains("/maps/place/"))
-    return _first_seen(a, "href").orderBy("seed_no", "page_no", "pos").limit(max_results)
+def _first_n(links: DataFrame, n: int | None) -> DataFrame:
+    return links if n is None else links.orderBy("seed_no", "page_no", "pos").limit(n)
+
+
+def place_links(result_pages: DataFrame, max_results: int | None = None) -> DataFrame:
+    """Map-place links of the result feed: hrefs containing '/maps/place/',
+    first-seen distinct across seeds; with ``max_results`` the first of them in
+    order. ``pos`` counts the feed's links."""
+    a = exploded_anchors(result_pages, of=feed_anchors).where(F.col("href").contains("/maps/place/"))
+    return _first_n(_first_seen(a, "href"), max_results)
 
 
 def directory_a_links(result_pages: DataFrame, base: str = DIR_A_BASE) -> DataFrame:
@@ -54,15 +55,15 @@ def directory_a_links(result_pages: DataFrame, base: str = DIR_A_BASE) -> DataFr
     return _first_seen(a, "url", carry=("name",)).select("name", "url", "seed_no", "page_no", "pos")
 
 
-def directory_b_links(result_pages: DataFrame, max_companies: int = 50,
+def directory_b_links(result_pages: DataFrame, max_companies: int | None = None,
                       base: str = DIR_B_BASE) -> DataFrame:
     """Directory-B company URLs: '/companies/' but not '/companies?'; made
-    absolute; first-seen per absolute URL; the first ``max_companies``."""
+    absolute; first-seen per absolute URL; with ``max_companies`` the first."""
     a = exploded_anchors(result_pages).where(
         F.col("href").contains("/companies/") & ~F.col("href").contains("/companies?"))
     a = a.withColumn("url", F.when(F.col("href").startswith("http"), F.col("href"))
                      .otherwise(F.concat(F.lit(base), F.col("href"))))
-    return (_first_seen(a, "url").orderBy("seed_no", "page_no", "pos").limit(max_companies))
+    return _first_n(_first_seen(a, "url"), max_companies)
 
 
 def _any_contains(c, words) -> "F.Column":

@@ -1,6 +1,6 @@
 """Lead-table mutations as ``leads -> leads'`` transforms, plus sessions and
 tags. Nothing is updated in place: callers write the result as a new snapshot
-(``sources.leads.write_snapshot``).
+(``sources.leads.commit``).
 """
 
 from __future__ import annotations
@@ -96,8 +96,8 @@ def apply_edits(leads: DataFrame, edits: DataFrame, as_of) -> DataFrame:
     e = edits.where(F.col("id").isNotNull()).select(
         F.col("id").cast("bigint").alias("id"), "ord",
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_e_{c}") for c in cols])
-    last = e.groupBy("id").agg(F.max("ord").alias("ord"))
-    latest = e.join(last, ["id", "ord"], "left_semi").drop("ord").withColumn("_hit", F.lit(True))
+    latest = (e.groupBy("id").agg(F.max(F.struct("ord", *[f"_e_{c}" for c in cols])).alias("_e"))
+              .select("id", *[f"_e._e_{c}" for c in cols], F.lit(True).alias("_hit")))
     j = leads.join(latest, "id", "left")
     hit = F.col("_hit").isNotNull()
     out = j
@@ -177,14 +177,14 @@ def create_session(spark: SparkSession, sessions: DataFrame, sources: list[str],
 
 
 def session_for_run(merged: DataFrame, sessions: DataFrame, sources: list[str], query_info: str,
-                    as_of) -> DataFrame:
-    """The session row of a collection run, built lazily: id = highest stored
-    id + 1, result_count = companies saved by the run (stored, not
+                    as_of, high_water: int = 0) -> DataFrame:
+    """The session row of a collection run, built lazily: id = highest id ever
+    given out + 1, result_count = companies saved by the run (stored, not
     recomputed later). Call only when the run found any raw result."""
     stats = (merged.select(F.lit(1).alias("n"), F.lit(None).cast("bigint").alias("m"))
              .unionByName(sessions.select(F.lit(0).alias("n"), F.col("id").cast("bigint").alias("m")))
              .agg(F.sum("n").cast("bigint").alias("result_count"), F.max("m").alias("mx")))
-    return stats.select((F.coalesce(F.col("mx"), F.lit(0)) + 1).alias("id"),
+    return stats.select((F.greatest(F.coalesce(F.col("mx"), F.lit(0)), F.lit(high_water).cast("bigint")) + 1).alias("id"),
                         F.lit(", ".join(sources)).alias("sources"), F.lit(query_info).alias("query_info"),
                         F.coalesce(F.col("result_count"), F.lit(0)).cast("bigint").alias("result_count"),
                         F.lit(as_of).cast("timestamp").alias("created_at"))
@@ -206,19 +206,21 @@ def current_counts(sessions: DataFrame, leads: DataFrame) -> DataFrame:
 
 
 def seed_tags(spark: SparkSession, tags: DataFrame | None, as_of) -> DataFrame:
-    """Default tags, only into an empty (or absent) tags table."""
-    if tags is not None and tags.limit(1).count() > 0:
+    """Default tags where there is no tags table yet; a table that a user has
+    emptied stays empty."""
+    if tags is not None:
         return tags
     rows = [(i + 1, n, c, as_of) for i, (n, c) in enumerate(DEFAULT_TAGS)]
     return spark.createDataFrame(rows, TAGS)
 
 
-def add_tags(tags: DataFrame, names: DataFrame, as_of, color: str = DEFAULT_TAG_COLOR) -> DataFrame:
+def add_tags(tags: DataFrame, names: DataFrame, as_of, color: str = DEFAULT_TAG_COLOR,
+             high_water: int | None = None) -> DataFrame:
     """Add tag names not yet present (names are unique); ids continue from
-    the highest id in ``tags``, in name order."""
+    the highest id ever given out, in name order."""
     new = (names.select(F.trim(F.col("name")).alias("name")).where(F.col("name") != "")
            .distinct().join(tags.select("name"), "name", "left_anti"))
-    new = assign_ids(new.withColumn("color", F.lit(color)), ["name"], next_id(tags))
+    new = assign_ids(new.withColumn("color", F.lit(color)), ["name"], next_id(tags, high_water))
     new = new.withColumn("created_at", F.lit(as_of).cast("timestamp"))
     return conform(tags, TAGS).unionByName(conform(new, TAGS))
 
@@ -246,5 +248,6 @@ def export_view(leads: DataFrame, phone: str = "all", columns: list[str] | None
 
 def export_csv(leads: DataFrame, path: str, phone: str = "all", columns: list[str] | None = None) -> None:
     """Write the export view as CSV with a header (a folder of part files)."""
-    export_view(leads, phone, columns).write.mode("errorifexists").option("header", True).csv(path)
+    export_view(leads, phone, columns).write.mode("errorifexists").options(
+        header=True, escape='"', emptyValue="", nullValue="").csv(path)
 

@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import (CHAT_PHONE_RE, TEXT_PHONE_RE, classify_phone, is_fax_context,
                          is_valid_phone, normalize_phone, text_phone_confidence)
-from ..functions.html import anchors, attr, blocks, strip_tags
+from ..functions.html import anchors, attr, blocks, markup, strip_tags
+from .links import contact_links
+from ..sources.pages import newest
 from ..functions.patterns import CHAT_HINTS, CONTEXT_AFTER, CONTEXT_BEFORE
 from ..functions.text import blank
-from ..sources.tables import balanced
 
 
 
@@ -141,9 +142,9 @@ def text_array(text) -> Column:
 
 
 def page_hit_array(html="html", body="body_text") -> Column:
-    """All three strategies of one page, in strategy order, one pass."""
-    text = F.coalesce(F.col(body), strip_tags(html)) if isinstance(body, str) else body
-    return F.concat(tel_array(html), chat_array(html), text_array(text))
+    """All three strategies of one page, in strategy order. ``html`` is markup;
+    a page without captured text gives its markup's text."""
+    return F.concat(tel_array(html), chat_array(html), text_array(F.coalesce(F.col(body), strip_tags(html))))
 
 
 def _explode_hits(pages: DataFrame, arr: Column, key: str) -> DataFrame:
@@ -151,36 +152,22 @@ def _explode_hits(pages: DataFrame, arr: Column, key: str) -> DataFrame:
             .select(key, "page_ord", "h.strategy", "h.pos", "h.raw", "h.confidence"))
 
 
-def tel_hits(pages: DataFrame, key: str = "company_id") -> DataFrame:
-    return _explode_hits(pages, tel_array("html"), key)
-
-
-def chat_hits(pages: DataFrame, key: str = "company_id") -> DataFrame:
-    return _explode_hits(pages, chat_array("html"), key)
-
-
-def text_hits(pages: DataFrame, key: str = "company_id", text: str = "body_text") -> DataFrame:
-    return _explode_hits(pages, text_array(F.coalesce(F.col(text), strip_tags("html"))), key)
-
-
 def text_phones(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Text phones with their context windows (no fax filtering): key, pos,
     raw match and the context text."""
-    h = balanced(docs).select(key, F.posexplode(window_matches(F.col(text))).alias("pos", "m"))
+    h = docs.select(key, F.posexplode(window_matches(F.col(text))).alias("pos", "m"))
     return h.select(key, "pos", F.col("m.raw").alias("raw"),
                     F.concat("m.pre", "m.raw", "m.post").alias("context"))
 
 
 def page_hits(pages: DataFrame, key: str = "company_id") -> DataFrame:
-    """All strategies of every page in one scan, normalised and validated,
-    then hash-partitioned by company: the per-page, per-number and
-    per-company aggregations that follow all reuse this partitioning, so the
-    small hit rows are shuffled once and the pages never."""
-    hits = _explode_hits(balanced(pages), page_hit_array(), key)
+    """All strategies of every page in one scan, normalised and validated.
+    Pages of no company (NULL key) give no hit."""
+    page = pages.where(F.col(key).isNotNull()).select(key, "page_ord", markup("html").alias("_h"), "body_text")
+    hits = _explode_hits(page, page_hit_array("_h"), key)
     n = normalize_phone("raw")
     return (hits.withColumn("phone", n).where(is_valid_phone(F.col("phone")))
-            .select(key, "page_ord", "strategy", "pos", "phone", "confidence")
-            .repartition(key))
+            .select(key, "page_ord", "strategy", "pos", "phone", "confidence"))
 
 
 # ------------------------------------------------------------------ V6-V8
@@ -197,7 +184,9 @@ def company_phones(pages: DataFrame, key: str = "company_id") -> DataFrame:
 
 
 def phones_from_hits(h: DataFrame, key: str = "company_id") -> DataFrame:
-    """``company_phones`` from hits that are already partitioned by company."""
+    """``company_phones`` from hits: map-side partial aggregation per (company,
+    page, number) before anything is shuffled, so a company with very many
+    pages sends each task's distinct numbers only."""
     per_page = (h.groupBy(key, "page_ord", "phone")
                 .agg(F.min(F.struct("strategy", "pos", "confidence")).alias("f")))
     per_page = per_page.select(key, "page_ord", "phone", F.col("f.strategy").alias("strategy"),
@@ -232,24 +221,28 @@ def best_two(company_phones_df: DataFrame, key: str = "company_id") -> DataFrame
         .alias("all_phones"))
 
 
-# Candidate ids broadcast to the page scan only up to this many (8 bytes each).
-BROADCAST_IDS_MAX = 5_000_000
+def captured_site_pages(pages: DataFrame) -> DataFrame:
+    """The pages a website check visits, from captured pages: each company's
+    newest home page (page_ord 1) and the newest capture of the page that the
+    home page's contact link leads to (page_ord 2)."""
+    home = newest(pages.where((F.col("kind") == "site_home") & F.col("company_id").isNotNull()), "company_id")
+    links = contact_links(home).where("contact_url is not null").select("company_id", F.col("contact_url").alias("url"))
+    site = pages.where(F.col("kind").isin("site_home", "site_contact")).drop("company_id")
+    contact = newest(site, "url").join(links, "url")
+    cols = ["company_id", "page_ord", "url", "html", "body_text"]
+    return (home.withColumn("page_ord", F.lit(1)).select(*cols)
+            .unionByName(contact.withColumn("page_ord", F.lit(2)).select(*cols)))
 
 
-def verify_websites(candidates: DataFrame, pages: DataFrame, page_key: str = "company_id",
-                    broadcast_max: int = BROADCAST_IDS_MAX) -> DataFrame:
+def verify_websites(candidates: DataFrame, pages: DataFrame, page_key: str = "company_id") -> DataFrame:
     """One result row per checkable candidate (empty fields when nothing was
-    found), like the website_phones schema.
-
-    The pages are never shuffled. When the candidate ids are few enough
-    (counted first) they are broadcast to drop other companies' pages before
-    any extraction; beyond that bound hits are extracted from every page and
-    the final left join from the ids keeps the candidates (that join moves
-    only hit-sized rows)."""
+    found), like the website_phones schema. One lazy plan at every size: pages
+    of other companies go by a semi-join on the ids (broadcast only where the
+    planner finds the ids small), hits are reduced, and a left join from the
+    ids adds the candidates without a hit."""
     ids = checkable(candidates).select("id")
-    if ids.count() <= broadcast_max:
-        pages = pages.join(F.broadcast(ids.select(F.col("id").alias(page_key))), page_key, "left_semi")
-    found = best_two(company_phones(pages, page_key), page_key)
+    own = pages.join(ids.select(F.col("id").alias(page_key)), page_key, "left_semi")
+    found = best_two(company_phones(own, page_key), page_key)
     empty = F.lit("")
     return (ids.join(found, "id", "left")
             .select("id", *[F.coalesce(F.col(c), empty).alias(c) for c in

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle as O
-from ..operators.merge import FIRST_NON_EMPTY, merge_listings, merge_summary
+from ..operators.merge import merge_listings, merge_summary
 from ..sources.fixtures import fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,9 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+FIRST_NON_EMPTY = ["address", "category", "company_size", "rating", "google_maps_url", "jobstreet_url", "hiredly_url"]
+
+
 def register(name: str, oracle: str | None = None):
     def deco(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -101,7 +104,7 @@ def q_name_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("phone_valid", (
-    "WITH m AS (SELECT doc_id, regexp_extract_all(text, " + O.q(TEXT_PHONE_RE) + ", 1) AS ms "
+    "WITH m AS (SELECT doc_id, regexp_extract_all(text, " + O.q(O.TEXT_PHONE) + ", 1) AS ms "
     "FROM documents), h AS (SELECT doc_id, ms, unnest(range(len(ms))) AS pos FROM m) "
     "SELECT doc_id, CAST(pos AS INTEGER) AS pos, ms[pos + 1] AS raw, "
     + O.normalize_phone("ms[pos + 1]") + " AS normalized, "
@@ -119,7 +122,7 @@ def q_phone_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- dedupe
 
 from ..operators.dedupe import dedupe_leads, dedupe_removed, completeness  # noqa: E402
-from ..sources.leads import fixture_leads  # noqa: E402
+from ..sources.leads import fixture_leads, marks_after  # noqa: E402
 
 _DEDUPE = [O.LEADS_VIEW,
            ("dk", "SELECT *, " + O.name_key("name") + " AS name_key, "
@@ -151,21 +154,22 @@ def q_dedupe_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- import (M1)
 
 from ..operators.importer import import_counts, import_leads  # noqa: E402
-from ..functions.patterns import MAX_IMPORT_ROWS  # noqa: E402
 
 
 def _strip_nan(x: str) -> str:
     s = O.py_strip(f"coalesce(CAST({x} AS VARCHAR), 'nan')")
-    return f"(CASE WHEN {s} = 'nan' THEN '' ELSE {s} END)"
+    missing = ", ".join(O.q(m) for m in ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+                                         "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"))
+    return f"(CASE WHEN {s} = 'nan' OR {x} IN ({missing}) THEN '' ELSE {s} END)"
 
 
 _IMPORT = [
     O.LEADS_VIEW,
-    ("f0", f"SELECT * FROM import_file ORDER BY ord LIMIT {MAX_IMPORT_ROWS}"),
-    ("c", "SELECT ord, " + O.py_strip("coalesce(Company, 'nan')") + " AS name, "
+    ("f0", "SELECT * FROM import_file"),
+    ("c", "SELECT ord, " + _strip_nan("Company") + " AS name, "
           + _strip_nan("Phone") + " AS phone, " + _strip_nan("Website") + " AS website, "
           + _strip_nan("Address") + " AS address, " + _strip_nan("Industry") + " AS category FROM f0"),
-    ("ck", "SELECT *, " + O.name_key("name") + " AS name_key FROM c WHERE name <> '' AND name <> 'nan'"),
+    ("ck", "SELECT *, " + O.name_key("name") + " AS name_key FROM c WHERE name <> ''"),
     ("ex", "SELECT DISTINCT " + O.name_key("name") + " AS name_key FROM leads"),
     ("imp", "SELECT ord, name, phone, " + O.phone_type("phone") + " AS phone_type, website, address, "
             "category, 'imported' AS sources FROM ck WHERE ord IN (SELECT min(ord) FROM ck GROUP BY name_key) "
@@ -189,14 +193,12 @@ def q_import_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- blocklist, filters, views
 
 from ..operators import filters as FL  # noqa: E402
-from ..sources.blocklist import blocklist_pattern, entries_frame  # noqa: E402
-from ..functions.patterns import VIEW_DEFAULT  # noqa: E402
+from ..sources.blocklist import entries_frame, setting_pattern  # noqa: E402
 
 # Example blocklist setting used by the registered query (user configuration;
 # blank entries, entries with regex characters and a trailing blank).
 EXAMPLE_BLOCKLIST = '["tesla", "  ", "a&w ", "b.i.g.", "% arabica", "dôme", "ey ", "firm 99 sdn bhd"]'
-_BL = blocklist_pattern(EXAMPLE_BLOCKLIST)
-_BL_DUCK = "(?i)" + _BL[len("(?iu)"):]
+_BL_DUCK = r"(?i)(tesla|a&w|b\.i\.g\.|% arabica|dôme|ey|firm 99 sdn bhd)"
 
 
 @register("blocklist_filter", O.with_fixtures(
@@ -205,14 +207,24 @@ _BL_DUCK = "(?i)" + _BL[len("(?iu)"):]
     "regexp_matches(coalesce(name, ''), " + O.q(_BL_DUCK) + "))"))
 def q_blocklist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = fixture(spark, sf_dir, "listings")
-    return FL.not_blocked(l, _BL).select("ord", "source", "name")
+    return FL.not_blocked(l, setting_pattern(spark, EXAMPLE_BLOCKLIST)).select("ord", "source", "name")
+
+
+@register("blocklist_entries", O.with_fixtures(
+    ["blocklist_settings"],
+    "SELECT owner, CAST(i AS INTEGER) AS pos, e[i + 1] AS entry FROM (SELECT *, unnest(range(len(e))) AS i FROM "
+    "(SELECT owner, list_transform(CAST(CAST(value AS JSON) AS VARCHAR[]), lambda x: trim(x)) AS e "
+    "FROM blocklist_settings WHERE value IS NOT NULL)) WHERE e[i + 1] <> ''"))
+def q_blocklist_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of every stored blocklist setting."""
+    return entries_frame(fixture(spark, sf_dir, "blocklist_settings"))
 
 
 SEARCH_EXAMPLE = "Firm 12|No 4, Bangsar"
 _SEARCH_DUCK = "(" + " OR ".join(
     f"coalesce(regexp_matches(lower({c}), {O.q(SEARCH_EXAMPLE.lower())}), false)"
     for c in ["name", "phone", "address", "category", "website", "tags", "notes"]) + ")"
-_VIEW_COLS = "id, " + ", ".join(VIEW_DEFAULT)
+_VIEW_COLS = ("id, name, phone, phone_type, website_phone, website_phone2, website, address, category, tags, sources")
 
 
 @register("search_leads", O.with_fixtures(
@@ -273,15 +285,13 @@ def q_lead_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- sessions, edits, tags, save, export
 
 from ..operators import mutations as MU  # noqa: E402
-from ..functions.patterns import (DEFAULT_TAGS, EXPORT_COLUMNS, EXPORT_DEFAULT_COUNT,  # noqa: E402
-                                  SESSION_DETAIL_COLUMNS)
 from ..sources.leads import FIXTURE_AS_OF  # noqa: E402
 
 EDIT_AS_OF = "2026-02-01 00:00:00"
 
 
 @register("session_leads", O.with_fixtures(
-    ["leads_raw"], "SELECT id, " + ", ".join(SESSION_DETAIL_COLUMNS) + " FROM leads WHERE session_id = 3",
+    ["leads_raw"], "SELECT id, " + "name, phone, phone_type, website, address, category" + " FROM leads WHERE session_id = 3",
     [O.LEADS_VIEW]))
 def q_session_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MU.session_detail(fixture_leads(spark, sf_dir), 3)
@@ -302,6 +312,14 @@ def q_session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "sources", "query_info", "result_count", "current_count")
 
 
+@register("sessions_newest", O.with_fixtures(
+    ["leads_raw", "sessions_raw"],
+    "SELECT id, sources, query_info, result_count FROM sessions_raw ORDER BY id DESC"))
+def q_sessions_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = fixture(spark, sf_dir, "sessions_raw").withColumn("created_at", F.lit(FIXTURE_AS_OF))
+    return MU.list_sessions(sessions).select("id", "sources", "query_info", "result_count")
+
+
 @register("delete_session", O.with_fixtures(
     ["leads_raw"], "SELECT id, session_id FROM leads_raw WHERE session_id IS DISTINCT FROM 2"))
 def q_delete_session(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -353,14 +371,15 @@ def q_edit_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MU.edit_count(fixture(spark, sf_dir, "edits"))
 
 
+_TAGS = [("已打電話", "#3B82F6"), ("有興趣", "#10B981"), ("不要再打", "#EF4444"), ("待跟進", "#F59E0B"), ("重要客戶", "#8B5CF6")]
 _DEFAULT_TAGS_SQL = " UNION ALL ".join(
-    f"SELECT {i + 1} AS id, {O.q(n)} AS name, {O.q(c)} AS color" for i, (n, c) in enumerate(DEFAULT_TAGS))
+    f"SELECT {i + 1} AS id, {O.q(n)} AS name, {O.q(c)} AS color" for i, (n, c) in enumerate(_TAGS))
 
 
 @register("add_tags", O.with_fixtures(
     ["leads_raw"],
     "SELECT CAST(id AS BIGINT) AS id, name, color FROM d UNION ALL "
-    f"SELECT CAST({len(DEFAULT_TAGS)} + row_number() OVER (ORDER BY name) AS BIGINT), name, '#6B7280' FROM n",
+    f"SELECT CAST({len(_TAGS)} + row_number() OVER (ORDER BY name) AS BIGINT), name, '#6B7280' FROM n",
     [("d", _DEFAULT_TAGS_SQL),
      ("n", "SELECT DISTINCT trim(t) AS name FROM (SELECT unnest(string_split(tags, ',')) AS t FROM leads_raw) "
            "WHERE trim(t) <> '' AND trim(t) NOT IN (SELECT name FROM d)")]))
@@ -384,7 +403,22 @@ def q_save_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("id", "name", "phone", "phone_type", "sources", "session_id")
 
 
-_EXPORT = EXPORT_COLUMNS[:EXPORT_DEFAULT_COUNT]
+@register("save_after_delete", O.with_fixtures(
+    ["listings", "leads_raw"],
+    "SELECT CAST((SELECT max(id) FROM leads_raw) + row_number() OVER (ORDER BY type_rank, first_ord) AS BIGINT) AS id, "
+    "name, CAST(6 AS BIGINT) AS session_id FROM merged UNION ALL "
+    "SELECT id, name, session_id FROM leads_raw WHERE session_id IS DISTINCT FROM 0", _MERGED))
+def q_save_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Delete the session that holds the newest lead, then save a run: the
+    deleted ids are not given out again."""
+    leads = fixture_leads(spark, sf_dir)
+    marks = marks_after(None, leads=leads)
+    kept, _, _ = MU.delete_session(leads, fixture(spark, sf_dir, "sessions_raw"), 0)
+    merged = merge_listings(fixture(spark, sf_dir, "listings"))
+    return MU.save_listings(kept, merged, 6, EDIT_AS_OF, marks["leads"]).select("id", "name", "session_id")
+
+
+_EXPORT = ["name", "phone", "phone_type", "website_phone", "website", "address", "category", "company_size", "tags"]
 
 
 @register("export_leads", O.with_fixtures(
@@ -396,17 +430,13 @@ def q_export_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- links (L1-L4)
 
 from ..operators import links as LK  # noqa: E402
-from ..functions import html as H  # noqa: E402
-from ..functions.patterns import (CONTACT_HREF_ACCEPT, CONTACT_HREF_HINTS, CONTACT_SKIP,  # noqa: E402
-                                  CONTACT_TEXT_ACCEPT, CONTACT_TEXT_HINTS, DIR_A_BASE,
-                                  DIR_A_SKIP_NAMES, DIR_B_BASE)
 
 
 def _anchor_rows(src: str, keep: str) -> list[tuple[str, str]]:
     """Oracle CTEs ea_<src>: one row per anchor with pos, attrs, inner, href."""
     return [
-        (f"a_{src}", f"SELECT {keep}, " + O.extract_all("html", H.ANCHOR_RE, 1) + " AS atts, "
-                     + O.extract_all("html", H.ANCHOR_RE, 2) + f" AS inn FROM {src}"),
+        (f"a_{src}", f"SELECT {keep}, " + O.extract_all(O.markup("html"), O.ANCHOR, 1) + " AS atts, "
+                     + O.extract_all(O.markup("html"), O.ANCHOR, 2) + f" AS inn FROM {src}"),
         (f"i_{src}", f"SELECT *, unnest(range(len(atts))) AS i FROM a_{src}"),
         (f"ea_{src}", f"SELECT {keep}, CAST(i AS INTEGER) AS pos, atts[i + 1] AS attrs, inn[i + 1] AS inr, "
                       + O.attr("atts[i + 1]", "href") + f" AS href FROM i_{src}"),
@@ -424,10 +454,10 @@ _RP = _anchor_rows("result_pages", "kind, source, seed_no, page_no")
     ["result_pages"],
     "SELECT href, seed_no, page_no, pos FROM (SELECT *, row_number() OVER (PARTITION BY href "
     "ORDER BY seed_no, page_no, pos) AS rn FROM ea_result_pages WHERE kind = 'maps_results' "
-    "AND contains(href, '/maps/place/')) WHERE rn = 1 ORDER BY seed_no, page_no, pos LIMIT 500", _RP))
+    "AND contains(href, '/maps/place/')) WHERE rn = 1", _RP))
 def q_place_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = fixture(spark, sf_dir, "result_pages").where(F.col("kind") == "maps_results")
-    return LK.place_links(pages, 500).select("href", "seed_no", "page_no", "pos")
+    return LK.place_links(pages).select("href", "seed_no", "page_no", "pos")
 
 
 _DIR_A_NAME = O.clean_line(O.inner_text("inr"))
@@ -437,9 +467,9 @@ _DIR_A_NAME = O.clean_line(O.inner_text("inr"))
     ["result_pages"],
     "SELECT name, url, seed_no, page_no, pos FROM (SELECT *, row_number() OVER (PARTITION BY url "
     "ORDER BY seed_no, page_no, pos) AS rn FROM (SELECT *, split_part(CASE WHEN starts_with(href, 'http') "
-    f"THEN href ELSE {O.q(DIR_A_BASE)} || href END, '?', 1) AS url, {_DIR_A_NAME} AS name "
+    f"THEN href ELSE 'https://my.jobstreet.com' || href END, '?', 1) AS url, {_DIR_A_NAME} AS name "
     "FROM ea_result_pages WHERE source = 'jobstreet' AND contains(href, '/companies/')) "
-    "WHERE lower(name) NOT IN (" + ", ".join(O.q(s) for s in DIR_A_SKIP_NAMES) + ") "
+    "WHERE lower(name) NOT IN (" + ", ".join(O.q(s) for s in ("write a review", "sign in", "employer site", "companies", "community", "")) + ") "
     "AND length(name) >= 2 AND NOT contains(href, '/companies?')) WHERE rn = 1", _RP))
 def q_directory_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = fixture(spark, sf_dir, "result_pages").where(F.col("source") == "jobstreet")
@@ -450,12 +480,11 @@ def q_directory_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     ["result_pages"],
     "SELECT url, seed_no, page_no, pos FROM (SELECT *, row_number() OVER (PARTITION BY url "
     "ORDER BY seed_no, page_no, pos) AS rn FROM (SELECT *, CASE WHEN starts_with(href, 'http') THEN href "
-    f"ELSE {O.q(DIR_B_BASE)} || href END AS url FROM ea_result_pages WHERE source = 'hiredly' "
-    "AND contains(href, '/companies/') AND NOT contains(href, '/companies?'))) WHERE rn = 1 "
-    "ORDER BY seed_no, page_no, pos LIMIT 50", _RP))
+    f"ELSE 'https://my.hiredly.com' || href END AS url FROM ea_result_pages WHERE source = 'hiredly' "
+    "AND contains(href, '/companies/') AND NOT contains(href, '/companies?'))) WHERE rn = 1", _RP))
 def q_directory_b_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = fixture(spark, sf_dir, "result_pages").where(F.col("source") == "hiredly")
-    return LK.directory_b_links(pages, 50)
+    return LK.directory_b_links(pages)
 
 
 _HOME = [("home", "SELECT * FROM site_pages WHERE kind = 'site_home'")] + _anchor_rows("home", "company_id, url")
@@ -475,10 +504,12 @@ def _resolve_sql(base: str, h: str) -> str:
             f"ELSE {d} || {h} END)")
 
 
-_CONTACT_OK = ("(" + _contains_any("href", CONTACT_HREF_HINTS) + " OR "
-               + _contains_any(_CT, [t.lower() for t in CONTACT_TEXT_HINTS]) + ") AND NOT "
-               + _contains_any("lower(href)", CONTACT_SKIP) + " AND (" + _contains_any(_CT, CONTACT_TEXT_ACCEPT)
-               + " OR " + _contains_any("lower(href)", CONTACT_HREF_ACCEPT) + ")")
+_CONTACT_OK = ("(" + _contains_any("href", ["contact", "Contact", "about-us", "hubungi"]) + " OR "
+               + _contains_any(_CT, ["contact", "hubungi"]) + ") AND NOT "
+               + _contains_any("lower(href)", ["facebook", "linkedin", "twitter", "instagram", "youtube", "tiktok",
+                                               "whatsapp", "mailto:", "tel:"]) + " AND ("
+               + _contains_any(_CT, ["contact", "hubungi", "reach"])
+               + " OR " + _contains_any("lower(href)", ["contact", "hubungi"]) + ")")
 
 
 @register("contact_links", O.with_fixtures(
@@ -494,8 +525,6 @@ def q_contact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- detail pages
 
 from ..operators import extract as EX  # noqa: E402
-from ..functions.patterns import DIR_A_LABELS, DIR_B_BLOCKED_HOSTS, DIR_B_SKIP_LINES  # noqa: E402
-from ..functions.phones import BUTTON_PHONE_RE  # noqa: E402
 from ..sources.tables import read_table  # noqa: E402
 
 
@@ -523,13 +552,13 @@ def _label_sql(a: str, b: str) -> str:
 
 
 _PLACE = [
-    ("pa", "SELECT page_id, url, html, " + O.extract_all("html", H.ANCHOR_RE, 1) + " AS aat, "
-           + O.extract_all("html", H.ANCHOR_RE, 2) + " AS ain, " + O.extract_all("html", EX.BUTTON_RE, 1)
-           + " AS bat, " + O.extract_all("html", EX.BUTTON_RE, 2) + " AS bin FROM place_pages"),
+    ("pa", "SELECT page_id, url, html, " + O.extract_all(O.markup("html"), O.ANCHOR, 1) + " AS aat, "
+           + O.extract_all(O.markup("html"), O.ANCHOR, 2) + " AS ain, " + O.extract_all(O.markup("html"), O.BUTTON, 1)
+           + " AS bat, " + O.extract_all(O.markup("html"), O.BUTTON, 2) + " AS bin FROM place_pages"),
     ("pb", "SELECT *, list_filter(aat, lambda x: starts_with(" + O.attr("x", "href") + ", 'tel:')) AS tel, "
            "list_filter(list_transform(list_filter(range(1, len(bat) + 1), lambda i: contains("
            + O.attr("bat[i]", "data-item-id") + ", 'phone')), lambda i: regexp_extract("
-           + _label_sql("bat[i]", "bin[i]") + ", " + O.q(BUTTON_PHONE_RE) + ", 1)), lambda m: m <> '') AS hits, "
+           + _label_sql("bat[i]", "bin[i]") + ", " + O.q(O.BUTTON_PHONE) + ", 1)), lambda m: m <> '') AS hits, "
            "list_filter(aat, lambda x: " + O.attr("x", "data-item-id") + " = 'authority') AS auth, "
            "list_filter(bat, lambda x: " + O.attr("x", "data-item-id") + " = 'address') AS addr, "
            "list_filter(range(1, len(bat) + 1), lambda i: contains(" + O.attr("bat[i]", "jsaction")
@@ -540,7 +569,7 @@ _PLACE = [
            "CASE WHEN len(auth) > 0 THEN " + O.attr("auth[1]", "href") + " ELSE '' END AS website, "
            "CASE WHEN len(addr) > 0 THEN replace(" + O.attr("addr[1]", "aria-label") + ", 'Address: ', '') "
            "ELSE '' END AS address, CASE WHEN len(cat) > 0 THEN " + O.inner_text("bin[cat[1]]")
-           + " ELSE '' END AS category, " + O.inner_text(f"regexp_extract(html, {O.q(EX.RATING_RE)}, 1)")
+           + " ELSE '' END AS category, " + O.inner_text(f"regexp_extract(html, {O.q(O.RATING)}, 1)")
            + " AS rating FROM pb"),
 ]
 
@@ -553,6 +582,10 @@ def q_place_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EX.place_details(fixture(spark, sf_dir, "place_pages"))
 
 
+_LABELS = [("Website", "website", 200), ("Industry", "category", 200), ("Company size", "company_size", 100),
+           ("Primary location", "address", 300)]
+
+
 def _label_field(label: str, limit: int) -> str:
     idx = (f"list_filter(range(1, len(ls)), lambda i: ls[i] = {O.q(label)} AND ls[i + 1] <> '' "
            f"AND length(ls[i + 1]) < {limit})[-1]")
@@ -561,14 +594,14 @@ def _label_field(label: str, limit: int) -> str:
 
 @register("label_fields", O.with_fixtures(
     ["dir_a_pages"],
-    "SELECT page_id, " + ", ".join(f"{_label_field(lbl, lim)} AS {fld}" for lbl, fld, lim in DIR_A_LABELS)
+    "SELECT page_id, " + ", ".join(f"{_label_field(lbl, lim)} AS {fld}" for lbl, fld, lim in _LABELS)
     + f" FROM (SELECT page_id, {_lines_sql('body_text')} AS ls FROM dir_a_pages)"))
 def q_label_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return EX.label_fields(fixture(spark, sf_dir, "dir_a_pages"))
 
 
-_SKIP_LIST = "[" + ", ".join(O.q(s) for s in DIR_B_SKIP_LINES) + "]"
-_SITE_OK = " AND ".join(["starts_with(h, 'http')"] + [f"NOT contains(h, {O.q(b)})" for b in DIR_B_BLOCKED_HOSTS])
+_SKIP_LIST = "[" + ", ".join(O.q(s) for s in ("Companies", "Log In", "Sign Up", "For Employers", "Jobs Search", "Internships", "Drop Resume", "English")) + "]"
+_SITE_OK = " AND ".join(["starts_with(h, 'http')"] + [f"NOT contains(h, {O.q(b)})" for b in ("hiredly", "google", "facebook", "linkedin", "twitter", "instagram", "youtube", "tiktok")])
 _PROFILE = [
     ("d", f"SELECT page_id, html, list_filter({_lines_sql('body_text')}, lambda x: length(x) > 1) AS ls "
           "FROM dir_b_pages"),
@@ -578,7 +611,7 @@ _PROFILE = [
            "ls[list_position(ls, name) + 1:], lambda x: x <> name AND length(x) < 80 AND NOT ends_with(x, 'jobs'))[1] "
            "END, '') AS category, coalesce(CASE WHEN ap > 0 AND ap < len(ls) THEN list_filter(ls[ap + 1:ap + 4], "
            "lambda x: length(x) > 10)[1] END, '') AS address, coalesce(list_filter(list_transform(list_filter("
-           + O.extract_all("html", H.ANCHOR_RE, 1) + ", lambda a: " + O.attr("a", "href") + " <> ''), lambda a: "
+           + O.extract_all(O.markup("html"), O.ANCHOR, 1) + ", lambda a: " + O.attr("a", "href") + " <> ''), lambda a: "
            + O.attr("a", "href") + f"), lambda h: {_SITE_OK})[1], '') AS website FROM n"),
 ]
 
@@ -592,12 +625,9 @@ def q_company_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- website phones
 
 from ..operators import verify as VF  # noqa: E402
-from ..functions.phones import CHAT_PHONE_RE, CONTEXT_RE, FAX_RE  # noqa: E402
-from ..functions.patterns import CHAT_HINTS, CONTEXT_AFTER, CONTEXT_BEFORE  # noqa: E402
 
-_FAX_DUCK = "(?i)" + FAX_RE[len("(?iu)"):]
-_CTX_DUCK = "(?i)" + CONTEXT_RE[len("(?iu)"):]
-_P = O.q(TEXT_PHONE_RE)
+_P = O.q(O.TEXT_PHONE)
+_CHAT = ["wa.me", "whatsapp", "wasap"]
 
 
 @register("website_candidates", O.with_fixtures(
@@ -617,8 +647,8 @@ def _offset_hits(src: str, key: str, text: str) -> list[tuple[str, str]]:
         (f"o_{src}", f"SELECT *, list_sum(list_transform(sp[1:i + 1], lambda x: length(x))) "
                      f"+ coalesce(list_sum(list_transform(m[1:i], lambda x: length(x))), 0) AS st FROM u_{src}"),
         (f"w_{src}", f"SELECT {key}, CAST(i AS INTEGER) AS pos, m[i + 1] AS raw, substring(t, "
-                     f"CAST(greatest(st - {CONTEXT_BEFORE}, 0) + 1 AS INTEGER), CAST(least(st + length(m[i + 1]) "
-                     f"+ {CONTEXT_AFTER}, length(t)) - greatest(st - {CONTEXT_BEFORE}, 0) AS INTEGER)) AS context "
+                     f"CAST(greatest(st - {O.BEFORE}, 0) + 1 AS INTEGER), CAST(least(st + length(m[i + 1]) "
+                     f"+ {O.AFTER}, length(t)) - greatest(st - {O.BEFORE}, 0) AS INTEGER)) AS context "
                      f"FROM o_{src}"),
     ]
 
@@ -633,29 +663,30 @@ def q_text_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _site_phone_ctes(pages: str) -> list[tuple[str, str]]:
     """Oracle CTEs: hits (V3-V5) -> per page (V6) -> per company (V7) as cp."""
-    chat_hint = " OR ".join(f"contains(href, {O.q(h)})" for h in CHAT_HINTS)
-    body = f"coalesce(body_text, {O.strip_tags('html')})"
+    chat_hint = " OR ".join(f"contains(href, {O.q(h)})" for h in _CHAT)
+    body = f"coalesce(body_text, {O.strip_tags(O.markup('html'))})"
     return [
         ("sb", f"SELECT company_id, page_ord, sp, unnest(range(len(sp))) AS bi FROM (SELECT company_id, page_ord, "
-               f"regexp_split_to_array(coalesce(html, ''), {O.q(H.BLOCK_SPLIT_RE)}) AS sp FROM {pages})"),
+               f"regexp_split_to_array(replace({O.markup('html')}, '<div>Call</div></a>', ' Call </a>'), {O.q(O.BLOCK)}) "
+               f"AS sp FROM {pages})"),
         ("sbt", "SELECT company_id, page_ord, bi, " + O.strip_tags("sp[bi + 1]") + " AS ptext, "
-                + O.extract_all("sp[bi + 1]", H.ANCHOR_RE, 1) + " AS atts FROM sb"),
+                + O.extract_all("sp[bi + 1]", O.ANCHOR, 1) + " AS atts FROM sb"),
         ("sta", "SELECT *, unnest(range(len(atts))) AS ai FROM sbt"),
         ("tel", "SELECT company_id, page_ord, 1 AS strategy, CAST(bi * 100000 + ai AS BIGINT) AS pos, "
                 "replace(replace(" + O.attr("atts[ai + 1]", "href") + ", 'tel:', ''), '%20', '') AS raw, "
                 "'high' AS confidence FROM sta WHERE starts_with(" + O.attr("atts[ai + 1]", "href") + ", 'tel:') "
-                f"AND NOT regexp_matches(ptext, {O.q(_FAX_DUCK)})"),
+                f"AND NOT regexp_matches(ptext, {O.q(O.FAX)})"),
         ("sca", "SELECT company_id, page_ord, ai, " + O.attr("atts[ai + 1]", "href") + " AS href FROM (SELECT *, "
                 "unnest(range(len(atts))) AS ai FROM (SELECT company_id, page_ord, "
-                + O.extract_all("html", H.ANCHOR_RE, 1) + f" AS atts FROM {pages}))"),
+                + O.extract_all(O.markup("html"), O.ANCHOR, 1) + f" AS atts FROM {pages}))"),
         ("chat", "SELECT * FROM (SELECT company_id, page_ord, 2 AS strategy, CAST(ai AS BIGINT) AS pos, "
-                 f"regexp_extract(href, {O.q(CHAT_PHONE_RE)}, 1) AS raw, 'high' AS confidence FROM sca "
+                 f"regexp_extract(href, {O.q(O.CHAT_PHONE)}, 1) AS raw, 'high' AS confidence FROM sca "
                  f"WHERE {chat_hint}) WHERE raw <> ''"),
         ("sbody", f"SELECT company_id, page_ord, {body} AS body FROM {pages}"),
         *_offset_hits("sbody", "company_id, page_ord", "body"),
         ("txt", "SELECT company_id, page_ord, 3 AS strategy, CAST(pos AS BIGINT) AS pos, raw, "
-                f"CASE WHEN regexp_matches(context, {O.q(_CTX_DUCK)}) THEN 'medium' ELSE 'low' END AS confidence "
-                f"FROM w_sbody WHERE NOT regexp_matches(context, {O.q(_FAX_DUCK)})"),
+                f"CASE WHEN regexp_matches(context, {O.q(O.NEAR)}) THEN 'medium' ELSE 'low' END AS confidence "
+                f"FROM w_sbody WHERE NOT regexp_matches(context, {O.q(O.FAX)})"),
         ("hits", "SELECT company_id, page_ord, strategy, pos, " + O.normalize_phone("raw") + " AS phone, confidence "
                  "FROM (SELECT * FROM tel UNION ALL SELECT * FROM chat UNION ALL SELECT * FROM txt) WHERE "
                  + O.valid_phone(O.normalize_phone("raw"))),
@@ -745,6 +776,26 @@ def q_verify_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return VF.verify_metrics(leads, results)
 
 
+# Flow C on captured pages: newest home page, contact page by the home page's link.
+_CAPTURED = [O.LEADS_VIEW,
+             ("cand", "SELECT id FROM leads WHERE lower(website) LIKE 'http%' AND coalesce(website_phone, '') = '' "
+                      "AND starts_with(website, 'http')"),
+             ("cpages", "SELECT 1000000000 + company_id AS company_id, 1 AS page_ord, html, body_text FROM captured_site "
+                        "WHERE kind = 'site_home' AND page_id % 4 = 1 UNION ALL "
+                        "SELECT 1000000000 + page_id // 4, 2, html, body_text FROM captured_site WHERE kind = 'site_contact'"),
+             *_site_phone_ctes("cpages"),
+             ("res", "SELECT c.id, coalesce(b2.website_phone, '') AS website_phone, coalesce(b2.website_phone2, '') AS "
+                     "website_phone2, coalesce(b2.all_phones, '') AS all_phones FROM cand c LEFT JOIN b2 ON b2.id = c.id")]
+
+
+@register("verify_captured", O.with_fixtures(["leads_raw", "captured_site"], "SELECT * FROM res", _CAPTURED))
+def q_verify_captured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = fixture(spark, sf_dir, "captured_site").withColumn("company_id", F.col("company_id") + F.lit(1000000000))
+    results = VF.verify_websites(VF.website_candidates(fixture_leads(spark, sf_dir), "unverified"),
+                                 VF.captured_site_pages(pages))
+    return results.select("id", "website_phone", "website_phone2", F.array_join("all_phones", ", ").alias("all_phones"))
+
+
 # ---------------------------------------------------------------- session creation, newest-first scan (M5, S3)
 
 from ..sources.leads import newest_first  # noqa: E402

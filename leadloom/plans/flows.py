@@ -22,10 +22,11 @@ from ..operators import verify as VF
 from ..operators.filters import not_blocked
 from ..operators.importer import import_counts, import_leads
 from ..operators.merge import merge_listings, merge_summary
-from ..schemas import conform_listings
+from ..schemas import conform_leads, conform_listings
 from ..sources.blocklist import blocklist_pattern
 from ..session import reliable_checkpoint
-from ..sources.leads import write_snapshot
+from ..sources.leads import marks_after
+from ..sources.pages import newest
 
 SOURCE_ORDER = ["google_maps", "jobstreet", "hiredly"]
 
@@ -36,7 +37,7 @@ def _ordered(df: DataFrame, source_no: int, order_cols: list[str]) -> DataFrame:
 
 
 def listings_from_captured(pages: DataFrame, blocklist: str | list | None = None,
-                           max_results: int = 500, max_companies: int = 50) -> DataFrame:
+                           max_results: int | None = None, max_companies: int | None = None) -> DataFrame:
     """Captured pages -> listings in run order (map results, then directory A,
     then directory B; each in link order).
 
@@ -44,8 +45,9 @@ def listings_from_captured(pages: DataFrame, blocklist: str | list | None = None
     blocklist: the blocklist setting (JSON list text or a list); applied to
     map listings only, off when None or empty.
     """
+    # every URL is visited once: the newest of its captures
     res = pages.where(F.col("kind").isin("maps_results", "dir_results"))
-    det = pages.where(F.col("kind").isin("maps_place", "dir_company"))
+    det = newest(pages.where(F.col("kind").isin("maps_place", "dir_company")), "kind", "source", "url")
 
     maps_links = LK.place_links(res.where(F.col("source") == "google_maps"), max_results)
     maps_pages = det.where(F.col("source") == "google_maps").select("page_id", "url", "html")
@@ -57,14 +59,14 @@ def listings_from_captured(pages: DataFrame, blocklist: str | list | None = None
 
     a_links = LK.directory_a_links(res.where(F.col("source") == "jobstreet"))
     a_pages = det.where(F.col("source") == "jobstreet").select("page_id", "url", "body_text")
-    a_fields = EX.label_fields(a_pages).join(a_pages.select("page_id", "url"), "page_id")
+    a_fields = EX.label_fields(a_pages)
     dir_a = (a_links.join(a_fields, "url", "left")
              .select(F.lit("jobstreet").alias("source"), "name", "website", "address", "category",
                      "company_size", F.col("url").alias("jobstreet_url"), "seed_no", "page_no", "pos"))
 
     b_links = LK.directory_b_links(res.where(F.col("source") == "hiredly"), max_companies)
     b_pages = det.where(F.col("source") == "hiredly").select("page_id", "url", "html", "body_text")
-    b_fields = EX.company_profile(b_pages).join(b_pages.select("page_id", "url"), "page_id")
+    b_fields = EX.company_profile(b_pages)
     dir_b = (b_links.join(b_fields, "url")
              .select(F.lit("hiredly").alias("source"), "name", "website", "address", "category",
                      F.col("url").alias("hiredly_url"), "seed_no", "page_no", "pos"))
@@ -81,38 +83,41 @@ class RunResult:
     leads: DataFrame
     sessions: DataFrame
     summary: DataFrame
+    new_leads: DataFrame
+    marks: dict[str, int]
 
 
 def collect_merge_save(spark: SparkSession, pages: DataFrame, leads: DataFrame, sessions: DataFrame,
                        requested: list[str], query_info: str, as_of, blocklist: str | None = None,
-                       **caps) -> RunResult | None:
-    """Flow A. Returns None when the run found no listing (no session)."""
+                       marks: dict[str, int] | None = None, **caps) -> RunResult | None:
+    """Flow A. Returns None when the run found no listing (no session).
+    ``marks``: the high-water marks stored with the current snapshot."""
+    marks = marks or {}
     listings = reliable_checkpoint(listings_from_captured(pages, blocklist, **caps))
     if listings.limit(1).count() == 0:
         return None
     merged = reliable_checkpoint(merge_listings(listings))
     n = merged.count()
-    sessions2 = MU.create_session(spark, sessions, requested, query_info, n, as_of)
-    sid = sessions2.agg(F.max("id")).first()[0]
-    leads2 = MU.save_listings(leads, merged, sid, as_of)
-    return RunResult(leads2, sessions2, merge_summary(merged))
-
-
-def verify_flow(leads: DataFrame, site_pages: DataFrame, as_of, scope: str = "unverified"):
-    """Flow C: (leads', results, metrics)."""
-    results = reliable_checkpoint(VF.verify_websites(VF.website_candidates(leads, scope), site_pages))
+    sid = MU.next_id(sessions, marks.get("sessions"))
+    sessions2 = MU.create_session(spark, sessions, requested, query_info, n, as_of, sid - 1)
+    first = MU.next_id(leads, marks.get("leads"))
+    new = MU.listings_as_leads(merged, sid, first, as_of)
+    return RunResult(conform_leads(leads).unionByName(new), sessions2, merge_summary(merged), new,
+                     {**marks, "leads": first + n - 1, "sessions": sid})
+
+
+def verify_flow(leads: DataFrame, pages: DataFrame, as_of, scope: str = "unverified"):
+    """Flow C over captured pages: (leads', results, metrics)."""
+    site = VF.captured_site_pages(pages)
+    results = reliable_checkpoint(VF.verify_websites(VF.website_candidates(leads, scope), site))
     return VF.apply_site_phones(leads, results, as_of), results, VF.verify_metrics(leads, results)
 
 
-def import_flow(file_df: DataFrame, leads: DataFrame, as_of, high_water: int | None = None):
-    """Flow D (import): (leads', counts). New rows get ids in file order."""
+def import_flow(file_df: DataFrame, leads: DataFrame, as_of, marks: dict[str, int] | None = None):
+    """Flow D (import): (leads', counts, marks'). New rows get ids in file order."""
+    marks = marks or {}
     new = reliable_checkpoint(import_leads(file_df, leads))
-    rows = MU.assign_ids(new, ["ord"], MU.next_id(leads, high_water)).drop("ord")
-    rows = rows.withColumn("session_id", F.lit(None).cast("bigint"))
-    from ..schemas import conform_leads
-    return conform_leads(leads).unionByName(conform_leads(rows, as_of)), import_counts(file_df, leads)
-
-
-def commit(df: DataFrame, root: str) -> str:
-    """Write a flow's result as the next snapshot; returns its path."""
-    return write_snapshot(df, root)
+    rows = MU.assign_ids(new, ["ord"], MU.next_id(leads, marks.get("leads"))).drop("ord")
+    rows = conform_leads(rows.withColumn("session_id", F.lit(None).cast("bigint")), as_of)
+    out = conform_leads(leads).unionByName(rows)
+    return out, import_counts(file_df, leads), marks_after(marks, leads=out)

@@ -54,7 +54,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
     if conf_dir:
         sc.setCheckpointDir(conf_dir)
         return conf_dir
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     d = tempfile.mkdtemp(prefix="leadloom-ckpt-")
     sc.setCheckpointDir(d)

@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 
 from ..functions.text import py_strip, quote_regex
 
-# A blocklist is configuration, never data: refuse anything larger.
-MAX_ENTRIES = 100_000
+def entries_frame(settings: DataFrame, value: str = "value") -> DataFrame:
+    """Settings rows -> the rows' other columns, pos, entry: the JSON list is
+    parsed and exploded, entries are stripped, blank ones go."""
+    keep = [c for c in settings.columns if c != value]
+    return (settings.select(*keep, F.posexplode(F.from_json(value, "array<string>")).alias("pos", "entry"))
+            .select(*keep, "pos", py_strip("entry").alias("entry")).where(F.col("entry") != ""))
 
 
-def entries_frame(spark: SparkSession, json_text: str) -> DataFrame:
-    """Settings value -> (pos, entry): parse, explode, strip, drop blanks."""
-    one = spark.range(1).select(F.lit(json_text).alias("value"))
-    return (one.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "entry"))
-            .select("pos", py_strip("entry").alias("entry"))
-            .where(F.col("entry") != ""))
+def setting_pattern(spark: SparkSession, json_text: str) -> str | None:
+    """The pattern of one blocklist setting, through its entries frame."""
+    entries = entries_frame(spark.createDataFrame([(json_text,)], "value string"))
+    return blocklist_pattern([r["entry"] for r in entries.orderBy("pos").collect()])
 
 
 def entries_from_text(text: str) -> list[str]:
@@ -31,14 +33,6 @@ def entries_from_text(text: str) -> list[str]:
     return [ln.strip() for ln in text.strip().splitlines() if ln.strip()]
 
 
-def collect_entries(entries: DataFrame, column: str = "entry") -> list[str]:
-    """Bring a blocklist column to the driver, refusing more than MAX_ENTRIES."""
-    rows = entries.select(column).limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"blocklist has more than {MAX_ENTRIES} entries")
-    return [r[0] for r in rows if r[0] is not None]
-
-
 def blocklist_pattern(entries: list[str] | str | None, keep_spaces: bool = False) -> str | None:
     """One case-insensitive alternation of the stripped, lower-cased, escaped
     entries. Blank entries are dropped; an empty result means 'block nothing'.
@@ -50,8 +44,6 @@ def blocklist_pattern(entries: list[str] | str | None, keep_spaces: bool = False
         return None
     if isinstance(entries, str):
         entries = json.loads(entries)
-    if len(entries) > MAX_ENTRIES:
-        raise ValueError(f"blocklist has more than {MAX_ENTRIES} entries")
     parts = []
     for e in entries:
         if not e.strip():

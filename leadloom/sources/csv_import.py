@@ -1,9 +1,10 @@
 """CSV import source: a lead file with a header row, every column as STRING.
 
 Reading every column as text keeps leading zeros of phone numbers (type
-inference would turn '0123' into 123). ``ord`` records file order: for one
-file, Spark's splits keep their offset order, so a monotonically increasing
-id follows the rows of the file.
+inference would turn '0123' into 123). Quotes inside quoted cells are doubled.
+``ord`` records file order: files in path order, rows in file order (the
+number of a row is its split's byte offset plus its place in the split; a row
+has at least one byte, so numbers neither meet nor cross).
 """
 
 from __future__ import annotations
@@ -12,11 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+FILE_STRIDE = 1 << 44                    # bytes of the largest file
 
-def read_import_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    header = (spark.read.option("header", True).option("encoding", encoding)
-              .option("inferSchema", False).csv(path))
+
+def read_import_csv(spark: SparkSession, path: str, encoding: str = "UTF-8",
+                    multi_line: bool = False) -> DataFrame:
+    """``multi_line``: cells may hold line breaks (each file is then one task)."""
+    options = {"header": True, "encoding": encoding, "escape": '"', "multiLine": multi_line}
+    header = spark.read.options(**options, inferSchema=False).csv(path)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header.columns])
-    df = (spark.read.option("header", True).option("encoding", encoding).option("multiLine", True)
-          .schema(schema).csv(path))
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    df = spark.read.options(**options).schema(schema).csv(path)
+    at = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    names = sorted(header.inputFiles())
+    if len(names) < 2:
+        return df.withColumn("ord", at)
+    numbers = spark.createDataFrame(list(enumerate(names)), "_no long, _file string")
+    rows = df.withColumn("_file", F.input_file_name()).withColumn("ord", at)
+    return (rows.join(F.broadcast(numbers), "_file")
+            .withColumn("ord", F.col("_no") * FILE_STRIDE + F.col("ord")).drop("_file", "_no"))

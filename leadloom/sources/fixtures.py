@@ -249,3 +249,33 @@ SELECT k AS page_id,
 FROM p
 """
 register("dir_b_pages", DIR_B_PAGES_SQL, ["part"])
+
+# Captured pages of company websites (one company per customer): every home
+# page captured twice (the newer one counts), the contact page under its own
+# address, pages of no company, and pages of other kinds.
+CAPTURED_SQL = """
+WITH p AS (SELECT * FROM {site_pages})
+SELECT 4 * company_id AS page_id, 'site_home' AS kind, '' AS source, CAST(0 AS BIGINT) AS seed_no,
+  CAST(0 AS BIGINT) AS page_no, 'http://c' || CAST(company_id AS STRING) || '.example.com/' AS url, company_id,
+  '<p>Old <a href="tel:0399999999">call</a></p>' AS html, 'Old 03-9999 9999' AS body_text FROM p WHERE page_ord = 1
+UNION ALL
+SELECT 4 * company_id + 1, kind, '', 0, 0, 'http://c' || CAST(company_id AS STRING) || '.example.com/', company_id,
+  html, body_text FROM p WHERE page_ord = 1
+UNION ALL
+SELECT 4 * company_id + 2, kind, '', 0, 0, 'http://c' || CAST(company_id AS STRING) || '.example.com/contact-us',
+  CAST(NULL AS BIGINT), html, body_text FROM p WHERE page_ord = 2
+UNION ALL
+SELECT 4 * company_id + 3, 'maps_place', 'google_maps', 0, 0, 'http://c' || CAST(company_id AS STRING) || '.example.com/contact-us',
+  CAST(NULL AS BIGINT), '<p><a href="tel:0388888888">x</a></p>', '' FROM p WHERE page_ord = 1
+"""
+register("captured_site", CAPTURED_SQL, ["site_pages"])
+
+# Blocklist settings, one per supplier: a JSON list with padded, blank and
+# repeated entries.
+SETTINGS_SQL = """
+SELECT CAST(s_suppkey AS BIGINT) AS owner,
+  CASE WHEN s_suppkey % 7 = 0 THEN '[]' WHEN s_suppkey % 11 = 0 THEN CAST(NULL AS STRING)
+       ELSE '[" ' || s_name || ' ", "  ", "b.i.g.", "", "firm ' || CAST(s_suppkey AS STRING) || '"]' END AS value
+FROM {supplier}
+"""
+register("blocklist_settings", SETTINGS_SQL, ["supplier"])

@@ -1,8 +1,11 @@
 """The leads table: fixture frame, snapshot scan and snapshot sink.
 
-Every mutation is a ``leads -> leads'`` transform. Results are written as a
-new Parquet snapshot folder; the folder being read is never overwritten, so a
-failed or retried job leaves the previous snapshot intact.
+Every mutation is a ``leads -> leads'`` transform. A table lives below a root
+folder; a commit is a small record (version, data folders, high-water marks of
+the ids given out). Appends commit the folders of the version before and one
+new folder; other changes commit one new folder. The folders that readers use
+are never written again, so a failed or retried job leaves the current version
+intact, and of two jobs that commit the same version the second fails.
 """
 
 from __future__ import annotations
@@ -27,28 +30,52 @@ def fixture_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conform_leads(raw.withColumn("phone_type", classify_phone("phone")), FIXTURE_AS_OF)
 
 
-def scan_leads(spark: SparkSession, path: str) -> DataFrame:
-    """Leads snapshot scan (filters and projections push into the scan)."""
-    return spark.read.parquet(path)
+COMMITS = "version long, folders array<string>, marks map<string,long>"
 
 
-def newest_first(leads: DataFrame) -> DataFrame:
-    """All leads, newest id first (apply only at the sink)."""
-    return leads.orderBy(F.col("id").desc())
+def current(spark: SparkSession, root: str) -> tuple[int, list[str], dict[str, int]]:
+    """(version, data folders, marks) of the latest commit; (0, [], {}) before
+    the first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_commits")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return 0, [], {}
+    last = (spark.read.schema(COMMITS).option("recursiveFileLookup", True).parquet(f"{root.rstrip('/')}/_commits")
+            .orderBy(F.col("version").desc()).first())
+    return (last["version"], list(last["folders"]), dict(last["marks"])) if last else (0, [], {})
+
 
+def scan_leads(spark: SparkSession, root: str) -> DataFrame:
+    """Scan of the latest committed version (filters and projections push into
+    the scan)."""
+    version, folders, _ = current(spark, root)
+    if not version:
+        raise FileNotFoundError(f"no version committed below {root}")
+    return spark.read.parquet(*folders)
 
-def write_snapshot(leads: DataFrame, root: str, mode: str = "errorifexists") -> str:
-    """Write ``leads`` as a new snapshot folder under ``root``; return its path.
 
-    The folder name is unique, so the snapshot a job reads from is never the
-    one it writes to. Readers switch by path once the write has committed.
-    """
-    path = f"{root.rstrip('/')}/snapshot-{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
-    leads.write.mode(mode).parquet(path)
-    return path
+def newest_first(leads: DataFrame) -> DataFrame:
+    """All leads, newest id first (apply only at the sink)."""
+    return leads.orderBy(F.col("id").desc())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut a long lineage with a reliable checkpoint in ``spark.checkpoint.dir``."""
-    from ..session import reliable_checkpoint
-    return reliable_checkpoint(df)
+def marks_after(marks: dict[str, int] | None, **tables: DataFrame) -> dict[str, int]:
+    """High-water marks of the ids given out: the stored ones, raised to the
+    highest id of each table."""
+    out = dict(marks or {})
+    for name, df in tables.items():
+        out[name] = max(out.get(name, 0), df.agg(F.max("id")).first()[0] or 0)
+    return out
+
+
+def commit(rows: DataFrame, root: str, append: bool = False, marks: dict[str, int] | None = None) -> int:
+    """Write ``rows`` as the next version (with ``append``: add them to the
+    current one, writing only the new rows); returns the version. Marks never
+    fall below the stored ones."""
+    spark, root = rows.sparkSession, root.rstrip("/")
+    version, folders, stored = current(spark, root)
+    folder = f"{root}/data-{_dt.datetime.now(_dt.timezone.utc):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
+    rows.write.mode("errorifexists").parquet(folder)
+    kept = {**stored, **{k: max(v, stored.get(k, 0)) for k, v in (marks or {}).items()}}
+    record = spark.createDataFrame([(version + 1, [*(folders if append else []), folder], kept)], COMMITS)
+    record.coalesce(1).write.mode("errorifexists").parquet(f"{root}/_commits/{version + 1:012d}")
+    return version + 1

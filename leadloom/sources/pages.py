@@ -33,10 +33,8 @@ def read_captured(spark: SparkSession, path: str, kind: str | None = None,
     return df
 
 
-def from_pages_table(pages: DataFrame, kind: str = "site_home") -> DataFrame:
-    """The driver's ``pages`` table (page_id, url, html) as captured pages."""
-    return pages.select(F.col("page_id").cast("bigint"), F.lit(kind).alias("kind"),
-                        F.lit("").alias("source"), F.lit(0).cast("bigint").alias("seed_no"),
-                        F.col("page_id").cast("bigint").alias("page_no"), "url",
-                        F.col("page_id").cast("bigint").alias("company_id"), "html",
-                        F.lit(None).cast("string").alias("body_text"))
+def newest(pages: DataFrame, *keys: str) -> DataFrame:
+    """Of the captures that agree on ``keys``, the one with the highest
+    page_id. Only the narrow (keys, page_id) rows are aggregated."""
+    last = pages.groupBy(*keys).agg(F.max("page_id").alias("page_id")).select("page_id")
+    return pages.join(last, "page_id", "left_semi")

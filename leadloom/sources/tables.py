@@ -4,34 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
-          "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-# Fixed dimension tables (a handful of rows at any scale): never rebalanced.
-SMALL = {"region", "nation"}
-
-
-def balanced(df: DataFrame) -> DataFrame:
-    """Spread an under-split input over the available cores.
-
-    Called by the operators whose per-row work is heavy (HTML parsing, window
-    regexes over whole texts), not by light ones where a shuffle would cost
-    more than it saves.
-
-    A file written as one row group is read by one task, so that work would
-    run on one core. Only when the input has fewer partitions than the
-    session's default parallelism is it round-robin repartitioned; a large
-    input already has more splits than cores and is left as it is (no extra
-    shuffle)."""
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:          # sessions without RDD access: leave the plan as it is
-        return df
-    return df.repartition(target) if parts < target else df
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, balance: bool = False) -> DataFrame:
-    if name not in TABLES:
-        raise KeyError(name)
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return balanced(df) if balance and name not in SMALL else df
+# Declared, so that building a query reads no file footer.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE"
+                ", c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT"
+            ", p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING"
+              ", o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT"
+                ", l_quantity DOUBLE, l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE"
+                ", l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING"
+              ", value DOUBLE, props STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "benchmark": "item_id BIGINT, text STRING",
+    "labels": "doc_id BIGINT, quality INT, toxic INT",
+    "conversations": "conv_id BIGINT, turn BIGINT, role STRING, text STRING",
+}
+TABLES = list(SCHEMAS)
+
+# A caller whose files have fewer row groups than cores (the bench on one-row-
+# group files) may ask for this many scan partitions; unset, nothing is shuffled.
+SCAN_PARTITIONS = "spark.leadloom.scanPartitions"
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    parts = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(parts)) if parts else df

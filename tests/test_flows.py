@@ -1,14 +1,17 @@
-"""End-to-end flows: captured pages -> leads, verify, CSV import, streaming."""
+"""End-to-end flows: captured pages -> leads, verify, CSV import and export, commits."""
 
+import csv
 import datetime as dt
-import os
 
-from pyspark.sql import functions as F
+import pytest
 
+from leadloom.operators import mutations as MU
+from leadloom.operators.importer import import_counts
 from leadloom.plans import flows
-from leadloom.schemas import SESSIONS, conform_leads
+from leadloom.schemas import SESSIONS, TAGS, conform_leads
+from leadloom.sources import leads as LD
 from leadloom.sources.csv_import import read_import_csv
-from leadloom.sources.pages import CAPTURED_PAGES
+from leadloom.sources.pages import CAPTURED_PAGES, read_captured
 
 AS_OF = dt.datetime(2026, 4, 1)
 
@@ -17,7 +20,8 @@ def captured(spark):
     P = "https://www.google.com/maps/place/"
     rows = [
         (1, "maps_results", "google_maps", 1, 1, "s1", None,
-         f'<a href="{P}alpha">a</a><a href="{P}beta">b</a><a href="{P}tesla">t</a>', None),
+         "<div role='feed'>" + "".join(f"<div><div><a href='{P}{x}'>{x}</a></div></div>" for x in ("alpha", "beta", "tesla"))
+         + "</div>", None),
         (2, "maps_place", "google_maps", 0, 0, P + "alpha", None,
          '<h1>Alpha Sdn Bhd</h1><a href="tel:03-1234 5678">c</a>', None),
         (3, "maps_place", "google_maps", 0, 0, P + "beta", None, "<p>no name</p>", None),
@@ -54,32 +58,131 @@ def test_collect_merge_save(spark):
     assert r.summary.first()["total"] == 3
 
 
+def test_a_page_captured_twice_is_one_listing(spark):
+    pages = captured(spark)
+    older = pages.where("page_id = 2").selectExpr("-1L AS page_id", *CAPTURED_PAGES.names[1:7], "'<h1>Old</h1>' AS html", "body_text")
+    names = [r["name"] for r in flows.listings_from_captured(pages.unionByName(older)).collect()]
+    assert sorted(names) == ["ALPHA SDN. BHD.", "Alpha Sdn Bhd", "Delta Bhd", "Gamma", "Tesla KL"]
+
+
+def test_no_limits_unless_asked(spark):
+    links = "".join(f'<a href="/companies/c{i}">C {i}</a>' for i in range(70))
+    rows = [(1, "dir_results", "hiredly", 1, 1, "s", None, links, None)]
+    rows += [(10 + i, "dir_company", "hiredly", 0, 0, f"https://my.hiredly.com/companies/c{i}", None, "", f"Company {i}") for i in range(70)]
+    pages = spark.createDataFrame(rows, CAPTURED_PAGES)
+    assert flows.listings_from_captured(pages).count() == 70
+    assert flows.listings_from_captured(pages, max_companies=50).count() == 50
+
+
+def test_verify_flow_on_captured_pages(spark, tmp_path):
+    """Newest home page, contact page by its link, other companies' and other
+    kinds' pages left alone."""
+    rows = [
+        (1, "site_home", "", 0, 0, "http://a.my/", 1, '<p>Old <a href="tel:0311111111">c</a></p>', "x"),
+        (2, "site_home", "", 0, 0, "http://a.my/", 1, "<a href='./info/../contact.html'>Contact</a>", "Order 03-2222 3333 here"),
+        (3, "site_contact", "", 0, 0, "http://a.my/contact.html", None, '<a href="tel:0322223333">c</a>', "Mobile 012-345 6789"),
+        (4, "site_contact", "", 0, 0, "http://a.my/other", 1, '<a href="tel:0377777777">c</a>', ""),
+        (5, "site_home", "", 0, 0, "http://b.my/", 2, "<p>Nothing</p>", None),
+        (6, "maps_place", "google_maps", 0, 0, "http://a.my/contact.html", None, '<a href="tel:0355555555">c</a>', ""),
+    ]
+    spark.createDataFrame(rows, CAPTURED_PAGES).write.parquet(f"{tmp_path}/p")
+    pages = read_captured(spark, f"{tmp_path}/p")
+    assert read_captured(spark, f"{tmp_path}/p", kind="site_contact").count() == 2
+    leads = conform_leads(spark.createDataFrame([(1, "A", "http://a.my"), (2, "B", "http://b.my"), (3, "C", "")],
+                                                "id long, name string, website string"), AS_OF)
+    out, results, metrics = flows.verify_flow(leads, pages, AS_OF)
+    got = {r["id"]: r for r in results.collect()}
+    assert sorted(got) == [1, 2] and got[2]["website_phone"] == ""
+    assert got[1]["all_phones"] == ["0322223333 (high)", "0123456789 (medium)"]
+    assert {r["id"]: r["website_phone2"] for r in out.collect()} == {1: "0123456789", 2: "", 3: ""}
+    assert (metrics.first()["checked"], metrics.first()["found"]) == (2, 1)
+
+
+def write(path, rows):
+    with open(path, "w", newline="", encoding="utf-8") as f:
+        csv.writer(f).writerows(rows)
+
+
 def test_import_csv_flow(spark, tmp_path):
-    p = tmp_path / "in.csv"
-    p.write_text("Company,Phone,Industry\nNew Co,0123456789,IT\nnew co.,1,\n,2,\nOther,,\n")
-    f = read_import_csv(spark, str(p))
+    write(tmp_path / "in.csv", [["Company", "Phone", "Industry"], ["New Co", "0123456789", "IT"], ["new co.", "1", ""],
+                                ["", "2", ""], ["Other", "", ""], ['Foo "Bar" Co', "N/A", "null"], ["NA", "3", "x"], ["a, b", " n/a ", "nan"]])
+    f = read_import_csv(spark, str(tmp_path / "in.csv"))
     leads = conform_leads(spark.createDataFrame([(5, "x")], "id long, name string"), AS_OF)
-    out, counts = flows.import_flow(f, leads, AS_OF)
+    out, counts, marks = flows.import_flow(f, leads, AS_OF, {"leads": 20})
     got = {r["name"]: r for r in out.collect()}
-    assert got["New Co"]["phone"] == "0123456789" and got["New Co"]["id"] == 6
-    assert got["Other"]["id"] == 7 and got["Other"]["session_id"] is None
-    c = counts.first()
-    assert (c["imported"], c["skipped"]) == (2, 2)
-
-
-def test_snapshot_commit(spark, tmp_path):
-    leads = empty_leads(spark)
-    p1 = flows.commit(leads, str(tmp_path))
-    p2 = flows.commit(leads, str(tmp_path))
-    assert p1 != p2 and os.path.isdir(p1) and os.path.isdir(p2)
-
-
-def test_streaming_runs(spark, tmp_path):
-    from leadloom.streaming.capture_runs import start
-    src = tmp_path / "pages"
-    captured(spark).write.parquet(str(src))
-    q = start(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ckpt"), '["tesla"]', AS_OF,
-              trigger_once=True)
-    q.awaitTermination(300)
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert got.count() == 3 and got.select(F.countDistinct("session_id")).first()[0] == 1
+    assert set(got) == {"x", "New Co", "Other", 'Foo "Bar" Co', "a, b"}
+    assert got["New Co"]["phone"] == "0123456789" and got["New Co"]["id"] == 21      # ids below the mark were given out
+    assert got["Other"]["id"] == 22 and got["Other"]["session_id"] is None
+    assert (got['Foo "Bar" Co']["phone"], got['Foo "Bar" Co']["phone_type"], got['Foo "Bar" Co']["category"]) == ("", "", "")
+    assert got["a, b"]["phone"] == "n/a"             # only exact spellings are missing
+    assert (counts.first()["imported"], counts.first()["skipped"]) == (4, 3) and marks["leads"] == 24
+
+
+def test_empty_file_imports_nothing(spark, tmp_path):
+    write(tmp_path / "in.csv", [["Company", "Phone"]])
+    c = import_counts(read_import_csv(spark, str(tmp_path / "in.csv")), empty_leads(spark)).first()
+    assert (c["imported"], c["skipped"]) == (0, 0)
+
+
+def test_rows_keep_file_order_across_files_and_splits(spark, tmp_path):
+    want = []
+    for k in range(3):
+        rows = [f"n{k}-{i:05d}" for i in range(4000)]
+        want += rows
+        write(tmp_path / f"part{k}.csv", [["Company"], *[[r] for r in rows]])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = read_import_csv(spark, str(tmp_path)).select("ord", "Company").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len({r["ord"] for r in got}) == len(want)
+    assert [r["Company"] for r in sorted(got, key=lambda r: r["ord"])] == want
+
+
+def test_export_round_trip(spark, tmp_path):
+    leads = conform_leads(spark.createDataFrame([(1, 'Foo "Bar", Co', "012", ""), (2, "B", "", "t")],
+                                                "id long, name string, phone string, tags string"), AS_OF)
+    MU.export_csv(leads.coalesce(1), str(tmp_path / "out"), columns=["name", "phone", "tags"])
+    text = next((tmp_path / "out").glob("part-*.csv")).read_text()
+    assert list(csv.reader(text.splitlines())) == [["name", "phone", "tags"], ['Foo "Bar", Co', "012", ""], ["B", "", "t"]]
+    assert '""' not in text.replace('""Bar""', "")
+    back = read_import_csv(spark, str(tmp_path / "out"))
+    assert sorted(r["name"] for r in back.collect()) == ["B", 'Foo "Bar", Co']
+
+
+def test_commits(spark, tmp_path):
+    root = str(tmp_path / "leads")
+    leads = lambda ids: conform_leads(spark.createDataFrame([(i, f"n{i}") for i in ids], "id long, name string"), AS_OF)
+    assert LD.current(spark, root) == (0, [], {})
+    with pytest.raises(FileNotFoundError):
+        LD.scan_leads(spark, root)
+    assert LD.commit(leads([1, 2, 3]), root, marks={"leads": 3}) == 1
+    first = LD.current(spark, root)[1]
+    assert LD.commit(leads([4]), root, append=True, marks={"leads": 4}) == 2
+    version, folders, marks = LD.current(spark, root)
+    assert version == 2 and folders[0] == first[0] and len(folders) == 2      # an append writes the new rows only
+    assert sorted(r["id"] for r in LD.scan_leads(spark, root).collect()) == [1, 2, 3, 4]
+    LD.commit(LD.scan_leads(spark, root).where("id < 4"), root, marks={"leads": 3})
+    assert sorted(r["id"] for r in LD.scan_leads(spark, root).collect()) == [1, 2, 3]
+    assert LD.current(spark, root)[2] == {"leads": 4}                          # marks never fall
+
+
+def test_ids_are_never_given_out_again(spark, tmp_path):
+    root = str(tmp_path / "leads")
+    sessions = spark.createDataFrame([], SESSIONS)
+    r = flows.collect_merge_save(spark, captured(spark), empty_leads(spark), sessions, ["google_maps"], "q", AS_OF, marks={})
+    LD.commit(r.leads, root, marks=r.marks)
+    stored = LD.scan_leads(spark, root)
+    kept, kept_sessions, _ = MU.delete_session(stored, r.sessions, 1)
+    LD.commit(kept, root)
+    again = flows.collect_merge_save(spark, captured(spark), LD.scan_leads(spark, root), kept_sessions, ["google_maps"], "q",
+                                     AS_OF, marks=LD.current(spark, root)[2])
+    n = stored.count()
+    assert [x["id"] for x in again.sessions.collect()] == [2]
+    assert sorted(x["id"] for x in again.new_leads.collect()) == list(range(n + 1, 2 * n + 1))
+    assert again.marks == {"leads": 2 * n, "sessions": 2}
+    tags = MU.add_tags(spark.createDataFrame([], TAGS), spark.createDataFrame([("a",)], "name string"), AS_OF, high_water=9)
+    assert [t["id"] for t in tags.collect()] == [10]
+    assert MU.seed_tags(spark, spark.createDataFrame([], TAGS), AS_OF).count() == 0 and MU.seed_tags(spark, None, AS_OF).count() == 5
+    assert [t["name"] for t in MU.list_tags(MU.delete_tag(MU.seed_tags(spark, None, AS_OF), "重要客戶")).collect()] == sorted(
+        ["已打電話", "有興趣", "不要再打", "待跟進"])

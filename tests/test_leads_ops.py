@@ -88,7 +88,7 @@ def test_blocklist(spark):
     kept = FL.not_blocked(df, blocklist_pattern(["ey "], keep_spaces=True))
     assert 1 in [r["ord"] for r in kept.collect()]
     assert FL.not_blocked(df, pat, enabled=False).count() == 6
-    e = entries_frame(spark, json.dumps([" a ", "", "  ", "b"]))
+    e = entries_frame(spark.createDataFrame([(json.dumps([" a ", "", "  ", "b"]),), (None,), ("[]",)], "value string"))
     assert [(r["pos"], r["entry"]) for r in e.orderBy("pos").collect()] == [(0, "a"), (3, "b")]
     assert entries_from_text(" x \n\n y\n") == ["x", "y"]
 

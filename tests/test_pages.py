@@ -9,16 +9,65 @@ def pages(spark, data, cols="page_id long, seed_no long, page_no long, html stri
     return spark.createDataFrame(data, cols)
 
 
-def test_place_links_first_seen_and_cap(spark):
+def feed(*links):
+    return '<div role="feed">' + "".join(f"<div><div>{x}</div></div>" for x in links) + "</div>"
+
+
+def test_place_links_first_seen_and_limit(spark):
     p = pages(spark, [
-        (1, 1, 1, '<a href="/maps/place/A">A</a><a href="/maps/place/B">B</a><a href="/x">x</a>'),
-        (2, 2, 1, '<a href="/maps/place/B">B</a><a href="/maps/place/C">C</a>'),
+        (1, 1, 1, feed('<a href="/maps/place/A">A</a>', "<a href='/maps/place/B'>B</a>", '<a href="/x">x</a>')),
+        (2, 2, 1, feed('<a href="/maps/place/B">B</a>', '<a href=/maps/place/C>C</a>')),
     ])
-    got = [r["href"] for r in LK.place_links(p, 10).collect()]
-    assert got == ["/maps/place/A", "/maps/place/B", "/maps/place/C"]
+    assert sorted(r["href"] for r in LK.place_links(p).collect()) == ["/maps/place/A", "/maps/place/B", "/maps/place/C"]
     assert [r["href"] for r in LK.place_links(p, 2).collect()] == ["/maps/place/A", "/maps/place/B"]
 
 
+def test_place_links_only_from_the_feed(spark):
+    inside = '<div><div><a href="/maps/place/in">x</a><span>y</span></div></div>'
+    p = pages(spark, [(1, 1, 1, '<a href="/maps/place/nav">n</a><div><div><a href="/maps/place/before">b</a></div></div>'
+                                "<div class='m' role=feed>" + '<a href="/maps/place/child">c</a>' + inside
+                                + '<div><div><div><a href="/maps/place/deep">d</a></div></div></div>' + inside.replace("/in", "/in2")
+                                + '</div><div><div><a href="/maps/place/after">a</a></div></div>')])
+    assert sorted(r["href"] for r in LK.place_links(p).collect()) == ["/maps/place/in", "/maps/place/in2"]
+
+
+def test_attribute_forms_and_entities(spark):
+    home = spark.createDataFrame([
+        (1, "http://a.my/x/y.html", "<a class=b href='/contact?a=1&amp;b=2'>Us</a>"),
+        (2, "http://b.my/x/y/", "<a href=../contact.html>Us</a>"),
+        (3, "http://c.my", "<!-- <a href='/contact-old'>Contact</a> --><script>'<a href=\"/contact-js\">Contact</a>'</script>"
+                           "<a title=\"href='/contact-no'>\" data-href='/contact-data' HREF=\"/contact&#45;us\"><b>Contact</b></a>"),
+        (4, "http://d.my/p?q#f", "<a href='//e.my/contact'>x</a>"),
+        (5, "http://f.my/a/b/c", "<a href='./../contact/./'>x</a>"),
+    ], "company_id long, url string, html string")
+    got = {r["company_id"]: r["contact_url"] for r in LK.contact_links(home).collect()}
+    assert got == {1: "http://a.my/contact?a=1&b=2", 2: "http://b.my/x/contact.html", 3: "http://c.my/contact-us",
+                   4: "http://e.my/contact", 5: "http://f.my/a/contact/"}
+
+
+def test_text_of_markup(spark):
+    from pyspark.sql import functions as F
+    from leadloom.functions import html as H
+    cases = {"Foo<br>Bar": "Foo\nBar", "<td>Tel 03-1234567</td><td>8899 units</td>": "Tel 03-1234567\n8899 units",
+             "a&nbsp;b &#233;&#xE9;&#x1F600; &amp;lt; &#38;gt; &lt;": "a\u00a0b éé\U0001F600 &lt; &gt; <", "<b>B</b>old <i>x</i>": "Bold x",
+             "<p>a<!-- <p>no --></p><style>.x{}</style><script>no()</script>": "a", "1 < 2 &#0; &#99999999;": "1 < 2 \ufffd &#99999999;",
+             "<span title='a > b'>x</span>": "x", None: "", "": ""}
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "html string, want string")
+    for r in df.select("html", "want", F.btrim(H.strip_tags(H.markup("html")), F.lit("\n")).alias("got")).collect():
+        assert r["got"] == r["want"], r["html"]
+
+
+def test_tel_links_that_wrap_blocks_and_fax_by_block(spark):
+    p = site(spark, [
+        (1, 1, "u", '<div>x</div><a href="tel:0312345678"><div>Call</div></a>', ""),
+        (2, 1, "u", '<p>Fax <a href="tel:0312345678"><div>here</div></a></p><p><a href=tel:0387654321>y</a></p>', ""),
+        (3, 1, "u", '<!-- <a href="tel:0312345678">c</a> --><a href=\'tel:0399998888\'>c</a>', ""),
+        (4, 1, "u", "<td>Tel 03-1234 5678</td><td>Level 8</td>", None),
+    ])
+    got = sorted((r["company_id"], r["phone"], r["confidence"]) for r in VF.company_phones(p).collect())
+    assert got == [(1, "0312345678", "high"), (2, "0387654321", "high"), (3, "0399998888", "high"), (4, "0312345678", "medium")]
+
+
 def test_directory_links(spark):
     p = pages(spark, [(1, 1, 1,
         '<a href="/companies/a?x=1"> Café A </a><a href="/companies/b">Write a review</a>'
@@ -28,7 +77,7 @@ def test_directory_links(spark):
     assert got == [("Caf A", "https://my.jobstreet.com/companies/a")]
     b = LK.directory_b_links(pages(spark, [(1, 1, 1, '<a href="/companies/z">z</a>'
                                                      '<a href="https://my.hiredly.com/companies/z">z</a>'
-                                                     '<a href="/companies?i=1">i</a>')]), 50)
+                                                     '<a href="/companies?i=1">i</a>')]))
     assert [r["url"] for r in b.collect()] == ["https://my.hiredly.com/companies/z"]
 
 
@@ -55,6 +104,23 @@ def test_label_fields_last_wins(spark):
     assert (r["website"], r["category"], r["company_size"], r["address"]) == ("http://a.my", "Retail", "", "KL  1")
 
 
+def test_label_fields_grow_with_the_lines(spark):
+    """Ten times the lines, no more than thirty times the time (it was a
+    hundred when every line cleaned the page again)."""
+    import time
+    def page(n):
+        return spark.createDataFrame([(i, "Industry\nIT\n" + "\n".join(f"line {k}  " for k in range(n))) for i in range(4)],
+                                     "page_id long, body_text string").coalesce(1)
+    def seconds(n):
+        df = EX.label_fields(page(n))
+        assert {r["category"] for r in df.collect()} == {"IT"}
+        t = time.perf_counter()
+        df.collect()
+        return time.perf_counter() - t
+    seconds(200)
+    assert seconds(4000) < 30 * max(seconds(400), 0.05)
+
+
 def test_company_profile(spark):
     body = "Companies\nLog In\nx\nAb\nAcme Sdn Bhd\n12 jobs\nSoftware\nOur Address\nKL\n \nLot 1, Jalan Ampang\nEnglish"
     html = '<a href="https://facebook.com/a">f</a><a href="/r">r</a><a href="https://acme.my">w</a>'
@@ -144,19 +210,3 @@ def test_text_phones_windows(spark):
     first = out[0]
     assert first[1] == "012-345 6789 " and first[2] == text[s - 60:s + len(first[1]) + 20]
     assert out[1][1] == "+6012 3456789" and len(out) == 2
-
-
-def test_verify_large_candidate_path(spark):
-    """Beyond the broadcast bound the result is the same (hits from all pages,
-    candidates kept by the final join)."""
-    from leadloom.schemas import conform_leads
-    import datetime as dt
-    leads = conform_leads(spark.createDataFrame(
-        [(1, "A", "http://a", ""), (2, "B", "http://b", ""), (3, "C", "", "")],
-        "id long, name string, website string, website_phone string"), dt.datetime(2026, 1, 1))
-    p = site(spark, [(1, 1, "http://a", '<a href="tel:0123456789">t</a>', ""),
-                     (3, 1, "http://c", '<a href="tel:0133456789">t</a>', "")])
-    cand = VF.website_candidates(leads, "all")
-    small = sorted((r["id"], r["website_phone"]) for r in VF.verify_websites(cand, p).collect())
-    large = sorted((r["id"], r["website_phone"]) for r in VF.verify_websites(cand, p, broadcast_max=0).collect())
-    assert small == large == [(1, "0123456789"), (2, "")]

@@ -2,26 +2,31 @@
 
 from leadloom.plans.catalog import q_best_two_phones, q_import_leads, q_search_leads
 
+SF = "/root/testdata/sf0.001"
+
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_import_never_shuffles_stored_leads(spark):
-    p = plan(q_import_leads(spark, "/root/testdata/sf0.001"))
-    # the leads side meets the (bounded) file keys through broadcast joins only
-    assert "BroadcastHashJoin" in p and "LeftSemi" in p and "LeftAnti" in p
-    assert "SortMergeJoin" not in p
+def test_import_reads_the_file_once(spark):
+    p = plan(q_import_leads(spark, SF))
+    assert p.count("FileScan parquet") == 4 and p.count("orders.parquet") == 1 and "LeftAnti" in p
+    assert "TakeOrdered" not in p
 
 
-def test_site_phones_shuffle_once(spark):
-    df = q_best_two_phones(spark, "/root/testdata/sf0.001")
-    df._jdf.queryExecution().executedPlan()
-    final = df._jdf.queryExecution().executedPlan().toString()
-    assert final.count("Exchange hashpartitioning(company_id") == 1
-    assert "Window" not in final
+def test_site_phones_reduce_before_the_shuffle(spark):
+    p = plan(q_best_two_phones(spark, SF))
+    assert "Window" not in p and "partial_min" in p and "RoundRobin" not in p
 
 
 def test_search_is_narrow(spark):
-    p = plan(q_search_leads(spark, "/root/testdata/sf0.001"))
+    p = plan(q_search_leads(spark, SF))
     assert "Exchange hashpartitioning" not in p and "Aggregate" not in p
+
+
+def test_building_a_query_reads_no_footer(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("build", "no job may run")
+    q_search_leads(spark, SF)
+    assert not sc.statusTracker().getJobIdsForGroup("build")
