@@ -2,7 +2,7 @@
 
 Words are runs of non-space bytes, unchanged. Every ``WINDOW`` consecutive
 words of one document are a window; a word goes if some window that covers it
-also starts anywhere else. Consecutive windows whose least 16-word hash (the
+also starts anywhere else. Consecutive windows whose least 8-word hash (the
 minimiser) sits at the same place form a super-k-mer:
 
 1. runs: every super-k-mer sends its minimiser and place, no text. Equal
@@ -34,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_column, blocks_for, mix64, private, reclaim, rolling, schema_ddl, stage, text_or_empty
+from .common import WordHashes, binary_column, blocks_for, mix64, private, reclaim, rolling, schema_ddl, stage, text_or_empty, unstage
 
 WINDOW = 35
-MMER = 16
+MMER = 8
+#: digests of strings a packing task remembers, to write each string once
+SEEN = 500_000
 HOT_VARIANTS = 2_000
 BUCKET_BYTES = 32 << 20
 
@@ -100,13 +102,13 @@ def runs(docs: DataFrame, window: int = WINDOW, mmer: int = MMER) -> DataFrame:
 
 
 def packs(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(m, _id, _t, s, ph, packed): the wanted super-k-mers as strings."""
-    per_row = (wanted.groupBy("_id", "_t").agg(F.collect_set(F.struct("m", "s", "n")).alias("runs"))
-               .withColumnsRenamed({"_id": "_rid", "_t": "_rt"}))
+    """(m, _id, _t, s, ph, packed): the wanted super-k-mers (_rid, _rt, runs)
+    as strings; a string that the task has written is null."""
     rows = _rows(docs)
-    both = rows.join(per_row, rows["_id"].eqNullSafe(per_row["_rid"]) & (rows["_t"] == per_row["_rt"])).drop("_rid", "_rt")
+    both = rows.join(wanted, rows["_id"].eqNullSafe(wanted["_rid"]) & (rows["_t"] == wanted["_rt"])).drop("_rid", "_rt")
 
     def run(batches):
+        seen: set[bytes] = set()
         for b in batches:
             m, at, s, ph, packed = [], [], [], [], []
             for i, (t, want) in enumerate(zip(binary_column(b, "text"), b.column("runs").to_pylist())):
@@ -116,8 +118,11 @@ def packs(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame
                     m.append(x["m"])
                     at.append(i)
                     s.append(x["s"])
-                    packed.append(text)
                     ph.append(hashlib.md5(text).digest())
+                    packed.append(None if ph[-1] in seen else text)
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(ph[-1])
             where = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_pydict({
                 "m": pa.array(m, pa.int64()), "_id": b.column("_id").take(where), "_t": b.column("_t").take(where),
@@ -148,7 +153,8 @@ def _split_hot(strings: DataFrame, window: int) -> DataFrame:
                 "first": pa.array(cols[2], pa.int32()), "packed": pa.array(cols[3], pa.binary()),
                 "weight": pa.array(cols[4], pa.int64())})
 
-    variants = strings.groupBy("m").agg((F.count(F.lit(1)) > HOT_VARIANTS).alias("hot")).where("hot")
+    # written, so that the planner knows its size: no shuffle of the strings while it is small
+    variants = stage(strings.groupBy("m").agg((F.count(F.lit(1)) > HOT_VARIANTS).alias("hot")).where("hot"), "hot")
     return (strings.join(variants, "m", "left").select(F.coalesce("hot", F.lit(False)).alias("hot"), "m", "ph", "packed", "weight")
             .mapInArrow(run, "key long, ph binary, first int, packed binary, weight long"))
 
@@ -221,10 +227,14 @@ def mark(docs: DataFrame, spans: str, window: int = WINDOW, mmer: int = MMER) ->
     spark = docs.sparkSession
     found = stage(runs(docs, window, mmer), "runs")
     often = found.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m")
-    wanted = found.join(often, "m", "left_semi")
+    wanted = stage(found.join(often, "m", "left_semi").groupBy(F.col("_id").alias("_rid"), F.col("_t").alias("_rt"))
+                   .agg(F.collect_set(F.struct("m", "s", "n")).alias("runs")), "wanted")
+    unstage(found)
+    reclaim(spark)
     packed = stage(packs(docs, wanted, window), "packs")
+    unstage(wanted)
     reclaim(spark)
-    strings = stage(packed.groupBy("ph").agg(F.first("m").alias("m"), F.first("packed").alias("packed"),
+    strings = stage(packed.groupBy("ph").agg(F.first("m").alias("m"), F.first("packed", ignorenulls=True).alias("packed"),
                                              F.count(F.lit(1)).alias("weight")), "strings")
     reclaim(spark)
     twice = repeated(strings, window)
@@ -234,6 +244,8 @@ def mark(docs: DataFrame, spans: str, window: int = WINDOW, mmer: int = MMER) ->
                                                 (x.b + F.col("s") + (window - 1)).alias("b"))).alias("spans"))
     per_row = stage(covered.groupBy("_rid", "_rt").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")),
                     "spans")
+    unstage(packed)
+    unstage(strings)
     reclaim(spark)
     own = private(docs)
     rows = docs.withColumn(f"{own}t", F.xxhash64(text_or_empty()))
