@@ -17,7 +17,8 @@ WITH base AS (
   SELECT 1 AS src_no, CAST(c_custkey AS BIGINT) AS k, 'google_maps' AS source FROM {customer}
   UNION ALL SELECT 2, CAST(s_suppkey AS BIGINT), 'jobstreet' FROM {supplier}
   UNION ALL SELECT 3, CAST(p_partkey AS BIGINT), 'hiredly'   FROM {part}),
-n AS (SELECT *, CAST((k * 7919) % 997 AS STRING) AS f, lpad(CAST((k * 31 + 17) % 10000000 AS STRING), 7, '0') AS d7 FROM base)
+n AS (SELECT *, CASE WHEN k % 10 = 9 THEN 'Megacorp' ELSE CAST((k * 7919) % 100003 AS STRING) END AS f,
+  lpad(CAST((k * 31 + 17) % 10000000 AS STRING), 7, '0') AS d7 FROM base)
 SELECT CAST(src_no AS BIGINT) * 1000000000 + k AS ord, source,
   CASE WHEN k % 223 = 5 THEN '' WHEN k % 211 = 7 THEN '!!!' WHEN k % 97 = 3 THEN 'Tesla Parts ' || f
        WHEN k % 6 = 0 THEN 'Firm ' || f || ' Sdn Bhd'  WHEN k % 6 = 1 THEN 'FIRM ' || f || ' SDN. BHD.'
@@ -54,11 +55,18 @@ SITE_PAGES_SQL = """
 WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS k, CAST((CAST(c_custkey AS BIGINT) * 7919) % 997 AS STRING) AS f,
   lpad(CAST((CAST(c_custkey AS BIGINT) * 31 + 17) % 10000000 AS STRING), 7, '0') AS d7 FROM {customer})
 SELECT k AS company_id, 1 AS page_ord, 'site_home' AS kind, 'http://firm' || f || '.example.com' AS url,
-  CASE WHEN k % 4 = 0 THEN '<p>Call <a href="tel:+6012' || d7 || '">us</a></p>'
-       WHEN k % 4 = 1 THEN '<p>Fax <a href="tel:031' || d7 || '">here</a></p>'
-       WHEN k % 4 = 2 THEN '<p>Chat <a href="https://wa.me/6012' || d7 || '">now</a></p>' ELSE '<p>Welcome</p>' END
-  || '<p><a href="/contact-us">Contact Us</a></p>' AS html,
-  CASE WHEN k % 3 = 0 THEN 'Our office 03-1' || d7 || ' is open daily from nine to five'
+  CASE WHEN k % 8 = 0 THEN '<p>Call <a href="tel:+6012' || d7 || '">us</a></p>'
+       WHEN k % 8 = 1 THEN '<p>Fax <a href="tel:031' || d7 || '">here</a></p>'
+       WHEN k % 8 = 2 THEN '<p>Chat <a href="https://wa.me/6012' || d7 || '">now</a></p>'
+       WHEN k % 8 = 3 THEN '<!-- <a href="tel:0399999999">old</a> --><script>var a = "<a href=tel:0388888888>x</a>";</script><p>Welcome</p>'
+       WHEN k % 8 = 4 THEN '<p>Hello</p><a href="tel:+6012' || d7 || '"><div>Call</div></a>'
+       WHEN k % 8 = 5 THEN '<p>Ring <a class=x href=' || chr(39) || 'tel:&#x2B;6012' || d7 || chr(39) || '>us</a></p>'
+       WHEN k % 8 = 6 THEN '<p>Chat <a href=https://wa.me/6012' || d7 || '?a=1&amp;b=2>now</a></p>'
+       ELSE '<table><tr><td>Tel 03-1' || d7 || '</td><td>8899 units</td></tr></table>' END
+  || CASE WHEN k % 3 = 0 THEN '<p><a href="/contact-us">Contact Us</a></p>'
+          WHEN k % 3 = 1 THEN '<p><a href=' || chr(39) || '/contact-us' || chr(39) || '>Contact&nbsp;Us</a></p>'
+          ELSE '<p><a href=/contact-us>Contact<br>Us</a></p>' END AS html,
+  CASE WHEN k % 7 = 0 THEN CAST(NULL AS STRING) WHEN k % 3 = 0 THEN 'Our office 03-1' || d7 || ' is open daily from nine to five'
        WHEN k % 3 = 1 THEN 'Tel: 03-1' || d7 || ' Fax: 03-2' || d7 ELSE 'Order 03-1' || d7 || ' widgets' END AS body_text
 FROM c
 UNION ALL
@@ -202,7 +210,8 @@ SELECT k AS page_id, 'https://www.google.com/maps/place/Firm+' || f AS url,
           WHEN k % 4 = 2 THEN '<button data-item-id="phone:tel:x" aria-label=""><div>012 ' || d7 || '</div></button>'
           ELSE '<button data-item-id="oh" aria-label="Phone: 03-' || d7 || '">hours</button>' END
   || CASE WHEN k % 3 = 0 THEN '<a data-item-id="authority" href="http://firm' || f || '.example.com">site</a>' ELSE '' END
-  || '<button data-item-id="address" aria-label="Address: No ' || CAST(k % 50 AS STRING) || ', Bangsar">a</button>'
+  || '<button data-item-id=address aria-label=' || chr(39) || 'Address: Lot 1 &amp; 2, No ' || CAST(k % 50 AS STRING)
+  || ', Bangsar' || chr(39) || '>a</button>'
   || '<button jsaction="pane.rating.category">' || CASE WHEN k % 2 = 0 THEN ' Restaurant ' ELSE 'IT company' END || '</button>'
   || CASE WHEN k % 5 = 0 THEN '' ELSE '<div class="F7nice "><span><span aria-hidden="true">4.' || CAST(k % 10 AS STRING) || '</span></span></div>' END
   || '</body></html>' AS html
