@@ -155,7 +155,8 @@ def sign(docs: DataFrame) -> DataFrame:
 def buckets(nodes: DataFrame) -> DataFrame:
     """(band, key, size) of the bands that several nodes share."""
     rows = nodes.where(F.col("bands").isNotNull()).select("key", F.explode("bands").alias("band"))
-    sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # written: with plain shuffles on both sides, Spark splits a hot band's join
+    sizes = stage(rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
     return rows.join(sizes, "band")
 
 
@@ -168,7 +169,7 @@ def central_links(shared: DataFrame) -> DataFrame:
     shares the most and largest buckets."""
     score = shared.groupBy("key").agg(F.sum(F.log("size")).alias("score"))
     scored = shared.join(score, "key")
-    centre = scored.groupBy("band").agg(F.max_by("key", F.struct("score", "key")).alias("centre"))
+    centre = stage(scored.groupBy("band").agg(F.max_by("key", F.struct("score", "key")).alias("centre")), "centres")
     return (shared.join(centre, "band").where(F.col("key") != F.col("centre"))
             .select(*_ordered(F.col("key"), F.col("centre"))).distinct())
 
@@ -251,15 +252,16 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # written: with plain shuffles on both sides, Spark splits a hot node's join
+        least = stage(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
         large = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.where("u != v").distinct(), "large")
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(small, "u")
         pulled = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stage(pulled.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        unstage(edges)
-        unstage(large)
+        for done in (edges, large, least, small):
+            unstage(done)
         edges = new
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
