@@ -5,7 +5,8 @@ website, address, category, tags 1 each), ties to the lowest id; delete the
 rest without merging fields. Leads with an empty key are kept untouched.
 
 Plan: one hash aggregation with map-side partial aggregation picks the winner
-id per key, and one semi-join on the unique ``id`` keeps the winners. A key
+id per key, and one join on the unique ``id`` keeps the winners (an inner join:
+a semi-join would be pushed into the branches of a union and repeated there). A key
 holding a third of all rows is reduced map-side to one candidate per task, so
 no task ever sorts or holds a whole group. Nothing runs while the plan is built.
 """
@@ -47,10 +48,11 @@ def _winners(leads: DataFrame) -> DataFrame:
 def dedupe_removed(leads: DataFrame) -> DataFrame:
     """Leads the de-duplication deletes (id and key); ``count()`` is the
     number deleted."""
-    gone = leads.select("id", "name").join(_winners(leads), "id", "left_anti")
+    kept = _winners(leads).withColumn("_kept", F.lit(True))
+    gone = leads.select("id", "name").join(kept, "id", "left").where("_kept is null")
     return gone.select("id", name_key("name").alias("name_key"))
 
 
 def dedupe_leads(leads: DataFrame) -> DataFrame:
     """Leads after de-duplication (same columns)."""
-    return leads.join(_winners(leads), "id", "left_semi")
+    return leads.join(_winners(leads), "id").select(*leads.columns)

@@ -18,9 +18,12 @@ from ..functions.text import clean_line
 
 
 def exploded_anchors(pages: DataFrame, keep=("seed_no", "page_no"), of=anchors) -> DataFrame:
-    """(keep..., pos, inner, href) per anchor."""
-    a = pages.select(*keep, F.posexplode(of(markup("html"))).alias("pos", "a"))
-    return a.select(*keep, "pos", F.col("a.inner").alias("inner"), attr(F.col("a.attrs"), "href").alias("href"))
+    """(keep..., pos, href, text) per anchor. Both are computed before the
+    explode, so that filters on them find finished columns."""
+    def link(a):
+        return F.struct(attr(a.attrs, "href").alias("href"), inner_text(a.inner).alias("text"))
+    a = pages.select(*keep, F.posexplode(F.transform(of(markup("html")), link)).alias("pos", "a"))
+    return a.select(*keep, "pos", "a.href", "a.text")
 
 
 def _first_seen(df: DataFrame, key: str, order=("seed_no", "page_no", "pos"), carry=()) -> DataFrame:
@@ -46,7 +49,7 @@ def directory_a_links(result_pages: DataFrame, base: str = DIR_A_BASE) -> DataFr
     non-ASCII removed; skip fixed non-names, names shorter than 2 and
     '/companies?' hrefs; absolute URL cut at '?'; first-seen per URL."""
     a = exploded_anchors(result_pages).where(F.col("href").contains("/companies/"))
-    a = a.withColumn("name", clean_line(inner_text("inner")))
+    a = a.withColumn("name", clean_line("text"))
     a = a.where(~F.lower("name").isin(DIR_A_SKIP_NAMES) & (F.length("name") >= 2)
                 & ~F.col("href").contains("/companies?"))
     absolute = F.when(F.col("href").startswith("http"), F.col("href")).otherwise(
@@ -83,7 +86,7 @@ def contact_links(home_pages: DataFrame, key: str = "company_id") -> DataFrame:
     contact/hubungi. Pages without one yield no row; when the first accepted
     link has an empty href there is no contact page (``contact_url`` NULL)."""
     a = exploded_anchors(home_pages, keep=(key, "url"))
-    text = F.lower(inner_text("inner"))
+    text = F.lower("text")
     href = F.col("href")
     hl = F.lower(href)
     candidate = (_any_contains(href, CONTACT_HREF_HINTS)

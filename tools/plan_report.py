@@ -11,7 +11,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from leadloom.plans.catalog import QUERIES  # noqa: E402
 from leadloom.session import get_spark  # noqa: E402
 
 
@@ -36,9 +36,12 @@ def summarise(plan: str) -> dict:
 def main():
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     spark = get_spark("plan-report")
-    qs = E.queries()
+    # as on large tables: no side is small enough to be broadcast by its size
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    qs = QUERIES
     lines = ["# PLANS", "",
-             f"Physical plans of every registered query (`tools/plan_report.py`, {sf}, AQE initial plan).",
+             f"Physical plans of the lead engine's queries (`tools/plan_report.py`, {sf}, AQE initial plan,",
+             "automatic broadcasts off, as on tables too large for them).",
              "Counts per plan: shuffles (hash/range/round-robin exchanges), broadcast exchanges, hash /",
              "object-hash / sort aggregates, broadcast-hash / sort-merge / shuffled-hash joins, windows,",
              "generators (explode), bounded top-k (TakeOrderedAndProject), Parquet scans, scans with pushed",
