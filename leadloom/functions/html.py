@@ -138,40 +138,44 @@ def feed_anchors(c) -> Column:
     return F.filter(F.transform(inside, lambda x: F.get(anchors(x.p), 0)), lambda a: a.isNotNull())
 
 
-def origin(url) -> Column:
-    """scheme://authority of an absolute URL ('' if none)."""
-    return F.regexp_extract(blank(url), r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)", 1)
+# scheme://authority of an absolute URL
+ORIGIN_RE = r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*)"
 
 
 def _without_dots(url: Column) -> Column:
     """Dot segments of the path resolved ('.' dropped, '..' takes the segment
     before it)."""
-    org = origin(url)
-    rest = F.substring(url, F.length(org) + 1, F.length(url))
-    path = F.regexp_extract(rest, r"^([^?#]*)", 1)
-    tail = F.substring(rest, F.length(path) + 1, F.length(rest))
     empty = F.array().cast("array<string>")
-    parts = F.split(path, "/")
-    kept = F.aggregate(parts, empty, lambda acc, s: F.when(s == ".", acc)
-                       .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
-                       .otherwise(F.concat(acc, F.array(s))))
-    end = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
-    return F.when(path.rlike(r"/\.{1,2}(?:/|$)"), F.concat(org, F.array_join(kept, "/"), end, tail)).otherwise(url)
+
+    def joined(x):                       # origin, path, rest
+        kept = F.aggregate(F.split(x.path, "/"), empty, lambda acc, s: F.when(s == ".", acc)
+                           .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
+                           .otherwise(F.concat(acc, F.array(s))))
+        end = F.when(x.path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+        return F.concat(x.org, F.array_join(kept, "/"), end, x.tail)
+
+    def resolved(u):
+        if_dots = let(F.struct(F.regexp_extract(u, ORIGIN_RE, 1).alias("org"),
+                               F.regexp_extract(u, ORIGIN_RE + r"([^?#]*)", 2).alias("path"),
+                               F.regexp_extract(u, r"([?#].*)$", 1).alias("tail")), joined)
+        return F.when(u.rlike(r"^[^?#]*/\.{1,2}(?:[/?#]|$)"), if_dots).otherwise(u)
+
+    return let(url, resolved)
 
 
 def resolve_url(base, href) -> Column:
     """Resolve ``href`` against ``base`` (absolute, scheme-relative,
     root-relative, query, fragment and path-relative forms)."""
-    b, h = blank(base), blank(href)
-    scheme = F.regexp_extract(b, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1)
-    org = origin(b)
-    no_frag = F.regexp_replace(b, "#.*$", "")
-    no_query = F.regexp_replace(no_frag, r"\?.*$", "")
-    path_dir = F.regexp_extract(no_query, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(?:/[^?#]*/)?)", 1)
-    dir_ = F.when(path_dir.endswith("/"), path_dir).otherwise(F.concat(path_dir, F.lit("/")))
-    return (F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h)
-            .when(h == "", b)
-            .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("?"), F.concat(no_query, h))
-            .when(h.startswith("#"), F.concat(no_frag, h))
-            .otherwise(_without_dots(F.when(h.startswith("/"), F.concat(org, h)).otherwise(F.concat(dir_, h)))))
+    def resolved(x):                     # base without fragment, and without query
+        h, directory = x.h, F.regexp_extract(x.path, r"^([a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(?:/[^?#]*/)?)", 1)
+        return (F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), h)
+                .when(h == "", x.b)
+                .when(h.startswith("//"), F.concat(F.regexp_extract(x.b, r"^([a-zA-Z][a-zA-Z0-9+.\-]*):", 1), F.lit(":"), h))
+                .when(h.startswith("?"), F.concat(x.path, h))
+                .when(h.startswith("#"), F.concat(x.page, h))
+                .when(h.startswith("/"), _without_dots(F.concat(F.regexp_extract(x.b, ORIGIN_RE, 1), h)))
+                .otherwise(_without_dots(F.concat(F.regexp_replace(directory, "/$", ""), F.lit("/"), h))))
+
+    b = blank(base)
+    return let(F.struct(b.alias("b"), blank(href).alias("h"), F.regexp_replace(b, "#.*$", "").alias("page"),
+                        F.regexp_replace(b, r"[?#].*$", "").alias("path")), resolved)

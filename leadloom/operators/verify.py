@@ -101,7 +101,8 @@ def tel_array(html) -> Column:
         raw = lambda t: F.replace(F.replace(t.href, F.lit("tel:"), F.lit("")), F.lit("%20"), F.lit(""))
         hits = F.transform(tels, lambda t: _hit(1, bi.cast("bigint") * 100000 + t.ai, raw(t), F.lit("high")))
         return F.when(b.contains("tel:") & ~is_fax_context(strip_tags(b)), hits).otherwise(_none())
-    return F.flatten(F.transform(blocks(html), per_block))
+    # most pages hold no tel link and are not taken apart
+    return F.when(F.col(html).contains("tel:"), F.flatten(F.transform(blocks(html), per_block))).otherwise(_none())
 
 
 def chat_array(html) -> Column:
@@ -116,7 +117,10 @@ def chat_array(html) -> Column:
                                                               attr(a.attrs, "href").alias("href")))
     hits = F.transform(F.filter(hrefs, hinted),
                        lambda t: _hit(2, t.ai, F.regexp_extract(t.href, CHAT_PHONE_RE, 1), F.lit("high")))
-    return F.filter(hits, lambda h: h.raw != "")
+    some = F.lit(False)
+    for h in CHAT_HINTS:
+        some = some | F.col(html).contains(h)
+    return F.when(some, F.filter(hits, lambda h: h.raw != "")).otherwise(_none())
 
 
 def window_matches(text) -> Column:
@@ -237,11 +241,11 @@ def captured_site_pages(pages: DataFrame) -> DataFrame:
 def verify_websites(candidates: DataFrame, pages: DataFrame, page_key: str = "company_id") -> DataFrame:
     """One result row per checkable candidate (empty fields when nothing was
     found), like the website_phones schema. One lazy plan at every size: pages
-    of other companies go by a semi-join on the ids (broadcast only where the
+    of other companies go by a join on the ids (broadcast only where the
     planner finds the ids small), hits are reduced, and a left join from the
     ids adds the candidates without a hit."""
     ids = checkable(candidates).select("id")
-    own = pages.join(ids.select(F.col("id").alias(page_key)), page_key, "left_semi")
+    own = pages.join(ids.select(F.col("id").alias(page_key)), page_key)     # ids are unique
     found = best_two(company_phones(own, page_key), page_key)
     empty = F.lit("")
     return (ids.join(found, "id", "left")

@@ -35,6 +35,6 @@ def read_captured(spark: SparkSession, path: str, kind: str | None = None,
 
 def newest(pages: DataFrame, *keys: str) -> DataFrame:
     """Of the captures that agree on ``keys``, the one with the highest
-    page_id. Only the narrow (keys, page_id) rows are aggregated."""
+    page_id (unique). Only the narrow (keys, page_id) rows are aggregated."""
     last = pages.groupBy(*keys).agg(F.max("page_id").alias("page_id")).select("page_id")
-    return pages.join(last, "page_id", "left_semi")
+    return pages.join(last, "page_id").select(*pages.columns)
