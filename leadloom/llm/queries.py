@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bagminhash, decontam, fracsketch, langid, packing, sharding, sitequality, suffixtree, superkmer, warc
 from .common import table
+from .oracles import ORACLES
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +63,5 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_bagminhash": op10_bagminhash,
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES"]
