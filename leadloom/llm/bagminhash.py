@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, WordHashes, binary_column, mix64, private, rolling, stage, text_or_empty, unstage
+from .common import U64, WordHashes, binary_column, map_arrow, mix64, private, rolling, stage, text_or_empty, unstage
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -146,7 +146,7 @@ def sign(docs: DataFrame) -> DataFrame:
                                               "bands": pa.array(bands, pa.list_(pa.int64()))})
 
     rows = docs.select("doc_id", text_key().alias("key"), "text")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>")
+    return map_arrow(rows, run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key binary, bands array<long>")
 
 
 # ------------------------------------------------------------------ candidates
@@ -206,7 +206,7 @@ def bags_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"key": b.column("key"), "h": pa.array(h, pa.binary()),
                                               "w": pa.array(w, pa.binary())})
 
-    return texts.mapInArrow(run, "key binary, h binary, w binary")
+    return map_arrow(texts, run, "key binary, h binary, w binary")
 
 
 def likeness(ha: np.ndarray, wa, hb: np.ndarray, wb) -> float:
@@ -237,7 +237,7 @@ def verified(links: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) ->
                   for p, q, r, s in zip(*cols)]
             yield pa.RecordBatch.from_pydict({"a": b.column("a"), "b": b.column("b")}).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return map_arrow(both, run, "a binary, b binary")
 
 
 # ------------------------------------------------------------------ components

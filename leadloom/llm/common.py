@@ -70,6 +70,35 @@ def schema_ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
+#: rows of an Arrow batch: rows are whole documents, so a batch is a few MB
+BATCH_ROWS = 1000
+
+
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps its Python workers for
+    later tasks, other operators' among them."""
+    import ctypes
+    import gc
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(rows: DataFrame, run, schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of at most ``BATCH_ROWS`` rows (a setting of
+    the session, lowered where it is larger); a task that ends gives its memory
+    back."""
+    def whole(batches):
+        yield from run(batches)
+        release()
+
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return rows.mapInArrow(whole, schema)
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
@@ -95,7 +124,7 @@ class WordHashes(dict):
     """word -> 64-bit hash, computed once per distinct word; emptied when it
     holds ``limit`` words, which changes speed only, never a value."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, private, schema_ddl
+from .common import binary_column, map_arrow, private, schema_ddl
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
@@ -241,7 +241,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                                         pa.array(items, pa.list_(pa.string())), pa.array(hits, span))))
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-        out = out.mapInArrow(run, schema)
+        out = map_arrow(out, run, schema)
     return out
 
 
@@ -290,7 +290,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             cols = {c: b.column(c) for c in names} | {"text": pa.array(new, pa.string())}
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
-    out = m.mapInArrow(run, schema_ddl(docs))
+    out = map_arrow(m, run, schema_ddl(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import private, schema_ddl
+from .common import map_arrow, private, schema_ddl
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -214,7 +214,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "do
             yield pa.RecordBatch.from_pydict({"l": pa.array([o[0] for o in out], pa.string()),
                                               "w": pa.array([o[1] for o in out], pa.binary())})
 
-    got = sorted((r["l"], bytes(r["w"])) for r in chosen.mapInArrow(sample, "l string, w binary").collect())
+    got = sorted((r["l"], bytes(r["w"])) for r in map_arrow(chosen, sample, "l string, w binary").collect())
     if not got:
         return net
     x = np.concatenate([windows_of(w) for _, w in got])
@@ -245,7 +245,7 @@ def identify(docs: DataFrame, net: ByteCNN, text: str = "text", pred: str = "lan
             cols = [b.column(c) for c in names] + [pa.array(lang, pa.string()), pa.array(p, pa.float64())]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, pred, score])
 
-    return flagged.mapInArrow(run, schema)
+    return map_arrow(flagged, run, schema)
 
 
 def train_rows(docs: DataFrame) -> DataFrame:

@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import binary_column, stage
+from .common import binary_column, map_arrow, stage
 
 CAPACITY = 1024
 END_ID = 2
 #: distinct text chunks whose ids a worker keeps (memory only; ids don't change)
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 300_000
 PUNCTUATION = ".,;:!?"
 
 
@@ -111,6 +111,11 @@ class ChunkEncoder:
         self.chunks = _Chunks(_Words(bpe.encode_ordinary), regex.compile(public_tokenizers.PATTERN).findall)
         self.odd_space = regex.compile(r" (?=\s|$)").search
 
+    def forget(self) -> None:
+        """Empty the caches (at the end of a task)."""
+        self.chunks.clear()
+        self.chunks.words.clear()
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of ``text``, end id not included."""
         if self.odd_space(text):
@@ -175,8 +180,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             if with_ids:
                 out["ids"] = pa.array(held, pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pydict(out)
+        enc.forget()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, schema)
 
 
 # ------------------------------------------------------------------ the plan
@@ -293,4 +299,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
                 cols["ids"] = b.column("ids")
             yield pa.RecordBatch.from_pydict(cols)
 
-    return ranked.mapInArrow(place, fields)
+    return map_arrow(ranked, place, fields)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage, text_or_empty
+from .common import map_arrow, stage, text_or_empty
 
 SHARDS = 40
 CRATES_PER_SHARD = 256
@@ -198,7 +198,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             "g": pa.array([g[i] for i in order], pa.binary()), "task": pa.array([task] * len(g)),
             "crate": pa.array(box[order]), "before": pa.array(at), "n": pa.array(n[order]), "bytes": pa.array(size[order])})
 
-    boxed = stage(groups.mapInArrow(crate, "g binary, task string, crate long, before long, n long, bytes long"), "crates")
+    boxed = stage(map_arrow(groups, crate, "g binary, task string, crate long, before long, n long, bytes long"), "crates")
     # at most two crates per capacity and one open crate per task
     crates = boxed.groupBy("task", "crate").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).toPandas()
     crates = crates.sort_values(["bytes", "n", "task", "crate"], ascending=[False, False, True, True], ignore_index=True)

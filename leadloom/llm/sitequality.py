@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, stage
+from .common import binary_column, map_arrow, stage
 from .decontam import words_of
 
 SAMPLE = 8_000
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Evide
                 "ids": pa.array([i.tobytes() for _, i in rows], pa.binary())})
 
     got = sorted((bytes(r["shape"]), bytes(r["ids"]), r["q"], r["t"]) for r in
-                 chosen.mapInArrow(run, "q int, t int, shape binary, ids binary").collect())
+                 map_arrow(chosen, run, "q int, t int, shape binary, ids binary").collect())
     rows = [(np.frombuffer(s), np.frombuffer(i, dtype=np.int32)) for s, i, _, _ in got]
     quality, toxic = Evidence(1.0), Evidence(0.0)
     quality.fit(rows, np.array([float(g[2]) for g in got]))
@@ -162,7 +162,7 @@ def evidence(docs: DataFrame, quality: Evidence, toxic: Evidence, host: Column,
                                               "worded": pa.array(worded), "q": pa.array(q), "t": pa.array(t)})
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {id_type}, host string, path string, worded boolean, q double, t double")
+    return map_arrow(rows, run, f"doc_id {id_type}, host string, path string, worded boolean, q double, t double")
 
 
 def _strength(mean: float, spread: float | None, noise: float | None) -> float:
@@ -182,7 +182,8 @@ def site_rates(rows: DataFrame, value: str) -> tuple[DataFrame, dict]:
     mean = min(1 - 1e-6, max(1e-6, mean))
     rate = F.col("sh") / F.col("nh")
     h = hosts.agg(F.avg((rate - mean) ** 2), F.avg(F.lit(mean * (1 - mean)) / F.col("nh"))).first()
-    both = paths.join(hosts, "host")
+    # written: used three times, and its join with the rows is then one of plain shuffles that Spark can split
+    both = stage(paths.join(hosts, "host"), "sites")
     p = both.agg(F.avg((F.col("sp") / F.col("np") - rate) ** 2), F.avg(rate * (1 - rate) / F.col("np"))).first()
     return both, {"n": n, "mean": mean, "host": _strength(mean, *h), "path": _strength(mean, *p)}
 

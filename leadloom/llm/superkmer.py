@@ -34,14 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, binary_column, blocks_for, mix64, private, reclaim, rolling, schema_ddl, stage, text_or_empty, unstage
+from .common import (WordHashes, binary_column, blocks_for, map_arrow, mix64, private, reclaim, rolling, schema_ddl, stage,
+                     text_or_empty, unstage)
 
 WINDOW = 35
 MMER = 8
 #: digests of strings a packing task remembers, to write each string once
 SEEN = 500_000
 HOT_VARIANTS = 2_000
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 
 
 def super_kmers(h: np.ndarray, window: int = WINDOW, mmer: int = MMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,7 +99,7 @@ def runs(docs: DataFrame, window: int = WINDOW, mmer: int = MMER) -> DataFrame:
                 "n": pa.array(np.concatenate(n).astype(np.int32))})
 
     id_type = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"m long, _id {id_type}, _t long, s int, n int")
+    return map_arrow(rows, run, f"m long, _id {id_type}, _t long, s int, n int")
 
 
 def packs(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -129,7 +130,7 @@ def packs(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame
                 "s": pa.array(s, pa.int32()), "ph": pa.array(ph, pa.binary()), "packed": pa.array(packed, pa.binary())})
 
     id_type = rows.schema["_id"].dataType.simpleString()
-    return both.mapInArrow(run, f"m long, _id {id_type}, _t long, s int, ph binary, packed binary")
+    return map_arrow(both, run, f"m long, _id {id_type}, _t long, s int, ph binary, packed binary")
 
 
 def _split_hot(strings: DataFrame, window: int) -> DataFrame:
@@ -155,8 +156,8 @@ def _split_hot(strings: DataFrame, window: int) -> DataFrame:
 
     # written, so that the planner knows its size: no shuffle of the strings while it is small
     variants = stage(strings.groupBy("m").agg((F.count(F.lit(1)) > HOT_VARIANTS).alias("hot")).where("hot"), "hot")
-    return (strings.join(variants, "m", "left").select(F.coalesce("hot", F.lit(False)).alias("hot"), "m", "ph", "packed", "weight")
-            .mapInArrow(run, "key long, ph binary, first int, packed binary, weight long"))
+    flagged = strings.join(variants, "m", "left").select(F.coalesce("hot", F.lit(False)).alias("hot"), "m", "ph", "packed", "weight")
+    return map_arrow(flagged, run, "key long, ph binary, first int, packed binary, weight long")
 
 
 def count_windows(packed: list[bytes], weight: np.ndarray, window: int) -> list[np.ndarray]:
@@ -218,7 +219,7 @@ def repeated(strings: DataFrame, window: int = WINDOW) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"ph": pa.array(out_ph, pa.binary()), "spans": pa.array(
             out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
 
-    return dealt.mapInArrow(run, "ph binary, spans array<struct<a:int,b:int>>")
+    return map_arrow(dealt, run, "ph binary, spans array<struct<a:int,b:int>>")
 
 
 def mark(docs: DataFrame, spans: str, window: int = WINDOW, mmer: int = MMER) -> DataFrame:
@@ -226,10 +227,12 @@ def mark(docs: DataFrame, spans: str, window: int = WINDOW, mmer: int = MMER) ->
     repeated windows cover (overlapping, any order; null where there are none)."""
     spark = docs.sparkSession
     found = stage(runs(docs, window, mmer), "runs")
-    often = found.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m")
+    # written, so that both sides of the join are plain shuffles and a hot minimiser can be split
+    often = stage(found.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("m"), "often")
     wanted = stage(found.join(often, "m", "left_semi").groupBy(F.col("_id").alias("_rid"), F.col("_t").alias("_rt"))
                    .agg(F.collect_set(F.struct("m", "s", "n")).alias("runs")), "wanted")
     unstage(found)
+    unstage(often)
     reclaim(spark)
     packed = stage(packs(docs, wanted, window), "packs")
     unstage(wanted)
@@ -242,7 +245,7 @@ def mark(docs: DataFrame, spans: str, window: int = WINDOW, mmer: int = MMER) ->
         F.col("_id").alias("_rid"), F.col("_t").alias("_rt"),
         F.transform("spans", lambda x: F.struct((x.a + F.col("s")).alias("a"),
                                                 (x.b + F.col("s") + (window - 1)).alias("b"))).alias("spans"))
-    per_row = stage(covered.groupBy("_rid", "_rt").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")),
+    per_row = stage(covered.groupBy("_rid", "_rt").agg(F.flatten(F.collect_list("spans")).alias("spans")),
                     "spans")
     unstage(packed)
     unstage(strings)
@@ -283,7 +286,7 @@ def report(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                                               "n_removed": pa.array(r, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return marked.mapInArrow(run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
+    return map_arrow(marked, run, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string")
 
 
 def without(text: bytes, off: np.ndarray) -> bytes:
@@ -316,5 +319,5 @@ def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             cols = {c: b.column(c) for c in names} | {"text": pa.array(new, pa.string())}
             yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
-    out = marked.mapInArrow(run, schema_ddl(docs))
+    out = map_arrow(marked, run, schema_ddl(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out

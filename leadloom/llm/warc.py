@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage
+from .common import map_arrow, shared_dir, stage
 
 BLOCK_LINES = 1000
 MAX_FILE_BYTES = 1 << 30
@@ -174,7 +174,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
                 out.close()
 
     make_folder(folder)
-    return stage(rows.mapInArrow(run, "key string, page_id long, file string, offset long, length long"), "captures")
+    return stage(map_arrow(rows, run, "key string, page_id long, file string, offset long, length long"), "captures")
 
 
 def make_folder(folder: str) -> None:
@@ -222,7 +222,7 @@ class CaptureIndex:
                 d.write("".join(blocks).encode())
             yield pa.RecordBatch.from_pydict({"first": [first], "file": [name]})
 
-        found = stage(ordered.mapInArrow(run, "first string, file string"), "index")
+        found = stage(map_arrow(ordered, run, "first string, file string"), "index")
         # one row per index file
         return cls(folder, sorted((r["first"], r["file"]) for r in found.collect()))
 
@@ -273,10 +273,10 @@ class CaptureIndex:
             if source is not None:
                 source.close()
 
-        wanted = urls.select(F.col(column).alias("url")).distinct().mapInArrow(keys, "key string").distinct()
-        routed = wanted.mapInArrow(route, "key string, index string")
-        return (routed.repartition("index").sortWithinPartitions("index", "key")
-                .mapInArrow(find, "key string, page_id long, file string, offset long, length long"))
+        wanted = map_arrow(urls.select(F.col(column).alias("url")).distinct(), keys, "key string").distinct()
+        routed = map_arrow(wanted, route, "key string, index string")
+        sorted_keys = routed.repartition("index").sortWithinPartitions("index", "key")
+        return map_arrow(sorted_keys, find, "key string, page_id long, file string, offset long, length long")
 
     def read(self, captures: DataFrame, with_payload: bool = False) -> DataFrame:
         """The records of the given captures by range reads: page_id, url,
@@ -303,7 +303,7 @@ class CaptureIndex:
                 source.close()
 
         places = captures.select("file", "offset", "length")
-        return places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, schema)
+        return map_arrow(places.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset"), run, schema)
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> CaptureIndex:
