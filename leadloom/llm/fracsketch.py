@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import text_or_empty
+from .common import stage, text_or_empty
 
 SHINGLE = 5
 SCALE = 8
 HASH_BITS = 48
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 
 
 def words(text: Column) -> Column:
@@ -99,6 +99,8 @@ def with_next(docs: DataFrame, carry: dict[str, Column]) -> DataFrame:
     to = to.crossJoin(F.broadcast(last)).select("_own", F.coalesce("_before", "_last").alias("_before"))
     heads = firsts.join(to, firsts["_block"] == to["_own"]).select(
         F.col("_own").alias("_hb"), F.col("f.doc_id").alias("_hid"), F.col("f._tie").alias("_ht"), "_before")
+    # written, so that the planner knows its size: the texts move for this join only where it is large
+    heads = stage(heads, "heads")
     # each row to its own block, the head of a block to the one before as well
     joined = rows.join(heads, (rows["_block"] == heads["_hb"]) & rows["doc_id"].eqNullSafe(heads["_hid"]) & (rows["_tie"] == heads["_ht"]), "left")
     own = F.struct(F.col("_block").alias("b"), F.lit(0).alias("guard"))
