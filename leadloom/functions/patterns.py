@@ -65,8 +65,6 @@ IMPORT_RENAMES = [("company", "name"), ("company_name", "name"), ("company name"
                   ("Company", "name"), ("Company Name", "name"), ("Phone", "phone"),
                   ("Website", "website"), ("Address", "address"),
                   ("Industry", "category"), ("Category", "category")]
-# Rows an import considers when the caller asks for the usual limit
-USUAL_IMPORT_ROWS = 50_000
 # Cell texts that a spreadsheet reader takes as missing
 MISSING_CELLS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND",
                  "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]

@@ -121,7 +121,7 @@ def q_phone_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- dedupe
 
-from ..operators.dedupe import dedupe_leads, dedupe_removed, completeness  # noqa: E402
+from ..operators.dedupe import dedupe_leads, dedupe_removed  # noqa: E402
 from ..sources.leads import fixture_leads, marks_after  # noqa: E402
 
 _DEDUPE = [O.LEADS_VIEW,
