@@ -252,16 +252,15 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         near = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # written: with plain shuffles on both sides, Spark splits a hot node's join
-        least = stage(near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+        least = near.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = near.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stage(large.where("u != v").distinct(), "large")
-        small = stage(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")
         pulled = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = stage(pulled.union(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        for done in (edges, large, least, small):
-            unstage(done)
+        unstage(edges)
+        unstage(large)
         edges = new
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
