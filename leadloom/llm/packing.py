@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import binary_column, map_arrow, stage
+from .common import map_arrow, stage
 
 CAPACITY = 1024
 END_ID = 2

@@ -5,23 +5,24 @@ words before a symbol. The tree's root is the smoothed unigram distribution; a
 context of ``d`` words becomes a node if
 
 * it occurs with at least the share ``P_MIN`` of all training symbols, so each
-  depth has at most ``1 / P_MIN`` nodes whatever the corpus, and
+  depth has at most ``1 / P_MIN`` candidates whatever the corpus,
+* its parent (the context without its oldest word) is a node, and the context
+  without its newest word was a candidate, and
 * the Kullback-Leibler divergence of its next-symbol distribution from its
-  parent's (the context without its oldest word, itself a node) is at least
-  ``DIVERGENCE`` nats.
+  parent's is at least ``DIVERGENCE`` nats.
 
-A node's distribution is absolutely discounted: a symbol seen n >= 2 times
-after the context has (n - DISCOUNT) / total, and the rest of the mass follows
-the parent. A text is scored symbol by symbol at the deepest node that is a
-suffix of what came before.
+A node stores the symbols that follow it twice or more and with a share of at
+least ``GAMMA``. A stored symbol seen n times has (n - DISCOUNT) / total; the
+rest of the mass follows the parent. A text is scored symbol by symbol at the
+deepest node that is a suffix of what came before.
 
 Scale: texts are read once and coded into blocks of about ``BLOCK_BYTES``
 (integer ids, a vocabulary per block). Blocks then ask for what they need: one
-row per distinct word, and one per distinct (context, symbol) whose context can
-be a node, and join the counts gathered from all blocks; nothing is as large as
-the corpus in one place. A frequent word is one row per block, so no key holds
-more rows than there are blocks. Only the nodes' escape masses (bounded by
-``P_MIN``) go to the driver and back to the tasks.
+row per distinct word, and, a depth at a time, one per distinct (context,
+symbol) that can be stored; these join the counts gathered from all blocks.
+Nothing is as large as the corpus in one place, and a frequent word or pair is
+one row per block. Only candidates and nodes (bounded by ``P_MIN``) go to the
+driver and back to the tasks.
 
 Edge cases: null and empty texts are the end alone; a null id counts as held
 out (its text form is empty); repeated rows are scored and counted each; without
@@ -40,10 +41,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, binary_column, mix64, reclaim, stage
+from .common import U64, binary_column, map_arrow, mix64, reclaim, stage, unstage
 
 ALPHA = 0.1
 P_MIN = 1e-4
+GAMMA = 1e-3
 DEPTH = 2
 DIVERGENCE = 0.05
 DISCOUNT = 0.75
@@ -109,7 +111,7 @@ def code_blocks(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", train.alias("train"), "text")
-    return stage(rows.mapInArrow(run, f"block long, doc_id {id_type}, train boolean, ids binary, lid int, tok binary, n long"), "blocks")
+    return stage(map_arrow(rows, run, f"block long, doc_id {id_type}, train boolean, ids binary, lid int, tok binary, n long"), "blocks")
 
 
 class Block:
@@ -127,81 +129,95 @@ class Block:
         self.h[lid] = vocabulary["h"].to_numpy().view(np.uint64)
         self.at = np.arange(len(self.ids)) - np.repeat(self.first, self.lens)
 
-    def contexts(self, least: float, depth: int):
-        """For each depth: (positions whose context can be a node, its hash,
-        the hash one word shorter). A node's words are each frequent enough."""
-        often = self.c >= least
-        where = np.arange(len(self.ids))
-        code = np.zeros(len(where), dtype=np.uint64)
+    def step(self, d: int, where: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts of depth ``d - 1`` (positions and codes) one word longer."""
+        ok = self.at[where] >= d
+        where, code = where[ok], code[ok]
+        return where, extend(code, self.h[self.ids[where - d]], d)
+
+    def down(self, depth: int, nodes: list[np.ndarray]):
+        """Positions and codes of the contexts of depth ``depth`` below nodes."""
+        where, code = np.arange(len(self.ids)), np.zeros(len(self.ids), dtype=np.uint64)
         for d in range(1, depth + 1):
-            ok = self.at[where] >= d
-            where, code = where[ok], code[ok]
-            w = self.ids[where - d]
-            ok = often[w]
-            where, code, w = where[ok], code[ok], w[ok]
-            shorter, code = code, mix64(code * U64(3) + self.h[w] + U64(d))
-            yield d, where, code, shorter
+            where, code = self.step(d, where, code)
+            if d < depth:
+                ok = member(nodes[d - 1], code)
+                where, code = where[ok], code[ok]
+        return where, code
+
+
+def extend(code, word, d: int):
+    """Code of a context one older word longer; at depth 1 the word's hash."""
+    return word if d == 1 else mix64(code * U64(3) + word + U64(d))
 
 
-def _grams(n_train: int, p_min: float, depth: int):
-    least = max(2.0, p_min * n_train)
+def member(sorted_codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    if not len(sorted_codes):
+        return np.zeros(len(code), dtype=bool)
+    return sorted_codes[np.minimum(np.searchsorted(sorted_codes, code), len(sorted_codes) - 1)] == code
 
+
+def _grams(depth: int, least: float, gamma: float, nodes: list[np.ndarray], open_ctx: np.ndarray, open_total: np.ndarray):
+    """The block's distinct (context, symbol) pairs of one depth that can be
+    stored or be a candidate of the next depth. ``open_ctx`` (sorted) and
+    ``open_total``: the candidates; at depth 1 all frequent words."""
     def run(texts: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(texts) and len(vocabulary):
-            b = Block(texts, vocabulary)
-            train = np.repeat(texts["train"].to_numpy(dtype=bool), b.lens)
-            for d, where, code, shorter in b.contexts(least, depth):
-                if not len(where):
-                    continue
-                ctx, at, own = np.unique(code, return_index=True, return_inverse=True)
-                seen = train[where]
-                total = np.bincount(own, weights=seen, minlength=len(ctx)).astype(np.int64)
-                out.append(pd.DataFrame({"d": d, "ctx": ctx.view(np.int64), "parent": shorter[at].view(np.int64),
-                                         "sym": pd.array([pd.NA] * len(ctx), dtype="Int64"), "lid": -1, "c": 0, "n": total}))
-                sym = b.ids[where]
-                known = b.c[sym] >= 2        # a symbol is stored from two occurrences on
-                pair, back = np.unique(own[known] * len(b.c) + sym[known], return_inverse=True)
-                n = np.bincount(back, weights=seen[known], minlength=len(pair)).astype(np.int64)
-                o, lid = pair // len(b.c), pair % len(b.c)
-                out.append(pd.DataFrame({"d": d, "ctx": ctx[o].view(np.int64), "parent": shorter[at][o].view(np.int64),
-                                         "sym": pd.array(b.h[lid].view(np.int64), dtype="Int64"), "lid": lid,
-                                         "c": b.c[lid], "n": n}))
-        if not out:
-            return pd.DataFrame(columns=["block", "d", "ctx", "parent", "sym", "lid", "c", "n"])
-        got = pd.concat(out, ignore_index=True)
-        got.insert(0, "block", int(texts["block"].iloc[0]))
-        return got
+        if not len(texts) or not len(vocabulary):
+            return pd.DataFrame(columns=["block", "ctx", "sym", "lid", "c", "n", "total"])
+        b = Block(texts, vocabulary)
+        train = np.repeat(texts["train"].to_numpy(dtype=bool), b.lens)
+        where, code = b.down(depth, nodes)
+        if depth == 1:
+            total = b.c[b.ids[where - 1]]
+            ok = total >= least
+        else:
+            ok = member(open_ctx, code)
+            total = open_total[np.minimum(np.searchsorted(open_ctx, code), max(len(open_ctx) - 1, 0))] if len(open_ctx) else np.zeros(len(code))
+        c = b.c[b.ids[where]]
+        # a symbol that follows a context n times occurs n times
+        ok &= (c >= least) | ((c >= 2) & (c >= gamma * total))
+        where, code, total = where[ok], code[ok], total[ok]
+        ctx, at, own = np.unique(code, return_index=True, return_inverse=True)
+        pair, back = np.unique(own * len(b.c) + b.ids[where], return_inverse=True)
+        n = np.bincount(back, weights=train[where], minlength=len(pair)).astype(np.int64)
+        o, lid = pair // len(b.c), pair % len(b.c)
+        return pd.DataFrame({"block": int(texts["block"].iloc[0]), "ctx": ctx[o].view(np.int64), "sym": b.h[lid].view(np.int64),
+                             "lid": lid, "c": b.c[lid], "n": n, "total": total[at][o].astype(np.int64)})
 
     return run
 
 
-GRAM_SCHEMA = "block long, d int, ctx long, parent long, sym long, lid int, c long, n long"
+GRAM_SCHEMA = "block long, ctx long, sym long, lid int, c long, n long, total long"
 
 
 def root_probability(c: Column, n_train: int, distinct: int) -> Column:
     return (c + ALPHA) / (n_train + ALPHA * (distinct + 1))
 
 
-def grow(grams: DataFrame, n_train: int, distinct: int, p_min: float = P_MIN, depth: int = DEPTH,
-         divergence: float = DIVERGENCE) -> tuple[DataFrame, list]:
-    """(explicit symbols (ctx, sym, p), nodes [(ctx, escape mass)]): level by
-    level, children only below nodes."""
-    totals = stage(grams.where("sym is null").groupBy("d", "ctx", "parent").agg(F.sum("n").alias("total"))
-                   .where(F.col("total") >= max(2.0, p_min * n_train)), "contexts")      # at most depth / p_min rows
-    counts = stage(grams.where("sym is not null").groupBy("d", "ctx", "sym").agg(F.sum("n").alias("n"), F.max("c").alias("c"))
-                   .where("n > 1"), "counts")
-    explicit, nodes, levels = None, [], []
-    for d in range(1, depth + 1):
-        ctxs = totals.where(F.col("d") == d).drop("d")
-        if levels:                       # children only below nodes, with the nodes on their way to the root
-            up = levels[-1][0]
-            ctxs = ctxs.join(F.broadcast(up.withColumnsRenamed({"ctx": f"node{d - 1}", "escape": f"escape{d - 1}"})),
-                             F.col("parent") == F.col(f"node{d - 1}"))
-        ctxs = stage(ctxs.drop("parent"), "open")
-        here = (counts.where(F.col("d") == d).drop("d").join(F.broadcast(ctxs), "ctx")
-                .withColumn("above", root_probability(F.col("c"), n_train, distinct)))
-        for k, (_, known) in enumerate(levels, 1):
+class Tree:
+    """The tree while it grows, a depth at a time. On the driver: candidates
+    and nodes with their words (newest first), at most 1 / P_MIN a depth."""
+
+    def __init__(self, n_train: int, distinct: int, p_min: float, gamma: float, divergence: float):
+        self.n_train, self.distinct, self.divergence, self.gamma = n_train, distinct, divergence, gamma
+        self.least = max(2.0, p_min * n_train)
+        self.nodes: list[np.ndarray] = []            # sorted codes by depth
+        self.escape: list[np.ndarray] = []
+        self.words: dict[int, tuple[int, ...]] = {}  # code -> words, of the candidates
+        self.levels: list[tuple[DataFrame, DataFrame]] = []
+        self.open = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
+        self.lineage: DataFrame | None = None
+
+    def grow(self, grams: DataFrame, depth: int, more: bool) -> DataFrame:
+        """Take the pairs of one depth; returns (ctx, sym, p) of its nodes'
+        stored symbols. ``more``: prepare the candidates of the next depth."""
+        counts = stage(grams.groupBy("ctx", "sym").agg(F.sum("n").alias("n"), F.max("c").alias("c"), F.max("total").alias("total"))
+                       .where("n > 1"), "counts")
+        here = (counts.where(F.col("n") >= self.gamma * F.col("total"))
+                .withColumn("above", root_probability(F.col("c"), self.n_train, self.distinct)))
+        if self.lineage is not None:                 # the nodes on each candidate's way to the root
+            here = here.join(F.broadcast(self.lineage), "ctx")
+        for k, (_, known) in enumerate(self.levels, 1):
             at = known.select(F.col("ctx").alias(f"node{k}"), "sym", F.col("p").alias("up_p"))
             here = (here.join(at, [f"node{k}", "sym"], "left")
                     .withColumn("above", F.coalesce("up_p", F.col(f"escape{k}") * F.col("above"))).drop("up_p"))
@@ -211,45 +227,67 @@ def grow(grams: DataFrame, n_train: int, distinct: int, p_min: float = P_MIN, de
             "p", (F.col("n") - DISCOUNT) / F.col("total") + F.col("escape") * F.col("above"))
         # symbols that are not stored contribute log(escape) each
         kl = F.sum(F.col("p") * F.log(F.col("p") / F.col("above"))) + (1 - F.sum("p")) * F.log(F.first("escape"))
-        chosen = (dist.groupBy("ctx").agg(F.first("escape").alias("escape"), kl.alias("kl"))
-                  .where((F.col("kl") >= divergence) & (F.col("escape") > 0)).select("ctx", "escape"))
-        kept = stage(ctxs.drop("total").join(F.broadcast(chosen), "ctx"), "nodes")
+        kept = stage(dist.groupBy("ctx").agg(F.first("escape").alias("escape"), kl.alias("kl"))
+                     .where((F.col("kl") >= self.divergence) & (F.col("escape") > 0)).select("ctx", "escape"), "nodes")
         known = stage(dist.join(F.broadcast(kept.select("ctx")), "ctx", "left_semi").select("ctx", "sym", "p"), "symbols")
-        nodes += [(r["ctx"], r["escape"]) for r in kept.select("ctx", "escape").collect()]   # at most 1 / p_min rows
-        explicit = known if explicit is None else explicit.union(known)
-        levels.append((kept, known))
-    return explicit, nodes
-
-
-def _score(n_train: int, distinct: int, nodes: list, p_min: float, depth: int):
-    least = max(2.0, p_min * n_train)
-    nodes = sorted(nodes)
-    node_ctx = np.array([c for c, _ in nodes], dtype=np.int64)
-    node_escape = np.array([e for _, e in nodes], dtype=np.float64)
-
+        self.levels.append((kept, known))
+        got = sorted((r["ctx"] % 2 ** 64, r["escape"]) for r in kept.collect())       # at most 1 / p_min rows
+        self.nodes.append(np.array([g[0] for g in got], dtype=np.uint64))
+        self.escape.append(np.array([g[1] for g in got], dtype=np.float64))
+        if more:
+            self._candidates(counts, depth)
+        return known
+
+    def _candidates(self, counts: DataFrame, depth: int) -> None:
+        """Contexts one word longer: frequent (context, symbol) pairs whose
+        context without the oldest word is a node."""
+        end = F.xxhash64(F.lit(END))
+        often = counts.where((F.col("n") >= self.least) & (F.col("sym") != end)).select("ctx", "sym", "n").collect()  # at most 1 / p_min
+        parents = {int(x): float(e) for x, e in zip(self.nodes[-1], self.escape[-1])}
+        words, found, rows = {}, [], []
+        for r in often:
+            ctx, sym = r["ctx"] % 2 ** 64, r["sym"] % 2 ** 64
+            run = (sym, *(self.words[ctx] if depth > 1 else (ctx,)))                  # newest first
+            codes, code = [], np.zeros(1, dtype=np.uint64)
+            for d, w in enumerate(run, 1):
+                code = extend(code, np.array([w], dtype=np.uint64), d)
+                codes.append(int(code[0]))
+            if codes[-2] in parents:
+                words[codes[-1]] = run
+                found.append((codes[-1], r["n"]))
+                above = [(c, float(self.escape[k][np.searchsorted(self.nodes[k], np.uint64(c))])) for k, c in enumerate(codes[:-1])]
+                rows.append(tuple(x - 2 ** 64 if isinstance(x, int) and x >= 2 ** 63 else x for x in (codes[-1], *sum(above, ()))))
+        found.sort()
+        self.words = words
+        self.open = np.array([f[0] for f in found], dtype=np.uint64), np.array([f[1] for f in found], dtype=np.int64)
+        spark = counts.sparkSession
+        self.lineage = spark.createDataFrame(rows, "ctx long" + "".join(f", node{k} long, escape{k} double" for k in range(1, depth + 1)))
+
+
+def _score(n_train: int, distinct: int, nodes: list[np.ndarray], escapes: list[np.ndarray]):
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         vocabulary = answers[answers["kind"] == 1]
         if not len(texts) or not len(vocabulary):
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         b = Block(texts, vocabulary)
-        p0 = (b.c + ALPHA) / (n_train + ALPHA * (distinct + 1))
-        p = p0[b.ids]
+        p = ((b.c + ALPHA) / (n_train + ALPHA * (distinct + 1)))[b.ids]
         base = np.add.reduceat(np.log10(p), b.first)
         told = answers[answers["kind"] == 2]
-        slot = np.searchsorted(node_ctx, told["ctx"].to_numpy())
-        key = slot * len(b.c) + told["lid"].to_numpy().astype(np.int64)
-        order = np.argsort(key)
-        key, value = key[order], told["p"].to_numpy()[order]
-        reached = np.ones(len(p), dtype=bool)
-        for _, where, code, _ in b.contexts(least, depth):
-            if not len(node_ctx) or not len(where):
+        told_ctx = told["ctx"].to_numpy().view(np.uint64)
+        told_lid, told_p = told["lid"].to_numpy().astype(np.int64), told["p"].to_numpy()
+        where, code = np.arange(len(p)), np.zeros(len(p), dtype=np.uint64)
+        for d, (node, escape) in enumerate(zip(nodes, escapes), 1):
+            where, code = b.step(d, where, code)
+            ok = member(node, code)
+            where, code = where[ok], code[ok]
+            if not len(where):
                 break
-            i = np.minimum(np.searchsorted(node_ctx, code.view(np.int64)), len(node_ctx) - 1)
-            is_node = (node_ctx[i] == code.view(np.int64)) & reached[where]
-            reached[:] = False
-            where, i = where[is_node], i[is_node]
-            reached[where] = True
-            q = node_escape[i] * p[where]
+            i = np.searchsorted(node, code)
+            q = escape[i] * p[where]
+            mine = member(node, told_ctx)            # the stored symbols of this depth
+            key = np.searchsorted(node, told_ctx[mine]) * len(b.c) + told_lid[mine]
+            order = np.argsort(key)
+            key, value = key[order], told_p[mine][order]
             if len(key):
                 k = i * len(b.c) + b.ids[where]
                 j = np.minimum(np.searchsorted(key, k), len(key) - 1)
@@ -263,8 +301,8 @@ def _score(n_train: int, distinct: int, nodes: list, p_min: float, depth: int):
     return run
 
 
-def score(docs: DataFrame, train: Column, p_min: float = P_MIN, depth: int = DEPTH,
-          block_bytes: int = BLOCK_BYTES, divergence: float = DIVERGENCE) -> DataFrame:
+def score(docs: DataFrame, train: Column, p_min: float = P_MIN, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES,
+          divergence: float = DIVERGENCE, gamma: float = GAMMA) -> DataFrame:
     """Learn from the rows where ``train`` holds and score every row: doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -278,15 +316,20 @@ def score(docs: DataFrame, train: Column, p_min: float = P_MIN, depth: int = DEP
     distinct = told.where("one and c > 0").count()
     reclaim(spark)
     vocabulary = told.select("block", "lid", "h", "c")
-    grams = stage(texts.groupBy("block").cogroup(vocabulary.groupBy("block")).applyInPandas(_grams(n_train, p_min, depth), GRAM_SCHEMA), "grams")
-    reclaim(spark)
-    explicit, nodes = grow(grams, n_train, distinct, p_min, depth, divergence)
-    reclaim(spark)
-    replies = grams.where("sym is not null").select("block", "lid", "ctx", "sym").join(explicit, ["ctx", "sym"])
+    tree, replies = Tree(n_train, distinct, p_min, gamma, divergence), None
+    for d in range(1, depth + 1):
+        grams = stage(texts.groupBy("block").cogroup(vocabulary.groupBy("block")).applyInPandas(
+            _grams(d, tree.least, gamma, tree.nodes, *tree.open), GRAM_SCHEMA), "grams")
+        reclaim(spark)
+        known = tree.grow(grams, d, d < depth)
+        reply = stage(grams.select("block", "lid", "ctx", "sym").join(known, ["ctx", "sym"]).select("block", "lid", "ctx", "p"), "replies")
+        replies = reply if replies is None else replies.union(reply)
+        unstage(grams)
+        reclaim(spark)
     # no nulls: pandas would turn 64-bit hashes into floats
     answers = vocabulary.select(F.lit(1).alias("kind"), "block", "lid", "h", "c", F.lit(0).cast("long").alias("ctx"), F.lit(0.0).alias("p")).union(
         replies.select(F.lit(2), "block", "lid", F.lit(0).cast("long"), F.lit(0).cast("long"), "ctx", "p"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        _score(n_train, distinct, nodes, p_min, depth),
+        _score(n_train, distinct, tree.nodes, tree.escape),
         f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

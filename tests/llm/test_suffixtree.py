@@ -20,7 +20,7 @@ def held(doc_id):
 class Brute:
     """The tree by dictionaries over all training texts at once."""
 
-    def __init__(self, rows, p_min, depth, divergence):
+    def __init__(self, rows, p_min, depth, divergence, gamma=S.GAMMA):
         train = [toks(r[1]) for r in rows if not held(r[0])]
         self.c = Counter(w for t in train for w in t)
         self.n, self.v, self.depth = sum(self.c.values()), len(self.c), depth
@@ -29,15 +29,16 @@ class Brute:
         for t in train:
             for i in range(len(t)):
                 for d in range(1, depth + 1):
-                    if i >= d and all(self.c[w] >= least for w in t[i - d:i]):
+                    if i >= d:
                         grams[tuple(t[i - d:i])][t[i]] += 1
-        self.nodes = {}
+        self.nodes, candidates = {}, set()
         for d in range(1, depth + 1):
             for ctx, nxt in grams.items():
                 total = sum(nxt.values())
-                if len(ctx) != d or total < least or (d > 1 and ctx[1:] not in self.nodes):
+                if len(ctx) != d or total < least or (d > 1 and (ctx[1:] not in self.nodes or ctx[:-1] not in candidates)):
                     continue
-                kept = {s: n for s, n in nxt.items() if n > 1}
+                candidates.add(ctx)
+                kept = {s: n for s, n in nxt.items() if n > 1 and n >= gamma * total}
                 if not kept:
                     continue
                 escape = 1 - sum(n - S.DISCOUNT for n in kept.values()) / total
@@ -80,13 +81,13 @@ def rows_of_language():
     return rows + doc_rows()[-12:]
 
 
-@pytest.mark.parametrize(("depth", "block"), [(1, 1 << 20), (2, 2000), (3, 500)])
-def test_scores_equal_brute_force(spark, depth, block):
+@pytest.mark.parametrize(("depth", "block", "gamma"), [(1, 1 << 20, 0.001), (2, 2000, 0.05), (3, 500, 0.001)])
+def test_scores_equal_brute_force(spark, depth, block, gamma):
     rows = rows_of_language()
     least = 0.05 if depth < 3 else 0.001
-    b = Brute(rows, 0.005, depth, least)
+    b = Brute(rows, 0.005, depth, least, gamma)
     assert len({len(c) for c in b.nodes}) == depth       # contexts of every length
-    got = S.score(docs(spark, rows).repartition(3), ~S.held_out(), 0.005, depth, block, least).collect()
+    got = S.score(docs(spark, rows).repartition(3), ~S.held_out(), 0.005, depth, block, least, gamma).collect()
     want = []
     for r in rows:
         t = toks(r[1])
