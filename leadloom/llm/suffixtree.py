@@ -4,25 +4,25 @@ Symbols are lower-cased words and the end of a text. A context is the run of
 words before a symbol. The tree's root is the smoothed unigram distribution; a
 context of ``d`` words becomes a node if
 
-* it occurs with at least the share ``P_MIN`` of all training symbols, so each
-  depth has at most ``1 / P_MIN`` candidates whatever the corpus,
+* it occurs at least ``MIN_COUNT`` times in training, a count that stays the
+  same however large the corpus is, so the tree grows with it,
 * its parent (the context without its oldest word) is a node, and the context
   without its newest word was a candidate, and
 * the Kullback-Leibler divergence of its next-symbol distribution from its
   parent's is at least ``DIVERGENCE`` nats.
 
-A node stores the symbols that follow it twice or more and with a share of at
-least ``GAMMA``. A stored symbol seen n times has (n - DISCOUNT) / total; the
+Depths are added until one has no node. A node stores the symbols that follow
+it twice or more and with a share of at least ``GAMMA``. A stored symbol seen n times has (n - DISCOUNT) / total; the
 rest of the mass follows the parent. A text is scored symbol by symbol at the
 deepest node that is a suffix of what came before.
 
 Scale: texts are read once and coded into blocks of about ``BLOCK_BYTES``
 (integer ids, a vocabulary per block). Blocks then ask for what they need: one
 row per distinct word, and, a depth at a time, one per distinct (context,
-symbol) that can be stored; these join the counts gathered from all blocks.
-Nothing is as large as the corpus in one place, and a frequent word or pair is
-one row per block. Only candidates and nodes (bounded by ``P_MIN``) go to the
-driver and back to the tasks.
+symbol) that can be stored and one per context; these join the counts gathered
+from all blocks. Candidates, nodes and symbols stay in tables, and a block is
+told of its own ones only. Nothing is as large as the corpus in one place, and
+a frequent word or pair is one row per block.
 
 Edge cases: null and empty texts are the end alone; a null id counts as held
 out (its text form is empty); repeated rows are scored and counted each; without
@@ -44,9 +44,13 @@ from pyspark.sql.window import Window
 from .common import U64, binary_column, map_arrow, mix64, reclaim, stage, unstage
 
 ALPHA = 0.1
-P_MIN = 1e-4
+#: training occurrences from which a context is a candidate
+MIN_COUNT = 20
+#: least shares of a candidate (of all symbols), of a stored symbol (of its
+#: context), and greatest depth: no first and last limit unless a caller asks for them
+P_MIN = 0.0
 GAMMA = 1e-3
-DEPTH = 2
+DEPTH = None
 DIVERGENCE = 0.05
 DISCOUNT = 0.75
 BLOCK_BYTES = 16 << 20
@@ -125,8 +129,8 @@ class Block:
         size = int(vocabulary["lid"].max()) + 1
         self.c, self.h = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.uint64)
         lid = vocabulary["lid"].to_numpy()
-        self.c[lid] = vocabulary["c"].to_numpy()
-        self.h[lid] = vocabulary["h"].to_numpy().view(np.uint64)
+        self.c[lid] = vocabulary["n"].to_numpy()
+        self.h[lid] = vocabulary["ctx"].to_numpy().view(np.uint64)
         self.at = np.arange(len(self.ids)) - np.repeat(self.first, self.lens)
 
     def step(self, d: int, where: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,15 +139,38 @@ class Block:
         where, code = where[ok], code[ok]
         return where, extend(code, self.h[self.ids[where - d]], d)
 
-    def down(self, depth: int, nodes: list[np.ndarray]):
-        """Positions and codes of the contexts of depth ``depth`` below nodes."""
+    def walk(self, told: pd.DataFrame, root: np.ndarray, depth: int):
+        """Each symbol's probability at its deepest node of at most ``depth``
+        words; positions and codes of the contexts of ``depth`` words that are
+        nodes; and how often each symbol follows its context of ``depth`` words
+        (0 where that is no candidate, or no node and less than a candidate)."""
+        p, count = root[self.ids], self.c[self.ids]
         where, code = np.arange(len(self.ids)), np.zeros(len(self.ids), dtype=np.uint64)
         for d in range(1, depth + 1):
+            mine = told[told["d"] == d]
+            ctx, lid = mine["ctx"].to_numpy().view(np.uint64), mine["lid"].to_numpy().astype(np.int64)
+            value, n = mine["p"].to_numpy(), mine["n"].to_numpy()
+            own = lid < 0                            # the nodes, with their escape mass
+            order = np.argsort(ctx[own])
+            node, escape = ctx[own][order], value[own][order]
+            known = np.unique(ctx[~own])
+            key = np.searchsorted(known, ctx[~own]) * len(self.c) + lid[~own]
+            order = np.argsort(key)
+            key, value, n = key[order], value[~own][order], n[~own][order]
             where, code = self.step(d, where, code)
-            if d < depth:
-                ok = member(nodes[d - 1], code)
-                where, code = where[ok], code[ok]
-        return where, code
+            seen, q = np.zeros(len(where), dtype=np.int64), np.full(len(where), np.nan)
+            if len(key):
+                k = np.searchsorted(known, code) * len(self.c) + self.ids[where]
+                j = np.minimum(np.searchsorted(key, k), len(key) - 1)
+                hit = member(known, code) & (key[j] == k)
+                seen[hit], q[hit] = n[j[hit]], value[j[hit]]
+            count = np.zeros(len(self.ids), dtype=np.int64)
+            count[where] = seen
+            ok = member(node, code)
+            where, code, q = where[ok], code[ok], q[ok]
+            if len(where):
+                p[where] = np.where(np.isnan(q), escape[np.searchsorted(node, code)] * p[where], q)
+        return p, where, code, count
 
 
 def extend(code, word, d: int):
@@ -157,152 +184,87 @@ def member(sorted_codes: np.ndarray, code: np.ndarray) -> np.ndarray:
     return sorted_codes[np.minimum(np.searchsorted(sorted_codes, code), len(sorted_codes) - 1)] == code
 
 
-def _grams(depth: int, least: float, gamma: float, nodes: list[np.ndarray], open_ctx: np.ndarray, open_total: np.ndarray):
-    """The block's distinct (context, symbol) pairs of one depth that can be
-    stored or be a candidate of the next depth. ``open_ctx`` (sorted) and
-    ``open_total``: the candidates; at depth 1 all frequent words."""
-    def run(texts: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
+def root_probability(c: np.ndarray, n_train: int, distinct: int) -> np.ndarray:
+    return (c + ALPHA) / (n_train + ALPHA * (distinct + 1))
+
+
+def _grams(depth: int, least: float, n_train: int, distinct: int):
+    """The block's distinct candidates of one depth (``lid`` -1) and (context,
+    symbol) pairs that can be stored, with the context's count and the symbol's
+    probability at the context's parent."""
+    def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        vocabulary = answers[answers["d"] == 0]
         if not len(texts) or not len(vocabulary):
-            return pd.DataFrame(columns=["block", "ctx", "sym", "lid", "c", "n", "total"])
+            return pd.DataFrame(columns=["block", "ctx", "sym", "lid", "n", "total", "above"])
         b = Block(texts, vocabulary)
         train = np.repeat(texts["train"].to_numpy(dtype=bool), b.lens)
-        where, code = b.down(depth, nodes)
-        if depth == 1:
-            total = b.c[b.ids[where - 1]]
-            ok = total >= least
-        else:
-            ok = member(open_ctx, code)
-            total = open_total[np.minimum(np.searchsorted(open_ctx, code), max(len(open_ctx) - 1, 0))] if len(open_ctx) else np.zeros(len(code))
-        c = b.c[b.ids[where]]
-        # a symbol that follows a context n times occurs n times
-        ok &= (c >= least) | ((c >= 2) & (c >= gamma * total))
+        p, where, code, count = b.walk(answers, root_probability(b.c, n_train, distinct), depth - 1)
+        where, code = b.step(depth, where, code)
+        # a context occurs as often as its newest word follows the others
+        total = count[where - 1]
+        ok = total >= least
         where, code, total = where[ok], code[ok], total[ok]
         ctx, at, own = np.unique(code, return_index=True, return_inverse=True)
-        pair, back = np.unique(own * len(b.c) + b.ids[where], return_inverse=True)
+        total = total[at]
+        # a symbol that follows a context n times follows its parent n times
+        ok = count[where] >= 2
+        where, own = where[ok], own[ok]
+        pair, at, back = np.unique(own * len(b.c) + b.ids[where], return_index=True, return_inverse=True)
         n = np.bincount(back, weights=train[where], minlength=len(pair)).astype(np.int64)
         o, lid = pair // len(b.c), pair % len(b.c)
-        return pd.DataFrame({"block": int(texts["block"].iloc[0]), "ctx": ctx[o].view(np.int64), "sym": b.h[lid].view(np.int64),
-                             "lid": lid, "c": b.c[lid], "n": n, "total": total[at][o].astype(np.int64)})
+        zero = np.zeros(len(ctx), dtype=np.int64)
+        return pd.DataFrame({"block": int(texts["block"].iloc[0]), "ctx": np.concatenate((ctx[o], ctx)).view(np.int64),
+                             "sym": np.concatenate((b.h[lid].view(np.int64), zero)), "lid": np.concatenate((lid, zero - 1)),
+                             "n": np.concatenate((n, zero)), "total": np.concatenate((total[o], total)),
+                             "above": np.concatenate((p[where[at]], np.zeros(len(ctx))))})
 
     return run
 
 
-GRAM_SCHEMA = "block long, ctx long, sym long, lid int, c long, n long, total long"
-
-
-def root_probability(c: Column, n_train: int, distinct: int) -> Column:
-    return (c + ALPHA) / (n_train + ALPHA * (distinct + 1))
-
-
-class Tree:
-    """The tree while it grows, a depth at a time. On the driver: candidates
-    and nodes with their words (newest first), at most 1 / P_MIN a depth."""
-
-    def __init__(self, n_train: int, distinct: int, p_min: float, gamma: float, divergence: float):
-        self.n_train, self.distinct, self.divergence, self.gamma = n_train, distinct, divergence, gamma
-        self.least = max(2.0, p_min * n_train)
-        self.nodes: list[np.ndarray] = []            # sorted codes by depth
-        self.escape: list[np.ndarray] = []
-        self.words: dict[int, tuple[int, ...]] = {}  # code -> words, of the candidates
-        self.levels: list[tuple[DataFrame, DataFrame]] = []
-        self.open = (np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.int64))
-        self.lineage: DataFrame | None = None
-
-    def grow(self, grams: DataFrame, depth: int, more: bool) -> DataFrame:
-        """Take the pairs of one depth; returns (ctx, sym, p) of its nodes'
-        stored symbols. ``more``: prepare the candidates of the next depth."""
-        counts = stage(grams.groupBy("ctx", "sym").agg(F.sum("n").alias("n"), F.max("c").alias("c"), F.max("total").alias("total"))
-                       .where("n > 1"), "counts")
-        here = (counts.where(F.col("n") >= self.gamma * F.col("total"))
-                .withColumn("above", root_probability(F.col("c"), self.n_train, self.distinct)))
-        if self.lineage is not None:                 # the nodes on each candidate's way to the root
-            here = here.join(F.broadcast(self.lineage), "ctx")
-        for k, (_, known) in enumerate(self.levels, 1):
-            at = known.select(F.col("ctx").alias(f"node{k}"), "sym", F.col("p").alias("up_p"))
-            here = (here.join(at, [f"node{k}", "sym"], "left")
-                    .withColumn("above", F.coalesce("up_p", F.col(f"escape{k}") * F.col("above"))).drop("up_p"))
-        here = stage(here.select("ctx", "sym", "n", "total", "above"), "level")
-        escape = here.groupBy("ctx").agg((1 - F.sum(F.col("n") - DISCOUNT) / F.first("total")).alias("escape"))
-        dist = here.join(F.broadcast(escape), "ctx").withColumn(
-            "p", (F.col("n") - DISCOUNT) / F.col("total") + F.col("escape") * F.col("above"))
-        # symbols that are not stored contribute log(escape) each
-        kl = F.sum(F.col("p") * F.log(F.col("p") / F.col("above"))) + (1 - F.sum("p")) * F.log(F.first("escape"))
-        kept = stage(dist.groupBy("ctx").agg(F.first("escape").alias("escape"), kl.alias("kl"))
-                     .where((F.col("kl") >= self.divergence) & (F.col("escape") > 0)).select("ctx", "escape"), "nodes")
-        known = stage(dist.join(F.broadcast(kept.select("ctx")), "ctx", "left_semi").select("ctx", "sym", "p"), "symbols")
-        self.levels.append((kept, known))
-        got = sorted((r["ctx"] % 2 ** 64, r["escape"]) for r in kept.collect())       # at most 1 / p_min rows
-        self.nodes.append(np.array([g[0] for g in got], dtype=np.uint64))
-        self.escape.append(np.array([g[1] for g in got], dtype=np.float64))
-        if more:
-            self._candidates(counts, depth)
-        return known
-
-    def _candidates(self, counts: DataFrame, depth: int) -> None:
-        """Contexts one word longer: frequent (context, symbol) pairs whose
-        context without the oldest word is a node."""
-        end = F.xxhash64(F.lit(END))
-        often = counts.where((F.col("n") >= self.least) & (F.col("sym") != end)).select("ctx", "sym", "n").collect()  # at most 1 / p_min
-        parents = {int(x): float(e) for x, e in zip(self.nodes[-1], self.escape[-1])}
-        words, found, rows = {}, [], []
-        for r in often:
-            ctx, sym = r["ctx"] % 2 ** 64, r["sym"] % 2 ** 64
-            run = (sym, *(self.words[ctx] if depth > 1 else (ctx,)))                  # newest first
-            codes, code = [], np.zeros(1, dtype=np.uint64)
-            for d, w in enumerate(run, 1):
-                code = extend(code, np.array([w], dtype=np.uint64), d)
-                codes.append(int(code[0]))
-            if codes[-2] in parents:
-                words[codes[-1]] = run
-                found.append((codes[-1], r["n"]))
-                above = [(c, float(self.escape[k][np.searchsorted(self.nodes[k], np.uint64(c))])) for k, c in enumerate(codes[:-1])]
-                rows.append(tuple(x - 2 ** 64 if isinstance(x, int) and x >= 2 ** 63 else x for x in (codes[-1], *sum(above, ()))))
-        found.sort()
-        self.words = words
-        self.open = np.array([f[0] for f in found], dtype=np.uint64), np.array([f[1] for f in found], dtype=np.int64)
-        spark = counts.sparkSession
-        self.lineage = spark.createDataFrame(rows, "ctx long" + "".join(f", node{k} long, escape{k} double" for k in range(1, depth + 1)))
-
-
-def _score(n_train: int, distinct: int, nodes: list[np.ndarray], escapes: list[np.ndarray]):
+GRAM_SCHEMA = "block long, ctx long, sym long, lid int, n long, total long, above double"
+
+
+def grow(grams: DataFrame, least: float, gamma: float, divergence: float) -> tuple[DataFrame, DataFrame]:
+    """From the pairs of one depth: the nodes (ctx, escape), and (ctx, sym, p,
+    n) of the nodes' symbols (p null: not stored) and of the pairs that are
+    candidates of the next depth. All written, so that Spark splits the join of
+    a frequent context."""
+    counts = stage(grams.where("lid >= 0").groupBy("ctx", "sym")
+                   .agg(F.sum("n").alias("n"), F.max("total").alias("total"), F.max("above").alias("above"))
+                   .where("n > 1").withColumn("stored", F.col("n") >= gamma * F.col("total")), "counts")
+    left = stage(counts.where("stored").groupBy("ctx").agg((1 - F.sum(F.col("n") - DISCOUNT) / F.first("total")).alias("escape")), "escapes")
+    dist = stage(counts.join(left, "ctx", "left").withColumn(
+        "p", F.when(F.col("stored"), (F.col("n") - DISCOUNT) / F.col("total") + F.col("escape") * F.col("above"))), "level")
+    unstage(counts)
+    # symbols that are not stored contribute log(escape) each
+    kl = F.sum(F.col("p") * F.log(F.col("p") / F.col("above"))) + (1 - F.sum("p")) * F.log(F.first("escape"))
+    nodes = stage(dist.where("stored").groupBy("ctx").agg(F.first("escape").alias("escape"), kl.alias("kl"))
+                  .where((F.col("kl") >= divergence) & (F.col("escape") > 0)).select("ctx", "escape"), "nodes")
+    known = (dist.select("ctx", "sym", "p", "n").join(nodes.select("ctx", F.lit(True).alias("node")), "ctx", "left")
+             .where(F.col("node") | (F.col("n") >= least)).select("ctx", "sym", F.when(F.col("node"), F.col("p")).alias("p"), "n"))
+    known = stage(known, "symbols")
+    unstage(dist)
+    return nodes, known
+
+
+def _score(depth: int, n_train: int, distinct: int):
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        vocabulary = answers[answers["kind"] == 1]
+        vocabulary = answers[answers["d"] == 0]
         if not len(texts) or not len(vocabulary):
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         b = Block(texts, vocabulary)
-        p = ((b.c + ALPHA) / (n_train + ALPHA * (distinct + 1)))[b.ids]
-        base = np.add.reduceat(np.log10(p), b.first)
-        told = answers[answers["kind"] == 2]
-        told_ctx = told["ctx"].to_numpy().view(np.uint64)
-        told_lid, told_p = told["lid"].to_numpy().astype(np.int64), told["p"].to_numpy()
-        where, code = np.arange(len(p)), np.zeros(len(p), dtype=np.uint64)
-        for d, (node, escape) in enumerate(zip(nodes, escapes), 1):
-            where, code = b.step(d, where, code)
-            ok = member(node, code)
-            where, code = where[ok], code[ok]
-            if not len(where):
-                break
-            i = np.searchsorted(node, code)
-            q = escape[i] * p[where]
-            mine = member(node, told_ctx)            # the stored symbols of this depth
-            key = np.searchsorted(node, told_ctx[mine]) * len(b.c) + told_lid[mine]
-            order = np.argsort(key)
-            key, value = key[order], told_p[mine][order]
-            if len(key):
-                k = i * len(b.c) + b.ids[where]
-                j = np.minimum(np.searchsorted(key, k), len(key) - 1)
-                q = np.where(key[j] == k, value[j], q)
-            p[where] = q
+        root = root_probability(b.c, n_train, distinct)
+        p = b.walk(answers, root, depth)[0]
         return pd.DataFrame({
             "doc_id": texts["doc_id"].to_numpy(), "held_out": ~texts["train"].to_numpy(dtype=bool), "n_tokens": b.lens,
             "n_known": np.add.reduceat((b.c[b.ids] > 0).astype(np.int64), b.first), "train_tokens": n_train,
-            "base_score": base, "score": np.add.reduceat(np.log10(p), b.first)})
+            "base_score": np.add.reduceat(np.log10(root[b.ids]), b.first), "score": np.add.reduceat(np.log10(p), b.first)})
 
     return run
 
 
-def score(docs: DataFrame, train: Column, p_min: float = P_MIN, depth: int = DEPTH, block_bytes: int = BLOCK_BYTES,
-          divergence: float = DIVERGENCE, gamma: float = GAMMA) -> DataFrame:
+def score(docs: DataFrame, train: Column, p_min: float = P_MIN, depth: int | None = DEPTH, block_bytes: int = BLOCK_BYTES,
+          divergence: float = DIVERGENCE, gamma: float = GAMMA, min_count: int = MIN_COUNT) -> DataFrame:
     """Learn from the rows where ``train`` holds and score every row: doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -315,21 +277,29 @@ def score(docs: DataFrame, train: Column, p_min: float = P_MIN, depth: int = DEP
     n_train = words.agg(F.sum("n")).first()[0] or 0
     distinct = told.where("one and c > 0").count()
     reclaim(spark)
-    vocabulary = told.select("block", "lid", "h", "c")
-    tree, replies = Tree(n_train, distinct, p_min, gamma, divergence), None
-    for d in range(1, depth + 1):
-        grams = stage(texts.groupBy("block").cogroup(vocabulary.groupBy("block")).applyInPandas(
-            _grams(d, tree.least, gamma, tree.nodes, *tree.open), GRAM_SCHEMA), "grams")
+    least = max(2.0, min_count, p_min * n_train)
+    # what the blocks are told: words (d = 0: hash, count) and, by depth, nodes (lid -1) and symbols
+    answers = told.select("block", F.lit(0).alias("d"), "lid", F.col("h").alias("ctx"), F.lit(0.0).alias("p"), F.col("c").alias("n"))
+    d = 0
+    while depth is None or d < depth:
+        d += 1
+        grams = stage(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+            _grams(d, least, n_train, distinct), GRAM_SCHEMA), "grams")
+        reclaim(spark)
+        nodes, known = grow(grams, least, gamma, divergence)
         reclaim(spark)
-        known = tree.grow(grams, d, d < depth)
-        reply = stage(grams.select("block", "lid", "ctx", "sym").join(known, ["ctx", "sym"]).select("block", "lid", "ctx", "p"), "replies")
-        replies = reply if replies is None else replies.union(reply)
-        unstage(grams)
+        if nodes.isEmpty():
+            d -= 1
+            break
+        symbols = grams.where("lid >= 0").select("block", "lid", "ctx", "sym").join(known, ["ctx", "sym"])
+        escapes = grams.where("lid < 0").select("block", "lid", "ctx").join(nodes, "ctx")
+        reply = stage(symbols.select("block", F.lit(d).alias("d"), "lid", "ctx", "p", "n").union(
+            escapes.select("block", F.lit(d), "lid", "ctx", "escape", F.lit(0).cast("long"))), "replies")
+        answers = answers.union(reply)
+        for x in (grams, nodes, known):
+            unstage(x)
         reclaim(spark)
-    # no nulls: pandas would turn 64-bit hashes into floats
-    answers = vocabulary.select(F.lit(1).alias("kind"), "block", "lid", "h", "c", F.lit(0).cast("long").alias("ctx"), F.lit(0.0).alias("p")).union(
-        replies.select(F.lit(2), "block", "lid", F.lit(0).cast("long"), F.lit(0).cast("long"), "ctx", "p"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        _score(n_train, distinct, tree.nodes, tree.escape),
+        _score(d, n_train, distinct),
         f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

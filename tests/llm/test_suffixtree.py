@@ -113,3 +113,20 @@ def test_no_training_rows_and_empty_table(spark):
     got = S.score(docs(spark, [(1, "a b", None, None, None), (2, None, None, None, None)]), F.lit(False)).collect()
     assert [(r["n_tokens"], r["n_known"], r["train_tokens"], r["score"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
     assert S.score(empty(spark), ~S.held_out()).collect() == []
+
+
+def test_contexts_and_symbols_need_no_share_of_the_corpus(spark):
+    """Contexts seen 20 times and symbols seen a few times count beside much
+    other text, and contexts are as long as they tell more."""
+    r = random.Random(5)
+    rows = [(i, "of " + " of ".join(r.choice("abcdefgh") for _ in range(60)), "en", "s", 1) for i in range(160)]
+    rows += [(200 + i, "of seldom", "en", "s", 1) for i in range(6)]
+    says = [("big", "cat", "one"), ("big", "dog", "two"), ("low", "cat", "three"), ("low", "dog", "four")]
+    rows += [(300 + 10 * i + k, " ".join(says[k][:2]) + " in " + says[k][2], "en", "s", 1) for i in range(26) for k in range(4)]
+    rows += [(1000 + i, "filler " * 4000, "en", "s", 1) for i in range(80)]
+    shared = Brute(rows, 1e-4, 2, S.DIVERGENCE, 1e-3)
+    b = Brute(rows, S.MIN_COUNT / shared.n, 5, S.DIVERGENCE)
+    assert (b"big", b"cat", b"in") in b.nodes and (b"big", b"cat") not in shared.nodes and max(map(len, b.nodes)) == 3
+    for row in S.score(docs(spark, rows).repartition(3), ~S.held_out()).collect():
+        want = b.of(toks(dict((x[0], x[1]) for x in rows)[row["doc_id"]]))
+        assert abs(row["score"] - want) < 1e-6
