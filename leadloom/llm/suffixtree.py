@@ -11,8 +11,8 @@ context of ``d`` words becomes a node if
 * the Kullback-Leibler divergence of its next-symbol distribution from its
   parent's is at least ``DIVERGENCE`` nats.
 
-Depths are added until one has no node. A node stores the symbols that follow
-it twice or more and with a share of at least ``GAMMA``. A stored symbol seen n times has (n - DISCOUNT) / total; the
+Depths are added until one has no node. A node stores every symbol that follows
+it twice or more. A stored symbol seen n times has (n - DISCOUNT) / total; the
 rest of the mass follows the parent. A text is scored symbol by symbol at the
 deepest node that is a suffix of what came before.
 
@@ -47,9 +47,9 @@ ALPHA = 0.1
 #: training occurrences from which a context is a candidate
 MIN_COUNT = 20
 #: least shares of a candidate (of all symbols), of a stored symbol (of its
-#: context), and greatest depth: no first and last limit unless a caller asks for them
+#: context), and greatest depth: no limits unless a caller asks for them
 P_MIN = 0.0
-GAMMA = 1e-3
+GAMMA = 0.0
 DEPTH = None
 DIVERGENCE = 0.05
 DISCOUNT = 0.75

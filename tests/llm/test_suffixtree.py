@@ -125,7 +125,8 @@ def test_contexts_and_symbols_need_no_share_of_the_corpus(spark):
     rows += [(300 + 10 * i + k, " ".join(says[k][:2]) + " in " + says[k][2], "en", "s", 1) for i in range(26) for k in range(4)]
     rows += [(1000 + i, "filler " * 4000, "en", "s", 1) for i in range(80)]
     shared = Brute(rows, 1e-4, 2, S.DIVERGENCE, 1e-3)
-    b = Brute(rows, S.MIN_COUNT / shared.n, 5, S.DIVERGENCE)
+    b = Brute(rows, S.MIN_COUNT / shared.n, 5, S.DIVERGENCE, 0)
+    assert b"seldom" not in shared.nodes[b"of",][1] and b"seldom" in b.nodes[b"of",][1]
     assert (b"big", b"cat", b"in") in b.nodes and (b"big", b"cat") not in shared.nodes and max(map(len, b.nodes)) == 3
     for row in S.score(docs(spark, rows).repartition(3), ~S.held_out()).collect():
         want = b.of(toks(dict((x[0], x[1]) for x in rows)[row["doc_id"]]))
