@@ -177,7 +177,7 @@ def central_links(shared: DataFrame) -> DataFrame:
 def neighbour_links(shared: DataFrame) -> DataFrame:
     """Distinct (a, b): each node with the next ones of its bucket in a random
     order that differs between buckets."""
-    part = F.pmod(F.xxhash64("key", F.lit(1)), F.ceil(F.col("size") / BUCKET_PART))
+    part = F.pmod(F.xxhash64("key", "band", F.lit(1)), F.ceil(F.col("size") / BUCKET_PART))
     w = Window.partitionBy("band", "_part").orderBy(F.xxhash64("key", "band"), "key")
     near = F.array(*[F.lead("key", k).over(w) for k in range(1, NEIGHBOURS + 1)])
     return (shared.withColumn("_part", part).select("key", near.alias("_near"))

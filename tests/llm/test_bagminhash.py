@@ -105,3 +105,10 @@ def test_components_of_chains_and_stars(spark):
 
 def test_empty_table(spark):
     assert B.classes(empty(spark)).collect() == [] and B.keep_one(empty(spark)).collect() == []
+
+
+def test_parts_of_large_buckets_differ_between_bands(spark, monkeypatch):
+    monkeypatch.setattr(B, "BUCKET_PART", 50)
+    shared = spark.createDataFrame([(band, f"k{k:03}".encode(), 250) for band in range(25) for k in range(250)], "band long, key binary, size long")
+    links = B.neighbour_links(shared)
+    assert {bytes(r["root"]) for r in B.components(links).collect()} == {b"k000"}      # with the same parts in every band: five classes
