@@ -11,14 +11,21 @@ filled, so the work per document is nearly independent of its length.
 
 Equal texts are one node. Signatures fall into bands; a band shared by several
 nodes links each of them to the bucket's most connected node and to its
-neighbours in a random order, never all pairs. Every link is then verified on
-the exact multisets (``threshold``), and connected components of the verified
-links are the classes.
+neighbours in a random order. Every link is then verified on the exact
+multisets (``threshold``), and connected components of the verified links are
+the classes. The two rounds join nearly all of a class with few links; in the
+buckets that still hold more than one component, every pair of two components
+is then compared, so that all pairs that share a band are decided.
 
 Scale: texts are read for signatures without a shuffle; a hot group of equal
 texts collapses by map-side aggregation; buckets are only aggregated, joined
 and cut into salted parts before ordering; links, components and signatures
-stay in tables. Components take a logarithmic number of star contractions.
+stay in tables. Components take a logarithmic number of star contractions. Of a
+bucket with at most ``FEW`` nodes outside its largest component, those are
+paired with all (rows linear in the bucket); other buckets are dealt into
+blocks of about ``BLOCK_BYTES`` of multisets, and each pair of blocks is
+compared in one task, without a row for each pair. That time grows with the
+square of such a bucket: it is the price of deciding unlike pairs of a family.
 
 Edge cases: null and empty texts are equal texts (one class); a null id is
 carried, and the class id is the least non-null id of the class; repeated rows
@@ -43,6 +50,10 @@ REGISTERS = BANDS * ROWS
 #: nodes of a bucket that are ordered together; larger buckets are salted
 BUCKET_PART = 500
 NEIGHBOURS = 2
+#: nodes of a bucket outside its largest component that are paired one by one
+FEW = 64
+#: multisets of a block in larger buckets
+BLOCK_BYTES = 4 << 20
 
 
 def text_key(c: str = "text") -> Column:
@@ -240,6 +251,96 @@ def verified(links: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) ->
     return map_arrow(both, run, "a binary, b binary")
 
 
+# ------------------------------------------------------- pairs not yet joined
+
+
+def open_buckets(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """(band, key, root, major, minor): the buckets that hold several
+    components, with the largest one and the number of nodes outside it."""
+    rows = (shared.select("band", "key").join(comp.select(F.col("node").alias("key"), "root"), "key", "left")
+            .withColumn("root", F.coalesce("root", "key")))
+    parts = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    # written, so that both sides of the join are plain shuffles
+    mixed = stage(parts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"), (F.sum("n") - F.max("n")).alias("minor"))
+                  .where("minor > 0"), "mixed")
+    return rows.join(mixed, "band")
+
+
+def outside_links(opened: DataFrame) -> DataFrame:
+    """Distinct (a, b) of different components, in buckets with few nodes
+    outside their largest component."""
+    few = opened.where(F.col("minor") <= FEW)
+    one = few.where("root != major").select("band", F.col("key").alias("k"), F.col("root").alias("r"))
+    return few.join(one, "band").where("root != r").select(*_ordered(F.col("key"), F.col("k"))).distinct()
+
+
+def elements(h: np.ndarray, w) -> np.ndarray:
+    """A multiset as a set: the k-th occurrence of a hash is an element."""
+    if w is None:
+        return h
+    ends = np.cumsum(w, dtype=np.int64)
+    nth = np.arange(ends[-1]) - np.repeat(ends - w, w)
+    rows = np.repeat(h, w)
+    return np.where(nth == 0, rows, mix64(rows + nth.astype(np.uint64) * U64(0xD1B54A32D192ED03)))
+
+
+def alike(left: list[int], right: list[int], sets: list[np.ndarray], root: np.ndarray, bands: np.ndarray, band: int,
+          threshold: float) -> list[tuple[int, int]]:
+    """Pairs of a left and a right set of different components that are alike
+    enough; a pair that shares several bands is compared in the first."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    of = np.split(ids, np.cumsum(sizes)[:-1])
+    post = np.concatenate([of[j] for j in right])
+    owner = np.repeat(np.arange(len(right)), sizes[right])
+    order = np.argsort(post, kind="stable")
+    owner, start = owner[order], np.concatenate(([0], np.cumsum(np.bincount(post, minlength=int(ids.max()) + 1))))
+    right_sizes, right_root, right_bands, place, same = sizes[right], root[right], bands[right], np.array(right), left is right
+    out = []
+    for i in left:
+        ok = (right_root != root[i]) & (np.minimum(right_sizes, sizes[i]) >= threshold * np.maximum(right_sizes, sizes[i]) - 1e-6)
+        if same:
+            ok &= place > i
+        if ok.any():
+            shared = right_bands[ok] == bands[i]
+            ok[ok] = bands[i][shared.argmax(axis=1)] == band
+        if not ok.any():
+            continue
+        lo, n = start[of[i]], start[of[i] + 1] - start[of[i]]
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(right))
+        ok &= common / (right_sizes + sizes[i] - common) >= threshold
+        out += [(i, right[j]) for j in np.flatnonzero(ok)]
+    return out
+
+
+def block_links(opened: DataFrame, nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the pairs of different components that are alike enough, in
+    buckets with many nodes outside their largest component."""
+    import pandas as pd
+
+    many = opened.where(F.col("minor") > FEW).select("band", "key", "root")
+    size = F.octet_length("h") + F.coalesce(F.octet_length("w"), F.lit(0))
+    blocks = stage(many.join(bags.select("key", size.alias("size")), "key").groupBy("band")
+                   .agg(F.ceil(F.sum("size") / BLOCK_BYTES).alias("blocks")), "blocks")
+    dealt = (many.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("key", "band", F.lit(2)), F.greatest("blocks", F.lit(1))))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .select("band", "key", "root", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")))
+    rows = dealt.join(nodes.select("key", "bands"), "key").join(bags, "key")
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        sets = [elements(np.frombuffer(h, dtype=np.uint64), None if w is None else np.frombuffer(w, dtype=np.uint32)) for h, w in zip(x["h"], x["w"])]
+        own, p, q = x["own"].to_numpy(), int(x["p"].iloc[0]), int(x["q"].iloc[0])
+        left = np.flatnonzero(own == p).tolist()
+        right = left if p == q else np.flatnonzero(own == q).tolist()
+        root = np.unique(np.array([bytes(r).hex() for r in x["root"]]), return_inverse=True)[1]
+        pairs = alike(left, right, sets, root, np.stack(x["bands"].to_numpy()), int(x["band"].iloc[0]), threshold) if left and right else []
+        key = [bytes(k) for k in x["key"]]
+        return pd.DataFrame([sorted((key[i], key[j])) for i, j in pairs], columns=["a", "b"])
+
+    return rows.groupBy("band", "p", "q").applyInPandas(run, "a binary, b binary")
+
+
 # ------------------------------------------------------------------ components
 
 
@@ -289,6 +390,16 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
              .where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
     second = verified(apart, bags, threshold)
     comp = stage(components(first.union(second)), "components")
+    # what the two rounds left apart: every pair that shares a band
+    opened = stage(open_buckets(shared, comp), "open")
+    third = stage(verified(outside_links(opened), bags, threshold).union(block_links(opened, nodes, bags, threshold)), "links")
+    if not third.isEmpty():
+        roots = (third.join(at("a"), "a", "left").join(at("b"), "b", "left")
+                 .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))
+        merged = stage(components(roots), "components").select(F.col("node").alias("old"), F.col("root").alias("new"))
+        alone = roots.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comp, "node", "left_anti")
+        whole = comp.union(alone.select("node", F.col("node").alias("root")))
+        comp = whole.join(merged, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
     of = (nodes.select("key", "rep").join(comp, F.col("key") == F.col("node"), "left")
           .select("key", "rep", F.coalesce("root", "key").alias("root")))
     return signed.select("doc_id", "key"), of

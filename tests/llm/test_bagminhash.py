@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from llm_data import docs, empty, prose
 
 from leadloom.llm import bagminhash as B
@@ -112,3 +113,37 @@ def test_parts_of_large_buckets_differ_between_bands(spark, monkeypatch):
     shared = spark.createDataFrame([(band, f"k{k:03}".encode(), 250) for band in range(25) for k in range(250)], "band long, key binary, size long")
     links = B.neighbour_links(shared)
     assert {bytes(r["root"]) for r in B.components(links).collect()} == {b"k000"}      # with the same parts in every band: five classes
+
+
+def family(n=160, words=200, edits=3):
+    """Variants of one text, most pairs somewhat below 0.8; some have a twin around 0.8."""
+    r = random.Random(9)
+    base = prose(r, words)
+    rows = [(i, edited(r, base, edits), "en", "s", 0) for i in range(n)]
+    return rows + [(1000 + i, edited(r, rows[i][1], 4), "en", "s", 0) for i in range(0, n, 4)]
+
+
+@pytest.mark.parametrize("few", [0, 10, 10_000])
+def test_families_around_the_threshold_equal_all_pairs(spark, few, monkeypatch):
+    monkeypatch.setattr(B, "FEW", few)
+    monkeypatch.setattr(B, "BLOCK_BYTES", 40_000)
+    monkeypatch.setattr(B, "BUCKET_PART", 8)
+    rows = family()
+    got = sorted(((r["doc_id"], r["class_id"]) for r in B.classes(docs(spark, rows)).collect()), key=str)
+    assert got == brute_classes(rows)
+    assert len({c for _, c in got}) > 20
+
+
+def test_alike_equals_likeness_on_multisets():
+    r = np.random.default_rng(3)
+    bags = []
+    for _ in range(40):
+        h = np.sort(r.choice(60, 50, replace=False)).astype(np.uint64)
+        bags.append((h, r.integers(1, 4, 50).astype(np.uint32) if r.random() < 0.5 else None))
+    sets = [B.elements(*b) for b in bags]
+    n = len(bags)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if B.likeness(*bags[i], *bags[j]) >= 0.6}
+    left = list(range(n))
+    got = B.alike(left, left, sets, np.arange(n), np.full((n, 2), 7), 7, 0.6)
+    assert set(got) == want and want and len(got) == len(want)
+    assert B.alike(left, left, sets, np.arange(n), np.tile([3, 7], (n, 1)), 7, 0.6) == []      # compared in band 3
