@@ -15,9 +15,11 @@ minimiser) sits at the same place form a super-k-mer:
 4. spans: the repeated windows go back to their documents.
 
 Scale: texts are shuffled twice by row (once for packing, once for cutting);
-all else is proportional to super-k-mers or to repeated text. A minimiser with
-more than ``HOT_VARIANTS`` different strings is split into single windows that
-meet by their own hash. Partitions of step 3 hold about ``BUCKET_BYTES``.
+all else is proportional to super-k-mers or to repeated text. The strings at the
+edges of a shared passage hold words of their own documents, so they do not
+collapse: the strings of a minimiser with more than ``HOT_VARIANTS`` different
+ones are split into single windows, which are counted by their 128-bit digest
+(map-side first) and flagged by a join that Spark can split. Partitions of step 3 hold about ``BUCKET_BYTES``.
 
 Edge cases: null and empty texts have no words; texts shorter than a window
 are kept whole; repeated rows (same id, same text) count as repeats of each
@@ -133,31 +135,27 @@ def packs(docs: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame
     return map_arrow(both, run, f"m long, _id {id_type}, _t long, s int, ph binary, packed binary")
 
 
-def _split_hot(strings: DataFrame, window: int) -> DataFrame:
-    """(key, ph, first, packed, weight): strings under their minimiser; those
-    of hot minimisers as single windows under the window's own hash."""
+def _hot_spans(hot: DataFrame, window: int) -> DataFrame:
+    """(ph, spans) of strings (ph, packed, weight) of hot minimisers, by their
+    single windows."""
     def run(batches):
-        import xxhash
         for b in batches:
-            rows = []
-            for hot, m, ph, packed, weight in zip(*(b.column(c).to_pylist() for c in ("hot", "m", "ph", "packed", "weight"))):
-                if not hot:
-                    rows.append((m, ph, 0, packed, weight))
-                    continue
+            ph, first, digest, weight = [], [], [], []
+            for own, packed, n in zip(*(b.column(c).to_pylist() for c in ("ph", "packed", "weight"))):
                 words = packed.split(b" ")
                 for j in range(len(words) - window + 1):
-                    one = b" ".join(words[j:j + window])
-                    rows.append((xxhash.xxh64_intdigest(one) - 2 ** 63, ph, j, one, weight))
-            cols = list(zip(*rows)) if rows else [()] * 5
-            yield pa.RecordBatch.from_pydict({
-                "key": pa.array(cols[0], pa.int64()), "ph": pa.array(cols[1], pa.binary()),
-                "first": pa.array(cols[2], pa.int32()), "packed": pa.array(cols[3], pa.binary()),
-                "weight": pa.array(cols[4], pa.int64())})
+                    ph.append(own)
+                    first.append(j)
+                    digest.append(hashlib.md5(b" ".join(words[j:j + window])).digest())
+                    weight.append(n)
+            yield pa.RecordBatch.from_pydict({"ph": pa.array(ph, pa.binary()), "first": pa.array(first, pa.int32()),
+                                              "digest": pa.array(digest, pa.binary()), "weight": pa.array(weight, pa.int64())})
 
-    # written, so that the planner knows its size: no shuffle of the strings while it is small
-    variants = stage(strings.groupBy("m").agg((F.count(F.lit(1)) > HOT_VARIANTS).alias("hot")).where("hot"), "hot")
-    flagged = strings.join(variants, "m", "left").select(F.coalesce("hot", F.lit(False)).alias("hot"), "m", "ph", "packed", "weight")
-    return map_arrow(flagged, run, "key long, ph binary, first int, packed binary, weight long")
+    # both written, so that the join is of plain shuffles and a hot window can be split
+    windows = stage(map_arrow(hot, run, "ph binary, first int, digest binary, weight long"), "windows")
+    twice = stage(windows.groupBy("digest").agg(F.sum("weight").alias("n")).where("n > 1").select("digest"), "twice")
+    return (windows.select("ph", "first", "digest").join(twice, "digest").groupBy("ph")
+            .agg(F.collect_list(F.struct(F.col("first").alias("a"), (F.col("first") + 1).alias("b"))).alias("spans")))
 
 
 def count_windows(packed: list[bytes], weight: np.ndarray, window: int) -> list[np.ndarray]:
@@ -202,24 +200,28 @@ def repeated(strings: DataFrame, window: int = WINDOW) -> DataFrame:
     """(ph, spans): the runs of repeated windows [a, b) of each string."""
     size = strings.agg(F.sum(F.octet_length("packed"))).first()[0] or 0
     parts = max(blocks_for(size, BUCKET_BYTES), int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = _split_hot(strings, window).repartition(parts, "key")
+    # written, so that the planner knows its size: no shuffle of the strings while it is small
+    variants = stage(strings.groupBy("m").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_VARIANTS).select("m"), "hot")
+    hot = strings.join(variants, "m", "left_semi").select("ph", "packed", "weight")
+    dealt = strings.join(variants, "m", "left_anti").select("m", "ph", "packed", "weight").repartition(parts, "m")
 
     def run(batches):
-        ph, first, packed, weight = [], [], [], []
+        ph, packed, weight = [], [], []
         for b in batches:                # one partition: every string of its minimisers
-            for own, c in zip((ph, first, packed, weight), ("ph", "first", "packed", "weight")):
+            for own, c in zip((ph, packed, weight), ("ph", "packed", "weight")):
                 own += b.column(c).to_pylist()
         if not ph:
             return
         out_ph, out = [], []
-        for x, lo, flags in zip(ph, first, count_windows(packed, np.array(weight), window)):
+        for x, flags in zip(ph, count_windows(packed, np.array(weight), window)):
             if flags.any():
                 out_ph.append(x)
-                out.append([{"a": lo + a, "b": lo + b} for a, b in spans_of(flags)])
+                out.append([{"a": a, "b": b} for a, b in spans_of(flags)])
         yield pa.RecordBatch.from_pydict({"ph": pa.array(out_ph, pa.binary()), "spans": pa.array(
             out, pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))})
 
-    return map_arrow(dealt, run, "ph binary, spans array<struct<a:int,b:int>>")
+    cold = map_arrow(dealt, run, "ph binary, spans array<struct<a:int,b:int>>")
+    return cold if variants.isEmpty() else cold.union(_hot_spans(hot, window))
 
 
 def mark(docs: DataFrame, spans: str, window: int = WINDOW, mmer: int = MMER) -> DataFrame:

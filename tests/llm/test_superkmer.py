@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from llm_data import doc_rows, docs, empty
+from llm_data import doc_rows, docs, empty, prose
 
 from leadloom.llm import superkmer as S
 
@@ -50,6 +50,24 @@ def test_hot_minimisers_are_split(spark, hot, monkeypatch):
     assert sort(S.report(docs(spark, rows)).collect()) == sort(brute(rows, 35))
 
 
+def test_edges_of_a_hot_passage_do_not_meet_in_one_task(spark, monkeypatch):
+    """120 documents share a passage between words of their own: the windows at
+    its edges are equal, the strings that hold them are not."""
+    r = random.Random(6)
+    passage = prose(r, 60)
+    rows = [(i, f"{prose(r, 50)} {passage} {prose(r, 50)}", "en", "a", 1) for i in range(120)]
+    count = S.count_windows
+
+    def guarded(packed, weight, window):
+        most = Counter(tuple(p.split(b" ")[:window]) for p in packed).most_common(1)[0][1]
+        assert most < 60, f"{most} strings of one window in a task"
+        return count(packed, weight, window)
+
+    monkeypatch.setattr(S, "HOT_VARIANTS", 20)
+    monkeypatch.setattr(S, "count_windows", guarded)
+    assert sort(S.report(docs(spark, rows)).collect()) == sort(brute(rows, 35))
+
+
 def test_colliding_hashes_are_told_apart(monkeypatch):
     monkeypatch.setattr(S, "rolling", lambda h, w: np.zeros(len(h) - w + 1, dtype=np.uint64))
     got = S.count_windows([b"a b c d", b"x b c d", b"b c d"], np.array([1, 1, 1]), 3)
