@@ -50,4 +50,29 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(hw.n_hit, 0) AS
 FROM d LEFT JOIN hw ON hw.doc_id = d.doc_id LEFT JOIN hi ON hi.doc_id = d.doc_id
 """
 
-ORACLES = {"op4_capture_index": OP4, "op5_super_kmers": OP5, "op6_decontamination": OP6}
+# The quotients are dealt one block at a time here; targets stop at their ceilings round by round.
+OP11 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+  CAST('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS o FROM d GROUP BY source),
+w AS (SELECT *, o % 3 + 1 AS w FROM s),
+rounds AS (
+  SELECT 0 AS r, source, o, n, w, false AS full_, (SELECT sum(n) FROM w) AS rest, (SELECT sum(w) FROM w) AS ws FROM w
+  UNION ALL
+  SELECT r + 1, source, o, n, w, f, (sum(n) OVER ()) - coalesce(sum(3 * n) FILTER (WHERE f) OVER (), 0), coalesce(sum(w) FILTER (WHERE NOT f) OVER (), 1)
+  FROM (SELECT *, full_ OR rest * w > 3 * n * ws AS f FROM rounds) WHERE r < (SELECT count(*) FROM w)),
+t AS (SELECT source, o, CAST(n AS BIGINT) AS n, CASE WHEN full_ THEN CAST(3 * n AS DOUBLE) ELSE CAST(rest * w AS DOUBLE) / CAST(ws AS DOUBLE) END AS target
+      FROM rounds WHERE r = (SELECT max(r) FROM rounds)),
+b AS (SELECT greatest(1, least(1024, floor(min(target) FILTER (WHERE target > 0) / 128))) AS block, sum(target) AS total FROM t),
+q AS (SELECT o, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, o, k) AS place
+      FROM (SELECT o, target, unnest(range(0, CAST(ceil(target / block) AS BIGINT) + 3)) AS k FROM t, b WHERE target > 0)),
+g AS (SELECT o, count(*) AS blocks FROM q WHERE place <= (SELECT floor(total / block + 0.5) FROM b) GROUP BY o),
+l AS (SELECT doc_id, d.size, t.n, t.target, coalesce(g.blocks, 0) AS blocks, CAST(least(coalesce(g.blocks, 0) * b.block, 3 * t.n) AS BIGINT) AS upto,
+        CAST(sum(d.size) OVER (PARTITION BY t.o ORDER BY k, doc_id, d.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS till
+      FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source LEFT JOIN g ON g.o = t.o CROSS JOIN b)
+SELECT doc_id, size, n AS source_size, target, CAST(list_sum(list_transform(range(0, 3), lambda lap:
+    greatest(0, least(till + lap * n, upto) - (till - size + lap * n)))) AS BIGINT) AS taken, blocks AS source_blocks
+FROM l
+"""
+
+ORACLES = {"op4_capture_index": OP4, "op5_super_kmers": OP5, "op6_decontamination": OP6, "op11_sainte_lague": OP11}

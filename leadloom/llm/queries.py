@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, decontam, fracsketch, langid, packing, sharding, sitequality, suffixtree, superkmer, warc
+from . import bagminhash, decontam, fracsketch, langid, mixture, packing, sharding, sitequality, suffixtree, superkmer, warc
 from .common import table
 from .oracles import ORACLES
 
@@ -51,6 +51,10 @@ def op8_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitequality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_tree": op1_suffix_tree,
     "op2_best_fit_shards": op2_best_fit_shards,
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_site_quality": op8_site_quality,
     "op9_language_id": op9_language_id,
     "op10_bagminhash": op10_bagminhash,
+    "op11_sainte_lague": op11_sainte_lague,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
