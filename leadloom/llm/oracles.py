@@ -75,4 +75,26 @@ SELECT doc_id, size, n AS source_size, target, CAST(list_sum(list_transform(rang
 FROM l
 """
 
-ORACLES = {"op4_capture_index": OP4, "op5_super_kmers": OP5, "op6_decontamination": OP6, "op11_sainte_lague": OP11}
+# All distances of all vectors to all centroids, round by round.
+_NEAREST = """SELECT v.r, min({{'d': list_sum(list_transform(list_zip(v.x, k.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'c': k.c}}) AS best
+  FROM v CROSS JOIN c{0} k GROUP BY v.r"""
+_ROUND = """a{0} AS MATERIALIZED (""" + _NEAREST + """),
+m{0} AS MATERIALIZED (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY p) AS x FROM (
+  SELECT a.best.c AS c, p, sum(e) AS s, count(*) AS n FROM (SELECT r, unnest(x) AS e, generate_subscripts(x, 1) AS p FROM v) JOIN a{0} a USING (r)
+  GROUP BY a.best.c, p) GROUP BY c),
+c{1} AS MATERIALIZED (SELECT k.c, CAST(coalesce(m.x, k.x) AS BIGINT[]) AS x FROM c{0} k LEFT JOIN m{0} m ON m.c = k.c),
+"""
+
+OP13 = """
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (
+  SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, x FROM v ORDER BY h, x LIMIT 8)),
+""" + "".join(_ROUND.format(i, i + 1) for i in range(10)) + "a10 AS MATERIALIZED (" + _NEAREST.format(10) + """),
+o AS (SELECT vec_id, best.c AS c, CAST(best.d AS BIGINT) AS d FROM a10 JOIN v USING (r))
+SELECT vec_id, CAST(o.c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY o.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256
+FROM o JOIN c10 k ON k.c = o.c
+"""
+
+ORACLES = {"op4_capture_index": OP4, "op5_super_kmers": OP5, "op6_decontamination": OP6, "op11_sainte_lague": OP11, "op13_rotated_filter": OP13}
