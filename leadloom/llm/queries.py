@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bagminhash, centroids, decontam, fracsketch, langid, mixture, packing, sharding, sitequality, suffixtree, superkmer, warc
+from . import bagminhash, centroids, decontam, fracsketch, langid, mixture, packing, sharding, sitequality, suffixtree, superkmer, warc, whitening
 from .common import table
 from .oracles import ORACLES
 
@@ -55,6 +55,10 @@ def op11_sainte_lague(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.report(table(spark, sf_dir, "documents"))
 
 
+def op12_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 def op13_rotated_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.report(table(spark, sf_dir, "embeddings"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_bagminhash": op10_bagminhash,
     "op11_sainte_lague": op11_sainte_lague,
+    "op12_exact_whitening": op12_exact_whitening,
     "op13_rotated_filter": op13_rotated_filter,
 }
 
