@@ -21,11 +21,12 @@ Scale: texts are read for signatures without a shuffle; a hot group of equal
 texts collapses by map-side aggregation; buckets are only aggregated, joined
 and cut into salted parts before ordering; links, components and signatures
 stay in tables. Components take a logarithmic number of star contractions. Of a
-bucket with at most ``FEW`` nodes outside its largest component, those are
-paired with all (rows linear in the bucket); other buckets are dealt into
-blocks of about ``BLOCK_BYTES`` of multisets, and each pair of blocks is
-compared in one task, without a row for each pair. That time grows with the
-square of such a bucket: it is the price of deciding unlike pairs of a family.
+bucket that still holds several components, the nodes outside the largest are
+compared with all, inside tasks, without a row for each pair: both sides are
+dealt into blocks of about ``BLOCK_BYTES`` of multisets, and a task decides
+pairs of blocks. Rows and bytes are linear in the bucket while those outside
+fill one block; beyond that, bytes and time grow with the product of the two
+sides: it is the price of deciding all unlike pairs of a family.
 
 Edge cases: null and empty texts are equal texts (one class); a null id is
 carried, and the class id is the least non-null id of the class; repeated rows
@@ -50,9 +51,7 @@ REGISTERS = BANDS * ROWS
 #: nodes of a bucket that are ordered together; larger buckets are salted
 BUCKET_PART = 500
 NEIGHBOURS = 2
-#: nodes of a bucket outside its largest component that are paired one by one
-FEW = 64
-#: multisets of a block in larger buckets
+#: multisets of a block of a bucket
 BLOCK_BYTES = 4 << 20
 
 
@@ -255,25 +254,17 @@ def verified(links: DataFrame, bags: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def open_buckets(shared: DataFrame, comp: DataFrame) -> DataFrame:
-    """(band, key, root, major, minor): the buckets that hold several
-    components, with the largest one and the number of nodes outside it."""
+    """(band, key, root, major): the buckets that hold several components, with
+    the largest one."""
     rows = (shared.select("band", "key").join(comp.select(F.col("node").alias("key"), "root"), "key", "left")
             .withColumn("root", F.coalesce("root", "key")))
     parts = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     # written, so that both sides of the join are plain shuffles
-    mixed = stage(parts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"), (F.sum("n") - F.max("n")).alias("minor"))
-                  .where("minor > 0"), "mixed")
+    mixed = stage(parts.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.count(F.lit(1)).alias("n"))
+                  .where("n > 1").drop("n"), "mixed")
     return rows.join(mixed, "band")
 
 
-def outside_links(opened: DataFrame) -> DataFrame:
-    """Distinct (a, b) of different components, in buckets with few nodes
-    outside their largest component."""
-    few = opened.where(F.col("minor") <= FEW)
-    one = few.where("root != major").select("band", F.col("key").alias("k"), F.col("root").alias("r"))
-    return few.join(one, "band").where("root != r").select(*_ordered(F.col("key"), F.col("k"))).distinct()
-
-
 def elements(h: np.ndarray, w) -> np.ndarray:
     """A multiset as a set: the k-th occurrence of a hash is an element."""
     if w is None:
@@ -285,22 +276,23 @@ def elements(h: np.ndarray, w) -> np.ndarray:
 
 
 def alike(left: list[int], right: list[int], sets: list[np.ndarray], root: np.ndarray, bands: np.ndarray, band: int,
-          threshold: float) -> list[tuple[int, int]]:
+          threshold: float, order: np.ndarray, twice: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of a left and a right set of different components that are alike
-    enough; a pair that shares several bands is compared in the first."""
+    enough; a pair that shares several bands is compared in the first. A right
+    set that is on the left of another comparison (``twice``) meets only left
+    sets before it in ``order``."""
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     of = np.split(ids, np.cumsum(sizes)[:-1])
     post = np.concatenate([of[j] for j in right])
     owner = np.repeat(np.arange(len(right)), sizes[right])
-    order = np.argsort(post, kind="stable")
-    owner, start = owner[order], np.concatenate(([0], np.cumsum(np.bincount(post, minlength=int(ids.max()) + 1))))
-    right_sizes, right_root, right_bands, place, same = sizes[right], root[right], bands[right], np.array(right), left is right
+    at_post = np.argsort(post, kind="stable")
+    owner, start = owner[at_post], np.concatenate(([0], np.cumsum(np.bincount(post, minlength=int(ids.max()) + 1))))
+    right_sizes, right_root, right_bands, right_order = sizes[right], root[right], bands[right], np.where(twice[right], order[right], len(sets))
     out = []
     for i in left:
-        ok = (right_root != root[i]) & (np.minimum(right_sizes, sizes[i]) >= threshold * np.maximum(right_sizes, sizes[i]) - 1e-6)
-        if same:
-            ok &= place > i
+        ok = ((right_root != root[i]) & (right_order > order[i])
+              & (np.minimum(right_sizes, sizes[i]) >= threshold * np.maximum(right_sizes, sizes[i]) - 1e-6))
         if ok.any():
             shared = right_bands[ok] == bands[i]
             ok[ok] = bands[i][shared.argmax(axis=1)] == band
@@ -314,31 +306,62 @@ def alike(left: list[int], right: list[int], sets: list[np.ndarray], root: np.nd
     return out
 
 
+def dealt(opened: DataFrame, bags: DataFrame) -> DataFrame:
+    """(band, p, q, key, root, left, minor): the nodes outside a bucket's largest
+    component, in blocks p, on the left; all nodes of the bucket, in blocks q, on the
+    right. A bucket whose multisets fill one block of each is one group, and a
+    node is in it once or twice."""
+    size = F.octet_length("h") + F.coalesce(F.octet_length("w"), F.lit(0))
+    minor = F.col("root") != F.col("major")
+    rows = opened.select("band", "key", "root", minor.alias("minor"))
+    blocks = stage(rows.join(bags.select("key", size.alias("size")), "key").groupBy("band").agg(
+        F.greatest(F.lit(1), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("all"),
+        F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("minor"), F.col("size"))) / BLOCK_BYTES)).alias("few")), "blocks")
+    rows = rows.join(blocks, "band")
+    p, q = F.pmod(F.xxhash64("key", "band", F.lit(2)), F.col("few")), F.pmod(F.xxhash64("key", "band", F.lit(3)), F.col("all"))
+
+    def upto(n):
+        return F.sequence(F.lit(0).cast("long"), n - 1)
+
+    lefts = F.transform(upto(F.col("all")), lambda i: F.struct(p.alias("p"), i.alias("q"), F.lit(True).alias("left")))
+    rights = F.transform(upto(F.col("few")), lambda i: F.struct(i.alias("p"), q.alias("q"), F.lit(False).alias("left")))
+    places = F.when(F.col("minor"), F.concat(lefts, rights)).otherwise(rights)
+    return rows.select("band", "key", "root", "minor", F.explode(places).alias("at")).select("band", "at.p", "at.q", "at.left", "key", "root", "minor")
+
+
 def block_links(opened: DataFrame, nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): the pairs of different components that are alike enough, in
-    buckets with many nodes outside their largest component."""
-    import pandas as pd
+    """(a, b): the pairs of different components of a bucket that are alike
+    enough, compared inside tasks without a row for each pair."""
+    rows = dealt(opened, bags).join(nodes.select("key", "bands"), "key").join(bags, "key")
+    group = ["band", "p", "q"]
+
+    def decided(rows: list[dict]) -> list[tuple[bytes, bytes]]:
+        left, right = [i for i, r in enumerate(rows) if r["left"]], [i for i, r in enumerate(rows) if not r["left"]]
+        if not left or not right:
+            return []
+        sets = [elements(np.frombuffer(r["h"], dtype=np.uint64), None if r["w"] is None else np.frombuffer(r["w"], dtype=np.uint32)) for r in rows]
+        numbers = {k: n for n, k in enumerate(sorted({r["key"] for r in rows}))}
+        roots = {k: n for n, k in enumerate({r["root"] for r in rows})}
+        pairs = alike(left, right, sets, np.array([roots[r["root"]] for r in rows]), np.array([r["bands"] for r in rows]), rows[0]["band"],
+                      threshold, np.array([numbers[r["key"]] for r in rows]), np.array([r["minor"] for r in rows]))
+        return [tuple(sorted((rows[i]["key"], rows[j]["key"]))) for i, j in pairs]
 
-    many = opened.where(F.col("minor") > FEW).select("band", "key", "root")
-    size = F.octet_length("h") + F.coalesce(F.octet_length("w"), F.lit(0))
-    blocks = stage(many.join(bags.select("key", size.alias("size")), "key").groupBy("band")
-                   .agg(F.ceil(F.sum("size") / BLOCK_BYTES).alias("blocks")), "blocks")
-    dealt = (many.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("key", "band", F.lit(2)), F.greatest("blocks", F.lit(1))))
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("band", "key", "root", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")))
-    rows = dealt.join(nodes.select("key", "bands"), "key").join(bags, "key")
-
-    def run(x: pd.DataFrame) -> pd.DataFrame:
-        sets = [elements(np.frombuffer(h, dtype=np.uint64), None if w is None else np.frombuffer(w, dtype=np.uint32)) for h, w in zip(x["h"], x["w"])]
-        own, p, q = x["own"].to_numpy(), int(x["p"].iloc[0]), int(x["q"].iloc[0])
-        left = np.flatnonzero(own == p).tolist()
-        right = left if p == q else np.flatnonzero(own == q).tolist()
-        root = np.unique(np.array([bytes(r).hex() for r in x["root"]]), return_inverse=True)[1]
-        pairs = alike(left, right, sets, root, np.stack(x["bands"].to_numpy()), int(x["band"].iloc[0]), threshold) if left and right else []
-        key = [bytes(k) for k in x["key"]]
-        return pd.DataFrame([sorted((key[i], key[j])) for i, j in pairs], columns=["a", "b"])
-
-    return rows.groupBy("band", "p", "q").applyInPandas(run, "a binary, b binary")
+    def run(batches):
+        def batch(pairs):
+            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs], pa.binary()), "b": pa.array([b for _, b in pairs], pa.binary())})
+        held, now = [], None                                   # the rows of one group
+        for b in batches:
+            for r in b.to_pylist():
+                at = r["band"], r["p"], r["q"]
+                if at != now and held:
+                    yield batch(decided(held))
+                    held = []
+                now = at
+                held.append(r)
+        if held:
+            yield batch(decided(held))
+
+    return map_arrow(rows.repartition(*group).sortWithinPartitions(*group), run, "a binary, b binary")
 
 
 # ------------------------------------------------------------------ components
@@ -392,7 +415,7 @@ def _classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     comp = stage(components(first.union(second)), "components")
     # what the two rounds left apart: every pair that shares a band
     opened = stage(open_buckets(shared, comp), "open")
-    third = stage(verified(outside_links(opened), bags, threshold).union(block_links(opened, nodes, bags, threshold)), "links")
+    third = stage(block_links(opened, nodes, bags, threshold), "links")
     if not third.isEmpty():
         roots = (third.join(at("a"), "a", "left").join(at("b"), "b", "left")
                  .select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b")))

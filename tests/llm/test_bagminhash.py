@@ -123,10 +123,9 @@ def family(n=160, words=200, edits=3):
     return rows + [(1000 + i, edited(r, rows[i][1], 4), "en", "s", 0) for i in range(0, n, 4)]
 
 
-@pytest.mark.parametrize("few", [0, 10, 10_000])
-def test_families_around_the_threshold_equal_all_pairs(spark, few, monkeypatch):
-    monkeypatch.setattr(B, "FEW", few)
-    monkeypatch.setattr(B, "BLOCK_BYTES", 40_000)
+@pytest.mark.parametrize("block", [10_000, 40_000, 4 << 20])
+def test_families_around_the_threshold_equal_all_pairs(spark, block, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_BYTES", block)
     monkeypatch.setattr(B, "BUCKET_PART", 8)
     rows = family()
     got = sorted(((r["doc_id"], r["class_id"]) for r in B.classes(docs(spark, rows)).collect()), key=str)
@@ -144,6 +143,17 @@ def test_alike_equals_likeness_on_multisets():
     n = len(bags)
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if B.likeness(*bags[i], *bags[j]) >= 0.6}
     left = list(range(n))
-    got = B.alike(left, left, sets, np.arange(n), np.full((n, 2), 7), 7, 0.6)
+    once = np.arange(n), np.ones(n, dtype=bool)
+    got = B.alike(left, left, sets, np.arange(n), np.full((n, 2), 7), 7, 0.6, *once)
     assert set(got) == want and want and len(got) == len(want)
-    assert B.alike(left, left, sets, np.arange(n), np.tile([3, 7], (n, 1)), 7, 0.6) == []      # compared in band 3
+    assert B.alike(left, left, sets, np.arange(n), np.tile([3, 7], (n, 1)), 7, 0.6, *once) == []      # compared in band 3
+
+
+def test_rows_grow_with_a_family_not_with_its_square(spark):
+    """One bucket of n nodes, a fifth of them outside the largest component."""
+    def rows(n):
+        key = [f"k{i:05}".encode() for i in range(n)]
+        opened = spark.createDataFrame([(1, k, b"major" if i % 5 else k, b"major") for i, k in enumerate(key)], "band long, key binary, root binary, major binary")
+        bags = spark.createDataFrame([(k, b"8bytes.." * 20, None) for k in key], "key binary, h binary, w binary")
+        return B.dealt(opened, bags).count()
+    assert [rows(n) for n in (400, 800, 1600)] == [480, 960, 1920]
