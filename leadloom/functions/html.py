@@ -5,8 +5,11 @@ anchors, headings and text blocks with built-in functions, so the work stays
 in the JVM and scales with the number of pages. Operators first make the
 ``markup`` column (scripts, styles and comments gone) and use it for all else.
 
-Differences from a rendered DOM (documented): hidden elements count; the
-"parent element" of a link is the text between the block boundaries around it.
+Every pattern reads a page once: what a page leaves open (a comment, a tag, a
+quoted value, a link) ends with the page, so that nothing is tried again from
+each place, and repetitions are possessive, so that none is a stack frame.
+``tree`` has the element tree. Difference from a rendered DOM (documented): hidden
+elements count.
 """
 
 from __future__ import annotations
@@ -16,17 +19,27 @@ from pyspark.sql import functions as F
 
 from .text import blank, let, py_strip
 
-# Attribute text of a tag; quoted values may hold '>'.
-ATTRS = r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+"""
-ANCHOR_RE = rf"(?is)<a(?:\s{ATTRS})?>.*?</a\s*>"
-BUTTON_RE = rf"(?is)<button(?:\s{ATTRS})?>.*?</button\s*>"
-H1_RE = rf"(?is)<h1(?:\s{ATTRS})?>(.*?)</h1\s*>"
-UNSEEN_RE = r"(?is)<!--.*?-->|<script[\s>].*?</script\s*>|<style[\s>].*?</style\s*>"
-TAG_RE = rf"(?s)</?[a-zA-Z!]{ATTRS}>"
+# Attribute text of a tag: quotes count behind '=', and quoted values may hold '>'.
+ATTRS = r"""[^>=]*+(?:=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))?+[^>=]*+)*+"""
+# A tag ends at '>' or with the page.
+END = r"(?:>|\z)"
+
+
+def _element_re(name: str, ends: str) -> str:
+    """Attributes and content of an element that ends at the next start or end
+    tag of ``ends``."""
+    return rf"(?is)<{name}(?=[\s/>])({ATTRS}){END}([^<]*+(?:<(?!/?{ends}[\s/>])[^<]*+)*+)"
+
+
+ANCHOR_RE = _element_re("a", "a")
+BUTTON_RE = _element_re("button", "button")
+H1_RE = _element_re("h1", "h[1-6]")
+UNSEEN_RE = r"(?is)<!--.*?(?:-->|\z)|<(script|style)(?=[\s/>]).*?(?:</\1(?=[\s/>])[^>]*+(?:>|\z)|\z)"
+TAG_RE = rf"(?s)</?[a-zA-Z!]{ATTRS}{END}"
 # Boundaries of block elements and line breaks: they separate text.
 BLOCK_NAMES = ("p|div|li|td|th|tr|ul|ol|dl|dt|dd|table|section|article|header|footer|nav|main|aside|form|"
                "blockquote|pre|address|figure|hr|h[1-6]|body|html|br")
-BLOCK_RE = rf"(?i:</?(?:{BLOCK_NAMES})(?:\s[^>]*)?/?>)"
+BLOCK_RE = rf"(?i:</?(?:{BLOCK_NAMES})(?:[\s/][^>]*+)?+(?:>|\z))"
 NUMERIC_RE = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
 # FIXED VALUES: named entities, decoded in this order (&amp; last).
@@ -70,7 +83,7 @@ def decode_entities(c) -> Column:
 def strip_tags(c) -> Column:
     """Text of a piece of ``markup``: neighbouring block boundaries become one
     line break, other tags go, entities are decoded."""
-    s = F.regexp_replace(blank(c), rf"(?:{BLOCK_RE}\s*)+", "\n")
+    s = F.regexp_replace(blank(c), rf"(?:{BLOCK_RE}\s*+)++", "\n")
     return decode_entities(F.regexp_replace(s, TAG_RE, ""))
 
 
@@ -79,63 +92,44 @@ def inner_text(c) -> Column:
     return py_strip(strip_tags(c))
 
 
-def elements(c, name: str, pattern: str) -> Column:
+def elements(c, pattern: str) -> Column:
     """array<struct<attrs, inner>> of the matches of an element pattern: whole
     matches are found once, then each small match is taken apart."""
-    open_re = rf"(?is)^<{name}(\s{ATTRS})?>"
     return F.transform(F.regexp_extract_all(blank(c), F.lit(pattern), 0), lambda m: F.struct(
-        F.regexp_extract(m, open_re, 1).alias("attrs"),
-        F.regexp_replace(F.regexp_replace(m, open_re, ""), rf"(?i)</{name}\s*>$", "").alias("inner")))
+        F.regexp_extract(m, pattern, 1).alias("attrs"), F.regexp_extract(m, pattern, 2).alias("inner")))
 
 
 def anchors(c) -> Column:
-    """Every <a> element in document order."""
-    return elements(c, "a", ANCHOR_RE)
+    """Every <a> element in document order; a link that is still open ends where
+    the next begins."""
+    return elements(c, ANCHOR_RE)
 
 
 def buttons(c) -> Column:
-    return elements(c, "button", BUTTON_RE)
+    return elements(c, BUTTON_RE)
+
+
+# One attribute: its name, and its value where it has one.
+ATTR_RE = r"""(?s)[^\s=/>"']++(?:\s*+=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s>]*+))?+"""
 
 
 def attr(attrs, name: str) -> Column:
     """Value of an attribute as a browser gives it: double-quoted, single-quoted
-    or bare, entities decoded; '' if absent."""
-    value = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
-    other = r"""\s*+[^\s="'>/]++(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'>]++))?/?"""
-    raw = F.regexp_extract(blank(attrs), rf"(?is)^(?:{other})*?\s*{name}\s*=\s*{value}", 1)
-    return decode_entities(let(raw, lambda v: F.when(
-        v.startswith('"') | v.startswith("'"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v)))
+    or bare, entities decoded; '' if absent. The first of equal names counts."""
+    def value(found):
+        raw = F.regexp_extract(found, r"(?s)^[^=]*+=\s*+(.*)$", 1)
+        return let(raw, lambda v: F.when(v.startswith('"') | v.startswith("'"), F.regexp_replace(
+            F.substring(v, F.lit(2), F.length(v)), r"""["']\z""", "")).otherwise(v))
+
+    def first(a):
+        named = F.filter(F.regexp_extract_all(a, F.lit(ATTR_RE), 0), lambda x: x.rlike(rf"(?i)^{name}(?=\s*+(?:=|$))"))
+        return decode_entities(value(F.coalesce(F.get(named, 0), F.lit(""))))
+
+    return let(blank(attrs), lambda a: F.when(a.rlike(rf"(?i){name}"), first(a)).otherwise(""))
 
 
 def first_h1(c) -> Column:
-    return inner_text(F.regexp_extract(blank(c), H1_RE, 1))
-
-
-def blocks(c) -> Column:
-    """Markup split at block boundaries (document order). Boundaries inside a
-    link become blanks first, so a link that wraps blocks stays whole."""
-    opened = rf"(?is)^(.*<a(?:\s{ATTRS})?>)(.*)$"
-    parts = F.split(blank(c), r"(?i)</a\s*>")
-    whole = F.transform(parts, lambda p, i: F.when(
-        (i < F.size(parts) - 1) & p.rlike(opened),
-        F.concat(F.regexp_extract(p, opened, 1), F.regexp_replace(F.regexp_extract(p, opened, 2), BLOCK_RE, " "))).otherwise(p))
-    return F.split(F.array_join(whole, "</a>"), BLOCK_RE)
-
-
-def feed_anchors(c) -> Column:
-    """The links that are children of children of divs of the feed: anchors two
-    divs deep in the first div of role feed, while it is open."""
-    feed = F.regexp_extract(blank(c), r"""(?is)<div\s[^>]*\brole\s*=\s*["']?feed\b[^>]*>(.*)$""", 1)
-    parts = F.split(feed, r"(?i)(?=<a[\s>])")
-    count = lambda p, pattern: F.size(F.regexp_extract_all(p, F.lit(pattern), 0))
-    moved = F.transform(parts, lambda p: count(p, r"(?i)<div[\s>]") - count(p, r"(?i)</div\s*>"))
-    start = F.struct(F.lit(0).alias("d"), F.lit(False).alias("shut"), F.array().cast("array<int>").alias("at"))
-    # depth before every part, -1 once the feed has ended
-    walked = F.aggregate(moved, start, lambda a, m: F.struct(
-        (a.d + m).alias("d"), (a.shut | (a.d + m < 0)).alias("shut"),
-        F.concat(a["at"], F.array(F.when(a.shut, -1).otherwise(a.d))).alias("at")))
-    inside = F.filter(F.arrays_zip(parts.alias("p"), walked["at"].alias("d")), lambda x: (x.d == 2) & x.p.rlike(r"(?i)^<a[\s>]"))
-    return F.filter(F.transform(inside, lambda x: F.get(anchors(x.p), 0)), lambda a: a.isNotNull())
+    return inner_text(F.regexp_extract(blank(c), H1_RE, 2))
 
 
 # scheme://authority of an absolute URL

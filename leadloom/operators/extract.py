@@ -15,10 +15,29 @@ from ..functions.html import anchors, attr, buttons, first_h1, inner_text, marku
 from ..functions.patterns import (DIR_A_LABELS, DIR_B_ADDRESS_LABEL, DIR_B_BLOCKED_HOSTS,
                                   DIR_B_SKIP_LINES)
 from ..functions.phones import BUTTON_PHONE_RE
-from ..functions.text import blank, clean_line
+from ..functions.text import blank, clean_line, let
+from ..functions.tree import attrs_of, elements_of, markup_of, opened, pieces
 
-RATING_RE = (r"""(?is)<div\s[^>]*class\s*=\s*(?:"(?:[^"]*\s)?F7nice(?:\s[^"]*)?"|'(?:[^']*\s)?F7nice(?:\s[^']*)?'|F7nice[\s>])"""
-             r"""[^>]*>?.*?<span\s[^>]*aria-hidden\s*=\s*["']?true["']?[^>]*>(.*?)</span>""")
+
+def rating_text(markup) -> Column:
+    """Text of the first span of aria-hidden="true" inside a div of class F7nice."""
+    def rated(p):
+        classes = F.concat(F.lit(" "), F.regexp_replace(attr(attrs_of(p), "class"), r"\s", " "), F.lit(" "))
+        return opened(p, "div") & p.contains("F7nice") & classes.contains(" F7nice ")
+
+    def first(parts):
+        found = elements_of(parts, own=lambda p: opened(p, "span") & p.contains("true") & (attr(attrs_of(p), "aria-hidden") == "true"),
+                            mark=lambda p: F.when(rated(p), "F").otherwise(""))
+        inside = F.filter(found, lambda e: e.path.rlike(">div:[0-9]+F[^>]*>"))
+        # elements come in the order in which they end: the first to begin counts
+        start = F.array_min(F.transform(inside, lambda e: e.start))
+        return let(F.get(F.filter(inside, lambda e: e.start == start), 0), lambda e: inner_text(markup_of(parts, e)))
+
+    def from_rated(parts):               # what is before the first such div has no part in it
+        at = F.array_position(F.transform(parts, lambda p: rated(p)), True).cast("int")
+        return F.when(at > 0, let(F.concat(F.array(F.lit("")), F.slice(parts, at, F.size(parts))), first)).otherwise("")
+
+    return F.when(markup.contains("F7nice"), let(pieces(markup), from_rated)).otherwise("")
 
 
 def body_lines(text) -> Column:
@@ -52,7 +71,6 @@ def place_details(place_pages: DataFrame) -> DataFrame:
     auth = F.filter(a, lambda x: x["item"] == "authority")
     addr = F.filter(b, lambda x: x["item"] == "address")
     cat = F.filter(b, lambda x: x.action.contains("category"))
-    rating = F.regexp_extract("_h", RATING_RE, 1)
     pages = place_pages.select("page_id", "url", markup("html").alias("_h"))
     link = lambda x: F.struct(attr(x.attrs, "href").alias("href"), attr(x.attrs, "data-item-id").alias("item"))
     button = lambda x: F.struct(attr(x.attrs, "data-item-id").alias("item"), attr(x.attrs, "aria-label").alias("label"),
@@ -66,7 +84,7 @@ def place_details(place_pages: DataFrame) -> DataFrame:
         F.coalesce(F.replace(_first(addr).label, F.lit("Address: "), F.lit("")),
                    F.lit("")).alias("address"),
         F.coalesce(inner_text(_first(cat).inner), F.lit("")).alias("category"),
-        inner_text(rating).alias("rating"))
+        rating_text(F.col("_h")).alias("rating"))
     out = out.withColumn("phone_type", F.when(F.col("phone") != "", classify_phone("phone"))
                          .otherwise(F.lit("")))
     return out.where(F.col("name") != "")

@@ -16,11 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions import (CHAT_PHONE_RE, TEXT_PHONE_RE, classify_phone, is_fax_context,
                          is_valid_phone, normalize_phone, text_phone_confidence)
-from ..functions.html import anchors, attr, blocks, markup, strip_tags
+from ..functions.html import anchors, attr, markup, strip_tags
 from .links import contact_links
 from ..sources.pages import newest
 from ..functions.patterns import CHAT_HINTS, CONTEXT_AFTER, CONTEXT_BEFORE
-from ..functions.text import blank
+from ..functions.text import blank, let
+from ..functions.tree import attrs_of, elements_of, markup_of, opened, pieces
 
 
 
@@ -28,13 +29,8 @@ def conf_rank(c) -> Column:
     """high 0, medium 1, low 2."""
     return F.when(c == "high", 0).when(c == "medium", 1).otherwise(2)
 
-# Text phones with their context windows in one pass: the lookbehind captures
-# up to 60 characters before the match (all of them from the text start when
-# fewer), the lookahead up to 20 after. The leading lookahead keeps the
-# lookbehind from running at positions that cannot start a match.
-WINDOW_RE = (r"(?s)(?=\+?6?0[1-9])(?<=(^.{0," + str(CONTEXT_BEFORE - 1) + r"}|.{" + str(CONTEXT_BEFORE)
-             + r"}))" + TEXT_PHONE_RE + r"(?=(.{0," + str(CONTEXT_AFTER) + r"}))")
-
+# Phones that a window can reach over: each has nine characters or more.
+REACH_BEFORE, REACH_AFTER = -(-CONTEXT_BEFORE // 9), -(-CONTEXT_AFTER // 9)
 
 # ------------------------------------------------------------------ V1, V2, V10
 
@@ -92,17 +88,20 @@ def _none() -> Column:
 
 
 def tel_array(html) -> Column:
-    """tel: links in document order; a link whose block text mentions fax is
-    skipped; 'tel:' and '%20' removed; confidence high."""
-    def per_block(b, bi):
-        hrefs = F.transform(anchors(b), lambda a, ai: F.struct(ai.alias("ai"),
-                                                               attr(a.attrs, "href").alias("href")))
-        tels = F.filter(hrefs, lambda t: t.href.startswith("tel:"))
-        raw = lambda t: F.replace(F.replace(t.href, F.lit("tel:"), F.lit("")), F.lit("%20"), F.lit(""))
-        hits = F.transform(tels, lambda t: _hit(1, bi.cast("bigint") * 100000 + t.ai, raw(t), F.lit("high")))
-        return F.when(b.contains("tel:") & ~is_fax_context(strip_tags(b)), hits).otherwise(_none())
+    """tel: links in document order; a link whose parent element's text mentions
+    fax is skipped; 'tel:' and '%20' removed; confidence high."""
+    def tel(p):
+        return opened(p, "a") & p.contains("tel:") & attr(attrs_of(p), "href").startswith("tel:")
+
+    def hits(parts):
+        wanted = F.transform(elements_of(parts, parent=tel), lambda e: F.when(is_fax_context(strip_tags(markup_of(parts, e))), none)
+                             .otherwise(e.wanted))
+        raw = lambda n: F.replace(F.replace(attr(attrs_of(F.get(parts, n)), "href"), F.lit("tel:"), F.lit("")), F.lit("%20"), F.lit(""))
+        return F.transform(F.sort_array(F.flatten(wanted)), lambda n: _hit(1, n, raw(n), F.lit("high")))
+
+    none = F.array().cast("array<int>")
     # most pages hold no tel link and are not taken apart
-    return F.when(F.col(html).contains("tel:"), F.flatten(F.transform(blocks(html), per_block))).otherwise(_none())
+    return F.when(F.col(html).contains("tel:"), let(pieces(html), hits)).otherwise(_none())
 
 
 def chat_array(html) -> Column:
@@ -125,14 +124,26 @@ def chat_array(html) -> Column:
 
 def window_matches(text) -> Column:
     """array<struct<pre, raw, post>> of every non-overlapping text phone with
-    up to 60 characters before and 20 after. The window regex only runs on
-    texts that hold a phone at all (a cheap first-match test)."""
+    up to 60 characters before and 20 after. The text is cut at its phones once;
+    a phone has nine characters at least, so a window is made of the pieces next
+    to it, however long the text and however many its phones."""
+    none = F.array().cast("array<struct<pre:string,raw:string,post:string>>")
+
+    def found(x):
+        def windows(gaps):
+            def piece(j):
+                return F.concat(F.get(gaps, j), F.coalesce(F.get(x.raws, j), F.lit("")))
+
+            def one(raw, i):
+                before = F.transform(F.sequence(F.greatest(i - REACH_BEFORE, F.lit(0)), i), lambda j: F.when(j < i, piece(j)).otherwise(F.get(gaps, j)))
+                after = F.transform(F.sequence(i + 1, F.least(i + REACH_AFTER, F.size(gaps) - 1)), piece)
+                return F.struct(F.right(F.array_join(before, ""), F.lit(CONTEXT_BEFORE)).alias("pre"), raw.alias("raw"),
+                                F.left(F.array_join(after, ""), F.lit(CONTEXT_AFTER)).alias("post"))
+            return F.transform(x.raws, one)
+        return F.when(F.size(x.raws) > 0, let(F.split(x.t, TEXT_PHONE_RE), windows)).otherwise(none)
+
     t = blank(text)
-    z = F.arrays_zip(F.regexp_extract_all(t, F.lit(WINDOW_RE), 1).alias("pre"),
-                     F.regexp_extract_all(t, F.lit(WINDOW_RE), 2).alias("raw"),
-                     F.regexp_extract_all(t, F.lit(WINDOW_RE), 3).alias("post"))
-    return F.when(t.rlike(TEXT_PHONE_RE), z).otherwise(
-        F.array().cast("array<struct<pre:string,raw:string,post:string>>"))
+    return let(F.struct(t.alias("t"), F.regexp_extract_all(t, F.lit(TEXT_PHONE_RE), 1).alias("raws")), found)
 
 
 def text_array(text) -> Column:

@@ -666,16 +666,26 @@ def _site_phone_ctes(pages: str) -> list[tuple[str, str]]:
     chat_hint = " OR ".join(f"contains(href, {O.q(h)})" for h in _CHAT)
     body = f"coalesce(body_text, {O.strip_tags(O.markup('html'))})"
     return [
-        ("sb", f"SELECT company_id, page_ord, sp, unnest(range(len(sp))) AS bi FROM (SELECT company_id, page_ord, "
-               f"regexp_split_to_array(replace({O.markup('html')}, '<div>Call</div></a>', ' Call </a>'), {O.q(O.BLOCK)}) "
-               f"AS sp FROM {pages})"),
-        ("sbt", "SELECT company_id, page_ord, bi, " + O.strip_tags("sp[bi + 1]") + " AS ptext, "
-                + O.extract_all("sp[bi + 1]", O.ANCHOR, 1) + " AS atts FROM sb"),
-        ("sta", "SELECT *, unnest(range(len(atts))) AS ai FROM sbt"),
-        ("tel", "SELECT company_id, page_ord, 1 AS strategy, CAST(bi * 100000 + ai AS BIGINT) AS pos, "
-                "replace(replace(" + O.attr("atts[ai + 1]", "href") + ", 'tel:', ''), '%20', '') AS raw, "
-                "'high' AS confidence FROM sta WHERE starts_with(" + O.attr("atts[ai + 1]", "href") + ", 'tel:') "
-                f"AND NOT regexp_matches(ptext, {O.q(O.FAX)})"),
+        # the open elements before every tag, one tag a round: void elements never open, an item closes the open item
+        ("tk", f"SELECT company_id, page_ord, regexp_extract({O.markup('html')}, '^[^<]*') AS before, "
+               f"regexp_extract_all({O.markup('html')}, '(?s)</?[a-zA-Z][^>]*>[^<]*') AS toks FROM {pages}"),
+        ("wk", "SELECT company_id, page_ord, toks, 0 AS i, CAST([0] AS BIGINT[]) AS st FROM tk UNION ALL "
+               "SELECT company_id, page_ord, toks, i + 1, CASE "
+               "WHEN starts_with(toks[i + 1], '</ul') THEN list_filter(st, lambda e: e < list_max(list_filter(st, lambda x: x > 0 AND starts_with(toks[x], '<ul')))) "
+               "WHEN starts_with(toks[i + 1], '</') THEN st[1:len(st) - 1] "
+               "WHEN starts_with(toks[i + 1], '<br') THEN st "
+               "WHEN starts_with(toks[i + 1], '<li') AND starts_with(toks[st[len(st)]], '<li') THEN list_append(st[1:len(st) - 1], i + 1) "
+               "ELSE list_append(st, i + 1) END FROM wk WHERE i < len(toks)"),
+        ("pr", "SELECT w.company_id, w.page_ord, w.i, b.st[len(b.st)] AS parent FROM wk w JOIN wk b ON b.company_id = w.company_id "
+               "AND b.page_ord = w.page_ord AND b.i = w.i - 1 WHERE regexp_matches(w.toks[w.i], '(?i)^<a[ >]') AND contains(w.toks[w.i], 'tel:')"),
+        ("pe", "SELECT pr.company_id, pr.page_ord, pr.i, pr.parent, min(w.i) AS till FROM pr LEFT JOIN wk w ON w.company_id = pr.company_id "
+               "AND w.page_ord = pr.page_ord AND w.i > pr.i AND NOT list_contains(w.st, pr.parent) GROUP BY ALL"),
+        ("pt", "SELECT pe.*, tk.toks[pe.i] AS tok, CASE WHEN parent = 0 THEN before ELSE '' END || "
+               "array_to_string(tk.toks[greatest(parent, 1):coalesce(till - 1, len(tk.toks))], '') AS around "
+               "FROM pe JOIN tk ON tk.company_id = pe.company_id AND tk.page_ord = pe.page_ord"),
+        ("tel", "SELECT company_id, page_ord, 1 AS strategy, CAST(i AS BIGINT) AS pos, replace(replace("
+                + O.attr("tok", "href") + ", 'tel:', ''), '%20', '') AS raw, 'high' AS confidence FROM pt WHERE starts_with("
+                + O.attr("tok", "href") + ", 'tel:') AND NOT regexp_matches(" + O.strip_tags("around") + f", {O.q(O.FAX)})"),
         ("sca", "SELECT company_id, page_ord, ai, " + O.attr("atts[ai + 1]", "href") + " AS href FROM (SELECT *, "
                 "unnest(range(len(atts))) AS ai FROM (SELECT company_id, page_ord, "
                 + O.extract_all(O.markup("html"), O.ANCHOR, 1) + f" AS atts FROM {pages}))"),

@@ -17,7 +17,8 @@ CHAT_PHONE = r"(\+?6?01\p{Nd}{8,9})"
 FAX = "(?i)(fax|faks|facsimile)"
 NEAR = "(?i)(phone|tel|call|contact|mobile|fax|whatsapp|hotline|office|hubungi|telefon|talian)"
 BEFORE, AFTER = 60, 20
-ANCHOR = r"(?is)<a(\s[^>]*)?>(.*?)</a>"
+# a link ends at its end tag or, where that is missing, at the next link's start
+ANCHOR = r"(?is)<a(\s[^>]*)?>((?:[^<]|<[^/a]|<a[a-z]|</[^a]|</a[a-z])*)"
 BUTTON = r"(?is)<button(\s[^>]*)?>(.*?)</button>"
 H1 = r"(?is)<h1(?:\s[^>]*)?>(.*?)</h1>"
 RATING = r'(?is)class="F7nice ?">.*?<span aria-hidden="true">(.*?)</span>'
@@ -82,7 +83,7 @@ LEADS_VIEW = ("leads", "SELECT *, " + phone_type("phone") + " AS phone_type, "
 
 
 def with_fixtures(fixtures: list[str], body: str, extra: list[tuple[str, str]] = ()) -> str:
-    """``WITH <fixture CTEs>, <extra CTEs> <body>``."""
+    """``WITH RECURSIVE <fixture CTEs>, <extra CTEs> <body>``."""
     seen: set = set()
     ctes: list[tuple[str, str]] = []
     for f in fixtures:
@@ -90,14 +91,14 @@ def with_fixtures(fixtures: list[str], body: str, extra: list[tuple[str, str]] =
     ctes += list(extra)
     if not ctes:
         return body
-    return "WITH " + ",\n".join(f"{n} AS (\n{s}\n)" for n, s in ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS (\n{s}\n)" for n, s in ctes) + "\n" + body
 
 
 # ---- HTML pieces
 
 
 def markup(x: str) -> str:
-    s = f"regexp_replace({blank(x)}, '(?s)<!--.*?-->', '', 'g')"
+    s = f"regexp_replace({blank(x)}, '(?s)<!--.*?(-->|$)', '', 'g')"
     s = f"regexp_replace({s}, '(?is)<script[\\s>].*?</script\\s*>', '', 'g')"
     return f"regexp_replace({s}, '(?is)<style[\\s>].*?</style\\s*>', '', 'g')"
 

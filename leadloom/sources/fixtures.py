@@ -56,7 +56,9 @@ WITH c AS (SELECT CAST(c_custkey AS BIGINT) AS k, CAST((CAST(c_custkey AS BIGINT
   lpad(CAST((CAST(c_custkey AS BIGINT) * 31 + 17) % 10000000 AS STRING), 7, '0') AS d7 FROM {customer})
 SELECT k AS company_id, 1 AS page_ord, 'site_home' AS kind, 'http://firm' || f || '.example.com' AS url,
   CASE WHEN k % 8 = 0 THEN '<p>Call <a href="tel:+6012' || d7 || '">us</a></p>'
-       WHEN k % 8 = 1 THEN '<p>Fax <a href="tel:031' || d7 || '">here</a></p>'
+       WHEN k % 16 = 1 THEN '<p>Fax <a href="tel:031' || d7 || '">here</a></p>'
+       WHEN k % 32 = 9 THEN '<p><span>Tel <a href="tel:031' || d7 || '">here</a></span> <span>Fax 03-2' || d7 || '</span></p>'
+       WHEN k % 32 = 25 THEN '<ul class="c"><li>Fax<li><b>Ring</b><br><a href="tel:031' || d7 || '">here</a></ul><div>Faks <b><a href="tel:032' || d7 || '">x</a></b></div>'
        WHEN k % 8 = 2 THEN '<p>Chat <a href="https://wa.me/6012' || d7 || '">now</a></p>'
        WHEN k % 8 = 3 THEN '<!-- <a href="tel:0399999999">old</a> --><script>var a = "<a href=tel:0388888888>x</a>";</script><p>Welcome</p>'
        WHEN k % 8 = 4 THEN '<p>Hello</p><a href="tel:+6012' || d7 || '"><div>Call</div></a>'
@@ -65,7 +67,8 @@ SELECT k AS company_id, 1 AS page_ord, 'site_home' AS kind, 'http://firm' || f |
        ELSE '<table><tr><td>Tel 03-1' || d7 || '</td><td>8899 units</td></tr></table>' END
   || CASE WHEN k % 3 = 0 THEN '<p><a href="/contact-us">Contact Us</a></p>'
           WHEN k % 3 = 1 THEN '<p><a href=' || chr(39) || '/contact-us' || chr(39) || '>Contact&nbsp;Us</a></p>'
-          ELSE '<p><a href=/contact-us>Contact<br>Us</a></p>' END AS html,
+          ELSE '<p><a href=/contact-us>Contact<br>Us</a></p>' END
+  || CASE WHEN k % 11 = 5 THEN '<!-- <a href="tel:0377777777">never closed' ELSE '' END AS html,
   CASE WHEN k % 7 = 0 THEN CAST(NULL AS STRING) WHEN k % 3 = 0 THEN 'Our office 03-1' || d7 || ' is open daily from nine to five'
        WHEN k % 3 = 1 THEN 'Tel: 03-1' || d7 || ' Fax: 03-2' || d7 ELSE 'Order 03-1' || d7 || ' widgets' END AS body_text
 FROM c
@@ -186,6 +189,7 @@ SELECT 2000000000 + k, 'dir_results', 'jobstreet', seed, k,
   || '<li><a href="/companies?page=' || CAST(k % 7 AS STRING) || '">Next</a></li>'
   || CASE WHEN k % 5 = 0 THEN '<li><a href="https://my.jobstreet.com/companies/caf-' || f || '">Caf' || chr(233) || ' ' || f || '</a></li>'
           WHEN k % 5 = 1 THEN '<li><a href="/companies/x-' || f || '">X</a></li>'
+          WHEN k % 5 = 2 THEN '<li><a href="/companies/open-' || f || '">Open ' || f || '<li><a href="/jobs/' || f || '">Jobs</a></li>'
           ELSE '<li><a href="/jobs/' || f || '">Jobs</a></li>' END
   || '</ul>'
 FROM p
@@ -213,6 +217,7 @@ SELECT k AS page_id, 'https://www.google.com/maps/place/Firm+' || f AS url,
   || '<button data-item-id=address aria-label=' || chr(39) || 'Address: Lot 1 &amp; 2, No ' || CAST(k % 50 AS STRING)
   || ', Bangsar' || chr(39) || '>a</button>'
   || '<button jsaction="pane.rating.category">' || CASE WHEN k % 2 = 0 THEN ' Restaurant ' ELSE 'IT company' END || '</button>'
+  || CASE WHEN k % 7 = 3 THEN '<div class="x"><span aria-hidden="true">9.9</span></div>' ELSE '' END
   || CASE WHEN k % 5 = 0 THEN '' ELSE '<div class="F7nice "><span><span aria-hidden="true">4.' || CAST(k % 10 AS STRING) || '</span></span></div>' END
   || '</body></html>' AS html
 FROM c
