@@ -51,33 +51,32 @@ def markup(html) -> Column:
     return F.regexp_replace(blank(html), UNSEEN_RE, "")
 
 
-def _character(entity: Column) -> Column:
-    """The character of one numeric entity (U+FFFD where there is none)."""
-    digits = F.regexp_extract(entity, "&#[xX]?([0-9a-fA-F]+);", 1)
-    code = F.when(entity.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
-    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    point = F.when(valid, code).otherwise(0xFFFD)
-    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-
+def _sql(c, function: str) -> Column:
+    """A function given as SQL text (``x -> ...``) applied to a column. Text is
+    one call to the session where the same expression built by functions is
+    a hundred."""
+    return F.get(F.call_function("transform", F.array(c), F.expr(function)), F.lit(0))
+
+
+def _decode_sql() -> str:
+    """Numeric entities but those of '&' first, then the named ones, '&' last: an
+    escaped entity stays text."""
+    digits = "regexp_extract(e, r'&#[xX]?([0-9a-fA-F]+);', 1)"
+    code = f"CAST(IF(e RLIKE r'^&#[xX]', conv({digits}, 16, 10), {digits}) AS BIGINT)"
+    point = f"transform(array({code}), n -> IF(n BETWEEN 1 AND {0xD7FF} OR n BETWEEN {0xE000} AND {0x10FFFF}, n, {0xFFFD}))[0]"
+    found = f"transform(array_distinct(regexp_extract_all(s, r'{NUMERIC_RE}', 0)), e -> struct(e AS e, decode(unhex(lpad(hex({point}), 8, '0')), 'UTF-32') AS c))"
+    out = f"IF(contains(s, '&#'), aggregate(filter({found}, x -> x.c <> '&'), s, (acc, x) -> replace(acc, x.e, x.c)), s)"
+    for ent, ch in ENTITIES[:-1]:
+        out = f"replace({out}, '{ent}', " + (f'"{ch}"' if ch == "'" else f"'{ch}'") + ")"
+    return f"s -> IF(contains(s, '&'), regexp_replace({out}, r'&(?:amp|#0*38|#[xX]0*26);', '&'), s)"
 
-def _numeric(s: Column) -> Column:
-    """Numeric entities but those of '&', which come last: an escaped entity
-    stays text."""
-    found = F.array_distinct(F.regexp_extract_all(s, F.lit(NUMERIC_RE), 0))
-    chars = F.filter(F.transform(found, lambda e: F.struct(e.alias("e"), _character(e).alias("c"))), lambda x: x.c != "&")
-    return F.aggregate(chars, s, lambda acc, x: F.replace(acc, x.e, x.c))
 
-
-def _decoded(s: Column) -> Column:
-    s = F.when(s.contains("&#"), _numeric(s)).otherwise(s)
-    for ent, ch in ENTITIES[:-1]:
-        s = F.replace(s, F.lit(ent), F.lit(ch))
-    return F.regexp_replace(s, r"&(?:amp|#0*38|#[xX]0*26);", "&")
+_DECODE = _decode_sql()
 
 
 def decode_entities(c) -> Column:
     """Numeric and the basic named entities as characters."""
-    return let(c, lambda s: F.when(s.contains("&"), _decoded(s)).otherwise(s))
+    return _sql(c, _DECODE)
 
 
 def strip_tags(c) -> Column:
@@ -113,19 +112,25 @@ def buttons(c) -> Column:
 ATTR_RE = r"""(?s)[^\s=/>"']++(?:\s*+=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s>]*+))?+"""
 
 
+_ATTRIBUTES = """a -> struct(lower(regexp_extract(a, r'^[^\\s=]+', 0)) AS name, transform(array(regexp_extract(a, r'(?s)^[^=]*+=\\s*+(.*)$', 1)),
+  v -> CASE WHEN left(v, 1) NOT IN ('"', "'") THEN v ELSE substring(v, 2, length(v) - IF(length(v) > 1 AND left(v, 1) = right(v, 1), 2, 1)) END)[0] AS value)"""
+
+
+def attributes(attrs) -> Column:
+    """array<struct<name, value>> of a tag's attributes in order: names in lower
+    case, values double-quoted, single-quoted or bare, without their quotes."""
+    return F.call_function("transform", F.regexp_extract_all(blank(attrs), F.lit(ATTR_RE), 0), F.expr(_ATTRIBUTES))
+
+
+def named(found: Column, name: str) -> Column:
+    """Value of an attribute among ``attributes``, entities decoded; '' if absent.
+    The first of equal names counts."""
+    return decode_entities(F.coalesce(F.get(F.filter(found, lambda x: x["name"] == name), 0)["value"], F.lit("")))
+
+
 def attr(attrs, name: str) -> Column:
-    """Value of an attribute as a browser gives it: double-quoted, single-quoted
-    or bare, entities decoded; '' if absent. The first of equal names counts."""
-    def value(found):
-        raw = F.regexp_extract(found, r"(?s)^[^=]*+=\s*+(.*)$", 1)
-        return let(raw, lambda v: F.when(v.startswith('"') | v.startswith("'"), F.regexp_replace(
-            F.substring(v, F.lit(2), F.length(v)), r"""["']\z""", "")).otherwise(v))
-
-    def first(a):
-        named = F.filter(F.regexp_extract_all(a, F.lit(ATTR_RE), 0), lambda x: x.rlike(rf"(?i)^{name}(?=\s*+(?:=|$))"))
-        return decode_entities(value(F.coalesce(F.get(named, 0), F.lit(""))))
-
-    return let(blank(attrs), lambda a: F.when(a.rlike(rf"(?i){name}"), first(a)).otherwise(""))
+    """``named`` on the attribute text of a tag."""
+    return let(blank(attrs), lambda a: F.when(a.rlike(rf"(?i){name}"), named(attributes(a), name)).otherwise(""))
 
 
 def first_h1(c) -> Column:

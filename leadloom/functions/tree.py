@@ -1,6 +1,6 @@
 """The element tree of captured markup, as column expressions.
 
-``pieces`` cuts a page into tags in one linear pass; ``elements_of`` folds over
+``pieces`` cuts a page into tags in one linear pass; ``with_elements`` folds over
 them with a stack of open elements and gives, for the elements a caller asks
 for, the path of open elements, and the first and last piece they span. End
 tags, void elements and the tags that HTML lets authors leave out (``</p>``,
@@ -16,7 +16,7 @@ step has bounded cost and time is linear in the page.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .html import ATTRS, END
@@ -116,79 +116,83 @@ def _shielded(above: Column, shield: Column) -> Column:
 
 def _step(a, x):
     """One piece: cut the path where it closes an element, note what was
-    wanted there, and open its own element."""
-    def cut(v):
-        base, gone = F.substring(a.path, F.lit(1), v.keep), F.substring(a.path, v.keep + 1, F.length(a.path))
-
-        def done(y):
-            number = x.i.cast("string")
-            found = F.when(y.gone.contains("!"), F.concat(a.found, y.base, F.lit("|"), y.gone, F.lit("@"), number, F.lit("\n"))).otherwise(a.found)
-            above = F.when(x.w == "parent", F.concat(y.base, F.lit("!"), number)).otherwise(y.base)
-            own = F.when(x.w == "own", F.concat(F.lit("!"), number)).otherwise("")
-
-            def put(z):
-                path = F.when(x.opens & (F.length(y.base) < DEEPEST),
-                              F.concat(z.above, F.lit(">"), x.n, F.lit(":"), number, x.m, own)).otherwise(z.above)
-                return F.struct(path.alias("path"), z.found.alias("found"))
-            # an element with very many wanted children sets them aside: the path stays short
-            head = F.regexp_extract(above, "^(.*>[^>!]*)", 1)
-            aside = F.concat(found, F.lit("~"), F.regexp_extract(head, ":([0-9]+)[^:>]*$", 1), F.substring(above, F.length(head) + 1, F.length(above)),
-                             F.lit("\n"))
-            return let(F.when((x.w == "parent") & (F.length(above) >= DEEPEST), F.struct(F.concat(head, F.lit("!")).alias("above"), aside.alias("found")))
-                       .otherwise(F.struct(above.alias("above"), found.alias("found"))), put)
-        return let(F.struct(base.alias("base"), gone.alias("gone")), done)
+    wanted there, and open its own element. The expressions nest little, since
+    every level of lambdas costs analysis time."""
+    number = x.i.cast("string")
+
+    def done(y):
+        found = F.when(y.gone.contains("!"), F.concat(a.found, y.base, F.lit("|"), y.gone, F.lit("@"), number, F.lit("\n"))).otherwise(a.found)
+        own = F.when(x.w == "own", F.concat(F.lit("!"), number)).otherwise("")
+        entry = F.when(x.opens & (F.length(y.base) < DEEPEST), F.concat(F.lit(">"), x.n, F.lit(":"), number, x.m, own)).otherwise("")
+        # an element with very many wanted children sets them aside: the path stays short
+        head = F.regexp_extract(y.base, "^(.*>[^>!]*)", 1)
+        aside = F.concat(a.aside, F.regexp_extract(head, ":([0-9]+)[^:>]*$", 1), F.substring(y.base, F.length(head) + 1, F.length(y.base)),
+                         F.lit("!"), number, F.lit("\n"))
+        return F.when(x.w != "parent", F.struct(F.concat(y.base, entry).alias("path"), found.alias("found"), a.aside.alias("aside"))).when(
+            F.length(y.base) < DEEPEST, F.struct(F.concat(y.base, F.lit("!"), number, entry).alias("path"), found.alias("found"),
+                                                 a.aside.alias("aside"))).otherwise(
+            F.struct(F.concat(head, F.lit("!"), entry).alias("path"), found.alias("found"), aside.alias("aside")))
 
     def close(above):
-        full = F.length(a.path)
-        cuts = (x.t != "") & (F.length(above) < full) & ~_shielded(F.concat(F.lit(""), above), x.s)
-        return let(F.struct(F.when(cuts, full - F.length(above) - F.length(x.t) - 2).otherwise(full).alias("keep")), cut)
+        kept = F.length(a.path) - F.length(above) - F.length(x.t) - 2
+        cuts = (x.t != "") & (F.length(above) < F.length(a.path)) & ~_shielded(F.concat(F.lit(""), above), x.s)
+        return let(F.when(cuts, F.struct(F.substring(a.path, F.lit(1), kept).alias("base"), F.substring(a.path, kept + 1, F.length(a.path)).alias("gone")))
+                   .otherwise(F.struct(a.path.alias("base"), F.lit("").alias("gone"))), done)
 
     return let(F.call_function("substring_index", a.path, F.concat(F.lit(">"), x.t, F.lit(":")), F.lit(-1)), close)
 
 
-def elements_of(parts: Column, own=None, parent=None, mark=None) -> Column:
-    """array<struct<path, start, end, wanted>> in the order in which elements end:
-    the elements for whose start tag ``own`` holds, and the parents of those for
-    which ``parent`` holds. ``wanted`` are the numbers of the start tags asked
-    for; the element is ``parts[start : end]``. ``mark`` gives a letter that the path
-    shows behind an element's number (``>div:3F``)."""
+def _numbers(marks):
+    return F.transform(F.regexp_extract_all(marks, F.lit("!([0-9]+)"), 1), lambda n: n.cast("int"))
+
+
+def _lines(array):
+    return F.filter(F.split(F.array_join(array, ""), "\n"), lambda s: s != "")
+
+
+def _told(record, aside):
+    """The elements of one record that are wanted."""
+    base, rest = F.substring_index(record, "|", 1), F.substring_index(record, "|", -1)
+    entries = F.regexp_extract_all(F.substring_index(rest, "@", 1), F.lit(">[^>]+"), 0)
+    end = F.substring_index(rest, "@", -1).cast("int")
+    return let(entries, lambda es: F.transform(es, lambda e, j: F.struct(
+        F.concat(base, F.array_join(F.slice(es, F.lit(1), j + 1), "")).alias("path"),
+        F.regexp_extract(e, ":([0-9]+)", 1).cast("int").alias("start"), end.alias("end"),
+        F.concat(F.flatten(F.transform(F.filter(aside, lambda m: m.startswith(F.concat(F.regexp_extract(e, ":([0-9]+)", 1), F.lit("!")))), _numbers)),
+                 _numbers(e)).alias("wanted"))))
+
+
+def _folded(steps: Column) -> Column:
+    """struct<records, aside> of the fold over all steps."""
+    blocks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STRETCH).cast("int"))
+    nothing = F.array().cast("array<string>")
+    start = F.struct(F.lit(">#:0").alias("path"), nothing.alias("found"), nothing.alias("aside"))
+
+    def stretch(a, k):
+        some = F.slice(steps, k * STRETCH + 1, F.lit(STRETCH))
+        begin = F.struct(a.path.alias("path"), F.lit("").alias("found"), F.lit("").alias("aside"))
+        return F.aggregate(some, begin, _step, lambda r: F.struct(
+            r.path.alias("path"), F.concat(a.found, F.array(r.found)).alias("found"), F.concat(a["aside"], F.array(r["aside"])).alias("aside")))
+
+    def finish(r):
+        last = F.when(r.path.contains("!"), F.array(F.concat(F.lit("|"), r.path, F.lit("@"), F.size(steps).cast("string"), F.lit("\n")))).otherwise(nothing)
+        return F.struct(_lines(F.concat(r.found, last)).alias("records"), _lines(r["aside"]).alias("aside"))
+    return F.aggregate(blocks, start, stretch, finish)
+
+
+def with_elements(df: DataFrame, name: str, parts: str, own=None, parent=None, mark=None) -> DataFrame:
+    """Adds ``name``, array<struct<path, start, end, wanted>> in the order in which
+    elements end: the elements for whose start tag ``own`` holds, and the parents
+    of those for which ``parent`` holds. ``wanted`` are the numbers of the start
+    tags asked for; the element is ``parts[start : end]``. ``mark`` gives a letter
+    that the path shows behind an element's number (``>div:3F``). NULL where the
+    column ``parts`` is NULL. Each step is a column of its own: one expression
+    of all would take the analyzer many more rounds."""
     false, none = (lambda p: F.lit(False)), (lambda p: F.lit(""))
-    steps = _steps(parts, own or false, parent or false, mark or none)
-
-    def folded(steps):
-        blocks = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / STRETCH).cast("int"))
-        start = F.struct(F.lit(">#:0").alias("path"), F.array().cast("array<string>").alias("found"))
-
-        def stretch(a, k):
-            some = F.slice(steps, k * STRETCH + 1, F.lit(STRETCH))
-            inner = F.aggregate(some, F.struct(a.path.alias("path"), F.lit("").alias("found")), _step)
-            return let(inner, lambda r: F.struct(r.path.alias("path"), F.when(r.found != "", F.concat(a.found, F.array(r.found)))
-                                                 .otherwise(a.found).alias("found")))
-        end = F.size(steps).cast("string")
-        return let(F.aggregate(blocks, start, stretch), lambda r: F.concat(
-            F.filter(F.flatten(F.transform(r.found, lambda s: F.split(s, "\n"))), lambda s: s != ""),
-            F.when(r.path.contains("!"), F.array(F.concat(F.lit("|"), r.path, F.lit("@"), end))).otherwise(F.array().cast("array<string>"))))
-
-    def numbers(marks):
-        return F.transform(F.regexp_extract_all(marks, F.lit("!([0-9]+)"), 1), lambda n: n.cast("int"))
-
-    def told(record, aside):
-        base, rest = F.substring_index(record, "|", 1), F.substring_index(record, "|", -1)
-        entries = F.regexp_extract_all(F.substring_index(rest, "@", 1), F.lit(">[^>]+"), 0)
-        end = F.substring_index(rest, "@", -1).cast("int")
-        return let(entries, lambda es: F.filter(F.transform(es, lambda e, j: F.struct(
-            F.concat(base, F.array_join(F.slice(es, F.lit(1), j + 1), "")).alias("path"),
-            F.regexp_extract(e, ":([0-9]+)", 1).cast("int").alias("start"), end.alias("end"),
-            F.concat(F.flatten(F.transform(F.filter(aside, lambda m: m.startswith(F.concat(F.lit("~"), F.regexp_extract(e, ":([0-9]+)", 1), F.lit("!")))),
-                                           numbers)), numbers(e)).alias("wanted"))),
-            lambda r: F.size(r.wanted) > 0))
-
-    def all_told(records):
-        def one(aside):
-            return F.flatten(F.transform(F.filter(records, lambda r: ~r.startswith("~")), lambda r: told(r, aside)))
-        return let(F.filter(records, lambda r: r.startswith("~")), one)
-
-    return let(let(steps, folded), all_told)
+    df = df.withColumn(f"{name}_steps", _steps(F.col(parts), own or false, parent or false, mark or none))
+    df = df.withColumn(f"{name}_fold", F.when(F.col(f"{name}_steps").isNotNull(), _folded(F.col(f"{name}_steps"))))
+    told = F.flatten(F.transform(F.col(f"{name}_fold.records"), lambda record: _told(record, F.col(f"{name}_fold.aside"))))
+    return df.withColumn(name, F.filter(told, lambda e: F.size(e.wanted) > 0)).drop(f"{name}_steps", f"{name}_fold")
 
 
 def markup_of(parts: Column, element) -> Column:

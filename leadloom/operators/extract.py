@@ -11,33 +11,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify_phone, clean_phone
-from ..functions.html import anchors, attr, buttons, first_h1, inner_text, markup
+from ..functions.html import anchors, attr, attributes, buttons, first_h1, inner_text, markup, named
 from ..functions.patterns import (DIR_A_LABELS, DIR_B_ADDRESS_LABEL, DIR_B_BLOCKED_HOSTS,
                                   DIR_B_SKIP_LINES)
 from ..functions.phones import BUTTON_PHONE_RE
 from ..functions.text import blank, clean_line, let
-from ..functions.tree import attrs_of, elements_of, markup_of, opened, pieces
+from ..functions.tree import attrs_of, markup_of, opened, pieces, with_elements
 
 
-def rating_text(markup) -> Column:
-    """Text of the first span of aria-hidden="true" inside a div of class F7nice."""
-    def rated(p):
-        classes = F.concat(F.lit(" "), F.regexp_replace(attr(attrs_of(p), "class"), r"\s", " "), F.lit(" "))
-        return opened(p, "div") & p.contains("F7nice") & classes.contains(" F7nice ")
+def _rated(p) -> Column:
+    """True for the start tag of a div of class F7nice."""
+    classes = F.concat(F.lit(" "), F.regexp_replace(attr(attrs_of(p), "class"), r"\s", " "), F.lit(" "))
+    return opened(p, "div") & p.contains("F7nice") & classes.contains(" F7nice ")
 
-    def first(parts):
-        found = elements_of(parts, own=lambda p: opened(p, "span") & p.contains("true") & (attr(attrs_of(p), "aria-hidden") == "true"),
-                            mark=lambda p: F.when(rated(p), "F").otherwise(""))
-        inside = F.filter(found, lambda e: e.path.rlike(">div:[0-9]+F[^>]*>"))
-        # elements come in the order in which they end: the first to begin counts
-        start = F.array_min(F.transform(inside, lambda e: e.start))
-        return let(F.get(F.filter(inside, lambda e: e.start == start), 0), lambda e: inner_text(markup_of(parts, e)))
 
-    def from_rated(parts):               # what is before the first such div has no part in it
-        at = F.array_position(F.transform(parts, lambda p: rated(p)), True).cast("int")
-        return F.when(at > 0, let(F.concat(F.array(F.lit("")), F.slice(parts, at, F.size(parts))), first)).otherwise("")
-
-    return F.when(markup.contains("F7nice"), let(pieces(markup), from_rated)).otherwise("")
+def with_rating(pages: DataFrame, markup: str, name: str = "rating") -> DataFrame:
+    """Adds the text of the first span of aria-hidden="true" inside a div of class
+    F7nice; '' where there is none."""
+    df = pages.withColumn("_p", F.when(F.col(markup).contains("F7nice"), pieces(markup)))
+    # what is before the first such div has no part in the rating
+    at = F.array_position(F.transform("_p", lambda p: _rated(p)), True).cast("int")
+    df = df.withColumn("_at", at).withColumn("_p", F.when(F.col("_at") > 0, F.concat(F.array(F.lit("")), F.slice("_p", F.col("_at"), F.size("_p")))))
+    df = with_elements(df, "_e", "_p", own=lambda p: opened(p, "span") & p.contains("true") & (attr(attrs_of(p), "aria-hidden") == "true"),
+                       mark=lambda p: F.when(_rated(p), "F").otherwise(""))
+    inside = F.filter("_e", lambda e: e.path.rlike(">div:[0-9]+F[^>]*>"))
+    # elements come in the order in which they end: the first to begin counts
+    df = df.withColumn("_s", F.array_min(F.transform(inside, lambda e: F.struct(e.start.alias("start"), e.end.alias("end")))))
+    return df.withColumn(name, inner_text(markup_of(F.col("_p"), F.col("_s")))).drop("_p", "_at", "_e", "_s")
 
 
 def body_lines(text) -> Column:
@@ -72,10 +72,13 @@ def place_details(place_pages: DataFrame) -> DataFrame:
     addr = F.filter(b, lambda x: x["item"] == "address")
     cat = F.filter(b, lambda x: x.action.contains("category"))
     pages = place_pages.select("page_id", "url", markup("html").alias("_h"))
-    link = lambda x: F.struct(attr(x.attrs, "href").alias("href"), attr(x.attrs, "data-item-id").alias("item"))
-    button = lambda x: F.struct(attr(x.attrs, "data-item-id").alias("item"), attr(x.attrs, "aria-label").alias("label"),
-                                attr(x.attrs, "jsaction").alias("action"), x.inner.alias("inner"))
+    link = lambda x: let(attributes(x.attrs), lambda a: F.struct(
+        named(a, "href").alias("href"), named(a, "data-item-id").alias("item")))
+    button = lambda x: let(F.struct(attributes(x.attrs).alias("a"), x.inner.alias("inner")), lambda y: F.struct(
+        named(y.a, "data-item-id").alias("item"), named(y.a, "aria-label").alias("label"), named(y.a, "jsaction").alias("action"),
+        y.inner.alias("inner")))
     pages = pages.select("*", F.transform(anchors("_h"), link).alias("_a"), F.transform(buttons("_h"), button).alias("_b"))
+    pages = with_rating(pages, "_h")
     out = pages.select(
         "page_id", "url",
         first_h1("_h").alias("name"),
@@ -84,7 +87,7 @@ def place_details(place_pages: DataFrame) -> DataFrame:
         F.coalesce(F.replace(_first(addr).label, F.lit("Address: "), F.lit("")),
                    F.lit("")).alias("address"),
         F.coalesce(inner_text(_first(cat).inner), F.lit("")).alias("category"),
-        rating_text(F.col("_h")).alias("rating"))
+        "rating")
     out = out.withColumn("phone_type", F.when(F.col("phone") != "", classify_phone("phone"))
                          .otherwise(F.lit("")))
     return out.where(F.col("name") != "")

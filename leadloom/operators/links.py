@@ -14,8 +14,8 @@ from ..functions.html import anchors, attr, inner_text, markup, resolve_url
 from ..functions.patterns import (CONTACT_HREF_ACCEPT, CONTACT_HREF_HINTS, CONTACT_SKIP,
                                   CONTACT_TEXT_ACCEPT, CONTACT_TEXT_HINTS, DIR_A_BASE,
                                   DIR_A_SKIP_NAMES, DIR_B_BASE)
-from ..functions.text import clean_line, let
-from ..functions.tree import attrs_of, elements_of, opened, pieces
+from ..functions.text import clean_line
+from ..functions.tree import attrs_of, opened, pieces, with_elements
 
 
 def exploded_anchors(pages: DataFrame, keep=("seed_no", "page_no")) -> DataFrame:
@@ -37,32 +37,31 @@ def _first_n(links: DataFrame, n: int | None) -> DataFrame:
     return links if n is None else links.orderBy("seed_no", "page_no", "pos").limit(n)
 
 
-def feed_links(markup) -> Column:
-    """Hrefs of the links that are children of children of divs of a div of role
-    feed, in document order."""
-    def feed(p):
-        return opened(p, "div") & p.contains("feed") & (attr(attrs_of(p), "role") == "feed")
+def _feed(p) -> Column:
+    """True for the start tag of a div of role feed."""
+    return opened(p, "div") & p.contains("feed") & (attr(attrs_of(p), "role") == "feed")
 
-    def hrefs(parts):
-        found = elements_of(parts, parent=lambda p: opened(p, "a"), mark=lambda p: F.when(feed(p), "F").otherwise(""))
-        inside = F.filter(found, lambda e: e.path.rlike(r">div:[0-9]+F[^>]*>div:[0-9]+[^>]*>div:[0-9]+[^>]*$"))
-        numbers = F.sort_array(F.flatten(F.transform(inside, lambda e: e.wanted)))
-        return F.transform(numbers, lambda n: attr(attrs_of(F.get(parts, n)), "href"))
 
-    def from_feed(parts):                # what is before the first feed has no part in it
-        first = F.array_position(F.transform(parts, lambda p: feed(p)), True).cast("int")
-        after = F.slice(parts, first, F.size(parts))
-        return F.when(first > 0, let(F.concat(F.array(F.lit("")), after), hrefs)).otherwise(F.array().cast("array<string>"))
-
-    return let(pieces(markup), from_feed)
+def feed_links(pages: DataFrame, keep=("seed_no", "page_no")) -> DataFrame:
+    """(keep..., pos, href) of the links that are children of children of divs of
+    a feed, in document order."""
+    df = pages.select(*keep, F.col("html").alias("_h")).withColumn("_h", markup("_h"))
+    df = df.withColumn("_p", F.when(F.col("_h").contains("feed"), pieces("_h")))
+    # what is before the first feed has no part in it
+    df = df.withColumn("_f", F.array_position(F.transform("_p", lambda p: _feed(p)), True).cast("int")).where("_f > 0")
+    df = df.withColumn("_p", F.concat(F.array(F.lit("")), F.slice("_p", F.col("_f"), F.size("_p"))))
+    df = with_elements(df, "_e", "_p", parent=lambda p: opened(p, "a"), mark=lambda p: F.when(_feed(p), "F").otherwise(""))
+    inside = F.filter("_e", lambda e: e.path.rlike(r">div:[0-9]+F[^>]*>div:[0-9]+[^>]*>div:[0-9]+[^>]*$"))
+    df = df.withColumn("_n", F.sort_array(F.flatten(F.transform(inside, lambda e: e.wanted))))
+    hrefs = F.transform("_n", lambda n: attr(attrs_of(F.get("_p", n)), "href"))
+    return df.select(*keep, F.posexplode(hrefs).alias("pos", "href"))
 
 
 def place_links(result_pages: DataFrame, max_results: int | None = None) -> DataFrame:
     """Map-place links of the result feed: hrefs containing '/maps/place/',
     first-seen distinct across seeds; with ``max_results`` the first of them in
     order. ``pos`` counts the feed's links."""
-    a = result_pages.select("seed_no", "page_no", F.posexplode(feed_links(markup("html"))).alias("pos", "href"))
-    a = a.where(F.col("href").contains("/maps/place/"))
+    a = feed_links(result_pages).where(F.col("href").contains("/maps/place/"))
     return _first_n(_first_seen(a, "href"), max_results)
 
 

@@ -21,7 +21,7 @@ from .links import contact_links
 from ..sources.pages import newest
 from ..functions.patterns import CHAT_HINTS, CONTEXT_AFTER, CONTEXT_BEFORE
 from ..functions.text import blank, let
-from ..functions.tree import attrs_of, elements_of, markup_of, opened, pieces
+from ..functions.tree import attrs_of, markup_of, opened, pieces, with_elements
 
 
 
@@ -87,21 +87,21 @@ def _none() -> Column:
     return F.array().cast(f"array<{HIT}>")
 
 
-def tel_array(html) -> Column:
-    """tel: links in document order; a link whose parent element's text mentions
-    fax is skipped; 'tel:' and '%20' removed; confidence high."""
-    def tel(p):
-        return opened(p, "a") & p.contains("tel:") & attr(attrs_of(p), "href").startswith("tel:")
+def _tel(p) -> Column:
+    """True for the start tag of a tel: link."""
+    return opened(p, "a") & p.contains("tel:") & attr(attrs_of(p), "href").startswith("tel:")
 
-    def hits(parts):
-        wanted = F.transform(elements_of(parts, parent=tel), lambda e: F.when(is_fax_context(strip_tags(markup_of(parts, e))), none)
-                             .otherwise(e.wanted))
-        raw = lambda n: F.replace(F.replace(attr(attrs_of(F.get(parts, n)), "href"), F.lit("tel:"), F.lit("")), F.lit("%20"), F.lit(""))
-        return F.transform(F.sort_array(F.flatten(wanted)), lambda n: _hit(1, n, raw(n), F.lit("high")))
 
-    none = F.array().cast("array<int>")
+def with_tel_hits(pages: DataFrame, html: str, name: str = "_tels") -> DataFrame:
+    """Adds the tel: links in document order; a link whose parent element's text
+    mentions fax is skipped; 'tel:' and '%20' removed; confidence high."""
     # most pages hold no tel link and are not taken apart
-    return F.when(F.col(html).contains("tel:"), let(pieces(html), hits)).otherwise(_none())
+    df = with_elements(pages.withColumn("_p", F.when(F.col(html).contains("tel:"), pieces(html))), "_e", "_p", parent=_tel)
+    around = F.transform("_e", lambda e: F.struct(e.wanted.alias("wanted"), strip_tags(markup_of(F.col("_p"), e)).alias("text")))
+    df = df.withColumn("_n", F.sort_array(F.flatten(F.transform(F.filter(around, lambda e: ~is_fax_context(e.text)), lambda e: e.wanted))))
+    raw = lambda n: F.replace(F.replace(attr(attrs_of(F.get("_p", n)), "href"), F.lit("tel:"), F.lit("")), F.lit("%20"), F.lit(""))
+    hits = F.transform("_n", lambda n: _hit(1, n, raw(n), F.lit("high")))
+    return df.withColumn(name, F.coalesce(hits, _none())).drop("_p", "_e", "_n")
 
 
 def chat_array(html) -> Column:
@@ -146,20 +146,13 @@ def window_matches(text) -> Column:
     return let(F.struct(t.alias("t"), F.regexp_extract_all(t, F.lit(TEXT_PHONE_RE), 1).alias("raws")), found)
 
 
-def text_array(text) -> Column:
-    """Text phones: fax in the window -> skipped; a context word -> medium,
-    else low."""
-    def ctx(m):
-        return F.concat(m.pre, m.raw, m.post)
-    hits = F.transform(window_matches(text),
-                       lambda m, i: F.struct(ctx(m).alias("ctx"), _hit(3, i, m.raw, text_phone_confidence(ctx(m))).alias("h")))
-    return F.transform(F.filter(hits, lambda x: ~is_fax_context(x.ctx)), lambda x: x.h)
-
-
-def page_hit_array(html="html", body="body_text") -> Column:
-    """All three strategies of one page, in strategy order. ``html`` is markup;
-    a page without captured text gives its markup's text."""
-    return F.concat(tel_array(html), chat_array(html), text_array(F.coalesce(F.col(body), strip_tags(html))))
+def with_text_hits(pages: DataFrame, text: Column, name: str = "_texts") -> DataFrame:
+    """Adds the text phones: fax in the window -> skipped; a context word ->
+    medium, else low."""
+    df = pages.withColumn("_w", window_matches(text))
+    ctx = F.transform("_w", lambda m, i: F.struct(F.concat(m.pre, m.raw, m.post).alias("ctx"), i.alias("i"), m.raw.alias("raw")))
+    hits = F.transform(F.filter(ctx, lambda x: ~is_fax_context(x.ctx)), lambda x: _hit(3, x.i, x.raw, text_phone_confidence(x.ctx)))
+    return df.withColumn(name, hits).drop("_w")
 
 
 def _explode_hits(pages: DataFrame, arr: Column, key: str) -> DataFrame:
@@ -176,10 +169,13 @@ def text_phones(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 
 def page_hits(pages: DataFrame, key: str = "company_id") -> DataFrame:
-    """All strategies of every page in one scan, normalised and validated.
-    Pages of no company (NULL key) give no hit."""
+    """All strategies of every page in one scan, in strategy order, normalised
+    and validated. A page without captured text gives its markup's text. Pages
+    of no company (NULL key) give no hit."""
     page = pages.where(F.col(key).isNotNull()).select(key, "page_ord", markup("html").alias("_h"), "body_text")
-    hits = _explode_hits(page, page_hit_array("_h"), key)
+    page = with_tel_hits(page, "_h").withColumn("_chats", chat_array("_h"))
+    page = with_text_hits(page, F.coalesce(F.col("body_text"), strip_tags("_h")))
+    hits = _explode_hits(page, F.concat("_tels", "_chats", "_texts"), key)
     n = normalize_phone("raw")
     return (hits.withColumn("phone", n).where(is_valid_phone(F.col("phone")))
             .select(key, "page_ord", "strategy", "pos", "phone", "confidence"))

@@ -67,8 +67,8 @@ def test_tree_equals_a_stack(spark):
     pages = [soup(r, r.choice([0, 1, 5, 30, 80])) for _ in range(120)] + [soup(r, 1500)]       # the last: several stretches
     df = spark.createDataFrame(list(enumerate(pages)), "id long, html string").repartition(4)
     opens = lambda p: p.rlike("^<[a-zA-Z]")
-    got = df.select("id", F.size(T.pieces("html")).alias("n"), T.elements_of(T.pieces("html"), own=opens).alias("own"),
-                    T.elements_of(T.pieces("html"), parent=opens).alias("up")).collect()
+    df = T.with_elements(df.withColumn("p", T.pieces("html")), "own", "p", own=opens)
+    got = T.with_elements(df, "up", "p", parent=opens).select("id", F.size("p").alias("n"), "own", "up").collect()
     for row in got:
         want, n = brute(pages[row["id"]])
         assert row["n"] == n
@@ -79,8 +79,9 @@ def test_tree_equals_a_stack(spark):
 
 def test_paths_and_marks(spark):
     df = spark.createDataFrame([("<div role=feed><div class='a>b'><p>x<div><span>y</span></div></div></div>z<span>q</span>",)], "html string")
-    rows = df.select(F.explode(T.elements_of(T.pieces("html"), own=lambda p: T.opened(p, "span"),
-                                             mark=lambda p: F.when(p.contains("feed"), "F").otherwise(""))).alias("e")).select("e.*").collect()
+    df = T.with_elements(df.withColumn("p", T.pieces("html")), "e", "p", own=lambda p: T.opened(p, "span"),
+                         mark=lambda p: F.when(p.contains("feed"), "F").otherwise(""))
+    rows = df.select(F.explode("e").alias("e")).select("e.*").collect()
     # the inner div closes the open paragraph
     assert [(re.sub("[:0-9!]", "", r["path"]), r["start"]) for r in rows] == [(">#>divF>div>div>span", 5), (">#>span", 10)]
 
