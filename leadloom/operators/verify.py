@@ -245,23 +245,52 @@ def captured_site_pages(pages: DataFrame) -> DataFrame:
             .unionByName(contact.withColumn("page_ord", F.lit(2)).select(*cols)))
 
 
-def verify_websites(candidates: DataFrame, pages: DataFrame, page_key: str = "company_id") -> DataFrame:
-    """One result row per checkable candidate (empty fields when nothing was
-    found), like the website_phones schema. One lazy plan at every size: pages
-    of other companies go by a join on the ids (broadcast only where the
-    planner finds the ids small), hits are reduced, and a left join from the
-    ids adds the candidates without a hit."""
+def _results(candidates: DataFrame, phones: DataFrame, key: str) -> DataFrame:
+    """One row per checkable candidate from its ranked numbers (empty fields
+    when nothing was found)."""
     ids = checkable(candidates).select("id")
-    own = pages.join(ids.select(F.col("id").alias(page_key)), page_key)     # ids are unique
-    found = best_two(company_phones(own, page_key), page_key)
     empty = F.lit("")
-    return (ids.join(found, "id", "left")
+    return (ids.join(best_two(phones, key), "id", "left")
             .select("id", *[F.coalesce(F.col(c), empty).alias(c) for c in
                             ["website_phone", "website_phone_type", "website_phone2",
                              "website_phone2_type", "website_phone_source"]],
                     F.coalesce(F.col("all_phones"), F.array().cast("array<string>")).alias("all_phones")))
 
 
+def verify_websites(candidates: DataFrame, pages: DataFrame, page_key: str = "company_id") -> DataFrame:
+    """One result row per checkable candidate (empty fields when nothing was
+    found), like the website_phones schema. One lazy plan at every size: pages
+    are reduced to hits where they are read, hits of other companies go by a
+    join on the ids, and a left join from the ids adds the candidates
+    without a hit."""
+    ids = checkable(candidates).select(F.col("id").alias(page_key))
+    hits = page_hits(pages, page_key).join(ids, page_key)                    # ids are unique
+    return _results(candidates, phones_from_hits(hits, page_key), page_key)
+
+
+def captured_visits(pages: DataFrame) -> DataFrame:
+    """(company_id, page_ord, page_id) of the pages a website check visits: each
+    company's newest home page (page_ord 1) and the newest capture of the page
+    that its contact link leads to (page_ord 2). Only ids and addresses move."""
+    home = pages.where((F.col("kind") == "site_home") & F.col("company_id").isNotNull())
+    newest_home = home.groupBy("company_id").agg(F.max("page_id").alias("page_id"))
+    links = contact_links(home, "page_id").where("contact_url is not null").select("page_id", F.col("contact_url").alias("url"))
+    target = (pages.where(F.col("kind").isin("site_home", "site_contact")).groupBy("url").agg(F.max("page_id").alias("_to")))
+    contact = newest_home.join(links, "page_id").join(target, "url").select("company_id", F.lit(2).alias("page_ord"), F.col("_to").alias("page_id"))
+    return newest_home.select("company_id", F.lit(1).alias("page_ord"), "page_id").unionByName(contact)
+
+
+def verify_captured(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+    """``verify_websites`` straight from captured pages: the pages to visit are
+    chosen on narrow rows, every page is reduced to its hits where it is read,
+    and hits meet visits by page id. No shuffle carries a page."""
+    site = pages.where(F.col("kind").isin("site_home", "site_contact")).withColumn("page_ord", F.lit(1))
+    hits = page_hits(site, "page_id").drop("page_ord")
+    ids = checkable(candidates).select(F.col("id").alias("company_id"))
+    visits = captured_visits(pages).join(ids, "company_id")
+    return _results(candidates, phones_from_hits(hits.join(visits, "page_id")), "company_id")
+
+
 # ------------------------------------------------------------------ V9
 
 

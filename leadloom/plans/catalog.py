@@ -6,6 +6,7 @@ Every query reads the driver tables (or frames Spark derives from them) from
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -122,7 +123,9 @@ def q_phone_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- dedupe
 
 from ..operators.dedupe import dedupe_leads, dedupe_removed  # noqa: E402
-from ..sources.leads import fixture_leads, marks_after  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources.csv_import import read_import_csv  # noqa: E402
+from ..sources.leads import commit, fixture_leads, marks_after, rewrite, scan_leads  # noqa: E402
 
 _DEDUPE = [O.LEADS_VIEW,
            ("dk", "SELECT *, " + O.name_key("name") + " AS name_key, "
@@ -177,6 +180,20 @@ _IMPORT = [
 ]
 
 
+@register("import_csv", O.with_fixtures(
+    ["import_file"],
+    "SELECT Company, Phone, Website, Address || chr(10) || 'Floor \"' || CAST(ord % 7 AS VARCHAR) || '\", ' || Company AS Address, Industry "
+    "FROM import_file"))
+def q_import_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV file with line breaks and quotes in its cells, written from orders and
+    read back."""
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    floor = F.concat(F.col("Address"), F.lit('\nFloor "'), (F.col("ord") % 7).cast("string"), F.lit('", '), F.col("Company"))
+    rows = fixture(spark, sf_dir, "import_file").select("Company", "Phone", "Website", floor.alias("Address"), "Industry")
+    rows.write.options(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    return read_import_csv(spark, path).drop("ord").fillna("")
+
+
 @register("import_leads", O.with_fixtures(["leads_raw", "import_file"], "SELECT * FROM imp", _IMPORT))
 def q_import_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_leads(fixture(spark, sf_dir, "import_file"), fixture_leads(spark, sf_dir))
@@ -365,6 +382,25 @@ def q_apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
                       (F.col("updated_at") != F.col("created_at")).alias("updated"))
 
 
+@register("edit_snapshot", O.with_fixtures(
+    ["leads_raw", "edits"],
+    "SELECT l.id, l.name, CASE WHEN le.id IS NULL THEN l.phone ELSE le.phone END AS phone, "
+    "CASE WHEN le.id IS NULL THEN l.notes ELSE le.notes END AS notes, CASE WHEN contains(l.tags, 'seen') OR l.id % 2 = 1 THEN l.tags "
+    "WHEN l.tags = '' THEN 'seen' ELSE l.tags || ', seen' END AS tags, l.session_id FROM leads l LEFT JOIN le ON le.id = l.id "
+    "WHERE l.session_id IS DISTINCT FROM 3", _EDITS))
+def q_edit_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A committed table after an edit batch, a bulk tag and a deleted session,
+    each a rewrite of the buckets it touches, read back."""
+    root = f"{ensure_checkpoint_dir(spark)}/leads-{uuid.uuid4().hex}"
+    commit(fixture_leads(spark, sf_dir), root)
+    edits = fixture(spark, sf_dir, "edits")
+    rewrite(spark, root, edits, lambda leads: MU.apply_edits(leads, edits, EDIT_AS_OF))
+    even = F.col("id") % 2 == 0
+    rewrite(spark, root, even, lambda leads: MU.bulk_tag(leads, "seen", EDIT_AS_OF, mask=even).drop("_changed"))
+    rewrite(spark, root, F.col("session_id") == 3, lambda leads: leads.where(~F.col("session_id").eqNullSafe(F.lit(3))))
+    return scan_leads(spark, root).select("id", "name", "phone", "notes", "tags", "session_id")
+
+
 @register("edit_count", O.with_fixtures(
     ["edits"], "SELECT count(*) FILTER (WHERE id IS NOT NULL) AS edited FROM edits"))
 def q_edit_count(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -801,8 +837,7 @@ _CAPTURED = [O.LEADS_VIEW,
 @register("verify_captured", O.with_fixtures(["leads_raw", "captured_site"], "SELECT * FROM res", _CAPTURED))
 def q_verify_captured(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = fixture(spark, sf_dir, "captured_site").withColumn("company_id", F.col("company_id") + F.lit(1000000000))
-    results = VF.verify_websites(VF.website_candidates(fixture_leads(spark, sf_dir), "unverified"),
-                                 VF.captured_site_pages(pages))
+    results = VF.verify_captured(VF.website_candidates(fixture_leads(spark, sf_dir), "unverified"), pages)
     return results.select("id", "website_phone", "website_phone2", F.array_join("all_phones", ", ").alias("all_phones"))
 
 

@@ -108,8 +108,7 @@ def collect_merge_save(spark: SparkSession, pages: DataFrame, leads: DataFrame,
 
 def verify_flow(leads: DataFrame, pages: DataFrame, as_of, scope: str = "unverified"):
     """Flow C over captured pages: (leads', results, metrics)."""
-    site = VF.captured_site_pages(pages)
-    results = reliable_checkpoint(VF.verify_websites(VF.website_candidates(leads, scope), site))
+    results = reliable_checkpoint(VF.verify_captured(VF.website_candidates(leads, scope), pages))
     return VF.apply_site_phones(leads, results, as_of), results, VF.verify_metrics(leads, results)
 
 

@@ -10,6 +10,8 @@ from leadloom.operators.importer import import_counts
 from leadloom.plans import flows
 from leadloom.schemas import SESSIONS, TAGS, conform_leads
 from leadloom.sources import leads as LD
+from pyspark.sql import functions as F
+
 from leadloom.sources.csv_import import read_import_csv
 from leadloom.sources.pages import CAPTURED_PAGES, read_captured
 
@@ -167,6 +169,56 @@ def test_commits(spark, tmp_path):
     assert LD.current(spark, root)[2] == {"leads": 4}                          # marks never fall
 
 
+def some_leads(spark, ids):
+    return conform_leads(spark.createDataFrame([(i, f"n{i}", "") for i in ids], "id long, name string, tags string"), AS_OF)
+
+
+def test_edits_write_the_buckets_they_touch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(LD, "BUCKET_IDS", 100)
+    root = str(tmp_path / "leads")
+    LD.commit(some_leads(spark, range(1, 2001)), root)
+    LD.commit(some_leads(spark, range(2001, 2051)), root, append=True)
+    before = LD.current(spark, root)[1]
+    edits = spark.createDataFrame([(i, i, "edited") for i in (5, 7, 150, 151, 2010, 9999, None)], "id long, ord long, notes string")
+    want = sorted(MU.apply_edits(LD.scan_leads(spark, root), edits, AS_OF).select("id", "notes").collect())
+    version, written = LD.rewrite(spark, root, edits, lambda leads: MU.apply_edits(leads, edits, AS_OF))
+    after = LD.current(spark, root)[1]
+    assert (version, written) == (3, 3) and len(set(before) - set(after)) == 4          # the last bucket had two folders
+    assert sorted(LD.scan_leads(spark, root).select("id", "notes").collect()) == want
+    # a bulk tag by a condition, then leads of two buckets deleted: one bucket is left without a folder
+    tagged = F.col("id").between(1990, 2005)
+    assert LD.rewrite(spark, root, tagged, lambda leads: MU.bulk_tag(leads, "hot", AS_OF, mask=tagged).drop("_changed"))[1] == 2
+    assert sorted(r["id"] for r in LD.scan_leads(spark, root).where("tags = 'hot'").collect()) == list(range(1990, 2006))
+    gone = F.col("id").between(300, 405)
+    assert LD.rewrite(spark, root, gone, lambda leads: leads.where(~gone))[1] == 2
+    assert LD.scan_leads(spark, root).count() == 2050 - 106 and not any(f.endswith("=3") for f in LD.current(spark, root)[1])
+    assert LD.rewrite(spark, root, F.col("id") > 5000, lambda leads: leads) == (5, 0)
+    with pytest.raises(LD.CommitConflict):
+        LD.commit(some_leads(spark, [1]), root, base=4)
+
+
+def test_of_concurrent_commits_one_wins(spark, tmp_path):
+    import threading
+    root = str(tmp_path / "leads")
+    LD.commit(some_leads(spark, [0]), root)
+    for k in range(10):
+        won, lost = [], []
+        start = threading.Barrier(2)
+
+        def job(i):
+            start.wait()
+            try:
+                won.append(LD._publish(spark, root, (k + 2, [f"{root}/{i}"], {})))   # both have read version k + 1
+            except LD.CommitConflict:
+                lost.append(i)
+        threads = [threading.Thread(target=job, args=(i,)) for i in range(2)]
+        [t.start() for t in threads]
+        [t.join() for t in threads]
+        assert won == [k + 2] and len(lost) == 1
+        assert LD.current(spark, root)[:2] == (k + 2, [f"{root}/{1 - lost[0]}"])
+    assert sorted(p.name for p in (tmp_path / "leads" / "_commits").iterdir() if not p.name.startswith(".")) == [f"{v:012d}.json" for v in range(1, 12)]
+
+
 def test_ids_are_never_given_out_again(spark, tmp_path):
     root = str(tmp_path / "leads")
     sessions = spark.createDataFrame([], SESSIONS)

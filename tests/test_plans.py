@@ -30,3 +30,17 @@ def test_building_a_query_reads_no_footer(spark):
     sc.setJobGroup("build", "no job may run")
     q_search_leads(spark, SF)
     assert not sc.statusTracker().getJobIdsForGroup("build")
+
+
+def test_no_shuffle_of_the_website_check_carries_a_page(spark):
+    import re
+    from leadloom.plans.catalog import QUERIES
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = QUERIES["verify_captured"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().explainString(
+            spark.sparkContext._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*?)\]\n", text)
+    assert len(moved) > 4
+    assert not any(re.search(r"\b(html|body_text|_h|_p)#", m) for m in moved), moved
