@@ -90,8 +90,9 @@ class _Chunks(dict):
 
 class ChunkEncoder:
     """Token ids of whole texts by a byte-level BPE file of the ``tokenizers``
-    library. A text is cut before every space that a non-space follows, where
-    the pre-tokenizer always cuts too; ids are kept per chunk."""
+    library, by ``tiktoken`` on the file's merges. A text is cut at the file's
+    added tokens, and before every space that a non-space follows, where the
+    pre-tokenizer always cuts too; ids are kept per chunk."""
 
     def __init__(self, path: str):
         import public_tokenizers
@@ -103,13 +104,18 @@ class ChunkEncoder:
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in keep]
         byte_of = {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(rest)}
-        special = {t["content"] for t in spec["added_tokens"]}
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(t[k] for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take the space around them are not supported")
         ranks = {bytes(byte_of[c] for c in tok): i for tok, i in spec["model"]["vocab"].items()
                  if tok not in special}
         bpe = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN,
                                 mergeable_ranks=ranks, special_tokens={})
         self.chunks = _Chunks(_Words(bpe.encode_ordinary), regex.compile(public_tokenizers.PATTERN).findall)
         self.odd_space = regex.compile(r" (?=\s|$)").search
+        # the library finds the file's added tokens in any text, the longest first
+        self.added = {t: array("I", [i]).tobytes() for t, i in special.items()}
+        self.at_added = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
 
     def forget(self) -> None:
         """Empty the caches (at the end of a task)."""
@@ -118,6 +124,14 @@ class ChunkEncoder:
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of ``text``, end id not included."""
+        if self.at_added is not None:
+            parts = self.at_added(text)
+            if len(parts) > 1:
+                return b"".join(self.added.get(p) or self.ordinary(p) for p in parts if p)
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         if self.odd_space(text):
             return self.chunks.text(text)
         first, *rest = text.split(" ")

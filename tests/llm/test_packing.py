@@ -14,9 +14,7 @@ from leadloom.llm import packing as P
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
-    t = Tokenizer.from_file(P.default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(P.default_tokenizer())
 
 
 def test_ids_equal_the_tokenizers_library(tokenizer):
