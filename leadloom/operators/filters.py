@@ -30,6 +30,42 @@ def not_blocked(listings: DataFrame, pattern: str | None,
     return listings.where(~hit)
 
 
+GRAM = 3
+
+
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of ``n`` characters; none in a shorter text."""
+    last = F.length(text) - n + 1
+    return F.array_distinct(F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+                            .otherwise(F.array().cast("array<string>")))
+
+
+def blocked_names(names: DataFrame, entries: DataFrame) -> DataFrame:
+    """The rows of ``names`` (distinct lower-case ``name``) that contain an entry
+    (``entry``), as a join: an entry is found through its rarest run of three
+    characters (an entry of one or two through itself), then tested exactly. The
+    list stays a frame of any length; a name is tested against the few entries
+    whose run it holds, not against all."""
+    e = entries.select(F.lower("entry").alias("entry")).where(F.trim("entry") != "").distinct()
+    runs = e.where(F.length("entry") >= GRAM).select("entry", F.explode(_grams(F.col("entry"), GRAM)).alias("gram"))
+    often = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    keys = runs.join(often, "gram").groupBy("entry").agg(F.min(F.struct("n", "gram")).alias("k")).select("entry", F.col("k.gram").alias("gram"))
+    keys = keys.unionByName(e.where(F.length("entry") < GRAM).select("entry", F.col("entry").alias("gram")))
+    held = names.select("name", F.explode(F.concat(*[_grams(F.col("name"), n) for n in range(1, GRAM + 1)])).alias("gram"))
+    return held.join(keys, "gram").where(F.contains("name", "entry")).select("name").distinct()
+
+
+def not_blocked_by(listings: DataFrame, entries: DataFrame, sources: tuple[str, ...] = ("google_maps",), enabled: bool = True) -> DataFrame:
+    """``not_blocked`` for a blocklist of any length, given as a frame with
+    ``entry``: drops listings of ``sources`` whose name contains an entry, compared
+    in lower case. Blank entries block nothing; a NULL name is never blocked."""
+    if not enabled:
+        return listings
+    of = F.col("source").isin(list(sources))
+    blocked = blocked_names(listings.where(of).select(F.lower("name").alias("name")).where("name <> ''").distinct(), entries)
+    return listings.join(blocked.select(F.col("name").alias("_blocked")), of & (F.lower(F.col("name")) == F.col("_blocked")), "left_anti")
+
+
 def search_mask(query: str, columns=SEARCH_COLUMNS, literal: bool = False, present=None) -> Column | None:
     """Lower-cased query as a regex (or literal text) over lower-cased columns."""
     if not query:

@@ -125,7 +125,7 @@ def q_phone_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 from ..operators.dedupe import dedupe_leads, dedupe_removed  # noqa: E402
 from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..sources.csv_import import read_import_csv  # noqa: E402
-from ..sources.leads import commit, fixture_leads, marks_after, rewrite, scan_leads  # noqa: E402
+from ..sources.leads import commit, fixture_leads, marks_after, newest_page, rewrite, scan_leads  # noqa: E402
 
 _DEDUPE = [O.LEADS_VIEW,
            ("dk", "SELECT *, " + O.name_key("name") + " AS name_key, "
@@ -227,6 +227,25 @@ def q_blocklist_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FL.not_blocked(l, setting_pattern(spark, EXAMPLE_BLOCKLIST)).select("ord", "source", "name")
 
 
+@register("blocklist_join", O.with_fixtures(
+    ["listings", "blocklist_settings"],
+    "SELECT ord, source, name FROM listings l WHERE source <> 'google_maps' OR NOT EXISTS (SELECT 1 FROM be WHERE be.e <> '' AND contains(lower(l.name), be.e))",
+    [("be", "SELECT DISTINCT lower(trim(unnest(CAST(CAST(value AS JSON) AS VARCHAR[])))) AS e FROM blocklist_settings WHERE value IS NOT NULL")]))
+def q_blocklist_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings that no entry of any stored blocklist setting blocks."""
+    entries = entries_frame(fixture(spark, sf_dir, "blocklist_settings"))
+    return FL.not_blocked_by(fixture(spark, sf_dir, "listings"), entries).select("ord", "source", "name")
+
+
+@register("newest_page", O.with_fixtures(
+    ["leads_raw"], "SELECT id, name, sources FROM leads_raw WHERE id < 2000000100 ORDER BY id DESC LIMIT 250"))
+def q_newest_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page of the committed table, newest first, below a given id."""
+    root = f"{ensure_checkpoint_dir(spark)}/leads-{uuid.uuid4().hex}"
+    commit(fixture_leads(spark, sf_dir), root)
+    return newest_page(spark, root, 250, before=2000000100).select("id", "name", "sources")
+
+
 @register("blocklist_entries", O.with_fixtures(
     ["blocklist_settings"],
     "SELECT owner, CAST(i AS INTEGER) AS pos, e[i + 1] AS entry FROM (SELECT *, unnest(range(len(e))) AS i FROM "

@@ -129,6 +129,21 @@ def newest_first(leads: DataFrame) -> DataFrame:
     return leads.orderBy(F.col("id").desc())
 
 
+def newest_page(spark: SparkSession, root: str, size: int, before: int | None = None) -> DataFrame:
+    """The ``size`` newest leads with an id below ``before`` (all ids if None),
+    newest first. Buckets are read from the newest on, twice as many each time,
+    until the page is full: what is read follows the page, not the table."""
+    folders = current(spark, root)[1]
+    buckets = sorted({b for f in folders if (b := _bucket_of(f)) * BUCKET_IDS < (before if before is not None else float("inf"))}, reverse=True)
+    n = 1
+    while True:
+        rows = _read(spark, [f for f in folders if _bucket_of(f) in set(buckets[:n])])
+        rows = rows if before is None else rows.where(F.col("id") < before)
+        if n >= len(buckets) or rows.select("id").limit(size).count() >= size:
+            return newest_first(rows).limit(size)
+        n *= 2
+
+
 def marks_after(marks: dict[str, int] | None, **tables: DataFrame) -> dict[str, int]:
     """High-water marks of the ids given out: the stored ones, raised to the
     highest id of each table."""

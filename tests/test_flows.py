@@ -197,6 +197,19 @@ def test_edits_write_the_buckets_they_touch(spark, tmp_path, monkeypatch):
         LD.commit(some_leads(spark, [1]), root, base=4)
 
 
+def test_pages_read_the_newest_buckets(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(LD, "BUCKET_IDS", 50)
+    root = str(tmp_path / "leads")
+    ids = [i for i in range(1, 1000) if i % 3 and not 400 < i < 700]
+    LD.commit(some_leads(spark, ids), root)
+    want = sorted(ids, reverse=True)
+    page = LD.newest_page(spark, root, 20)
+    assert [r["id"] for r in page.collect()] == want[:20] and len(page.inputFiles()) == 1
+    assert [r["id"] for r in LD.newest_page(spark, root, 30, before=702).collect()] == [i for i in want if i < 702][:30]
+    assert [r["id"] for r in LD.newest_page(spark, root, 5000, before=90).collect()] == [i for i in want if i < 90]
+    assert LD.newest_page(spark, root, 10, before=0).collect() == []
+
+
 def test_of_concurrent_commits_one_wins(spark, tmp_path):
     import threading
     root = str(tmp_path / "leads")

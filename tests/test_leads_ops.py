@@ -204,3 +204,17 @@ def test_order_invariance_dedupe_and_import(spark):
     f = fixture(spark, SF, "import_file")
     f2 = f.repartition(3).orderBy(F.rand(11))
     assert rows(import_leads(f, l)) == rows(import_leads(f2, shuffled))
+
+
+def test_blocklist_as_a_join_equals_the_pattern(spark):
+    import random
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcé .&") for _ in range(r.randint(1, 7)))
+    entries = [e for e in (word().strip() for _ in range(60)) if e] + ["", "  ", "a", "B.", "Big Co"]
+    names = [word().title() + word() for _ in range(300)] + [None, "", "the BIG CO ltd", "xa"]
+    df = spark.createDataFrame([(i, r.choice(["google_maps", "hiredly"]), n) for i, n in enumerate(names)], "ord long, source string, name string")
+    for some in (entries, entries[:10], ["Big Co"], ["", " "]):
+        listed = spark.createDataFrame([(e,) for e in some], "entry string")
+        want = sorted(x["ord"] for x in FL.not_blocked(df, blocklist_pattern(some)).collect())
+        assert sorted(x["ord"] for x in FL.not_blocked_by(df, listed).collect()) == want
+    assert FL.not_blocked_by(df, listed, enabled=False).count() == len(names)
