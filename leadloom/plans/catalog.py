@@ -126,6 +126,7 @@ from ..operators.dedupe import dedupe_leads, dedupe_removed  # noqa: E402
 from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..sources.csv_import import read_import_csv  # noqa: E402
 from ..sources.leads import commit, fixture_leads, marks_after, newest_page, rewrite, scan_leads  # noqa: E402
+from ..sources.search_index import build as build_postings, search_committed  # noqa: E402
 
 _DEDUPE = [O.LEADS_VIEW,
            ("dk", "SELECT *, " + O.name_key("name") + " AS name_key, "
@@ -269,6 +270,16 @@ def q_search_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FL.project(FL.search(fixture_leads(spark, sf_dir), SEARCH_EXAMPLE))
 
 
+@register("search_committed", O.with_fixtures(
+    ["leads_raw"], f"SELECT {_VIEW_COLS} FROM leads WHERE {_SEARCH_DUCK}", [O.LEADS_VIEW]))
+def q_search_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over a committed table, through its posting table."""
+    root = f"{ensure_checkpoint_dir(spark)}/leads-{uuid.uuid4().hex}"
+    commit(fixture_leads(spark, sf_dir), root)
+    build_postings(spark, root)
+    return FL.project(search_committed(spark, root, SEARCH_EXAMPLE))
+
+
 _NO_PHONE_DUCK = "(phone IS NULL OR " + O.py_strip("phone") + " = '')"
 
 
