@@ -13,8 +13,11 @@ empty sketches are alike only if the texts are equal.
 Everything is DataFrame expressions. Scale: one shuffle of the texts, into
 blocks of neighbouring ids; the first document of a block also goes to the
 block before it, so the next document is always a neighbour in the same block.
-Blocks hold about ``BLOCK_ROWS`` documents however the ids are spread, and only
-block boundaries (one row per block) meet in one place.
+Blocks are equal widths of the ids; one that holds more than twice
+``BLOCK_ROWS`` documents is cut again by the ids in it, and one of a single id by
+text hashes, until none is left (only rows equal in id and text stay together).
+The order of the blocks is found in ranges, of which one row each meets in one
+task. Ids are whole numbers.
 
 Edge cases: null text is empty, its fingerprint ``''``; null ids come first;
 repeated ids are ordered by text hash; one document alone is followed by
@@ -78,26 +81,60 @@ def jaccard(a: Column, b: Column, equal: Column) -> Column:
     return F.when(equal, F.lit(1.0)).when(union == 0, F.lit(0.0)).otherwise(common(a, b) / union).cast("double")
 
 
-def _blocks(docs: DataFrame) -> Column:
-    """A block number that never falls as the id grows (null: -1)."""
-    lo, hi, n = docs.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double"), F.count(F.lit(1))).first()
-    blocks = max(1, -(-n // BLOCK_ROWS))
-    width = max(1.0, (hi - lo + 1) / blocks) if lo is not None else 1.0
-    return F.coalesce(F.floor((F.col("doc_id").cast("double") - (lo or 0.0)) / width), F.lit(-1)).cast("long")
+def _part(x: Column, lo: Column, hi: Column, n: Column) -> Column:
+    """Which of about ``n / BLOCK_ROWS`` equal parts of lo..hi holds ``x``. Of
+    lo < hi both ends have different parts where n > BLOCK_ROWS."""
+    def past(v: Column) -> Column:      # exact where 64 bits hold it, never falling anywhere
+        return F.coalesce(F.try_subtract(v, lo).cast("double"), v.cast("double") - lo.cast("double"))
+    width = F.greatest(F.lit(1.0), (past(hi) + 1) / F.ceil(n / BLOCK_ROWS))
+    return F.floor(past(x) / width).cast("long")
+
+
+def _spans(rows: DataFrame) -> DataFrame:
+    """One row per block: its rows, the ends of its ids and ties, its first row."""
+    return stage(rows.groupBy("_block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"),
+        F.min("_tie").alias("tlo"), F.max("_tie").alias("thi"), F.min(F.struct("doc_id", "_tie")).alias("f")), "spans")
+
+
+def in_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (with doc_id and _tie) with a ``_block`` that never falls as
+    (doc_id, _tie) grows, and the blocks' spans. A block that holds more than
+    twice ``BLOCK_ROWS`` is cut again, by its own ids, then by its ties."""
+    ends = rows.agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    first = F.coalesce(_part(F.col("doc_id"), F.col("_lo"), F.col("_hi"), F.col("_n")), F.lit(-1).cast("long"))
+    out = rows.crossJoin(F.broadcast(ends)).withColumn("_block", F.array(first)).drop("_lo", "_hi", "_n")   # with one row
+    while True:
+        spans = _spans(out)
+        wide = spans.where((F.col("n") > 2 * BLOCK_ROWS) & ((F.col("lo") < F.col("hi")) | (F.col("tlo") < F.col("thi"))))
+        if wide.isEmpty():
+            return out, spans
+        cut = F.when(F.col("lo") < F.col("hi"), _part(F.col("doc_id"), F.col("lo"), F.col("hi"), F.col("n"))).otherwise(
+            _part(F.col("_tie"), F.col("tlo"), F.col("thi"), F.col("n")))
+        found = out.join(wide.select(F.col("_block").alias("_wide"), "n", "lo", "hi", "tlo", "thi"), F.col("_block") == F.col("_wide"), "left")
+        out = found.withColumn("_block", F.when(F.col("_wide").isNull(), F.col("_block")).otherwise(
+            F.concat("_block", F.array(cut)))).drop("_wide", "n", "lo", "hi", "tlo", "thi")
+
+
+def _before(spans: DataFrame) -> DataFrame:
+    """(_own, _before): the block before each block, before the first the last.
+    Blocks are ordered in ranges; only the ranges (one row per task) meet."""
+    ranged = stage(spans.select("_block").repartitionByRange("_block").withColumn("_range", F.spark_partition_id()), "ranges")
+    tails = ranged.groupBy("_range").agg(F.max("_block").alias("_tail"))
+    tails = tails.select("_range", F.lag("_tail").over(Window.orderBy("_range")).alias("_tail_before"))
+    last = ranged.agg(F.max("_block").alias("_last"))
+    inner = F.lag("_block").over(Window.partitionBy("_range").orderBy("_block"))
+    return (ranged.withColumn("_inner", inner).join(tails, "_range").crossJoin(F.broadcast(last))
+            .select(F.col("_block").alias("_own"), F.coalesce("_inner", "_tail_before", "_last").alias("_before")))
 
 
 def with_next(docs: DataFrame, carry: dict[str, Column]) -> DataFrame:
     """doc_id, the columns of ``carry`` and, as ``next_<name>``, those of the
     next document in ascending doc_id (after the last: the first)."""
     order = ["doc_id", "_tie"]
-    rows = docs.select("doc_id", _blocks(docs).alias("_block"), F.xxhash64(text_or_empty()).alias("_tie"), "text")
-    firsts = rows.groupBy("_block").agg(F.min(F.struct("doc_id", "_tie")).alias("f"))
-    # one row per block, in order; the block after the last is the first
-    w = Window.orderBy("_block")
-    to = firsts.select(F.col("_block").alias("_own"), F.lag("_block").over(w).alias("_before"))
-    last = firsts.agg(F.max("_block").alias("_last"))
-    to = to.crossJoin(F.broadcast(last)).select("_own", F.coalesce("_before", "_last").alias("_before"))
-    heads = firsts.join(to, firsts["_block"] == to["_own"]).select(
+    rows, spans = in_blocks(docs.select("doc_id", F.xxhash64(text_or_empty()).alias("_tie"), "text"))
+    to = _before(spans)
+    heads = spans.join(to, spans["_block"] == to["_own"]).select(
         F.col("_own").alias("_hb"), F.col("f.doc_id").alias("_hid"), F.col("f._tie").alias("_ht"), "_before")
     # written, so that the planner knows its size: the texts move for this join only where it is large
     heads = stage(heads, "heads")

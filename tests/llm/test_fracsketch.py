@@ -74,3 +74,19 @@ def test_repeated_ids_single_row_and_empty_table(spark):
     one = K.report(docs(spark, [(5, "abcdef", None, None, None)])).collect()
     assert one[0]["edited_sha256"] == hashlib.sha256(b"abcabc").hexdigest() and one[0]["near_next"] == 1
     assert K.report(empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize("ids", [
+    [*range(300), 1 << 62], [-(1 << 63), *range(200), (1 << 63) - 1], [2 ** k for k in range(62)], [7] * 200, [None] * 150 + [1, 2],
+    [*range(50), *range(1 << 40, (1 << 40) + 50), *[9] * 120]])
+def test_blocks_are_small_however_the_ids_are_spread(spark, ids, monkeypatch):
+    monkeypatch.setattr(K, "BLOCK_ROWS", 16)
+    rows = spark.createDataFrame([(i, hash((k, "t"))) for k, i in enumerate(ids)], "doc_id long, _tie long").repartition(4)
+    out, spans = K.in_blocks(rows)
+    assert max(r["n"] for r in spans.collect()) <= 32
+    placed = sorted((r["_block"], r["doc_id"] is not None, r["doc_id"] or 0, r["_tie"]) for r in out.collect())
+    assert [x[1:] for x in placed] == sorted((i is not None, i or 0, hash((k, "t"))) for k, i in enumerate(ids))
+    assert [x[1:] for x in placed] == sorted(x[1:] for x in placed)
+    before = {tuple(r["_own"]): tuple(r["_before"]) for r in K._before(spans).collect()}
+    blocks = sorted({tuple(x[0]) for x in placed})
+    assert before == {b: blocks[k - 1] for k, b in enumerate(blocks)}
