@@ -12,9 +12,10 @@ the list, then the file's directory, then reads one block by its byte range,
 and records are read by theirs.
 
 Scale: pages are shuffled once, by payload digest, to learn of earlier copies;
-a skewed digest is a join that Spark splits. The driver holds one row per index
-file. A key with very many captures spans blocks and files, which a lookup
-walks. Files have a new name per task attempt, so a lost task leaves at most an
+the heads of repeated payloads are written first, so a skewed digest is a join
+that Spark splits. The driver holds one row per index file. Lookups go to tasks by
+ranges of (index file, key), so one file is no single task; a key with very many
+captures spans blocks and files, which a lookup walks and gives out block by block. Files have a new name per task attempt, so a lost task leaves at most an
 unreferenced file. The folder must be in a store that pyarrow opens (shared
 file system, HDFS, S3, GCS).
 
@@ -144,6 +145,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
                   F.coalesce("url", F.lit("")).alias("u"))
     heads = (p.where(F.octet_length("payload") >= min_bytes).groupBy("digest")
              .agg(F.min(me).alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "head"))
+    # written: a join with the aggregate itself could not be split at a hot digest
+    heads = stage(heads, "heads")
     rows = p.join(heads, "digest", "left").select(
         "page_id", "url", "payload",
         F.when(F.col("head").isNotNull() & ~me.eqNullSafe(F.col("head")),
@@ -245,11 +248,18 @@ class CaptureIndex:
                         f.append(files[i])
                 yield pa.RecordBatch.from_pydict({"key": pa.array(k, pa.string()), "index": pa.array(f, pa.string())})
 
+        def captures_of(found):
+            cols = list(zip(*found)) if found else [()] * 5
+            return pa.RecordBatch.from_pydict({
+                "key": pa.array(cols[0], pa.string()), "page_id": pa.array([int(x) if x else None for x in cols[1]], pa.int64()),
+                "file": pa.array(cols[2], pa.string()), "offset": pa.array(list(map(int, cols[3])), pa.int64()),
+                "length": pa.array(list(map(int, cols[4])), pa.int64())})
+
         def find(batches):
             fs, root = open_store(folder)
             now, block, source, directory, lines = None, None, None, [], []
+            out = []
             for b in batches:
-                out = []
                 for key, index in zip(b.column("key").to_pylist(), b.column("index").to_pylist()):
                     if index != now:
                         if source is not None:
@@ -265,17 +275,16 @@ class CaptureIndex:
                             lines = [x.split("\t") for x in zlib.decompress(raw, 31).decode().splitlines()]
                             own, block = [x[0] for x in lines], i
                         out += lines[bisect.bisect_left(own, key):bisect.bisect_right(own, key)]
-                cols = list(zip(*out)) if out else [()] * 5
-                yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(cols[0], pa.string()), "page_id": pa.array([int(x) if x else None for x in cols[1]], pa.int64()),
-                    "file": pa.array(cols[2], pa.string()), "offset": pa.array(list(map(int, cols[3])), pa.int64()),
-                    "length": pa.array(list(map(int, cols[4])), pa.int64())})
+                        if len(out) >= BLOCK_LINES:
+                            yield captures_of(out)
+                            out = []
             if source is not None:
                 source.close()
+            yield captures_of(out)
 
         wanted = map_arrow(urls.select(F.col(column).alias("url")).distinct(), keys, "key string").distinct()
         routed = map_arrow(wanted, route, "key string, index string")
-        sorted_keys = routed.repartition("index").sortWithinPartitions("index", "key")
+        sorted_keys = routed.repartitionByRange("index", "key").sortWithinPartitions("index", "key")
         return map_arrow(sorted_keys, find, "key string, page_id long, file string, offset long, length long")
 
     def read(self, captures: DataFrame, with_payload: bool = False) -> DataFrame:

@@ -87,3 +87,14 @@ def test_damage_is_noticed():
 
 def test_empty_table(spark):
     assert W.round_trip(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_one_url_and_one_payload_for_most_captures(spark, tmp_path):
+    rows = [(i, "https://hot.example.org/", "the error page of every site", "f", "k", "d", 1) for i in range(3000)]
+    rows += [(3000 + i, f"https://s{i}.example.org/", f"page {i}", "f", "k", "d", 1) for i in range(50)]
+    folder = f"file://{tmp_path}/w"
+    df = spark.createDataFrame(rows, SCHEMA).repartition(7)
+    index = W.CaptureIndex.build(W.write_archives(df, folder), folder)
+    got = {r["page_id"]: r for r in index.read(index.lookup(df)).collect()}
+    assert len(got) == len(rows)
+    assert all((r["record_type"], r["refers_to"]) == (("revisit", 0) if 0 < i < 3000 else ("response", None)) for i, r in got.items())
