@@ -127,6 +127,7 @@ from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..sources.csv_import import read_import_csv  # noqa: E402
 from ..sources.leads import commit, fixture_leads, marks_after, newest_page, rewrite, scan_leads  # noqa: E402
 from ..sources.search_index import build as build_postings, search_committed  # noqa: E402
+from ..sources.summary import build as build_summary, counts as committed_counts  # noqa: E402
 
 _DEDUPE = [O.LEADS_VIEW,
            ("dk", "SELECT *, " + O.name_key("name") + " AS name_key, "
@@ -283,6 +284,28 @@ def q_search_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NO_PHONE_DUCK = "(phone IS NULL OR " + O.py_strip("phone") + " = '')"
 
 
+_COUNTED = [("mobile", "phone_type = 'mobile'"), ("landline", "phone_type = 'landline'"), ("no_phone", _NO_PHONE_DUCK)]
+
+
+@register("committed_counts", O.with_fixtures(
+    ["leads_raw"],
+    "SELECT 'lead' AS kind, '' AS name, count(*) AS n FROM kept HAVING count(*) > 0 "
+    + "".join(f"UNION ALL SELECT '{k}', '', count(*) FROM kept WHERE {c} HAVING count(*) > 0 " for k, c in _COUNTED)
+    + "UNION ALL SELECT 'session', CAST(session_id AS VARCHAR), count(*) FROM kept WHERE session_id IS NOT NULL GROUP BY session_id "
+    + "UNION ALL SELECT 'source', s, count(DISTINCT id) FROM (SELECT id, " + O.py_strip("part") + " AS s FROM "
+      "(SELECT id, unnest(string_split(sources, ',')) AS part FROM kept)) WHERE s <> '' GROUP BY s",
+    [O.LEADS_VIEW, ("kept", "SELECT * FROM leads WHERE session_id IS DISTINCT FROM 3")]))
+def q_committed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, facets and sessions of a committed table after a session was
+    deleted, from its stored summaries."""
+    root = f"{ensure_checkpoint_dir(spark)}/leads-{uuid.uuid4().hex}"
+    commit(fixture_leads(spark, sf_dir), root)
+    build_summary(spark, root)
+    rewrite(spark, root, F.col("session_id") == 3, lambda leads: leads.where(~F.col("session_id").eqNullSafe(F.lit(3))))
+    build_summary(spark, root)
+    return committed_counts(spark, root)
+
+
 @register("phone_filter", O.with_fixtures(
     ["leads_raw"],
     "SELECT 'mobile' AS mode, id FROM leads WHERE phone_type = 'mobile' UNION ALL "
