@@ -32,17 +32,24 @@ def completeness(df: DataFrame) -> Column:
 MAX_SCORE = 6
 
 
+def best_columns(score: str, id_: str) -> list[Column]:
+    """Aggregates that find the lowest id of the highest score: one ``min`` over
+    longs per score, which keeps the aggregation on the hash fast path."""
+    return [F.min(F.when(F.col(score) == s, F.col(id_))).alias(f"s{s}") for s in range(MAX_SCORE, -1, -1)]
+
+
+def best_of() -> list[Column]:
+    """(id, score) from the aggregates of ``best_columns``."""
+    found = range(MAX_SCORE, -1, -1)
+    return [F.coalesce(*[F.col(f"s{s}") for s in found]).alias("id"),
+            F.coalesce(*[F.when(F.col(f"s{s}").isNotNull(), s) for s in found]).alias("score")]
+
+
 def _winners(leads: DataFrame) -> DataFrame:
-    """Winner ids. The score has seven values, so the winner of a key is the
-    lowest id of the highest score present: seven ``min`` aggregates over longs
-    keep the aggregation on the hash fast path. A lead with an empty key is a
-    group of its own."""
+    """Winner ids. A lead with an empty key is a group of its own."""
     keyed = leads.select("id", name_key("name").alias("_key"), completeness(leads).alias("_score"))
-    lowest = [F.min(F.when(F.col("_score") == s, F.col("id"))).alias(f"s{s}")
-              for s in range(MAX_SCORE, -1, -1)]
     alone = F.when(F.col("_key") == "", F.col("id"))
-    return (keyed.groupBy("_key", alone.alias("_alone")).agg(*lowest)
-            .select(F.coalesce(*[F.col(f"s{s}") for s in range(MAX_SCORE, -1, -1)]).alias("id")))
+    return keyed.groupBy("_key", alone.alias("_alone")).agg(*best_columns("_score", "id")).select(best_of()[0])
 
 
 def dedupe_removed(leads: DataFrame) -> DataFrame:

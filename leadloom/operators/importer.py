@@ -71,19 +71,45 @@ def _stored_keys(leads: DataFrame) -> DataFrame:
     return leads.select(name_key("name").alias("name_key")).distinct()
 
 
-def import_leads(file_df: DataFrame, leads: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Rows to append to the leads table (ids are assigned by the caller)."""
-    keyed = _first_per_key(considered_rows(file_df, max_rows)).where(F.col("name_key").isNotNull())
-    return (keyed.join(_stored_keys(leads), "name_key", "left_anti").select("f.*")
+def _asked(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The stored keys that the file asks for, each once: the file's distinct keys
+    are the side that Spark may broadcast, the stored keys the one it streams."""
+    return stored.join(wanted, "name_key", "left_semi").distinct()
+
+
+def new_rows(file_df: DataFrame, stored: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """``import_leads`` against a table of stored keys (``name_key``, any number
+    of rows a key)."""
+    rows = considered_rows(file_df, max_rows)
+    return _fresh(rows, _asked(stored, rows.select("name_key").distinct()))
+
+
+def new_counts(file_df: DataFrame, stored: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """``import_counts`` against a table of stored keys."""
+    rows = considered_rows(file_df, max_rows)
+    return _counted(rows, _asked(stored, rows.select("name_key").distinct()))
+
+
+def _fresh(rows: DataFrame, known: DataFrame) -> DataFrame:
+    keyed = _first_per_key(rows).where(F.col("name_key").isNotNull())
+    return (keyed.join(known, "name_key", "left_anti").select("f.*")
             .select("ord", "name", "phone", classify_phone("phone").alias("phone_type"),
                     "website", "address", "category", F.lit("imported").alias("sources")))
 
 
-def import_counts(file_df: DataFrame, leads: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """(imported, skipped) over the considered rows; an empty file gives 0, 0."""
-    rows = considered_rows(file_df, max_rows).groupBy("name_key").agg(F.count(F.lit(1)).alias("rows"))
-    known = _stored_keys(leads).withColumn("known", F.lit(True))
-    flagged = rows.join(known, "name_key", "left")
+def _counted(rows: DataFrame, known: DataFrame) -> DataFrame:
+    per_key = rows.groupBy("name_key").agg(F.count(F.lit(1)).alias("rows"))
+    flagged = per_key.join(known.withColumn("known", F.lit(True)), "name_key", "left")
     fresh = F.col("name_key").isNotNull() & F.col("known").isNull()
     total, new = F.coalesce(F.sum("rows"), F.lit(0)), F.count_if(fresh)
     return flagged.agg(new.cast("bigint").alias("imported"), (total - new).cast("bigint").alias("skipped"))
+
+
+def import_leads(file_df: DataFrame, leads: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Rows to append to the leads table (ids are assigned by the caller)."""
+    return _fresh(considered_rows(file_df, max_rows), _stored_keys(leads))
+
+
+def import_counts(file_df: DataFrame, leads: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """(imported, skipped) over the considered rows; an empty file gives 0, 0."""
+    return _counted(considered_rows(file_df, max_rows), _stored_keys(leads))

@@ -125,6 +125,7 @@ def q_phone_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
 from ..operators.dedupe import dedupe_leads, dedupe_removed  # noqa: E402
 from ..session import ensure_checkpoint_dir  # noqa: E402
 from ..sources.csv_import import read_import_csv  # noqa: E402
+from ..sources.key_index import build as build_keys, dedupe_committed, import_committed  # noqa: E402
 from ..sources.leads import commit, fixture_leads, marks_after, newest_page, rewrite, scan_leads  # noqa: E402
 from ..sources.search_index import build as build_postings, search_committed  # noqa: E402
 from ..sources.summary import build as build_summary, counts as committed_counts  # noqa: E402
@@ -156,6 +157,19 @@ def q_dedupe_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe_removed(fixture_leads(spark, sf_dir))
 
 
+@register("dedupe_committed", O.with_fixtures(
+    ["leads_raw"],
+    f"SELECT {_LEAD_OUT} FROM dk WHERE name_key = '' UNION ALL SELECT {_LEAD_OUT} FROM dr WHERE rn = 1",
+    _DEDUPE))
+def q_dedupe_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A committed table after de-duplication through its stored keys."""
+    root = f"{ensure_checkpoint_dir(spark)}/leads-{uuid.uuid4().hex}"
+    commit(fixture_leads(spark, sf_dir), root)
+    build_keys(spark, root)
+    dedupe_committed(spark, root)
+    return scan_leads(spark, root).select(*[c.strip() for c in _LEAD_OUT.split(",")])
+
+
 # ---------------------------------------------------------------- import (M1)
 
 from ..operators.importer import import_counts, import_leads  # noqa: E402
@@ -201,6 +215,15 @@ def q_import_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return import_leads(fixture(spark, sf_dir, "import_file"), fixture_leads(spark, sf_dir))
 
 
+@register("import_committed", O.with_fixtures(["leads_raw", "import_file"], "SELECT * FROM imp", _IMPORT))
+def q_import_committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same import against a committed table, through its stored keys."""
+    root = f"{ensure_checkpoint_dir(spark)}/leads-{uuid.uuid4().hex}"
+    commit(fixture_leads(spark, sf_dir), root)
+    build_keys(spark, root)
+    return import_committed(spark, root, fixture(spark, sf_dir, "import_file"))
+
+
 @register("import_counts", O.with_fixtures(
     ["leads_raw", "import_file"],
     "SELECT (SELECT count(*) FROM imp) AS imported, "

@@ -166,13 +166,17 @@ def commit(rows: DataFrame, root: str, append: bool = False, marks: dict[str, in
     return _publish(spark, root, (version + 1, [*(folders if append else []), *new], _raised(stored, marks)))
 
 
-def rewrite(spark: SparkSession, root: str, touched: DataFrame | Column, change, marks: dict[str, int] | None = None) -> tuple[int, int]:
+def rewrite(spark: SparkSession, root: str, touched: DataFrame | Column, change, marks: dict[str, int] | None = None,
+            base: int | None = None) -> tuple[int, int]:
     """Change some leads and commit: ``change`` is a ``leads -> leads'`` transform
     that alters or drops leads among ``touched`` only (a frame with ``id``, or a
     condition on leads). The buckets that hold them are read, changed and written;
-    returns (version, buckets written). Nothing touched: no commit."""
+    returns (version, buckets written). Nothing touched: no commit. ``base`` as in
+    ``commit``."""
     root = root.rstrip("/")
     version, folders, stored = current(spark, root)
+    if base is not None and base != version:
+        raise CommitConflict(f"{root} is at version {version}, the change was made from {base}")
     by_bucket: dict[int, list[str]] = {}
     for f in folders:
         by_bucket.setdefault(_bucket_of(f), []).append(f)
