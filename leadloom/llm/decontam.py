@@ -10,13 +10,18 @@ current state tells the longest suffix that occurs in an item, and:
 A document word may be removed, or a document dropped once the hit share
 passes ``max_coverage`` (``decontaminate``).
 
-Scale: documents are read once per block of items and never shuffled before
-the narrow per-document result. Benchmarks are cut into blocks of at most
-``BLOCK_WORDS`` words, so what a task holds has that bound; more blocks mean
-more passes over the documents, each over all of them. Only stretches whose
-neighbouring words also are neighbours in an item reach the automaton.
-
-Edge cases: a null or empty text has no words; an item without words takes no
+Scale: documents are never shuffled before the narrow per-document result. The
+items are cut into words where they are read and written as pieces of at most
+``BLOCK_WORDS`` words (those of a longer item overlap by a window less one word,
+so each of its windows is in one piece). Pieces are gathered into blocks of at most
+``BLOCK_WORDS`` words; the driver sees one row per written group of pieces, and
+holds and broadcasts the words of a block at a time. Documents pass through the automaton of
+each block; after ``CHAIN`` blocks their marks are written and the broadcasts
+dropped, so plans and broadcasts keep their bound however long the benchmark is. Only
+stretches whose neighbouring words also are neighbours in an item reach the automaton.
+
+Edge cases: a null or empty text has no words; repeated documents are marked each; an
+empty table of documents gives an empty result; an item without words takes no
 part; a null item id counts as the id ``''``; repeated items count once per
 id; an empty benchmark hits nothing; columns beside the ids and texts are
 carried by ``decontaminate`` and otherwise ignored.
@@ -24,15 +29,19 @@ carried by ``decontaminate`` and otherwise ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_column, map_arrow, private, schema_ddl
+from .common import binary_column, map_arrow, private, schema_ddl, stage, unstage
 
 WINDOW = 10
 BLOCK_WORDS = 100_000
+#: blocks whose automata documents pass before their marks are written
+CHAIN = 8
 #: bytes outside words become spaces, A-Z become a-z
 _WORD = [48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)]
 FOLD = bytes((b + 32 if 65 <= b <= 90 else b) if _WORD[b] else 32 for b in range(256))
@@ -167,23 +176,50 @@ class Matcher:
         return hit, found
 
 
-def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
-    """Blocks of (item name, words), each of at most ``block_words`` words (one
-    longer item is a block of its own). Items stream to the driver one
-    partition at a time."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text")
-    block, size = [], 0
-    for r in rows.toLocalIterator():
-        seq = words_of(r["text"].encode() if r["text"] is not None else None)
-        if not seq:
-            continue
-        if block and size + len(seq) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((r["i"], seq))
-        size += len(seq)
-    if block:
-        yield block
+def item_pieces(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The items' words, staged: (grp, name, words joined by a space, n) in pieces of
+    at most ``block_words`` words (a window at least); the pieces of a group, made
+    by one task, have no more together."""
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("name"), "text")
+    most = max(block_words, window)
+
+    def cut(batches):
+        import uuid
+        task, group, size = uuid.uuid4().hex[:16], 0, 0
+        for b in batches:
+            out: dict[str, list] = {"grp": [], "name": [], "words": [], "n": []}
+            for name, text in zip(b.column("name").to_pylist(), binary_column(b, "text")):
+                seq = words_of(text)
+                for lo in range(0, max(1, len(seq) - window + 1) if seq else 0, most - window + 1):
+                    piece = seq[lo:lo + most]
+                    if size and size + len(piece) > most:
+                        group, size = group + 1, 0
+                    size += len(piece)
+                    for c, v in zip(out, (f"{task}-{group}", name, b" ".join(piece), len(piece))):
+                        out[c].append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out["grp"], pa.string()), pa.array(out["name"], pa.string()),
+                                              pa.array(out["words"], pa.binary()), pa.array(out["n"], pa.int64())], names=list(out))
+
+    return stage(map_arrow(rows, cut, "grp string, name string, words binary, n long"), "items")
+
+
+def item_blocks(pieces: DataFrame, block_words: int = BLOCK_WORDS):
+    """Blocks of (item name, words): whole groups of pieces, at most ``block_words``
+    words or one group. A block is fetched when it is asked for."""
+    names, size = [], 0
+
+    def fetch():
+        return [(r["name"], r["words"].split()) for r in pieces.where(F.col("grp").isin(names)).select("name", "words").collect()]
+
+    # one row per group: about the benchmark's words over ``block_words``, and one a task
+    for r in pieces.groupBy("grp").agg(F.sum("n").alias("n")).orderBy("grp").collect():
+        if names and size + r["n"] > block_words:
+            yield fetch()
+            names, size = [], 0
+        names.append(r["grp"])
+        size += r["n"]
+    if names:
+        yield fetch()
 
 
 _MATCHERS: dict[int, Matcher] = {}
@@ -211,14 +247,25 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     import uuid
     names, own = docs.columns, private(docs)
     mine = [f"{own}{c}" for c in ("n_words", "n_hit", "items", "hits")]
-    sc = docs.sparkSession.sparkContext
+    sc, live, written = docs.sparkSession.sparkContext, [], None
     span = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
     out = docs
     types = ("long", "long", "array<string>", "array<struct<s:int,e:int>>")
     schema = schema_ddl(docs) + "".join(f", {c} {t}" for c, t in zip(mine, types))
-    blocks = list(item_blocks(benchmark, block_words)) or [[]]
+    pieces = item_pieces(benchmark, window, block_words)
+    blocks = itertools.chain(item_blocks(pieces, block_words), [None])
     for k, block in enumerate(blocks):
-        shared = sc.broadcast((uuid.uuid4().hex, block, window))
+        if block is None and k:              # the last one has been; without items one pass of none
+            break
+        if len(live) == CHAIN:
+            done, old = stage(out, "marks"), written
+            out = written = done
+            while live:
+                live.pop().destroy()
+            if old is not None:
+                unstage(old)
+        shared = sc.broadcast((uuid.uuid4().hex, block or [], window))
+        live.append(shared)
 
         def run(batches, shared=shared, first=k == 0):
             m = _matcher(shared)
@@ -242,6 +289,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
         out = map_arrow(out, run, schema)
+    unstage(pieces)
     return out
 
 

@@ -75,3 +75,28 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert D.report(empty(spark), none).collect() == []
     assert [r["n_hit"] for r in D.report(docs(spark, [(1, "a b c", None, None, None)]), none).collect()] == [0]
+
+
+def test_long_items_are_cut_and_blocks_are_written_in_chains(spark, monkeypatch):
+    """A benchmark of many blocks and items longer than a block: every window is
+    found, blocks keep their bound, and marks pass through written tables."""
+    r = random.Random(3)
+    few = ["the", "a", "of", "to", "in", "is", "it"]
+    items = [(i, " ".join(r.choice(few) for _ in range(r.choice([2, 10, 95, 400])))) for i in range(14)]
+    texts = [" ".join(r.choice(few) for _ in range(60)) for _ in range(30)] + ["zz " + items[3][1], None, ""]
+    extra = [(i, t, "x", "lang") for i, t in items]
+    bench = spark.createDataFrame(extra, "item_id long, text string, doc_id string, n_words string").repartition(3)
+    sizes = [[len(w) for _, w in b] for b in D.item_blocks(D.item_pieces(bench, D.WINDOW, 40), 40)]
+    assert len(sizes) > D.CHAIN + 2 and all(sum(x) <= 40 for x in sizes) and max(map(max, sizes)) == 40
+    monkeypatch.setattr(D.mark, "__defaults__", (D.WINDOW, 40))
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)] + [(0, texts[0], "en", "s", 1)]
+    got = sorted(map(tuple, D.report(docs(spark, rows), bench).collect()), key=str)
+    assert got == sorted([(x[0], *brute(x[1], items)) for x in rows], key=str)
+
+
+def test_pieces_of_a_long_item_hold_each_window_once(spark):
+    n = 1003
+    bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n))), (2, "short one"), (3, None), (4, "--")], "item_id long, text string")
+    pieces = [r["words"].decode().split() for r in D.item_pieces(bench, 10, 50).collect() if r["name"] == "1"]
+    windows = [tuple(p[i:i + 10]) for p in pieces for i in range(len(p) - 9)]
+    assert max(map(len, pieces)) == 50 and len(windows) == len(set(windows)) == n - 9
