@@ -5,13 +5,13 @@ bytes come out nearly equal (law ``bytes``). Bins have a fixed capacity; groups
 enter by decreasing size the bin whose remaining capacity is tightest, found in
 a balanced tree of remaining capacities.
 
-Two levels keep every task bounded. First each task packs its groups into
-crates of ``1 / (shards * CRATES_PER_SHARD)`` of all bytes (a larger group is a
-crate of its own). Then the crates, at most about two per capacity and one open
-crate per task, are packed into the shards, with the least capacity for which
-best-fit-decreasing needs no more than the given number. A group larger than an
-even share gets its own shard first, and the rest is evened out over the
-others.
+Two levels keep every task bounded. First each task packs its groups, at most
+``GROUPS`` and one batch at a time, into crates of ``1 / (shards * CRATES_PER_SHARD)`` of all bytes (a
+larger group is a crate of its own). Then the crates, at most about two per
+capacity and one open crate per portion of groups, are packed into the shards, with
+the least capacity for which best-fit-decreasing needs no more than the given
+number. A group larger than an even share gets its own shard first, and the
+rest is evened out over the others.
 
 Slots are gapless without numbering a shard in one task: shard, crate, group
 and salted part of a group each know how many rows come before them.
@@ -35,6 +35,8 @@ from .common import map_arrow, stage, text_or_empty
 SHARDS = 40
 CRATES_PER_SHARD = 256
 ROW_BYTES = 16
+#: groups that a task packs into crates at a time (narrow rows, some MB)
+GROUPS = 500_000
 #: parts into which the rows of one group are numbered
 SALTS = 1024
 
@@ -178,28 +180,34 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = rows.agg(F.sum("size")).first()[0] or 0
     capacity = max(1, total // (shards * CRATES_PER_SHARD))
 
+    most = GROUPS
+
     def crate(batches):
         import uuid
-        g, n, size = [], [], []
-        for b in batches:                # the groups of one task: narrow rows
-            g += b.column("g").to_pylist()
-            n.append(b.column("n").to_numpy())
-            size.append(b.column("bytes").to_numpy())
-        if not g:
-            return
-        n, size = np.concatenate(n), np.concatenate(size)
+        held, n_held = [], 0
+        for b in batches:
+            held.append(b)
+            n_held += b.num_rows
+            if n_held >= most:
+                yield pack(pa.Table.from_batches(held), uuid.uuid4().hex[:16])
+                held, n_held = [], 0
+        if n_held:
+            yield pack(pa.Table.from_batches(held), uuid.uuid4().hex[:16])
+
+    def pack(groups, portion):
+        g = groups.column("g").combine_chunks()
+        n, size = groups.column("n").to_numpy(), groups.column("bytes").to_numpy()
         box = best_fit_decreasing(size, capacity)
         order = np.argsort(box, kind="stable")
         at = np.cumsum(n[order]) - n[order]
         first = np.concatenate(([0], np.flatnonzero(np.diff(box[order])) + 1))
         at -= np.repeat(at[first], np.diff(np.concatenate((first, [len(order)]))))
-        task = uuid.uuid4().hex[:16]
-        yield pa.RecordBatch.from_pydict({
-            "g": pa.array([g[i] for i in order], pa.binary()), "task": pa.array([task] * len(g)),
+        return pa.RecordBatch.from_pydict({
+            "g": g.take(pa.array(order)), "task": pa.array([portion] * len(order)),
             "crate": pa.array(box[order]), "before": pa.array(at), "n": pa.array(n[order]), "bytes": pa.array(size[order])})
 
     boxed = stage(map_arrow(groups, crate, "g binary, task string, crate long, before long, n long, bytes long"), "crates")
-    # at most two crates per capacity and one open crate per task
+    # at most two crates per capacity and one open crate per portion
     crates = boxed.groupBy("task", "crate").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).toPandas()
     crates = crates.sort_values(["bytes", "n", "task", "crate"], ascending=[False, False, True, True], ignore_index=True)
     crates["shard"] = even_bins(crates["bytes"].to_numpy(dtype=np.int64), shards) if len(crates) else []

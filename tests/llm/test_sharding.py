@@ -64,3 +64,17 @@ def test_fewer_groups_than_shards_and_none(spark):
     out = S.shard(docs(spark, [(1, "x", None, None, None), (2, "x", None, None, None), (3, None, None, None, None)]), shards=40).collect()
     assert len({r["shard"] for r in out}) == 2
     assert S.shard(empty(spark)).collect() == []
+
+
+def test_groups_are_packed_in_portions(spark, monkeypatch):
+    """Many more groups than a task packs at a time: shards stay even, slots gapless."""
+    monkeypatch.setattr(S, "GROUPS", 50)
+    rows = [(i, f"text {i} " * (1 + i % 9), None, None, None) for i in range(2000)] + [(5000 + i, "same", None, None, None) for i in range(40)]
+    out = S.shard(docs(spark, rows).repartition(2), shards=4).collect()
+    load, slots = np.zeros(4), {}
+    for r in out:
+        load[r["shard"]] += r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(out) == 2040 and load.max() - load.min() <= 0.02 * load.mean()
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({r["shard"] for r in out if r["doc_id"] >= 5000}) == 1
