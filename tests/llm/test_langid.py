@@ -82,3 +82,50 @@ def test_no_label_or_one(spark, langs):
 
 def test_empty_table(spark):
     assert L.predict(empty(spark)).collect() == [] and L.keep_identified(empty(spark)).collect() == []
+
+
+def test_training_steps_equal_finite_differences():
+    """Two steps of the training against the same steps from numeric gradients of a
+    loss written out window by window."""
+    g = np.random.default_rng(4)
+    x, y = g.integers(0, 64, (16, L.WINDOW)), g.integers(0, 3, 16)
+
+    def net(params=None):
+        out = L.ByteCNN(["a", "b", "c"])
+        out.w, out.out, out.bias = [w.astype(float) for w in out.w], out.out.astype(float), out.bias.astype(float)
+        for own, given in zip(out.params(), params or out.params()):
+            own[...] = given
+        return out
+
+    def loss(n, xb, yb):
+        total = 0.0
+        for row, lang in zip(xb, yb):
+            feats = []
+            for w in n.w:
+                k = len(w)
+                feats.append(np.max([sum(w[j][row[i + j]] for j in range(k)) for i in range(L.WINDOW - k + 1)], axis=0))
+            z = np.maximum(np.concatenate(feats), 0) @ n.out + n.bias
+            total += np.log(np.exp(z - z.max()).sum()) + z.max() - z[lang]
+        return total / len(xb)
+
+    order = np.random.default_rng(11).permutation(16)
+    (xa, ya), (xb, yb) = ((x[order[lo:lo + 8]], y[order[lo:lo + 8]]) for lo in (0, 8))
+    start, one, two = net(), net(), net()
+    one.train(xa, ya, epochs=1, batch=8, seed=11)
+    two.train(x, y, epochs=1, batch=8, seed=11)
+    moved = [np.flatnonzero((a != b).ravel()) for a, b in zip(start.params(), two.params())]
+    assert all(len(m) for m in moved)
+    for k, m in enumerate(moved):
+        for i in g.choice(m, min(4, len(m)), replace=False):
+            grads = []
+            for at, xs, ys in ((start, xa, ya), (one, xb, yb)):
+                side = []
+                for e in (1e-6, -1e-6):
+                    n = net(at.params())
+                    n.params()[k].ravel()[i] += e
+                    side.append(loss(n, xs, ys))
+                grads.append((side[0] - side[1]) / 2e-6)
+            (g1, g2), rate = grads, 0.01
+            q1 = start.params()[k].ravel()[i] - rate * g1 / (abs(g1) + 1e-8)
+            mean, var = (0.09 * g1 + 0.1 * g2) / 0.19, (0.000999 * g1 * g1 + 0.001 * g2 * g2) / 0.001999
+            assert abs(q1 - rate * mean / (np.sqrt(var) + 1e-8) - two.params()[k].ravel()[i]) < 2e-5, (k, i, g1, g2)

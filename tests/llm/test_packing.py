@@ -85,3 +85,36 @@ def test_ids_come_along(spark):
 
 def test_empty_table(spark):
     assert P.pack(empty(spark)).collect() == []
+
+
+def item_wise(items, capacity):
+    """Best-two-fit item by item, every pair tried: sequences as sorted lengths."""
+    left, out = sorted(items, reverse=True), []
+    while left:
+        own, gap = [], capacity
+        while (fit := next((x for x in left if x <= gap), None)) is not None:
+            left.remove(fit)
+            own.append(fit)
+            gap -= fit
+        while gap and len(own) > 1:
+            small = min(own)
+            pairs = [(-(a + b), min(a, b), max(a, b)) for i, a in enumerate(left) for b in left[i + 1:] if small < a + b <= gap + small]
+            if not pairs:
+                break
+            _, a, b = min(pairs)
+            own.remove(small)
+            left.remove(a)
+            left.remove(b)
+            left = sorted([*left, small], reverse=True)
+            own += [a, b]
+            gap += small - a - b
+        out.append(tuple(sorted(own, reverse=True)))
+    return sorted(out)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 40), max_size=40), st.sampled_from([40, 55, 64]))
+def test_plan_equals_best_two_fit_item_by_item(items, capacity):
+    counts = {x: items.count(x) for x in set(items)}
+    got = sorted(tuple(sorted(p, reverse=True)) for p, times in P.best_two_fit(counts, capacity) for _ in range(times))
+    assert got == item_wise(items, capacity)
