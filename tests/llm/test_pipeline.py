@@ -78,5 +78,5 @@ def test_empty_documents(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = [n for n in E.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(names) == set(QUERIES) and E.queries()["pipeline"] is C.run
