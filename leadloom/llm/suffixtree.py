@@ -17,12 +17,17 @@ rest of the mass follows the parent. A text is scored symbol by symbol at the
 deepest node that is a suffix of what came before.
 
 Scale: texts are read once and coded into blocks of about ``BLOCK_BYTES``
-(integer ids, a vocabulary per block). Blocks then ask for what they need: one
-row per distinct word, and, a depth at a time, one per distinct (context,
-symbol) that can be stored and one per context; these join the counts gathered
-from all blocks. Candidates, nodes and symbols stay in tables, and a block is
-told of its own ones only. Nothing is as large as the corpus in one place, and
-a frequent word or pair is one row per block.
+(integer ids, a vocabulary per block). A block asks for the training counts of
+its distinct words and, a depth at a time, of its distinct (context, symbol)
+pairs that can be stored. Pairs are dealt by their context over buckets that
+grow in number with the corpus; a row is what one block has for one bucket, as
+packed arrays, so that pairs that occur once cost a few bytes and no row. A
+bucket adds up the counts, finds the nodes and answers each block in the order
+of its question: the count of each pair and the escape mass of each node, from
+which the block derives the probabilities. A context of ``HOT`` occurrences or
+more is dealt over several buckets by its symbols; its sums over them are
+joined by context. Nothing is as large as the corpus in one place, and a
+frequent word or pair is one entry per block.
 
 Edge cases: null and empty texts are the end alone; a null id counts as held
 out (its text form is empty); repeated rows are scored and counted each; without
@@ -32,7 +37,10 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import uuid
+import zlib
+from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -41,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, binary_column, map_arrow, mix64, reclaim, stage, unstage
+from .common import U64, binary_column, blocks_for, map_arrow, mix64, reclaim, stage, unstage
 
 ALPHA = 0.1
 #: training occurrences from which a context is a candidate
@@ -54,6 +62,11 @@ DEPTH = None
 DIVERGENCE = 0.05
 DISCOUNT = 0.75
 BLOCK_BYTES = 16 << 20
+#: tokens of the corpus per bucket of pairs, parts of the vocabulary, and
+#: occurrences from which a context's symbols are dealt over several buckets
+BUCKET_TOKENS = 2 << 20
+SLOTS = 256
+HOT = 1 << 20
 #: the end of a text in a vocabulary (no word is empty)
 END = b""
 
@@ -62,31 +75,47 @@ def held_out(folds: int = 10) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
+def pack(x: np.ndarray) -> bytes:
+    """An array of 8-byte numbers, byte by byte of all numbers, compressed."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 8).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, dtype=np.int64) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
+    return np.frombuffer(np.frombuffer(planes, dtype=np.uint8).reshape(8, n).T.tobytes(), dtype=dtype)
+
+
 def code_blocks(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows of two kinds, staged: documents (block, doc_id, train, ids) and
-    vocabularies (block, lid, tok, n) with the training count of each word."""
+    vocabularies by slot (block, slot, lids, toks, counts) with the training
+    count of each word."""
     def run(batches):
-        vocabulary: dict[bytes, int] = {}
+        vocabulary: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
         counts: list[np.ndarray] = []
         size, block = 0, uuid.uuid4().int >> 65
 
         def close():
-            nonlocal size, block
+            nonlocal size, block, vocabulary
             n = np.zeros(len(vocabulary), dtype=np.int64)
             for ids in counts:
-                n[:] += np.bincount(ids, minlength=len(n))
-            words, total = list(vocabulary), len(vocabulary)
-            own = block
-            vocabulary.clear()
+                n += np.bincount(ids, minlength=len(n))
+            words, own = list(vocabulary), block
+            vocabulary = defaultdict(itertools.count().__next__)
             counts.clear()
             size, block = 0, uuid.uuid4().int >> 65
-            for lo in range(0, total, 50_000):
-                part = words[lo:lo + 50_000]
-                yield out(own, len(part), lid=pa.array(np.arange(lo, lo + len(part), dtype=np.int32)),
-                          tok=pa.array(part, pa.binary()), n=pa.array(n[lo:lo + len(part)]))
+            slots = np.fromiter((zlib.crc32(w) % SLOTS for w in words), dtype=np.int64, count=len(words))
+            order = np.argsort(slots, kind="stable")
+            bounds = np.searchsorted(slots[order], np.arange(SLOTS + 1))
+            parts = [(k, order[lo:hi]) for k, (lo, hi) in enumerate(itertools.pairwise(bounds)) if hi > lo]
+            yield out(own, len(parts), slot=pa.array([k for k, _ in parts], pa.int32()),
+                      lids=pa.array([pack(x) for _, x in parts], pa.binary()), counts=pa.array([pack(n[x]) for _, x in parts], pa.binary()),
+                      toks=pa.array([b"\n".join([words[i] for i in x]) for _, x in parts], pa.binary()))
 
         def out(block, rows, **cols):
-            types = {"doc_id": id_type, "train": pa.bool_(), "ids": pa.binary(), "lid": pa.int32(), "tok": pa.binary(), "n": pa.int64()}
+            types = {"doc_id": id_type, "train": pa.bool_(), "ids": pa.binary(), "slot": pa.int32(), "lids": pa.binary(),
+                     "toks": pa.binary(), "counts": pa.binary()}
             data = {"block": pa.array(np.full(rows, block, dtype=np.int64))}
             data |= {k: cols[k] if k in cols else pa.nulls(rows, t) for k, t in types.items()}
             return pa.RecordBatch.from_pydict(data)
@@ -98,8 +127,7 @@ def code_blocks(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES)
             for i, t in enumerate(texts):
                 words = (t or b"").lower().split()
                 words.append(END)
-                add = vocabulary.setdefault
-                x = np.fromiter((add(w, len(vocabulary)) for w in words), dtype=np.int32, count=len(words))
+                x = np.fromiter(map(vocabulary.__getitem__, words), dtype=np.int32, count=len(words))
                 ids.append(x.tobytes())
                 if flags[i]:
                     counts.append(x)
@@ -115,7 +143,101 @@ def code_blocks(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", train.alias("train"), "text")
-    return stage(map_arrow(rows, run, f"block long, doc_id {id_type}, train boolean, ids binary, lid int, tok binary, n long"), "blocks")
+    return stage(map_arrow(rows, run, f"block long, doc_id {id_type}, train boolean, ids binary, slot int, lids binary, toks binary, counts binary"), "blocks")
+
+
+#: what a block is told: its words (``d`` 0: a their ids in the block, b their
+#: numbers, c their training counts) and, by depth and bucket, a the escape mass
+#: of each context it asked for (nan: no node) and b the count of each pair
+ANSWER_SCHEMA = "block long, d int, bucket int, a binary, b binary, c binary, found long, total long"
+
+
+def _number(words: pd.DataFrame) -> pd.DataFrame:
+    """Counts and numbers of the words of one slot (numbers grow as counts
+    fall); one row more (block -1) has the words seen in training and their sum."""
+    known: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+    index = []
+    for t in words["toks"]:
+        t = t.split(b"\n")
+        index.append(np.fromiter(map(known.__getitem__, t), dtype=np.int64, count=len(t)))
+    counts = np.zeros(len(known), dtype=np.int64)
+    for i, n in zip(index, words["counts"], strict=True):
+        counts[i] += unpack(n)                   # a block has a word once
+    number = np.empty(len(known), dtype=np.int64)
+    number[np.argsort(-counts, kind="stable")] = np.arange(len(known)) * SLOTS + int(words["slot"].iloc[0])
+    rows = [(b, 0, 0, lids, pack(number[i]), pack(counts[i]), 0, 0) for b, lids, i in zip(words["block"], words["lids"], index, strict=True)]
+    rows.append((-1, 0, 0, None, None, None, int((counts > 0).sum()), int(counts.sum())))
+    return pd.DataFrame(rows, columns=["block", "d", "bucket", "a", "b", "c", "found", "total"])
+
+
+def distinct_keys(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and the index of each key in them."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = key[1:] != key[:-1]
+    back = np.empty(len(key), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return key[new], order[new], back
+
+
+class Level:
+    """A block's candidates of one depth and its (context, symbol) pairs that
+    can be stored, dealt over buckets. ``where``, ``code``, ``own``: positions
+    after a candidate, its code and index; ``at``, ``back``: positions of pairs
+    and the index of the pair; ``o``, ``lid``, ``first``: a pair's candidate,
+    symbol and one of its positions."""
+
+    def __init__(self, b: Block, d: int, where, code, count, least: float, buckets: int, hot: int):
+        where, code = b.step(d, where, code)
+        # a context occurs as often as its newest word follows the others
+        total = count[where - 1]
+        ok = total >= least
+        self.where, self.code, total = where[ok], code[ok], total[ok]
+        self.ctx, at, self.own = distinct_keys(self.code)
+        self.total = total[at]
+        # a symbol that follows a context n times follows its parent n times
+        ok = count[self.where] >= 2
+        self.at = self.where[ok]
+        pair, first, self.back = distinct_keys(self.own[ok] * len(b.c) + b.ids[self.at])
+        self.first, self.o, self.lid = self.at[first], pair // len(b.c), pair % len(b.c)
+        n, many = len(self.ctx), U64(buckets)
+        home = (self.ctx % many).astype(np.int64)
+        bucket = home[self.o]
+        if (self.total >= hot).any():
+            parts = np.where(self.total >= hot, self.total // hot + 1, 0)
+            home = np.where(parts > 0, self.spread(self.ctx, U64(0), many), home)
+            bucket = home[self.o]
+            k = np.flatnonzero(parts[self.o])
+            bucket[k] = self.spread(self.ctx[self.o[k]], b.h[self.lid[k]] % parts[self.o[k]].astype(np.uint64), many)
+            mine = np.unique(np.concatenate((home * n + np.arange(n), bucket[k] * n + self.o[k])))
+        else:
+            mine = np.sort(home * n + np.arange(n))
+        self.mine, self.listed, self.buckets = mine, mine % max(n, 1), mine // max(n, 1)
+        self.order = np.argsort(bucket, kind="stable")
+        self.bucket = bucket[self.order]
+
+    @staticmethod
+    def spread(ctx, part, many) -> np.ndarray:
+        return (many + mix64(ctx + part) % many).astype(np.int64)
+
+    def portions(self):
+        """Each bucket with the slices of its contexts and of its pairs."""
+        names, lo = np.unique(self.buckets, return_index=True)
+        hi = np.append(lo[1:], len(self.buckets))
+        p = np.searchsorted(self.bucket, names), np.searchsorted(self.bucket, names, side="right")
+        for k, name in enumerate(names):
+            yield int(name), slice(lo[k], hi[k]), slice(p[0][k], p[1][k])
+
+    def heard(self, told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Escape masses of the candidates (nan: no node), counts of the pairs."""
+        escape, n = np.full(len(self.ctx), np.nan), np.zeros(len(self.o), dtype=np.int64)
+        said = {k: (a, b) for k, a, b in zip(told["bucket"], told["a"], told["b"], strict=True)}
+        for name, contexts, pairs in self.portions():
+            a, b = said[name]
+            escape[self.listed[contexts]] = unpack(a, np.float64)
+            n[self.order[pairs]] = unpack(b)
+        return escape, n
 
 
 class Block:
@@ -126,11 +248,11 @@ class Block:
         self.ids = np.concatenate(seqs).astype(np.int64)
         self.lens = np.array([len(s) for s in seqs])
         self.first = np.cumsum(self.lens) - self.lens
-        size = int(vocabulary["lid"].max()) + 1
-        self.c, self.h = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.uint64)
-        lid = vocabulary["lid"].to_numpy()
-        self.c[lid] = vocabulary["n"].to_numpy()
-        self.h[lid] = vocabulary["ctx"].to_numpy().view(np.uint64)
+        lid = np.concatenate([unpack(x) for x in vocabulary["a"]])
+        self.g, self.c = np.zeros(len(lid), dtype=np.int64), np.zeros(len(lid), dtype=np.int64)
+        self.g[lid] = np.concatenate([unpack(x) for x in vocabulary["b"]])
+        self.c[lid] = np.concatenate([unpack(x) for x in vocabulary["c"]])
+        self.h = mix64(self.g.view(np.uint64))
         self.at = np.arange(len(self.ids)) - np.repeat(self.first, self.lens)
 
     def step(self, d: int, where: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,37 +261,23 @@ class Block:
         where, code = where[ok], code[ok]
         return where, extend(code, self.h[self.ids[where - d]], d)
 
-    def walk(self, told: pd.DataFrame, root: np.ndarray, depth: int):
+    def walk(self, told: pd.DataFrame, root: np.ndarray, depth: int, rule: tuple):
         """Each symbol's probability at its deepest node of at most ``depth``
         words; positions and codes of the contexts of ``depth`` words that are
         nodes; and how often each symbol follows its context of ``depth`` words
         (0 where that is no candidate, or no node and less than a candidate)."""
+        least, gamma, buckets, hot = rule
         p, count = root[self.ids], self.c[self.ids]
         where, code = np.arange(len(self.ids)), np.zeros(len(self.ids), dtype=np.uint64)
         for d in range(1, depth + 1):
-            mine = told[told["d"] == d]
-            ctx, lid = mine["ctx"].to_numpy().view(np.uint64), mine["lid"].to_numpy().astype(np.int64)
-            value, n = mine["p"].to_numpy(), mine["n"].to_numpy()
-            own = lid < 0                            # the nodes, with their escape mass
-            order = np.argsort(ctx[own])
-            node, escape = ctx[own][order], value[own][order]
-            known = np.unique(ctx[~own])
-            key = np.searchsorted(known, ctx[~own]) * len(self.c) + lid[~own]
-            order = np.argsort(key)
-            key, value, n = key[order], value[~own][order], n[~own][order]
-            where, code = self.step(d, where, code)
-            seen, q = np.zeros(len(where), dtype=np.int64), np.full(len(where), np.nan)
-            if len(key):
-                k = np.searchsorted(known, code) * len(self.c) + self.ids[where]
-                j = np.minimum(np.searchsorted(key, k), len(key) - 1)
-                hit = member(known, code) & (key[j] == k)
-                seen[hit], q[hit] = n[j[hit]], value[j[hit]]
+            x = Level(self, d, where, code, count, least, buckets, hot)
+            escape, n = x.heard(told[told["d"] == d])
             count = np.zeros(len(self.ids), dtype=np.int64)
-            count[where] = seen
-            ok = member(node, code)
-            where, code, q = where[ok], code[ok], q[ok]
-            if len(where):
-                p[where] = np.where(np.isnan(q), escape[np.searchsorted(node, code)] * p[where], q)
+            count[x.at] = n[x.back]
+            ok = ~np.isnan(escape[x.own])
+            where, code, own = x.where[ok], x.code[ok], x.own[ok]
+            seen, total = count[where], x.total[own]
+            p[where] = escape[own] * p[where] + np.where((seen > 1) & (seen >= gamma * total), (seen - DISCOUNT) / total, 0.0)
         return p, where, code, count
 
 
@@ -178,83 +286,162 @@ def extend(code, word, d: int):
     return word if d == 1 else mix64(code * U64(3) + word + U64(d))
 
 
-def member(sorted_codes: np.ndarray, code: np.ndarray) -> np.ndarray:
-    if not len(sorted_codes):
-        return np.zeros(len(code), dtype=bool)
-    return sorted_codes[np.minimum(np.searchsorted(sorted_codes, code), len(sorted_codes) - 1)] == code
-
-
 def root_probability(c: np.ndarray, n_train: int, distinct: int) -> np.ndarray:
     return (c + ALPHA) / (n_train + ALPHA * (distinct + 1))
 
 
-def _grams(depth: int, least: float, n_train: int, distinct: int):
-    """The block's distinct candidates of one depth (``lid`` -1) and (context,
-    symbol) pairs that can be stored, with the context's count and the symbol's
-    probability at the context's parent."""
+GRAM_SCHEMA = "block long, bucket int, ctx binary, total binary, pairs binary, sym binary, n binary, above binary"
+
+
+def _grams(depth: int, n_train: int, distinct: int, rule: tuple):
+    """By bucket, the block's distinct candidates of one depth (code, count,
+    pairs) and its (context, symbol) pairs that can be stored: the symbol's
+    number, count in the block, and probability at the context's parent (depth
+    1: count, from which the root's probability follows)."""
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        vocabulary = answers[answers["d"] == 0]
-        if not len(texts) or not len(vocabulary):
-            return pd.DataFrame(columns=["block", "ctx", "sym", "lid", "n", "total", "above"])
-        b = Block(texts, vocabulary)
-        train = np.repeat(texts["train"].to_numpy(dtype=bool), b.lens)
-        p, where, code, count = b.walk(answers, root_probability(b.c, n_train, distinct), depth - 1)
-        where, code = b.step(depth, where, code)
-        # a context occurs as often as its newest word follows the others
-        total = count[where - 1]
-        ok = total >= least
-        where, code, total = where[ok], code[ok], total[ok]
-        ctx, at, own = np.unique(code, return_index=True, return_inverse=True)
-        total = total[at]
-        # a symbol that follows a context n times follows its parent n times
-        ok = count[where] >= 2
-        where, own = where[ok], own[ok]
-        pair, at, back = np.unique(own * len(b.c) + b.ids[where], return_index=True, return_inverse=True)
-        n = np.bincount(back, weights=train[where], minlength=len(pair)).astype(np.int64)
-        o, lid = pair // len(b.c), pair % len(b.c)
-        zero = np.zeros(len(ctx), dtype=np.int64)
-        return pd.DataFrame({"block": int(texts["block"].iloc[0]), "ctx": np.concatenate((ctx[o], ctx)).view(np.int64),
-                             "sym": np.concatenate((b.h[lid].view(np.int64), zero)), "lid": np.concatenate((lid, zero - 1)),
-                             "n": np.concatenate((n, zero)), "total": np.concatenate((total[o], total)),
-                             "above": np.concatenate((p[where[at]], np.zeros(len(ctx))))})
+        rows, vocabulary = [], answers[answers["d"] == 0]
+        if len(texts) and len(vocabulary):
+            least, _, buckets, hot = rule
+            b = Block(texts, vocabulary)
+            train = np.repeat(texts["train"].to_numpy(dtype=bool), b.lens)
+            p, where, code, count = b.walk(answers, root_probability(b.c, n_train, distinct), depth - 1, rule)
+            x = Level(b, depth, where, code, count, least, buckets, hot)
+            n = np.bincount(x.back, weights=train[x.at], minlength=len(x.o)).astype(np.int64)
+            above = b.c[x.lid] if depth == 1 else p[x.first]
+            listed = np.searchsorted(x.mine, x.bucket * len(x.ctx) + x.o[x.order])
+            pairs = np.bincount(listed, minlength=len(x.mine))
+            own = int(texts["block"].iloc[0])
+            for name, c, k in x.portions():
+                ctx, k = x.listed[c], x.order[k]
+                rows.append((own, name, pack(x.ctx[ctx]), pack(x.total[ctx]), pack(pairs[c]), pack(b.g[x.lid[k]]), pack(n[k]), pack(above[k])))
+        return pd.DataFrame(rows, columns=["block", "bucket", "ctx", "total", "pairs", "sym", "n", "above"])
 
     return run
 
 
-GRAM_SCHEMA = "block long, ctx long, sym long, lid int, n long, total long, above double"
-
-
-def grow(grams: DataFrame, least: float, gamma: float, divergence: float) -> tuple[DataFrame, DataFrame]:
-    """From the pairs of one depth: the nodes (ctx, escape), and (ctx, sym, p,
-    n) of the nodes' symbols (p null: not stored) and of the pairs that are
-    candidates of the next depth. All written, so that Spark splits the join of
-    a frequent context."""
-    counts = stage(grams.where("lid >= 0").groupBy("ctx", "sym")
-                   .agg(F.sum("n").alias("n"), F.max("total").alias("total"), F.max("above").alias("above"))
-                   .where("n > 1").withColumn("stored", F.col("n") >= gamma * F.col("total")), "counts")
-    left = stage(counts.where("stored").groupBy("ctx").agg((1 - F.sum(F.col("n") - DISCOUNT) / F.first("total")).alias("escape")), "escapes")
-    dist = stage(counts.join(left, "ctx", "left").withColumn(
-        "p", F.when(F.col("stored"), (F.col("n") - DISCOUNT) / F.col("total") + F.col("escape") * F.col("above"))), "level")
-    unstage(counts)
-    # symbols that are not stored contribute log(escape) each
-    kl = F.sum(F.col("p") * F.log(F.col("p") / F.col("above"))) + (1 - F.sum("p")) * F.log(F.first("escape"))
-    nodes = stage(dist.where("stored").groupBy("ctx").agg(F.first("escape").alias("escape"), kl.alias("kl"))
-                  .where((F.col("kl") >= divergence) & (F.col("escape") > 0)).select("ctx", "escape"), "nodes")
-    known = (dist.select("ctx", "sym", "p", "n").join(nodes.select("ctx", F.lit(True).alias("node")), "ctx", "left")
-             .where(F.col("node") | (F.col("n") >= least)).select("ctx", "sym", F.when(F.col("node"), F.col("p")).alias("p"), "n"))
-    known = stage(known, "symbols")
-    unstage(dist)
-    return nodes, known
-
-
-def _score(depth: int, n_train: int, distinct: int):
+class Bucket:
+    """The candidates and pairs of one bucket, counted over all blocks."""
+
+    def __init__(self, asked: pd.DataFrame, depth: int, n_train: int, distinct: int, gamma: float):
+        def column(name, dtype=np.int64):
+            return [unpack(x, dtype) for x in asked[name]]
+
+        ctx, sym, pairs = column("ctx", np.uint64), column("sym"), np.concatenate(column("pairs"))
+        self.blocks, self.bucket = asked["block"].tolist(), int(asked["bucket"].iloc[0])
+        self.contexts, self.pairs = np.cumsum([0, *map(len, ctx)]), np.cumsum([0, *map(len, sym)])
+        self.ctx, at, self.listed = distinct_keys(np.concatenate(ctx))
+        self.total = np.concatenate(column("total"))[at]
+        own, sym = np.repeat(self.listed, pairs), np.concatenate(sym)
+        most = int(sym.max(initial=0)) + 1
+        if most * max(len(self.ctx), 1) >= 1 << 63:
+            sym = distinct_keys(sym)[2]
+            most = int(sym.max()) + 1
+        key, first, self.back = distinct_keys(own * most + sym)
+        self.o = key // most
+        self.n = np.bincount(self.back, weights=np.concatenate(column("n")), minlength=len(key)).astype(np.int64)
+        # the symbols that can be stored
+        self.k = np.flatnonzero((self.n > 1) & (self.n >= gamma * self.total[self.o]))
+        first = first[self.k]
+        above = np.concatenate(column("above", np.int64 if depth == 1 else np.float64))[first]
+        self.above = root_probability(above, n_train, distinct) if depth == 1 else above
+
+    def over(self, value: np.ndarray) -> np.ndarray:
+        """Sum by candidate of a value of the symbols that can be stored."""
+        return np.bincount(self.o[self.k], weights=value, minlength=len(self.ctx))
+
+    def stored(self) -> tuple[np.ndarray, np.ndarray]:
+        n = self.n[self.k]
+        return self.over(n - DISCOUNT), self.over(np.ones(len(n)))
+
+    def told(self, escape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By candidate, the sums of p log(p / above) and of p."""
+        o = self.o[self.k]
+        p = (self.n[self.k] - DISCOUNT) / self.total[o] + escape[o] * self.above
+        return self.over(p * np.log(p / self.above)), self.over(p)
+
+    def replies(self, d: int, escape, symbols, gain, mass, least: float, divergence: float) -> list[tuple]:
+        # symbols that are not stored contribute log(escape) each
+        with np.errstate(divide="ignore", invalid="ignore"):
+            kl = gain + (1 - mass) * np.log(escape)
+        node = (symbols > 0) & (escape > 0) & (kl >= divergence)
+        escape = np.where(node, escape, np.nan)
+        n = np.where((self.n > 1) & (node[self.o] | (self.n >= least)), self.n, 0)
+        found = int(node.sum())
+        return [(block, d, self.bucket, pack(escape[self.listed[self.contexts[i]:self.contexts[i + 1]]]),
+                 pack(n[self.back[self.pairs[i]:self.pairs[i + 1]]]), None, found, 0) for i, block in enumerate(self.blocks)]
+
+
+#: what buckets say: answers, and of contexts dealt over several buckets the
+#: questions again and, by context, two sums of this bucket
+COUNT_SCHEMA = (f"{ANSWER_SCHEMA}, code long, x double, y double, "
+                "ctx binary, totals binary, pairs binary, sym binary, n binary, above binary")
+COUNT_COLUMNS = [c.split()[0] for c in COUNT_SCHEMA.split(", ")]
+
+
+def grow(grams: DataFrame, d: int, n_train: int, distinct: int, divergence: float, rule: tuple) -> DataFrame:
+    """From what the blocks ask at one depth, what they are told, staged."""
+    least, gamma, buckets, _ = rule
+
+    def sums(b: Bucket, x, y) -> list[tuple]:
+        return [(None, d, b.bucket, *[None] * 5, c, u, v, *[None] * 6) for c, u, v in
+                zip(b.ctx.view(np.int64).tolist(), x.tolist(), y.tolist(), strict=True)]
+
+    def count(asked: pd.DataFrame) -> pd.DataFrame:
+        b = Bucket(asked, d, n_train, distinct, gamma)
+        out, symbols = b.stored()
+        if b.bucket < buckets:
+            escape = 1 - out / b.total
+            rows = [(*r, *[None] * 9) for r in b.replies(d, escape, symbols, *b.told(escape), least, divergence)]
+        else:
+            rows = sums(b, out, symbols)
+            again = asked[["block", "bucket", "ctx", "total", "pairs", "sym", "n", "above"]]
+            rows += [(r[0], d, r[1], *[None] * 8, *r[2:]) for r in again.itertuples(index=False)]
+        return pd.DataFrame(rows, columns=COUNT_COLUMNS, dtype=object)      # ids beside nulls stay whole
+
+    said = stage(grams.groupBy("bucket").applyInPandas(count, COUNT_SCHEMA), "counts")
+    answers = said.where("a is not null").select("block", "d", "bucket", "a", "b", "c", "found", "total")
+    asked = said.where("ctx is not null").select("block", "bucket", "ctx", F.col("totals").alias("total"), "pairs", "sym", "n", "above")
+    first = said.where("code is not null").select("bucket", "code", "x", "y")
+    if first.isEmpty():
+        return answers
+    same = Window.partitionBy("code")
+    first = first.select("bucket", "code", F.sum("x").over(same).alias("x"), F.sum("y").over(same).alias("y"))
+
+    def known(b: Bucket, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(b.ctx, rows["code"].to_numpy(dtype=np.int64).view(np.uint64))
+        x, y = np.empty(len(b.ctx)), np.empty(len(b.ctx))
+        x[at], y[at] = rows["x"].to_numpy(), rows["y"].to_numpy()
+        return x, y
+
+    def diverge(asked: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
+        b = Bucket(asked, d, n_train, distinct, gamma)
+        rows = sums(b, *b.told(1 - known(b, first)[0] / b.total))
+        return pd.DataFrame([(r[2], *r[8:11]) for r in rows], columns=["bucket", "code", "x", "y"])
+
+    def reply(asked: pd.DataFrame, both: pd.DataFrame) -> pd.DataFrame:
+        b = Bucket(asked, d, n_train, distinct, gamma)
+        out, symbols = known(b, both[both["second"] == 0])
+        rows = b.replies(d, 1 - out / b.total, symbols, *known(b, both[both["second"] == 1]), least, divergence)
+        return pd.DataFrame(rows, columns=COUNT_COLUMNS[:8])
+
+    second = stage(asked.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInPandas(
+        diverge, "bucket int, code long, x double, y double"), "divergences")
+    gained = second.select("bucket", "code", F.sum("x").over(same).alias("x"), F.sum("y").over(same).alias("y"))
+    both = first.withColumn("second", F.lit(0)).union(gained.withColumn("second", F.lit(1)))
+    answers = stage(answers.union(asked.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInPandas(reply, ANSWER_SCHEMA)), "replies")
+    for x in (said, second):
+        unstage(x)
+    return answers
+
+
+def _score(depth: int, n_train: int, distinct: int, rule: tuple):
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         vocabulary = answers[answers["d"] == 0]
         if not len(texts) or not len(vocabulary):
             return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         b = Block(texts, vocabulary)
         root = root_probability(b.c, n_train, distinct)
-        p = b.walk(answers, root, depth)[0]
+        p = b.walk(answers, root, depth, rule)[0]
         return pd.DataFrame({
             "doc_id": texts["doc_id"].to_numpy(), "held_out": ~texts["train"].to_numpy(dtype=bool), "n_tokens": b.lens,
             "n_known": np.add.reduceat((b.c[b.ids] > 0).astype(np.int64), b.first), "train_tokens": n_train,
@@ -264,42 +451,33 @@ def _score(depth: int, n_train: int, distinct: int):
 
 
 def score(docs: DataFrame, train: Column, p_min: float = P_MIN, depth: int | None = DEPTH, block_bytes: int = BLOCK_BYTES,
-          divergence: float = DIVERGENCE, gamma: float = GAMMA, min_count: int = MIN_COUNT) -> DataFrame:
+          divergence: float = DIVERGENCE, gamma: float = GAMMA, min_count: int = MIN_COUNT, bucket_tokens: int = BUCKET_TOKENS,
+          hot: int = HOT) -> DataFrame:
     """Learn from the rows where ``train`` holds and score every row: doc_id,
     held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     blocks = code_blocks(docs, train, block_bytes)
     texts = blocks.where("ids is not null").select("block", "doc_id", "train", "ids")
-    words = blocks.where("ids is null").select("block", "lid", "tok", "n")
-    same = Window.partitionBy("tok")         # one row per block that has the word
-    told = stage(words.select("block", "lid", F.xxhash64("tok").alias("h"), F.sum("n").over(same).alias("c"),
-                              (F.min("block").over(same) == F.col("block")).alias("one")), "vocabulary")
-    n_train = words.agg(F.sum("n")).first()[0] or 0
-    distinct = told.where("one and c > 0").count()
+    words = blocks.where("ids is null").select("block", "slot", "lids", "toks", "counts")
+    told = stage(words.groupBy("slot").applyInPandas(_number, ANSWER_SCHEMA), "vocabulary")
+    distinct, n_train = (x or 0 for x in told.where("block = -1").agg(F.sum("found"), F.sum("total")).first())
+    n_all = texts.agg(F.sum(F.length("ids"))).first()[0] or 0
     reclaim(spark)
-    least = max(2.0, min_count, p_min * n_train)
-    # what the blocks are told: words (d = 0: hash, count) and, by depth, nodes (lid -1) and symbols
-    answers = told.select("block", F.lit(0).alias("d"), "lid", F.col("h").alias("ctx"), F.lit(0.0).alias("p"), F.col("c").alias("n"))
+    rule = (max(2.0, min_count, p_min * n_train), gamma, blocks_for(n_all // 4, bucket_tokens), hot)
+    # what the blocks are told: their words (d = 0) and, by depth, the answers of the buckets
+    answers = told.where("block <> -1")
     d = 0
     while depth is None or d < depth:
         d += 1
-        grams = stage(texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-            _grams(d, least, n_train, distinct), GRAM_SCHEMA), "grams")
+        grams = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_grams(d, n_train, distinct, rule), GRAM_SCHEMA)
+        reply = grow(grams, d, n_train, distinct, divergence, rule)
         reclaim(spark)
-        nodes, known = grow(grams, least, gamma, divergence)
-        reclaim(spark)
-        if nodes.isEmpty():
+        if not (reply.agg(F.max("found")).first()[0] or 0):
+            unstage(reply)
             d -= 1
             break
-        symbols = grams.where("lid >= 0").select("block", "lid", "ctx", "sym").join(known, ["ctx", "sym"])
-        escapes = grams.where("lid < 0").select("block", "lid", "ctx").join(nodes, "ctx")
-        reply = stage(symbols.select("block", F.lit(d).alias("d"), "lid", "ctx", "p", "n").union(
-            escapes.select("block", F.lit(d), "lid", "ctx", "escape", F.lit(0).cast("long"))), "replies")
         answers = answers.union(reply)
-        for x in (grams, nodes, known):
-            unstage(x)
-        reclaim(spark)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        _score(d, n_train, distinct),
+        _score(d, n_train, distinct, rule),
         f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

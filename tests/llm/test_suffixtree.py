@@ -131,3 +131,35 @@ def test_contexts_and_symbols_need_no_share_of_the_corpus(spark):
     for row in S.score(docs(spark, rows).repartition(3), ~S.held_out()).collect():
         want = b.of(toks(dict((x[0], x[1]) for x in rows)[row["doc_id"]]))
         assert abs(row["score"] - want) < 1e-6
+
+
+@pytest.mark.parametrize("hot", [1, 40, 400])
+def test_contexts_over_several_buckets_equal_brute_force(spark, hot):
+    """Contexts of many occurrences are dealt by their symbols; blocks and
+    buckets are small, so that every context meets both."""
+    rows = rows_of_language()
+    b = Brute(rows, 0.001, 3, 0.001, 0.001)
+    got = S.score(docs(spark, rows).repartition(3), ~S.held_out(), 0.001, 3, 1500, 0.001, 0.001, 0, 700, hot).collect()
+    assert sorted(round(r["score"], 6) for r in got) == sorted(round(b.of(toks(r[1])), 6) for r in rows)
+
+
+def test_pairs_are_written_packed(spark, monkeypatch):
+    """No row for each pair or word of a block; all that is written at any depth
+    stays below 4 times the texts."""
+    import os
+    from urllib.parse import urlparse
+    r = random.Random(9)
+    words = ["w%x" % (r.getrandbits(30)) for _ in range(600)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(400)), "en", "s", 1) for i in range(400)]
+    written, stage = [], S.stage
+
+    def measured(df, label):
+        out = stage(df, label)
+        written.append((label, out.count(), sum(os.path.getsize(urlparse(f).path) for f in out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(S, "stage", measured)
+    got = S.score(docs(spark, rows).repartition(2), ~S.held_out()).count()
+    assert got == 400 and len(written) >= 3
+    assert max(n for _, n, _ in written) < 2000
+    assert sum(size for _, _, size in written) < 4 * sum(len(x[1]) for x in rows)
