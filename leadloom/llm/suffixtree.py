@@ -88,33 +88,34 @@ def unpack(data: bytes, dtype=np.int64) -> np.ndarray:
 
 
 def code_blocks(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of two kinds, staged: documents (block, doc_id, train, ids) and
-    vocabularies by slot (block, slot, lids, toks, counts) with the training
-    count of each word."""
+    """Rows of three kinds, staged: documents (block, at, doc_id, train), their
+    symbols in pieces of many documents (block, at of the first, flags, lens,
+    ids, tokens), and vocabularies by slot (block, slot, lids, toks, counts) with the
+    training count of each word."""
     def run(batches):
         vocabulary: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
         counts: list[np.ndarray] = []
-        size, block = 0, uuid.uuid4().int >> 65
+        size, at, block = 0, 0, uuid.uuid4().int >> 65
 
         def close():
-            nonlocal size, block, vocabulary
+            nonlocal size, at, block, vocabulary
             n = np.zeros(len(vocabulary), dtype=np.int64)
             for ids in counts:
                 n += np.bincount(ids, minlength=len(n))
             words, own = list(vocabulary), block
             vocabulary = defaultdict(itertools.count().__next__)
             counts.clear()
-            size, block = 0, uuid.uuid4().int >> 65
+            size, at, block = 0, 0, uuid.uuid4().int >> 65
             slots = np.fromiter((zlib.crc32(w) % SLOTS for w in words), dtype=np.int64, count=len(words))
             order = np.argsort(slots, kind="stable")
             bounds = np.searchsorted(slots[order], np.arange(SLOTS + 1))
             parts = [(k, order[lo:hi]) for k, (lo, hi) in enumerate(itertools.pairwise(bounds)) if hi > lo]
             yield out(own, len(parts), slot=pa.array([k for k, _ in parts], pa.int32()),
-                      lids=pa.array([pack(x) for _, x in parts], pa.binary()), counts=pa.array([pack(n[x]) for _, x in parts], pa.binary()),
+                      lids=pa.array([pack(np.diff(x, prepend=0)) for _, x in parts], pa.binary()), counts=pa.array([pack(n[x]) for _, x in parts], pa.binary()),
                       toks=pa.array([b"\n".join([words[i] for i in x]) for _, x in parts], pa.binary()))
 
         def out(block, rows, **cols):
-            types = {"doc_id": id_type, "train": pa.bool_(), "ids": pa.binary(), "slot": pa.int32(), "lids": pa.binary(),
+            types = {"at": pa.int32(), "doc_id": id_type, "train": pa.bool_(), "flags": pa.binary(), "lens": pa.binary(), "ids": pa.binary(), "tokens": pa.int64(), "slot": pa.int32(), "lids": pa.binary(),
                      "toks": pa.binary(), "counts": pa.binary()}
             data = {"block": pa.array(np.full(rows, block, dtype=np.int64))}
             data |= {k: cols[k] if k in cols else pa.nulls(rows, t) for k, t in types.items()}
@@ -128,13 +129,18 @@ def code_blocks(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES)
                 words = (t or b"").lower().split()
                 words.append(END)
                 x = np.fromiter(map(vocabulary.__getitem__, words), dtype=np.int32, count=len(words))
-                ids.append(x.tobytes())
+                ids.append(x)
                 if flags[i]:
                     counts.append(x)
                 size += len(t or b"")
                 if size >= block_bytes or i + 1 == len(texts):
-                    yield out(block, i + 1 - lo, doc_id=b.column("doc_id").slice(lo, i + 1 - lo),
-                              train=b.column("train").slice(lo, i + 1 - lo), ids=pa.array(ids, pa.binary()))
+                    many = i + 1 - lo
+                    yield out(block, many, at=pa.array(np.arange(at, at + many, dtype=np.int32)),
+                              doc_id=b.column("doc_id").slice(lo, many), train=b.column("train").slice(lo, many))
+                    piece = {"flags": np.fromiter(map(bool, flags[lo:i + 1]), dtype=np.int64, count=many), "lens": np.array([len(x) for x in ids]),
+                             "ids": np.concatenate(ids).astype(np.int64)}
+                    yield out(block, 1, at=pa.array([at], pa.int32()), tokens=pa.array([len(piece["ids"])]), **{k: pa.array([pack(x)], pa.binary()) for k, x in piece.items()})
+                    at += many
                     lo, ids = i + 1, []
                     if size >= block_bytes:
                         yield from close()
@@ -143,7 +149,7 @@ def code_blocks(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", train.alias("train"), "text")
-    return stage(map_arrow(rows, run, f"block long, doc_id {id_type}, train boolean, ids binary, slot int, lids binary, toks binary, counts binary"), "blocks")
+    return stage(map_arrow(rows, run, f"block long, at int, doc_id {id_type}, train boolean, flags binary, lens binary, ids binary, tokens long, slot int, lids binary, toks binary, counts binary"), "blocks")
 
 
 #: what a block is told: its words (``d`` 0: a their ids in the block, b their
@@ -170,10 +176,17 @@ def _number(words: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["block", "d", "bucket", "a", "b", "c", "found", "total"])
 
 
-def distinct_keys(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, a place of each, and the index of each key in them."""
-    order = np.argsort(key)
-    key = key[order]
+def distinct_keys(key: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys (0 to ``bound``), the first place of each, and the
+    index of each key in them."""
+    bits = len(key).bit_length()
+    if bound.bit_length() + bits < 64:           # keys and places in one word sort much faster
+        order = np.sort((key << bits) | np.arange(len(key)))
+        key = order >> bits
+        order &= (1 << bits) - 1
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
     new = np.ones(len(key), dtype=bool)
     new[1:] = key[1:] != key[:-1]
     back = np.empty(len(key), dtype=np.int64)
@@ -183,24 +196,23 @@ def distinct_keys(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 class Level:
     """A block's candidates of one depth and its (context, symbol) pairs that
-    can be stored, dealt over buckets. ``where``, ``code``, ``own``: positions
-    after a candidate, its code and index; ``at``, ``back``: positions of pairs
-    and the index of the pair; ``o``, ``lid``, ``first``: a pair's candidate,
-    symbol and one of its positions."""
+    can be stored, dealt over buckets. ``where``, ``own``: positions after a
+    candidate and its index; ``ctx``, ``total``: a candidate's code and count;
+    ``at``, ``back``: positions of pairs and the index of the pair; ``o``,
+    ``lid``, ``first``: a pair's candidate, symbol and one of its positions."""
 
-    def __init__(self, b: Block, d: int, where, code, count, least: float, buckets: int, hot: int):
-        where, code = b.step(d, where, code)
+    def __init__(self, b: Block, d: int, where, own, ctx, count, least: float, buckets: int, hot: int):
         # a context occurs as often as its newest word follows the others
-        total = count[where - 1]
-        ok = total >= least
-        self.where, self.code, total = where[ok], code[ok], total[ok]
-        self.ctx, at, self.own = distinct_keys(self.code)
-        self.total = total[at]
+        ok = (b.at[where] >= d) & (count[where - 1] >= least)
+        self.where, words = where[ok], len(b.c)
+        key, at, self.own = distinct_keys(own[ok] * words + b.ids[self.where - d], len(ctx) * words)
+        self.ctx = extend(ctx[key // words], b.h[key % words], d)
+        self.total = count[self.where[at] - 1]
         # a symbol that follows a context n times follows its parent n times
         ok = count[self.where] >= 2
         self.at = self.where[ok]
-        pair, first, self.back = distinct_keys(self.own[ok] * len(b.c) + b.ids[self.at])
-        self.first, self.o, self.lid = self.at[first], pair // len(b.c), pair % len(b.c)
+        pair, first, self.back = distinct_keys(self.own[ok] * words + b.ids[self.at], len(key) * words)
+        self.first, self.o, self.lid = self.at[first], pair // words, pair % words
         n, many = len(self.ctx), U64(buckets)
         home = (self.ctx % many).astype(np.int64)
         bucket = home[self.o]
@@ -214,7 +226,7 @@ class Level:
         else:
             mine = np.sort(home * n + np.arange(n))
         self.mine, self.listed, self.buckets = mine, mine % max(n, 1), mine // max(n, 1)
-        self.order = np.argsort(bucket, kind="stable")
+        self.order = np.argsort(bucket.astype(np.int16) if 2 * buckets < 1 << 15 else bucket, kind="stable")
         self.bucket = bucket[self.order]
 
     @staticmethod
@@ -244,41 +256,35 @@ class Block:
     """The symbols of one block, flat, with the contexts before them."""
 
     def __init__(self, texts: pd.DataFrame, vocabulary: pd.DataFrame):
-        seqs = [np.frombuffer(x, dtype=np.int32) for x in texts["ids"]]
-        self.ids = np.concatenate(seqs).astype(np.int64)
-        self.lens = np.array([len(s) for s in seqs])
+        texts = texts.sort_values("at")
+        self.ids, self.lens, flags = (np.concatenate([unpack(x) for x in texts[c]]) for c in ("ids", "lens", "flags"))
+        self.train = np.repeat(flags > 0, self.lens)
         self.first = np.cumsum(self.lens) - self.lens
-        lid = np.concatenate([unpack(x) for x in vocabulary["a"]])
+        lid = np.concatenate([np.cumsum(unpack(x)) for x in vocabulary["a"]])
         self.g, self.c = np.zeros(len(lid), dtype=np.int64), np.zeros(len(lid), dtype=np.int64)
         self.g[lid] = np.concatenate([unpack(x) for x in vocabulary["b"]])
         self.c[lid] = np.concatenate([unpack(x) for x in vocabulary["c"]])
         self.h = mix64(self.g.view(np.uint64))
         self.at = np.arange(len(self.ids)) - np.repeat(self.first, self.lens)
 
-    def step(self, d: int, where: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts of depth ``d - 1`` (positions and codes) one word longer."""
-        ok = self.at[where] >= d
-        where, code = where[ok], code[ok]
-        return where, extend(code, self.h[self.ids[where - d]], d)
-
     def walk(self, told: pd.DataFrame, root: np.ndarray, depth: int, rule: tuple):
         """Each symbol's probability at its deepest node of at most ``depth``
-        words; positions and codes of the contexts of ``depth`` words that are
-        nodes; and how often each symbol follows its context of ``depth`` words
+        words; the positions after contexts of ``depth`` words that are nodes,
+        their indices in the codes that come next; and how often each symbol follows its context of ``depth`` words
         (0 where that is no candidate, or no node and less than a candidate)."""
         least, gamma, buckets, hot = rule
         p, count = root[self.ids], self.c[self.ids]
-        where, code = np.arange(len(self.ids)), np.zeros(len(self.ids), dtype=np.uint64)
+        where, own, ctx = np.arange(len(self.ids)), np.zeros(len(self.ids), dtype=np.int64), np.zeros(1, dtype=np.uint64)
         for d in range(1, depth + 1):
-            x = Level(self, d, where, code, count, least, buckets, hot)
+            x = Level(self, d, where, own, ctx, count, least, buckets, hot)
             escape, n = x.heard(told[told["d"] == d])
             count = np.zeros(len(self.ids), dtype=np.int64)
             count[x.at] = n[x.back]
             ok = ~np.isnan(escape[x.own])
-            where, code, own = x.where[ok], x.code[ok], x.own[ok]
+            where, own, ctx = x.where[ok], x.own[ok], x.ctx
             seen, total = count[where], x.total[own]
             p[where] = escape[own] * p[where] + np.where((seen > 1) & (seen >= gamma * total), (seen - DISCOUNT) / total, 0.0)
-        return p, where, code, count
+        return p, where, own, ctx, count
 
 
 def extend(code, word, d: int):
@@ -303,17 +309,16 @@ def _grams(depth: int, n_train: int, distinct: int, rule: tuple):
         if len(texts) and len(vocabulary):
             least, _, buckets, hot = rule
             b = Block(texts, vocabulary)
-            train = np.repeat(texts["train"].to_numpy(dtype=bool), b.lens)
-            p, where, code, count = b.walk(answers, root_probability(b.c, n_train, distinct), depth - 1, rule)
-            x = Level(b, depth, where, code, count, least, buckets, hot)
-            n = np.bincount(x.back, weights=train[x.at], minlength=len(x.o)).astype(np.int64)
+            p, where, own, ctx, count = b.walk(answers, root_probability(b.c, n_train, distinct), depth - 1, rule)
+            x = Level(b, depth, where, own, ctx, count, least, buckets, hot)
+            n = np.bincount(x.back, weights=b.train[x.at], minlength=len(x.o)).astype(np.int64)
             above = b.c[x.lid] if depth == 1 else p[x.first]
             listed = np.searchsorted(x.mine, x.bucket * len(x.ctx) + x.o[x.order])
             pairs = np.bincount(listed, minlength=len(x.mine))
-            own = int(texts["block"].iloc[0])
+            block = int(texts["block"].iloc[0])
             for name, c, k in x.portions():
-                ctx, k = x.listed[c], x.order[k]
-                rows.append((own, name, pack(x.ctx[ctx]), pack(x.total[ctx]), pack(pairs[c]), pack(b.g[x.lid[k]]), pack(n[k]), pack(above[k])))
+                i, k = x.listed[c], x.order[k]
+                rows.append((block, name, pack(x.ctx[i]), pack(x.total[i]), pack(pairs[c]), pack(b.g[x.lid[k]]), pack(n[k]), pack(above[k])))
         return pd.DataFrame(rows, columns=["block", "bucket", "ctx", "total", "pairs", "sym", "n", "above"])
 
     return run
@@ -329,14 +334,14 @@ class Bucket:
         ctx, sym, pairs = column("ctx", np.uint64), column("sym"), np.concatenate(column("pairs"))
         self.blocks, self.bucket = asked["block"].tolist(), int(asked["bucket"].iloc[0])
         self.contexts, self.pairs = np.cumsum([0, *map(len, ctx)]), np.cumsum([0, *map(len, sym)])
-        self.ctx, at, self.listed = distinct_keys(np.concatenate(ctx))
+        self.ctx, at, self.listed = np.unique(np.concatenate(ctx), return_index=True, return_inverse=True)
         self.total = np.concatenate(column("total"))[at]
         own, sym = np.repeat(self.listed, pairs), np.concatenate(sym)
         most = int(sym.max(initial=0)) + 1
         if most * max(len(self.ctx), 1) >= 1 << 63:
-            sym = distinct_keys(sym)[2]
+            sym = distinct_keys(sym, most)[2]
             most = int(sym.max()) + 1
-        key, first, self.back = distinct_keys(own * most + sym)
+        key, first, self.back = distinct_keys(own * most + sym, len(self.ctx) * most)
         self.o = key // most
         self.n = np.bincount(self.back, weights=np.concatenate(column("n")), minlength=len(key)).astype(np.int64)
         # the symbols that can be stored
@@ -438,13 +443,13 @@ def _score(depth: int, n_train: int, distinct: int, rule: tuple):
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         vocabulary = answers[answers["d"] == 0]
         if not len(texts) or not len(vocabulary):
-            return pd.DataFrame(columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            return pd.DataFrame(columns=["block", "at", "n_tokens", "n_known", "base_score", "score"])
         b = Block(texts, vocabulary)
         root = root_probability(b.c, n_train, distinct)
         p = b.walk(answers, root, depth, rule)[0]
         return pd.DataFrame({
-            "doc_id": texts["doc_id"].to_numpy(), "held_out": ~texts["train"].to_numpy(dtype=bool), "n_tokens": b.lens,
-            "n_known": np.add.reduceat((b.c[b.ids] > 0).astype(np.int64), b.first), "train_tokens": n_train,
+            "block": int(texts["block"].iloc[0]), "at": np.arange(len(b.lens)), "n_tokens": b.lens,
+            "n_known": np.add.reduceat((b.c[b.ids] > 0).astype(np.int64), b.first),
             "base_score": np.add.reduceat(np.log10(root[b.ids]), b.first), "score": np.add.reduceat(np.log10(p), b.first)})
 
     return run
@@ -457,13 +462,14 @@ def score(docs: DataFrame, train: Column, p_min: float = P_MIN, depth: int | Non
     held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     blocks = code_blocks(docs, train, block_bytes)
-    texts = blocks.where("ids is not null").select("block", "doc_id", "train", "ids")
-    words = blocks.where("ids is null").select("block", "slot", "lids", "toks", "counts")
+    rows = blocks.where("at is not null and ids is null").select("block", "at", "doc_id", "train")
+    texts = blocks.where("ids is not null").select("block", "at", "flags", "lens", "ids")
+    words = blocks.where("slot is not null").select("block", "slot", "lids", "toks", "counts")
     told = stage(words.groupBy("slot").applyInPandas(_number, ANSWER_SCHEMA), "vocabulary")
     distinct, n_train = (x or 0 for x in told.where("block = -1").agg(F.sum("found"), F.sum("total")).first())
-    n_all = texts.agg(F.sum(F.length("ids"))).first()[0] or 0
+    n_all = blocks.agg(F.sum("tokens")).first()[0] or 0
     reclaim(spark)
-    rule = (max(2.0, min_count, p_min * n_train), gamma, blocks_for(n_all // 4, bucket_tokens), hot)
+    rule = (max(2.0, min_count, p_min * n_train), gamma, blocks_for(n_all, bucket_tokens), hot)
     # what the blocks are told: their words (d = 0) and, by depth, the answers of the buckets
     answers = told.where("block <> -1")
     d = 0
@@ -477,7 +483,7 @@ def score(docs: DataFrame, train: Column, p_min: float = P_MIN, depth: int | Non
             d -= 1
             break
         answers = answers.union(reply)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
-        _score(d, n_train, distinct, rule),
-        f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+        _score(d, n_train, distinct, rule), "block long, at int, n_tokens long, n_known long, base_score double, score double")
+    return rows.join(scored, ["block", "at"]).select(
+        "doc_id", (~F.coalesce("train", F.lit(False))).alias("held_out"), "n_tokens", "n_known", F.lit(int(n_train)).cast("long").alias("train_tokens"), "base_score", "score")
