@@ -23,8 +23,11 @@ pairs that can be stored. Pairs are dealt by their context over buckets that
 grow in number with the corpus; a row is what one block has for one bucket, as
 packed arrays, so that pairs that occur once cost a few bytes and no row. A
 bucket adds up the counts, finds the nodes and answers each block in the order
-of its question: the count of each pair and the escape mass of each node, from
-which the block derives the probabilities. A context of ``HOT`` occurrences or
+of its question: the count of each pair and what each node has stored, from
+which the block derives the probabilities. From depth ``CARRY`` on a block
+carries only the positions whose contexts can still get longer and the words of
+those contexts (``Rest``), so that a depth costs what is left to grow; the last
+pass over the texts scores every position. A context of ``HOT`` occurrences or
 more is dealt over several buckets by its symbols; its sums over them are
 joined by context. Nothing is as large as the corpus in one place, and a
 frequent word or pair is one entry per block.
@@ -45,11 +48,12 @@ from collections import defaultdict
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import U64, binary_column, blocks_for, map_arrow, mix64, reclaim, stage, unstage
+from .common import U64, blocks_for, map_arrow, mix64, reclaim, stage, unstage
 
 ALPHA = 0.1
 #: training occurrences from which a context is a candidate
@@ -67,6 +71,8 @@ BLOCK_BYTES = 16 << 20
 BUCKET_TOKENS = 2 << 20
 SLOTS = 256
 HOT = 1 << 20
+#: depth after which blocks carry what can still grow instead of their texts
+CARRY = 3
 #: the end of a text in a vocabulary (no word is empty)
 END = b""
 
@@ -76,15 +82,35 @@ def held_out(folds: int = 10) -> Column:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """An array of 8-byte numbers, byte by byte of all numbers, compressed."""
-    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), 8).T.tobytes()
-    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+    """An array of 8-byte numbers, compressed byte by byte of all numbers; high
+    bytes that are 0 in all of them are left out."""
+    x = np.ascontiguousarray(x).view(np.uint64)
+    width = (int(np.bitwise_or.reduce(x)).bit_length() + 7) // 8
+    planes = b"".join([(x >> U64(8 * k)).astype(np.uint8).tobytes() for k in range(width)])
+    return len(x).to_bytes(7, "little") + bytes([width]) + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes, dtype=np.int64) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    planes = pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd", asbytes=True)
-    return np.frombuffer(np.frombuffer(planes, dtype=np.uint8).reshape(8, n).T.tobytes(), dtype=dtype)
+    n, width = int.from_bytes(data[:7], "little"), data[7]
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=width * n, codec="zstd", asbytes=True), dtype=np.uint8)
+    x = np.zeros(n, dtype="<u8")
+    cells = x.view(np.uint8).reshape(n, 8)
+    for k, plane in enumerate(planes.reshape(width, n)):
+        cells[:, k] = plane
+    return x.view(dtype)
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Lower-cased words of texts, flat, and the number of each text's."""
+    if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type):
+        texts = texts.cast(pa.large_string())
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    lens, flat = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64), words.flatten()
+    full = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0       # white space at an end leaves an empty word
+    if not full.all():
+        lens = np.bincount(np.repeat(np.arange(len(lens)), lens)[full], minlength=len(lens))
+        flat = flat.filter(pa.array(full))
+    return lens, flat
 
 
 def code_blocks(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -100,8 +126,8 @@ def code_blocks(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES)
         def close():
             nonlocal size, at, block, vocabulary
             n = np.zeros(len(vocabulary), dtype=np.int64)
-            for ids in counts:
-                n += np.bincount(ids, minlength=len(n))
+            for x in counts:
+                n[:len(x)] += x
             words, own = list(vocabulary), block
             vocabulary = defaultdict(itertools.count().__next__)
             counts.clear()
@@ -124,24 +150,27 @@ def code_blocks(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES)
         id_type = pa.int64()
         for b in batches:
             id_type = b.schema.field("doc_id").type
-            texts, flags, lo, ids = binary_column(b, "text"), b.column("train").to_pylist(), 0, []
-            for i, t in enumerate(texts):
-                words = (t or b"").lower().split()
-                words.append(END)
-                x = np.fromiter(map(vocabulary.__getitem__, words), dtype=np.int32, count=len(words))
-                ids.append(x)
-                if flags[i]:
-                    counts.append(x)
-                size += len(t or b"")
+            texts, flags, lo = b.column("text"), np.array([bool(x) for x in b.column("train").to_pylist()], dtype=bool), 0
+            lens, flat = split_words(texts)
+            ends = np.concatenate(([0], np.cumsum(lens)))
+            for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                size += n
                 if size >= block_bytes or i + 1 == len(texts):
-                    many = i + 1 - lo
+                    many, own = i + 1 - lo, lens[lo:i + 1] + 1
+                    coded = flat.slice(ends[lo], ends[i + 1] - ends[lo]).dictionary_encode()
+                    known = [vocabulary[w] for w in coded.dictionary.cast(pa.large_binary()).to_pylist()]
+                    ids = np.full(own.sum(), vocabulary[END])
+                    inner = np.ones(len(ids), dtype=bool)
+                    inner[np.cumsum(own) - 1] = False
+                    ids[inner] = np.array(known, dtype=np.int64)[coded.indices.to_numpy()]
+                    learnt = ids[np.repeat(flags[lo:i + 1], own)]
+                    counts.append(np.bincount(learnt, minlength=0))
                     yield out(block, many, at=pa.array(np.arange(at, at + many, dtype=np.int32)),
                               doc_id=b.column("doc_id").slice(lo, many), train=b.column("train").slice(lo, many))
-                    piece = {"flags": np.fromiter(map(bool, flags[lo:i + 1]), dtype=np.int64, count=many), "lens": np.array([len(x) for x in ids]),
-                             "ids": np.concatenate(ids).astype(np.int64)}
-                    yield out(block, 1, at=pa.array([at], pa.int32()), tokens=pa.array([len(piece["ids"])]), **{k: pa.array([pack(x)], pa.binary()) for k, x in piece.items()})
+                    piece = {"flags": flags[lo:i + 1].astype(np.int64), "lens": own, "ids": ids}
+                    yield out(block, 1, at=pa.array([at], pa.int32()), tokens=pa.array([len(ids)]), **{k: pa.array([pack(x)], pa.binary()) for k, x in piece.items()})
                     at += many
-                    lo, ids = i + 1, []
+                    lo = i + 1
                     if size >= block_bytes:
                         yield from close()
         if vocabulary:
@@ -153,8 +182,9 @@ def code_blocks(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES)
 
 
 #: what a block is told: its words (``d`` 0: a their ids in the block, b their
-#: numbers, c their training counts) and, by depth and bucket, a the escape mass
-#: of each context it asked for (nan: no node) and b the count of each pair
+#: numbers, c their training counts) and, by depth and bucket, of each context it
+#: asked for a the occurrences (0: no node) and c the number of its stored
+#: symbols, and b the count of each pair
 ANSWER_SCHEMA = "block long, d int, bucket int, a binary, b binary, c binary, found long, total long"
 
 
@@ -194,6 +224,12 @@ def distinct_keys(key: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray,
     return key[new], order[new], back
 
 
+def escape_mass(seen, symbols, total):
+    """What a context leaves to its parent: ``symbols`` stored ones were ``seen``
+    so often in ``total`` occurrences."""
+    return 1 - (seen - DISCOUNT * symbols) / total
+
+
 class Level:
     """A block's candidates of one depth and its (context, symbol) pairs that
     can be stored, dealt over buckets. ``where``, ``own``: positions after a
@@ -201,10 +237,10 @@ class Level:
     ``at``, ``back``: positions of pairs and the index of the pair; ``o``,
     ``lid``, ``first``: a pair's candidate, symbol and one of its positions."""
 
-    def __init__(self, b: Block, d: int, where, own, ctx, count, least: float, buckets: int, hot: int):
+    def __init__(self, b: Block | Rest, d: int, where, own, ctx, count, least: float, buckets: int, hot: int):
         # a context occurs as often as its newest word follows the others
         ok = (b.at[where] >= d) & (count[where - 1] >= least)
-        self.where, words = where[ok], len(b.c)
+        self.where, words = where[ok], len(b.g)
         key, at, self.own = distinct_keys(own[ok] * words + b.ids[self.where - d], len(ctx) * words)
         self.ctx = extend(ctx[key // words], b.h[key % words], d)
         self.total = count[self.where[at] - 1]
@@ -244,10 +280,11 @@ class Level:
     def heard(self, told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Escape masses of the candidates (nan: no node), counts of the pairs."""
         escape, n = np.full(len(self.ctx), np.nan), np.zeros(len(self.o), dtype=np.int64)
-        said = {k: (a, b) for k, a, b in zip(told["bucket"], told["a"], told["b"], strict=True)}
+        said = {k: x for k, *x in zip(told["bucket"], told["a"], told["b"], told["c"], strict=True)}
         for name, contexts, pairs in self.portions():
-            a, b = said[name]
-            escape[self.listed[contexts]] = unpack(a, np.float64)
+            a, b, c = said[name]
+            own, seen = self.listed[contexts], unpack(a)
+            escape[own] = np.where(seen > 0, escape_mass(seen, unpack(c), self.total[own]), np.nan)
             n[self.order[pairs]] = unpack(b)
         return escape, n
 
@@ -272,21 +309,72 @@ class Block:
         words; the positions after contexts of ``depth`` words that are nodes,
         their indices in the codes that come next; and how often each symbol follows its context of ``depth`` words
         (0 where that is no candidate, or no node and less than a candidate)."""
-        least, gamma, buckets, hot = rule
+        least, _, buckets, hot = rule
         p, count = root[self.ids], self.c[self.ids]
         where, own, ctx = np.arange(len(self.ids)), np.zeros(len(self.ids), dtype=np.int64), np.zeros(1, dtype=np.uint64)
         for d in range(1, depth + 1):
             x = Level(self, d, where, own, ctx, count, least, buckets, hot)
-            escape, n = x.heard(told[told["d"] == d])
-            count = np.zeros(len(self.ids), dtype=np.int64)
-            count[x.at] = n[x.back]
-            ok = ~np.isnan(escape[x.own])
-            where, own, ctx = x.where[ok], x.own[ok], x.ctx
-            seen, total = count[where], x.total[own]
-            p[where] = escape[own] * p[where] + np.where((seen > 1) & (seen >= gamma * total), (seen - DISCOUNT) / total, 0.0)
+            where, own, ctx, count = deepen(x, told[told["d"] == d], p, rule)
         return p, where, own, ctx, count
 
 
+def deepen(x: Level, told: pd.DataFrame, p: np.ndarray, rule: tuple):
+    """One depth of ``Block.walk``; ``p`` is brought up to it in place."""
+    escape, n = x.heard(told)
+    count = np.zeros(len(p), dtype=np.int64)
+    count[x.at] = n[x.back]
+    ok = ~np.isnan(escape[x.own])
+    where, own = x.where[ok], x.own[ok]
+    seen, total = count[where], x.total[own]
+    p[where] = escape[own] * p[where] + np.where((seen > 1) & (seen >= rule[1] * total), (seen - DISCOUNT) / total, 0.0)
+    return where, own, x.ctx, count
+
+
+REST_SCHEMA = "block long, " + ", ".join(f"{c} binary" for c in ("lens", "ids", "g", "flags", "places", "own", "ctx", "counts", "above"))
+REST_COLUMNS = [c.split()[0] for c in REST_SCHEMA.split(", ")]
+
+
+class Rest:
+    """What a block carries after a depth: the positions whose contexts can be
+    candidates one word longer, and the words around them. A longer context of
+    such a position lies within its own and its neighbour's, so that all words
+    that later depths ask for are here. Words and contexts keep their order, so
+    that buckets are asked in the order in which ``Block.walk`` listens."""
+
+    def __init__(self, row: pd.Series, depth: int, rule: tuple):
+        """The state after ``depth`` words: ``where``, ``own``, ``ctx``,
+        ``count`` as ``Block.walk`` gives them, ``next`` the level to ask for, ``p`` at its pairs."""
+        least, _, buckets, hot = rule
+        lens, self.ids, self.g, flags, count = (unpack(row[c]) for c in ("lens", "ids", "g", "flags", "counts"))
+        self.train, self.h = flags > 0, mix64(self.g.view(np.uint64))
+        self.at = np.arange(len(self.ids)) - np.repeat(np.cumsum(lens) - lens, lens)
+        self.next = Level(self, depth + 1, np.cumsum(unpack(row["places"])), unpack(row["own"]), unpack(row["ctx"], np.uint64), count, least, buckets, hot)
+        self.p = np.zeros(len(self.ids))
+        self.p[self.next.at] = unpack(row["above"], np.float64)[self.next.back]
+
+    @staticmethod
+    def of(block: int, b: Block | Rest, depth: int, p, where, own, ctx, count, rule: tuple) -> list[tuple]:
+        """The row of what is left of ``b`` after ``depth`` words, if anything."""
+        least, _, buckets, hot = rule
+        x = Level(b, depth + 1, where, own, ctx, count, least, buckets, hot)
+        ok = (b.at[where] > depth) & (count[where - 1] >= least)      # as the level chose
+        own = own[ok]
+        if not len(x.where):
+            return []
+        edges = np.zeros(len(b.ids) + 1, dtype=np.int64)
+        edges[x.where - depth - 1] += 1
+        edges[x.where + 1] -= 1
+        at = np.flatnonzero(np.cumsum(edges[:-1]))
+        new = b.at[at] == 0
+        new[0] = True
+        new[1:] |= np.diff(at) > 1
+        lids, _, ids = distinct_keys(b.ids[at], len(b.g))
+        codes, _, own = distinct_keys(own, len(ctx))
+        columns = (np.diff(np.append(np.flatnonzero(new), len(at))), ids, b.g[lids], b.train[at].astype(np.int64),
+                   np.diff(np.searchsorted(at, x.where), prepend=0), own, ctx[codes], count[at], p[x.first])
+        return [(block, *map(pack, columns))]
+
+
 def extend(code, word, d: int):
     """Code of a context one older word longer; at depth 1 the word's hash."""
     return word if d == 1 else mix64(code * U64(3) + word + U64(d))
@@ -299,27 +387,70 @@ def root_probability(c: np.ndarray, n_train: int, distinct: int) -> np.ndarray:
 GRAM_SCHEMA = "block long, bucket int, ctx binary, total binary, pairs binary, sym binary, n binary, above binary"
 
 
-def _grams(depth: int, n_train: int, distinct: int, rule: tuple):
+def asked(block: int, b: Block | Rest, x: Level, above: np.ndarray) -> pd.DataFrame:
     """By bucket, the block's distinct candidates of one depth (code, count,
     pairs) and its (context, symbol) pairs that can be stored: the symbol's
     number, count in the block, and probability at the context's parent (depth
     1: count, from which the root's probability follows)."""
+    n = np.bincount(x.back, weights=b.train[x.at], minlength=len(x.o)).astype(np.int64)
+    listed = np.searchsorted(x.mine, x.bucket * len(x.ctx) + x.o[x.order])
+    pairs = np.bincount(listed, minlength=len(x.mine))
+    rows = []
+    for name, c, k in x.portions():
+        i, k = x.listed[c], x.order[k]
+        rows.append((block, name, pack(x.ctx[i]), pack(x.total[i]), pack(pairs[c]), pack(b.g[x.lid[k]]), pack(n[k]), pack(above[k])))
+    return pd.DataFrame(rows, columns=["block", "bucket", "ctx", "total", "pairs", "sym", "n", "above"])
+
+
+NO_GRAMS = pd.DataFrame(columns=["block", "bucket", "ctx", "total", "pairs", "sym", "n", "above"])
+
+
+def _grams(depth: int, n_train: int, distinct: int, rule: tuple):
+    """What a block asks at a depth, from its texts."""
+    def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        vocabulary = answers[answers["d"] == 0]
+        if not len(texts) or not len(vocabulary):
+            return NO_GRAMS
+        least, _, buckets, hot = rule
+        b = Block(texts, vocabulary)
+        p, where, own, ctx, count = b.walk(answers, root_probability(b.c, n_train, distinct), depth - 1, rule)
+        x = Level(b, depth, where, own, ctx, count, least, buckets, hot)
+        return asked(int(texts["block"].iloc[0]), b, x, b.c[x.lid] if depth == 1 else p[x.first])
+
+    return run
+
+
+def _grams_of_rest(depth: int, rule: tuple):
+    """The same from what the block carries of one word less."""
+    def run(batches):
+        for rest in batches:
+            for _, row in rest.iterrows():
+                b = Rest(row, depth - 1, rule)
+                yield asked(int(row["block"]), b, b.next, b.p[b.next.first])
+
+    return run
+
+
+def _carry(depth: int, n_train: int, distinct: int, rule: tuple):
+    """What a block carries after a depth, from its texts and all answers."""
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         rows, vocabulary = [], answers[answers["d"] == 0]
         if len(texts) and len(vocabulary):
-            least, _, buckets, hot = rule
             b = Block(texts, vocabulary)
-            p, where, own, ctx, count = b.walk(answers, root_probability(b.c, n_train, distinct), depth - 1, rule)
-            x = Level(b, depth, where, own, ctx, count, least, buckets, hot)
-            n = np.bincount(x.back, weights=b.train[x.at], minlength=len(x.o)).astype(np.int64)
-            above = b.c[x.lid] if depth == 1 else p[x.first]
-            listed = np.searchsorted(x.mine, x.bucket * len(x.ctx) + x.o[x.order])
-            pairs = np.bincount(listed, minlength=len(x.mine))
-            block = int(texts["block"].iloc[0])
-            for name, c, k in x.portions():
-                i, k = x.listed[c], x.order[k]
-                rows.append((block, name, pack(x.ctx[i]), pack(x.total[i]), pack(pairs[c]), pack(b.g[x.lid[k]]), pack(n[k]), pack(above[k])))
-        return pd.DataFrame(rows, columns=["block", "bucket", "ctx", "total", "pairs", "sym", "n", "above"])
+            rows = Rest.of(int(texts["block"].iloc[0]), b, depth, *b.walk(answers, root_probability(b.c, n_train, distinct), depth, rule), rule)
+        return pd.DataFrame(rows, columns=REST_COLUMNS)
+
+    return run
+
+
+def _carry_on(depth: int, rule: tuple):
+    """The same from what it carried of one word less and the answers since."""
+    def run(rest: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(rest):
+            b = Rest(rest.iloc[0], depth - 1, rule)
+            rows = Rest.of(int(rest["block"].iloc[0]), b, depth, b.p, *deepen(b.next, answers, b.p, rule), rule)
+        return pd.DataFrame(rows, columns=REST_COLUMNS)
 
     return run
 
@@ -355,8 +486,9 @@ class Bucket:
         return np.bincount(self.o[self.k], weights=value, minlength=len(self.ctx))
 
     def stored(self) -> tuple[np.ndarray, np.ndarray]:
+        """By candidate, occurrences and number of the symbols that can be stored."""
         n = self.n[self.k]
-        return self.over(n - DISCOUNT), self.over(np.ones(len(n)))
+        return self.over(n), self.over(np.ones(len(n)))
 
     def told(self, escape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By candidate, the sums of p log(p / above) and of p."""
@@ -364,16 +496,18 @@ class Bucket:
         p = (self.n[self.k] - DISCOUNT) / self.total[o] + escape[o] * self.above
         return self.over(p * np.log(p / self.above)), self.over(p)
 
-    def replies(self, d: int, escape, symbols, gain, mass, least: float, divergence: float) -> list[tuple]:
+    def replies(self, d: int, seen, symbols, gain, mass, least: float, divergence: float) -> list[tuple]:
+        escape = escape_mass(seen, symbols, self.total)
         # symbols that are not stored contribute log(escape) each
         with np.errstate(divide="ignore", invalid="ignore"):
             kl = gain + (1 - mass) * np.log(escape)
         node = (symbols > 0) & (escape > 0) & (kl >= divergence)
-        escape = np.where(node, escape, np.nan)
+        seen, symbols = (np.where(node, x, 0).astype(np.int64)[self.listed] for x in (seen, symbols))
         n = np.where((self.n > 1) & (node[self.o] | (self.n >= least)), self.n, 0)
         found = int(node.sum())
-        return [(block, d, self.bucket, pack(escape[self.listed[self.contexts[i]:self.contexts[i + 1]]]),
-                 pack(n[self.back[self.pairs[i]:self.pairs[i + 1]]]), None, found, 0) for i, block in enumerate(self.blocks)]
+        contexts = [slice(*x) for x in itertools.pairwise(self.contexts)]
+        return [(block, d, self.bucket, pack(seen[contexts[i]]), pack(n[self.back[self.pairs[i]:self.pairs[i + 1]]]),
+                 pack(symbols[contexts[i]]), found, 0) for i, block in enumerate(self.blocks)]
 
 
 #: what buckets say: answers, and of contexts dealt over several buckets the
@@ -393,12 +527,11 @@ def grow(grams: DataFrame, d: int, n_train: int, distinct: int, divergence: floa
 
     def count(asked: pd.DataFrame) -> pd.DataFrame:
         b = Bucket(asked, d, n_train, distinct, gamma)
-        out, symbols = b.stored()
+        seen, symbols = b.stored()
         if b.bucket < buckets:
-            escape = 1 - out / b.total
-            rows = [(*r, *[None] * 9) for r in b.replies(d, escape, symbols, *b.told(escape), least, divergence)]
+            rows = [(*r, *[None] * 9) for r in b.replies(d, seen, symbols, *b.told(escape_mass(seen, symbols, b.total)), least, divergence)]
         else:
-            rows = sums(b, out, symbols)
+            rows = sums(b, seen, symbols)
             again = asked[["block", "bucket", "ctx", "total", "pairs", "sym", "n", "above"]]
             rows += [(r[0], d, r[1], *[None] * 8, *r[2:]) for r in again.itertuples(index=False)]
         return pd.DataFrame(rows, columns=COUNT_COLUMNS, dtype=object)      # ids beside nulls stay whole
@@ -420,13 +553,12 @@ def grow(grams: DataFrame, d: int, n_train: int, distinct: int, divergence: floa
 
     def diverge(asked: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
         b = Bucket(asked, d, n_train, distinct, gamma)
-        rows = sums(b, *b.told(1 - known(b, first)[0] / b.total))
+        rows = sums(b, *b.told(escape_mass(*known(b, first), b.total)))
         return pd.DataFrame([(r[2], *r[8:11]) for r in rows], columns=["bucket", "code", "x", "y"])
 
     def reply(asked: pd.DataFrame, both: pd.DataFrame) -> pd.DataFrame:
         b = Bucket(asked, d, n_train, distinct, gamma)
-        out, symbols = known(b, both[both["second"] == 0])
-        rows = b.replies(d, 1 - out / b.total, symbols, *known(b, both[both["second"] == 1]), least, divergence)
+        rows = b.replies(d, *known(b, both[both["second"] == 0]), *known(b, both[both["second"] == 1]), least, divergence)
         return pd.DataFrame(rows, columns=COUNT_COLUMNS[:8])
 
     second = stage(asked.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInPandas(
@@ -472,10 +604,13 @@ def score(docs: DataFrame, train: Column, p_min: float = P_MIN, depth: int | Non
     rule = (max(2.0, min_count, p_min * n_train), gamma, blocks_for(n_all, bucket_tokens), hot)
     # what the blocks are told: their words (d = 0) and, by depth, the answers of the buckets
     answers = told.where("block <> -1")
-    d = 0
+    d, rest = 0, None
     while depth is None or d < depth:
         d += 1
-        grams = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_grams(d, n_train, distinct, rule), GRAM_SCHEMA)
+        if rest is None:
+            grams = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_grams(d, n_train, distinct, rule), GRAM_SCHEMA)
+        else:
+            grams = rest.mapInPandas(_grams_of_rest(d, rule), GRAM_SCHEMA)
         reply = grow(grams, d, n_train, distinct, divergence, rule)
         reclaim(spark)
         if not (reply.agg(F.max("found")).first()[0] or 0):
@@ -483,6 +618,17 @@ def score(docs: DataFrame, train: Column, p_min: float = P_MIN, depth: int | Non
             d -= 1
             break
         answers = answers.union(reply)
+        if d >= CARRY and d != depth:
+            if rest is None:
+                left = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_carry(d, n_train, distinct, rule), REST_SCHEMA)
+            else:
+                left = rest.groupBy("block").cogroup(reply.groupBy("block")).applyInPandas(_carry_on(d, rule), REST_SCHEMA)
+            before, rest = rest, stage(left, "rest")
+            if before is not None:
+                unstage(before)
+            reclaim(spark)
+    if rest is not None:
+        unstage(rest)
     scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         _score(d, n_train, distinct, rule), "block long, at int, n_tokens long, n_known long, base_score double, score double")
     return rows.join(scored, ["block", "at"]).select(

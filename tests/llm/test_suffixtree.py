@@ -163,3 +163,34 @@ def test_pairs_are_written_packed(spark, monkeypatch):
     assert got == 400 and len(written) >= 3
     assert max(n for _, n, _ in written) < 2000
     assert sum(size for _, _, size in written) < 4 * sum(len(x[1]) for x in rows)
+
+
+@pytest.mark.parametrize("carry", [1, 2, 3])
+def test_what_is_carried_equals_walking_the_texts(spark, monkeypatch, carry):
+    """Texts are walked for the first depths only; deeper contexts grow from the
+    rest that blocks carry, in the same order and to the same scores."""
+    rows = rows_of_language()
+    says = ["low tide at the old sea wall by noon", "tide at the old sea wall by dusk", "the old sea wall by dawn"]
+    rows += [(400 + i, says[i % 3] + " " + says[i // 3 % 3], "en", "s", 1) for i in range(200)] + [(700 + i, "sea wall", "en", "s", 1) for i in range(40)]
+    b = Brute(rows, S.MIN_COUNT / 1e5, 12, 0.01)
+    b = Brute(rows, S.MIN_COUNT / b.n, 12, 0.01, 0)
+    deepest = max(map(len, b.nodes))
+    assert 4 <= deepest < 12
+    walked, grams = [], S._grams
+    monkeypatch.setattr(S, "CARRY", carry)
+    monkeypatch.setattr(S, "_grams", lambda d, *a: walked.append(d) or grams(d, *a))
+    got = S.score(docs(spark, rows).repartition(3), ~S.held_out(), 0.0, None, 1500, 0.01, 0.0, S.MIN_COUNT, 700, 400).collect()
+    assert walked == list(range(1, carry + 1))
+    assert sorted(round(r["score"], 6) for r in got) == sorted(round(b.of(toks(r[1])), 6) for r in rows)
+
+
+def test_packed_numbers_and_words():
+    import numpy as np
+    import pyarrow as pa
+    for x in (np.arange(0), np.zeros(5, dtype=np.int64), np.array([1, 255, 256, 1 << 40, -1]), np.array([0.1, np.nan, -3.5]), np.array([1 << 63], dtype=np.uint64)):
+        assert S.unpack(S.pack(x), x.dtype).tobytes() == x.tobytes()
+    r = random.Random(3)
+    texts = ["".join(chr(r.randrange(160)) for _ in range(r.randrange(90))) for _ in range(500)] + [None, "", " ", " a  b\u00a0c\u2003\x1f "]
+    want = [(t or "").encode().lower().split() for t in texts]
+    lens, flat = S.split_words(pa.array(texts))
+    assert lens.tolist() == list(map(len, want)) and [w.encode() for w in flat.to_pylist()] == [w for t in want for w in t]
