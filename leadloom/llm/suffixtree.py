@@ -64,6 +64,7 @@ P_MIN = 0.0
 GAMMA = 0.0
 DEPTH = None
 DIVERGENCE = 0.05
+#: a whole number of quarters: what is kept of a context travels as one
 DISCOUNT = 0.75
 BLOCK_BYTES = 16 << 20
 #: tokens of the corpus per bucket of pairs, parts of the vocabulary, and
@@ -183,8 +184,8 @@ def code_blocks(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYTES)
 
 #: what a block is told: its words (``d`` 0: a their ids in the block, b their
 #: numbers, c their training counts) and, by depth and bucket, of each context it
-#: asked for a the occurrences (0: no node) and c the number of its stored
-#: symbols, and b the count of each pair
+#: asked for a four times what its stored symbols keep (0: no node), and b the
+#: count of each pair
 ANSWER_SCHEMA = "block long, d int, bucket int, a binary, b binary, c binary, found long, total long"
 
 
@@ -224,10 +225,14 @@ def distinct_keys(key: np.ndarray, bound: int) -> tuple[np.ndarray, np.ndarray,
     return key[new], order[new], back
 
 
-def escape_mass(seen, symbols, total):
-    """What a context leaves to its parent: ``symbols`` stored ones were ``seen``
-    so often in ``total`` occurrences."""
-    return 1 - (seen - DISCOUNT * symbols) / total
+def escape_mass(kept, total):
+    """What a context leaves to its parent, of ``total`` occurrences."""
+    return 1 - kept / total
+
+
+def deeper(escape, above, seen, total, gamma: float):
+    """Probability at a node of a symbol ``seen`` so often after it."""
+    return escape * above + np.where((seen > 1) & (seen >= gamma * total), (seen - DISCOUNT) / total, 0.0)
 
 
 class Level:
@@ -242,7 +247,8 @@ class Level:
         ok = (b.at[where] >= d) & (count[where - 1] >= least)
         self.where, words = where[ok], len(b.g)
         key, at, self.own = distinct_keys(own[ok] * words + b.ids[self.where - d], len(ctx) * words)
-        self.ctx = extend(ctx[key // words], b.h[key % words], d)
+        self.parent = key // words
+        self.ctx = extend(ctx[self.parent], b.h[key % words], d)
         self.total = count[self.where[at] - 1]
         # a symbol that follows a context n times follows its parent n times
         ok = count[self.where] >= 2
@@ -280,12 +286,15 @@ class Level:
     def heard(self, told: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """Escape masses of the candidates (nan: no node), counts of the pairs."""
         escape, n = np.full(len(self.ctx), np.nan), np.zeros(len(self.o), dtype=np.int64)
-        said = {k: x for k, *x in zip(told["bucket"], told["a"], told["b"], told["c"], strict=True)}
+        said = {k: (a, b) for k, a, b in zip(told["bucket"], told["a"], told["b"], strict=True)}
+        kept = np.zeros(len(self.ctx), dtype=np.int64)
         for name, contexts, pairs in self.portions():
-            a, b, c = said[name]
-            own, seen = self.listed[contexts], unpack(a)
-            escape[own] = np.where(seen > 0, escape_mass(seen, unpack(c), self.total[own]), np.nan)
+            a, b = said[name]
+            kept[self.listed[contexts]] = unpack(a)
             n[self.order[pairs]] = unpack(b)
+        node = kept > 0
+        escape[node] = escape_mass(kept[node] / 4, self.total[node])
+        self.kept = kept
         return escape, n
 
 
@@ -303,6 +312,7 @@ class Block:
         self.c[lid] = np.concatenate([unpack(x) for x in vocabulary["c"]])
         self.h = mix64(self.g.view(np.uint64))
         self.at = np.arange(len(self.ids)) - np.repeat(self.first, self.lens)
+        self.last: Level | None = None           # the deepest level walked
 
     def walk(self, told: pd.DataFrame, root: np.ndarray, depth: int, rule: tuple):
         """Each symbol's probability at its deepest node of at most ``depth``
@@ -315,6 +325,7 @@ class Block:
         for d in range(1, depth + 1):
             x = Level(self, d, where, own, ctx, count, least, buckets, hot)
             where, own, ctx, count = deepen(x, told[told["d"] == d], p, rule)
+            self.last = x
         return p, where, own, ctx, count
 
 
@@ -326,7 +337,7 @@ def deepen(x: Level, told: pd.DataFrame, p: np.ndarray, rule: tuple):
     ok = ~np.isnan(escape[x.own])
     where, own = x.where[ok], x.own[ok]
     seen, total = count[where], x.total[own]
-    p[where] = escape[own] * p[where] + np.where((seen > 1) & (seen >= rule[1] * total), (seen - DISCOUNT) / total, 0.0)
+    p[where] = deeper(escape[own], p[where], seen, total, rule[1])
     return where, own, x.ctx, count
 
 
@@ -384,25 +395,30 @@ def root_probability(c: np.ndarray, n_train: int, distinct: int) -> np.ndarray:
     return (c + ALPHA) / (n_train + ALPHA * (distinct + 1))
 
 
-GRAM_SCHEMA = "block long, bucket int, ctx binary, total binary, pairs binary, sym binary, n binary, above binary"
+GRAM_COLUMNS = ["block", "bucket", "ctx", "total", "pairs", "sym", "n", "above", "roots", "kept", "totals"]
+GRAM_SCHEMA = "block long, bucket int, " + ", ".join(f"{c} binary" for c in GRAM_COLUMNS[2:])
 
 
-def asked(block: int, b: Block | Rest, x: Level, above: np.ndarray) -> pd.DataFrame:
+def asked(block: int, b: Block | Rest, x: Level, above: np.ndarray, parent: Level | None = None) -> pd.DataFrame:
     """By bucket, the block's distinct candidates of one depth (code, count,
     pairs) and its (context, symbol) pairs that can be stored: the symbol's
     number, count in the block, and probability at the context's parent (depth
-    1: count, from which the root's probability follows)."""
+    1: count, from which the root's probability follows; after texts at depth 2,
+    with ``parent``: count after the parent, and further whole numbers from which
+    it follows, the count of each distinct symbol by its number and what each
+    context's parent keeps and its occurrences)."""
     n = np.bincount(x.back, weights=b.train[x.at], minlength=len(x.o)).astype(np.int64)
     listed = np.searchsorted(x.mine, x.bucket * len(x.ctx) + x.o[x.order])
     pairs = np.bincount(listed, minlength=len(x.mine))
     rows = []
     for name, c, k in x.portions():
         i, k = x.listed[c], x.order[k]
-        rows.append((block, name, pack(x.ctx[i]), pack(x.total[i]), pack(pairs[c]), pack(b.g[x.lid[k]]), pack(n[k]), pack(above[k])))
-    return pd.DataFrame(rows, columns=["block", "bucket", "ctx", "total", "pairs", "sym", "n", "above"])
-
-
-NO_GRAMS = pd.DataFrame(columns=["block", "bucket", "ctx", "total", "pairs", "sym", "n", "above"])
+        sym, further = b.g[x.lid[k]], [None] * 3
+        if parent is not None:
+            first = np.unique(sym, return_index=True)[1]
+            further = [pack(y) for y in (b.c[x.lid[k]][first], parent.kept[x.parent[i]], parent.total[x.parent[i]])]
+        rows.append((block, name, pack(x.ctx[i]), pack(x.total[i]), pack(pairs[c]), pack(sym), pack(n[k]), pack(above[k]), *further))
+    return pd.DataFrame(rows, columns=GRAM_COLUMNS)
 
 
 def _grams(depth: int, n_train: int, distinct: int, rule: tuple):
@@ -410,12 +426,13 @@ def _grams(depth: int, n_train: int, distinct: int, rule: tuple):
     def run(texts: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         vocabulary = answers[answers["d"] == 0]
         if not len(texts) or not len(vocabulary):
-            return NO_GRAMS
+            return pd.DataFrame(columns=GRAM_COLUMNS)
         least, _, buckets, hot = rule
         b = Block(texts, vocabulary)
         p, where, own, ctx, count = b.walk(answers, root_probability(b.c, n_train, distinct), depth - 1, rule)
         x = Level(b, depth, where, own, ctx, count, least, buckets, hot)
-        return asked(int(texts["block"].iloc[0]), b, x, b.c[x.lid] if depth == 1 else p[x.first])
+        above = b.c[x.lid] if depth == 1 else count[x.first] if depth == 2 else p[x.first]
+        return asked(int(texts["block"].iloc[0]), b, x, above, b.last if depth == 2 else None)
 
     return run
 
@@ -477,18 +494,24 @@ class Bucket:
         self.n = np.bincount(self.back, weights=np.concatenate(column("n")), minlength=len(key)).astype(np.int64)
         # the symbols that can be stored
         self.k = np.flatnonzero((self.n > 1) & (self.n >= gamma * self.total[self.o]))
-        first = first[self.k]
-        above = np.concatenate(column("above", np.int64 if depth == 1 else np.float64))[first]
-        self.above = root_probability(above, n_train, distinct) if depth == 1 else above
+        first, whole = first[self.k], depth == 1 or asked["roots"].notna().all()
+        above = np.concatenate(column("above", np.int64 if whole else np.float64))[first]
+        if depth == 1:
+            above = root_probability(above, n_train, distinct)
+        elif whole:
+            kept, total = (np.repeat(np.concatenate(column(c)), pairs)[first] for c in ("kept", "totals"))
+            c = np.concatenate([c[np.unique(y, return_inverse=True)[1]] for c, y in zip(column("roots"), column("sym"), strict=True)])
+            above = deeper(escape_mass(kept / 4, total), root_probability(c[first], n_train, distinct), above, total, gamma)
+        self.above = above
 
     def over(self, value: np.ndarray) -> np.ndarray:
         """Sum by candidate of a value of the symbols that can be stored."""
         return np.bincount(self.o[self.k], weights=value, minlength=len(self.ctx))
 
     def stored(self) -> tuple[np.ndarray, np.ndarray]:
-        """By candidate, occurrences and number of the symbols that can be stored."""
+        """By candidate, what the symbols that can be stored keep and their number."""
         n = self.n[self.k]
-        return self.over(n), self.over(np.ones(len(n)))
+        return self.over(n - DISCOUNT), self.over(np.ones(len(n)))
 
     def told(self, escape: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By candidate, the sums of p log(p / above) and of p."""
@@ -496,24 +519,23 @@ class Bucket:
         p = (self.n[self.k] - DISCOUNT) / self.total[o] + escape[o] * self.above
         return self.over(p * np.log(p / self.above)), self.over(p)
 
-    def replies(self, d: int, seen, symbols, gain, mass, least: float, divergence: float) -> list[tuple]:
-        escape = escape_mass(seen, symbols, self.total)
+    def replies(self, d: int, kept, symbols, gain, mass, least: float, divergence: float) -> list[tuple]:
+        escape = escape_mass(kept, self.total)
         # symbols that are not stored contribute log(escape) each
         with np.errstate(divide="ignore", invalid="ignore"):
             kl = gain + (1 - mass) * np.log(escape)
         node = (symbols > 0) & (escape > 0) & (kl >= divergence)
-        seen, symbols = (np.where(node, x, 0).astype(np.int64)[self.listed] for x in (seen, symbols))
+        kept = np.where(node, 4 * kept, 0).astype(np.int64)[self.listed]
         n = np.where((self.n > 1) & (node[self.o] | (self.n >= least)), self.n, 0)
         found = int(node.sum())
-        contexts = [slice(*x) for x in itertools.pairwise(self.contexts)]
-        return [(block, d, self.bucket, pack(seen[contexts[i]]), pack(n[self.back[self.pairs[i]:self.pairs[i + 1]]]),
-                 pack(symbols[contexts[i]]), found, 0) for i, block in enumerate(self.blocks)]
+        return [(block, d, self.bucket, pack(kept[self.contexts[i]:self.contexts[i + 1]]),
+                 pack(n[self.back[self.pairs[i]:self.pairs[i + 1]]]), None, found, 0) for i, block in enumerate(self.blocks)]
 
 
 #: what buckets say: answers, and of contexts dealt over several buckets the
 #: questions again and, by context, two sums of this bucket
 COUNT_SCHEMA = (f"{ANSWER_SCHEMA}, code long, x double, y double, "
-                "ctx binary, totals binary, pairs binary, sym binary, n binary, above binary")
+                "ctx binary, times binary, " + ", ".join(f"{c} binary" for c in GRAM_COLUMNS[4:]))
 COUNT_COLUMNS = [c.split()[0] for c in COUNT_SCHEMA.split(", ")]
 
 
@@ -522,23 +544,23 @@ def grow(grams: DataFrame, d: int, n_train: int, distinct: int, divergence: floa
     least, gamma, buckets, _ = rule
 
     def sums(b: Bucket, x, y) -> list[tuple]:
-        return [(None, d, b.bucket, *[None] * 5, c, u, v, *[None] * 6) for c, u, v in
+        return [(None, d, b.bucket, *[None] * 5, c, u, v, *[None] * 9) for c, u, v in
                 zip(b.ctx.view(np.int64).tolist(), x.tolist(), y.tolist(), strict=True)]
 
     def count(asked: pd.DataFrame) -> pd.DataFrame:
         b = Bucket(asked, d, n_train, distinct, gamma)
-        seen, symbols = b.stored()
+        kept, symbols = b.stored()
         if b.bucket < buckets:
-            rows = [(*r, *[None] * 9) for r in b.replies(d, seen, symbols, *b.told(escape_mass(seen, symbols, b.total)), least, divergence)]
+            rows = [(*r, *[None] * 12) for r in b.replies(d, kept, symbols, *b.told(escape_mass(kept, b.total)), least, divergence)]
         else:
-            rows = sums(b, seen, symbols)
-            again = asked[["block", "bucket", "ctx", "total", "pairs", "sym", "n", "above"]]
+            rows = sums(b, kept, symbols)
+            again = asked[GRAM_COLUMNS]
             rows += [(r[0], d, r[1], *[None] * 8, *r[2:]) for r in again.itertuples(index=False)]
         return pd.DataFrame(rows, columns=COUNT_COLUMNS, dtype=object)      # ids beside nulls stay whole
 
     said = stage(grams.groupBy("bucket").applyInPandas(count, COUNT_SCHEMA), "counts")
     answers = said.where("a is not null").select("block", "d", "bucket", "a", "b", "c", "found", "total")
-    asked = said.where("ctx is not null").select("block", "bucket", "ctx", F.col("totals").alias("total"), "pairs", "sym", "n", "above")
+    asked = said.where("ctx is not null").select("block", "bucket", "ctx", F.col("times").alias("total"), *GRAM_COLUMNS[4:])
     first = said.where("code is not null").select("bucket", "code", "x", "y")
     if first.isEmpty():
         return answers
@@ -553,7 +575,7 @@ def grow(grams: DataFrame, d: int, n_train: int, distinct: int, divergence: floa
 
     def diverge(asked: pd.DataFrame, first: pd.DataFrame) -> pd.DataFrame:
         b = Bucket(asked, d, n_train, distinct, gamma)
-        rows = sums(b, *b.told(escape_mass(*known(b, first), b.total)))
+        rows = sums(b, *b.told(escape_mass(known(b, first)[0], b.total)))
         return pd.DataFrame([(r[2], *r[8:11]) for r in rows], columns=["bucket", "code", "x", "y"])
 
     def reply(asked: pd.DataFrame, both: pd.DataFrame) -> pd.DataFrame:
