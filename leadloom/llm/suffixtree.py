@@ -583,13 +583,12 @@ def grow(grams: DataFrame, d: int, n_train: int, distinct: int, divergence: floa
         rows = b.replies(d, *known(b, both[both["second"] == 0]), *known(b, both[both["second"] == 1]), least, divergence)
         return pd.DataFrame(rows, columns=COUNT_COLUMNS[:8])
 
-    second = stage(asked.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInPandas(
-        diverge, "bucket int, code long, x double, y double"), "divergences")
+    # one job: both cogroups read the questions from one shuffle
+    second = asked.groupBy("bucket").cogroup(first.groupBy("bucket")).applyInPandas(diverge, "bucket int, code long, x double, y double")
     gained = second.select("bucket", "code", F.sum("x").over(same).alias("x"), F.sum("y").over(same).alias("y"))
     both = first.withColumn("second", F.lit(0)).union(gained.withColumn("second", F.lit(1)))
     answers = stage(answers.union(asked.groupBy("bucket").cogroup(both.groupBy("bucket")).applyInPandas(reply, ANSWER_SCHEMA)), "replies")
-    for x in (said, second):
-        unstage(x)
+    unstage(said)
     return answers
 
 
